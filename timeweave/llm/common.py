@@ -53,75 +53,67 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class _Pieces(dict):
+    """Ids of the pre-tokeniser's pieces, as bytes; unseen ones go to the library's model."""
+
+    def __init__(self, owner: WordEncoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = piece if piece.isascii() else "".join(map(self.owner.alphabet.__getitem__, piece.encode()))
+        got = self[piece] = self.owner.pack([t.id for t in self.owner.model.tokenize(raw)])
+        return got
+
+
 class WordEncoder:
-    """Encodes whole texts with a file of the tokenizers library, a white-space word at a time.
+    """Encodes whole texts with a file of the tokenizers library, piece by piece with a memo.
 
     The vocabulary's normaliser (NFC, white space folding, lower case per character) and pre-tokeniser never
-    join across white space, so a text's ids are its words' ids in a row. Words of Latin letters, digits and
-    ASCII symbols are cut into the pre-tokeniser's pieces here and only unseen pieces go to the library's
-    model; words with any other character go to the library whole. Two bounded memos hold the ids as
-    little-endian unsigned bytes. Result: bytes, `width` bytes an id.
+    join across white space, so a text's ids are its words' ids in a row. Text of Latin letters, digits and
+    ASCII symbols is cut into the pre-tokeniser's pieces here; words with any other character go to the library
+    whole. The memo is bounded. Result: little-endian unsigned ids, `width` bytes each.
     """
 
     # The pre-tokeniser's alternatives, over letters and numbers below U+0250.
     _LETTERS, _NUMBERS = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
-    _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+    _PIECES = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\t\n\r {_LETTERS}{_NUMBERS}]+")
     _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|İ|<\|")
     _SPACE = re.compile(r"[\t\n\r ]+")
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.model, self.limit = self.tok.model, limit
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self)
         self.width = 2 if self.tok.get_vocab_size() <= 65536 else 4
         self.dtype = f"<u{self.width}"
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.alphabet = [chr(b) if b in set(keep) else chr(next(rest)) for b in range(256)]
 
-    def _pack(self, ids: list[int]) -> bytes:
+    def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            raw = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-            got = self.pieces[piece] = self._pack([t.id for t in self.model.tokenize(raw)])
-        return got
-
-    def _word(self, word: str) -> bytes:
-        if self._ODD.search(word):
-            return self._pack(self.tok.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self._piece, self._PIECES.findall(word.lower())))
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self._PIECES.findall(text.lower())))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        odd = self._ODD.search(text)
-        words = self._SPACE.split(text) if odd else text.split()
-        memo = self.words
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(memo) > self.limit:
-            memo.clear()
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self._word(w)
-        return b"".join(map(memo.__getitem__, words))
+        if not self._ODD.search(text):
+            return self._plain(text)
+        return b"".join(self.pack(self.tok.encode(w, add_special_tokens=False).ids) if self._ODD.search(w) else self._plain(w) for w in self._SPACE.split(text))
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """The Python worker's encoder of a vocabulary file; its memos live as long as the worker."""
+    """The Python worker's encoder of a vocabulary file; its memo lives as long as the worker."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

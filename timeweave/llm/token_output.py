@@ -31,7 +31,7 @@ MAGIC, NULL_ID = b"RPG1", -(1 << 63)
 BLOCKS = "shard int, block int, shard_start long, n_docs long, n_ids long, payload binary"
 
 
-def build_grammar(ids: np.ndarray, first: int, rounds: int = 8, per_round: int = 2048, least: int = 8):
+def build_grammar(ids: np.ndarray, first: int, rounds: int = 6, per_round: int = 2048, least: int = 8):
     """(reduced sequence, rules of shape (n, 2), expansion lengths); symbol `first + k` is rule k."""
     wide = first + per_round > 1 << 16
     seq = ids.astype(np.uint32 if wide else np.uint16)
