@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import packing, token_output
+from timeweave.llm import collisions, decontaminate, line_dedup, packing, token_output, toxicity, warc
 from timeweave.llm.common import load
 
 
@@ -17,13 +17,44 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(load(spark, sf_dir, "documents"), word_vocabulary(), end_id=2)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), size=10)
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_derivatives(load(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")), threshold=0.5)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.strip_boilerplate(docs, ratio=0.1, min_pages=3)
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_vectors(load(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), word_vocabulary(), end_id=1)
 
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_warc_derivatives": op3_warc_derivatives,
+    "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_decontaminate": decontaminate.ORACLE_SQL,
+    "op3_warc_derivatives": warc.ORACLE_SQL,
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
+}
