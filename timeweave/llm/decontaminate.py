@@ -80,6 +80,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     )
 
 
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs. Rows without an id stay."""
+    gone = staged(occurrences(docs, windows_of(items, size), id_col=id_col, text_col=text_col).select(F.col("id").alias(id_col)).distinct(), "contaminated")
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, id_col, "left_anti")
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import collisions, decontaminate, line_dedup, packing, token_output, toxicity, warc
+from timeweave.llm import collisions, decontaminate, line_dedup, packing, quality, set_join, substrings, token_output, toxicity, warc
 from timeweave.llm.common import load
 
 
@@ -25,6 +25,15 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_derivatives(load(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, load(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.near_texts(load(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")), threshold=0.5)
@@ -39,6 +48,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.near_vectors(load(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(load(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), word_vocabulary(), end_id=1)
 
@@ -47,9 +60,12 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_decontaminate": op2_decontaminate,
     "op3_warc_derivatives": op3_warc_derivatives,
+    "op4_quality": op4_quality,
+    "op5_ngram_join": op5_ngram_join,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 

@@ -285,3 +285,18 @@ def score(docs: DataFrame, net: BiGru, threshold: float = 0.5, id_col: str = "do
 
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(crc_mod(id_col, modulus) == held_out, F.lit(False)).alias("h"), F.col(text_col).alias("t"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_clean(docs: DataFrame, net: BiGru, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under the threshold."""
+    model = docs.sparkSession.sparkContext.broadcast(net.p)
+
+    @F.pandas_udf("double")
+    def of_text(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = BiGru(model.value)
+        for s in series:
+            texts = s.tolist()
+            parts = [score_texts(own, texts[p]) for p in bounded_batches(texts)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return docs.where(of_text(F.col(text_col)) < threshold)
