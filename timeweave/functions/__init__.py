@@ -1 +1 @@
-
+"""Column functions; all are Spark expressions."""

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from timeweave.plans import scalars
+
+PARTS = [scalars]
+QUERIES = {k: q for part in PARTS for k, q in part.QUERIES.items()}
+ORACLE_SQL = {k: q for part in PARTS for k, q in part.ORACLE_SQL.items()}
