@@ -159,7 +159,7 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
     in its part. Kinds 1 and 2 come only from groups of several parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in runs_of_groups(batches, ["gram", "part"], lambda k: k / 4000):
+        for pdf in runs_of_groups(batches, ["gram", "part"], lambda k: k / 2000):
             pdf = pdf[~pdf.duplicated(["gram", "part", "t", "n", "first"])].reset_index(drop=True)
             raw = pdf["context"].tolist()
             sizes = np.array([len(r) for r in raw], np.int64)
@@ -188,18 +188,13 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
     return staged(contexts.repartition(width, "gram", "part").sortWithinPartitions("gram", "part").mapInPandas(run, "kind long, t long, n long, first long, last long, hash long"), "repeats")
 
 
-def _guarded(df: DataFrame, weight, limit: int) -> DataFrame:
-    size = df.agg(F.sum(weight)).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
-
-
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", part: int = 128, broadcast_items: int = 4_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", part: int = 128) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     A byte goes when a string of `length` bytes that covers it starts anywhere else in the corpus, the same text
     included. Null texts are empty; texts shorter than `length` lose nothing. `kept` is what is left, as bytes (a cut may fall inside a
     character). Null and repeated ids are kept as they are: rows are told apart by text. Extra columns are not read. Texts are read whole. An
-    empty table gives no rows. Tables of places per text are broadcast only up to broadcast_items entries.
+    empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"))
@@ -209,7 +204,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     parts = staged(kept.groupBy("gram").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1"), "parts")
     places = staged(kept.groupBy("t", "n").agg(F.collect_set("pos").alias("places")).join(copies, ["t", "n"]).select("t", "n", "rep", "places"), "places")
     # One row of each text brings the context: the one with the smallest id; rows repeated under one id are dropped later.
-    wanted = long_ones.join(_guarded(places, F.size("places") + 4, broadcast_items), ["t", "n"]).where(F.coalesce(F.col("id").cast("long"), F.lit(-1)) == F.col("rep"))
+    wanted = long_ones.join(places, ["t", "n"]).where(F.coalesce(F.col("id").cast("long"), F.lit(-1)) == F.col("rep"))
     contexts = _contexts(wanted.select("text", "t", "n", "places"), length)
     dealt = contexts.join(parts, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("t", "first"), F.col("parts")).cast("int"))
     found = _repeats(dealt, length)
@@ -218,7 +213,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     ranges = found.where("kind = 0").select("t", "n", "first", "last").unionByName(over.where("kind = 1").join(again, "hash").select("t", "n", "first", "last"))
     spans = staged(ranges.groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")), "spans")
     marks = staged(copies.where("copies > 1").select("t", "n", F.lit(True).alias("whole")).join(spans, ["t", "n"], "full").select("t", "n", F.coalesce("whole", F.lit(False)).alias("whole"), "spans"), "marks")
-    joined = base.join(_guarded(marks, F.coalesce(F.size("spans"), F.lit(0)) + 4, broadcast_items), ["t", "n"], "left").select("id", "text", "n", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(~F.col("whole"), F.col("spans")).alias("spans"))
+    joined = base.join(marks, ["t", "n"], "left").select("id", "text", "n", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(~F.col("whole"), F.col("spans")).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -255,7 +255,7 @@ def score_texts(net: BiGru, texts: list, most_windows: int = 4096) -> np.ndarray
     return out
 
 
-def bounded_batches(texts: list, most_bytes: int = 1_500_000) -> Iterator[slice]:
+def bounded_batches(texts: list, most_bytes: int = 1_000_000) -> Iterator[slice]:
     """Slices of about most_bytes characters."""
     start = size = 0
     for i, t in enumerate(texts):
