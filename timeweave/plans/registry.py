@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from timeweave.plans import scalars
+from timeweave.plans import scalars, timelines
 
-PARTS = [scalars]
+PARTS = [scalars, timelines]
 QUERIES = {k: q for part in PARTS for k, q in part.QUERIES.items()}
 ORACLE_SQL = {k: q for part in PARTS for k, q in part.ORACLE_SQL.items()}
