@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +16,13 @@ def cut(df: DataFrame) -> DataFrame:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        root = _own[0]
+    return f"{root}/{name}-{uuid.uuid4().hex}"
