@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.operators import joins, sequences
-from timeweave.plans import media, scalars, storage, timelines
+from timeweave.plans import live, media, scalars, storage, timelines
 from timeweave.plans.timelines import GAPS, points
 from timeweave.sources import timeline as T
 
@@ -27,6 +27,6 @@ FLAGSHIP_SQL = T.with_tables(
   SELECT chunk_id, speaker, count(*) AS words, count(DISTINCT segment) AS utterances, CAST(sum(d) AS BIGINT) AS talk_ms FROM who JOIN gf USING (chunk_id, word_idx) GROUP BY 1, 2""",
     recursive=True,
 )
-PARTS = [scalars, timelines, media, storage]
+PARTS = [scalars, timelines, media, storage, live]
 QUERIES = {"talk_time": flagship} | {k: q for part in PARTS for k, q in part.QUERIES.items()}
 ORACLE_SQL = {"talk_time": FLAGSHIP_SQL} | {k: q for part in PARTS for k, q in part.ORACLE_SQL.items()}
