@@ -95,16 +95,12 @@ def read_score_list(spark: SparkSession, path: str, existing: DataFrame | None =
     return rows if existing is None else rows.join(existing.select("file"), "file", "left_semi")
 
 
-CLIP = "Video_env struct<Angle:string, angle:string>, Audio_env struct<Noise:string, noise:string>, Video_info struct<video_Name:string, video_name:string>"
-
-
 def read_clip_metadata(spark: SparkSession, root: str) -> DataFrame:
     """(file, angle, noise, video) of JSON objects or one-element lists, keys in either case; broken files are skipped."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root).select("value", F.col("_metadata.file_name").alias("file"))
-    one = F.coalesce(F.get(F.from_json("value", f"array<struct<{CLIP.replace(' struct', ':struct')}>>"), F.lit(0)), F.from_json("value", CLIP))
-    c = raw.select("file", one.alias("c"))
-    pick = lambda s, a, b: F.coalesce(F.col(f"c.{s}.{a}"), F.col(f"c.{s}.{b}"))
-    out = c.select("file", pick("Video_env", "Angle", "angle").alias("angle"), pick("Audio_env", "Noise", "noise").alias("noise"), pick("Video_info", "video_Name", "video_name").alias("video"))
+    # Spark's own field names do not tell case apart, JSON paths do.
+    pick = lambda where, *names: F.coalesce(*[F.get_json_object("value", f"{top}.{where}.{n}") for top in ("$", "$[0]") for n in names])
+    out = raw.select("file", pick("Video_env", "Angle", "angle").alias("angle"), pick("Audio_env", "Noise", "noise").alias("noise"), pick("Video_info", "video_Name", "video_name").alias("video"))
     return out.where("angle is not null or noise is not null or video is not null").withColumn("video", F.coalesce("video", F.concat(F.regexp_replace("file", r"\.json$", ""), F.lit(".mp4"))))
 
 
