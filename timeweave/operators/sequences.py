@@ -250,3 +250,14 @@ def absorb_outliers(segments: DataFrame, max_ms: int = 400) -> DataFrame:
         return out
 
     return fold(segments.select("chunk_id", "segment_id", "speaker", "start_ms", "end_ms"), ["segment_id"], step, "chunk_id long, segment_id long, speaker string")
+
+
+def global_rank(rows: DataFrame, order: str, block: int = 10_000) -> DataFrame:
+    """Position r (from 1) of each row by a whole-number column, without one task that sees all rows: ranks inside
+    blocks of the value, plus the rows of earlier blocks, of which there is one count each."""
+    cut = rows.withColumn("__block", F.floor(F.col(order) / block))
+    counts = cut.groupBy("__block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__block", before.alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__block").orderBy(order))
+    return cut.withColumn("__r", inside).join(offsets, "__block").withColumn("r", F.col("__r") + F.col("__before")).drop("__block", "__r", "__before")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from timeweave.functions import planning, text, vectors
-from timeweave.operators import joins
+from timeweave.operators import joins, sequences
 from timeweave.plans.timelines import COUNTS, TARGETS, face_counts, frame_targets
 from timeweave.sources import timeline as T
 
@@ -87,8 +87,8 @@ def looked_up(s, d):
 
 add("c17_lookup_reference", looked_up, wt("segments", f"""+{BEST}, q AS (SELECT chunk_id, segment_id, speaker, CASE WHEN segment_id % 2 = 0 THEN 'Scared' ELSE emotion END AS emotion FROM segments)
   SELECT q.chunk_id, q.segment_id, coalesce(a.segment_id, n.segment_id) AS ref FROM q LEFT JOIN bref a ON a.chunk_id = q.chunk_id AND a.speaker = q.speaker AND a.emotion = q.emotion LEFT JOIN bref n ON n.chunk_id = q.chunk_id AND n.speaker = q.speaker AND n.emotion = 'Neutral'"""))
-add("c20_paired", lambda s, d: clips(s, d)[0].withColumn("r", F.row_number().over(W.orderBy("idx"))).join(clips(s, d)[1].withColumn("r", F.row_number().over(W.orderBy("idx"))), "r").where("(r - 1) % 20 = 0").select("r", F.round(F.abs(col("a") - col("b")), 6).alias("diff")),
-    wt("samples", CLIPS + ", x AS (SELECT *, row_number() OVER (ORDER BY idx) AS r FROM a), y AS (SELECT *, row_number() OVER (ORDER BY idx) AS r FROM b) SELECT CAST(r AS INTEGER) AS r, round(abs(x.a - y.b), 6) AS diff FROM x JOIN y USING (r) WHERE (r - 1) % 20 = 0"))
+add("c20_paired", lambda s, d: sequences.global_rank(clips(s, d)[0], "idx").join(sequences.global_rank(clips(s, d)[1], "idx"), "r").where("(r - 1) % 20 = 0").select("r", F.round(F.abs(col("a") - col("b")), 6).alias("diff")),
+    wt("samples", CLIPS + ", x AS (SELECT *, row_number() OVER (ORDER BY idx) AS r FROM a), y AS (SELECT *, row_number() OVER (ORDER BY idx) AS r FROM b) SELECT CAST(r AS BIGINT) AS r, round(abs(x.a - y.b), 6) AS diff FROM x JOIN y USING (r) WHERE (r - 1) % 20 = 0"))
 
 
 def bins(s, d):
