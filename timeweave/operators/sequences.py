@@ -195,10 +195,12 @@ def nms(boxes: DataFrame, limit: float = 0.3) -> DataFrame:
         return both / area if area > 0 else 0.0
 
     def step(rows: list[dict]) -> list[dict]:
-        kept: list[dict] = []
+        kept, here, frame = [], [], None
         for r in rows:
-            same = [k for k in reversed(kept[-16:]) if k["frame"] == r["frame"]] if len(kept) < 16 or kept[-16]["frame"] != r["frame"] else [k for k in kept if k["frame"] == r["frame"]]
-            if all(overlap(r, k) <= limit for k in same):
+            if r["frame"] != frame:
+                here, frame = [], r["frame"]
+            if all(overlap(r, k) <= limit for k in here):
+                here.append(r)
                 kept.append(r)
         return [{k: r[k] for k in ("chunk_id", "frame", "track")} for r in kept]
 
