@@ -216,6 +216,19 @@ def test_set_join_is_brute_force(spark, corpus, n, num, den, block):
     assert got == [(i, *x) for i, x in enumerate(brute_components(corpus, n, num, den))]
 
 
+def test_set_join_links_members_of_different_pivots(spark):
+    """Chains of drifting copies longer than a block: only neighbours link, so pivots reach parts that meet in no pivot."""
+    r, texts = random.Random(8), []
+    for _ in range(16):
+        w = [f"w{r.randrange(10**9)}" for _ in range(60)]
+        for k in range(18):
+            texts.append(" ".join(w))
+            w[k % 60] = f"w{r.randrange(10**9)}"
+    want = [c for _, c in brute_components(texts, 1, 95, 100)]
+    assert len(set(want)) == 16
+    assert [x["component_id"] for x in set_join.near_texts(docs(spark, texts), n=1, num=95, den=100, block=8).orderBy("doc_id").collect()] == want
+
+
 def test_set_join_edges(spark, empty):
     assert set_join.near_texts(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e"), (4, "A b  c\td e"), (4, "a b c d e"), (9, "a b c d e"), (2, "a b c")], "doc_id long, text string")

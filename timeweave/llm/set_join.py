@@ -10,8 +10,9 @@ documents share last, so passages and boilerplate tie no cells together. Pairs w
 verified on the whole sets.
 
 Equal sets are one document until the end. A large cell first compares its members with a few pivots, chunk by chunk, so
-a group of near copies of one text costs about one pass. Only members that no pivot reached are then compared with the
-whole cell, block by block, so no task sees more than two blocks; that part grows with their number times the cell.
+a group of near copies of one text costs about one pass. Members outside the cell's largest component of pivot links are
+then compared with the whole cell, but for pairs that share a component, block by block, so no task sees more than two
+blocks; that part grows with their number times the cell.
 """
 
 from __future__ import annotations
@@ -231,17 +232,25 @@ def verify(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(id, root) of the members of each group g that have a link there; root is the smallest id they reach in it.
 
     Pairs of role 2 with 2, and of role 0 with 1, are looked at; a pair that is already connected need not be verified.
+    Members of one part are connected from the start; null parts connect nothing.
     """
+    if "part" not in rows.columns:
+        rows = rows.withColumn("part", F.lit(None).cast("long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs_of_groups(batches, ["g"], lambda k: k / 400):
             sets = [s for part in bounded_batches(pdf["text"].tolist()) for s in shingle_sets(pdf["text"].iloc[part].tolist(), n)]
             groups, role, ids = pdf["__group"].to_numpy(), pdf["role"].to_numpy(), pdf["id"].to_numpy()
+            parted, parts = pdf["part"].notna().to_numpy(), pdf["part"].fillna(0).to_numpy(np.int64)
             cuts = np.r_[0, np.flatnonzero(np.diff(groups)) + 1, len(groups)]
             out_id, out_root = [], []
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 names, place = np.unique(ids[s:e], return_inverse=True)
                 roots, hit = Roots(len(names)), set()
+                at = np.flatnonzero(parted[s:e])
+                first, same = np.unique(parts[s:e][at], return_index=True, return_inverse=True)[1:]
+                for p, q in zip(place[at].tolist(), place[at[first[same]]].tolist()):
+                    roots.join(p, q)
                 for i, j in CountTree(sets[s:e]).pairs(num, den).tolist():
                     if place[i] == place[j] or not (role[s + i] == role[s + j] == 2 or role[s + i] + role[s + j] == 1):
                         continue
@@ -255,7 +264,7 @@ def verify(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
             yield pd.DataFrame({"id": np.concatenate(out_id), "root": np.concatenate(out_root)})
 
     width = shuffle_width(rows.sparkSession)
-    return staged(rows.select("g", "role", "id", "text").repartition(width, "g").sortWithinPartitions("g").mapInPandas(run, "id long, root long"), "links")
+    return staged(rows.select("g", "role", "id", "part", "text").repartition(width, "g").sortWithinPartitions("g").mapInPandas(run, "id long, root long"), "links")
 
 
 def _with_text(members: DataFrame, texts: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -281,18 +290,20 @@ def _all_links(cells: DataFrame, texts: DataFrame, n: int, num: int, den: int, b
     chunks = pivots.select("id", F.xxhash64("cell", "own").alias("g"), F.lit(0).alias("role")).unionByName(large.select("id", F.xxhash64("cell", own).alias("g"), F.lit(1).alias("role")))
     reached = verify(_with_text(chunks, texts, broadcast_rows), n, num, den)
     found.append(reached)
-    state = staged(large.join(reached.select("id", F.lit(True).alias("reached")).distinct(), "id", "left").select("id", F.coalesce("reached", F.lit(False)).alias("reached")), "reached")
-    left = staged(large.join(state.where("NOT reached"), "id").select("id", "cell", "size"), "unreached")
+    # Pivot links stay inside a cell, so its components do. Of any two components one is not the cell's largest.
+    state = staged(large.join(components(reached, "id", "root"), "id", "left").select("id", "cell", "size", F.col("component").alias("part")), "reached")
+    largest = staged(state.where("part IS NOT NULL").groupBy("cell", "part").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("largest")), "largest")
+    left = staged(state.join(largest, "cell", "left").where("NOT (part <=> largest) OR part IS NULL").select("id", "cell", "size", "part"), "outside")
     if left.isEmpty():
         return found
-    # Members that no pivot reached meet all of their cell, in wider blocks: bounds cost less than carrying texts again.
+    # Members outside the largest component meet all of their cell, in wider blocks: bounds cost less than carrying texts again.
     wide = 4 * block
     blocks = F.ceil(F.col("size") / wide).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit("wide")), blocks).cast("int")
     waves = staged(left.groupBy("cell").agg(F.ceil(F.count("*") / wide).cast("int").alias("waves")), "waves")
     wave = F.pmod(F.xxhash64("id", F.lit("wave")), F.col("waves")).cast("int")
-    everyone = large.join(waves, "cell").withColumn("wave", F.explode(F.sequence(F.lit(0), F.col("waves") - 1))).select("id", F.xxhash64("cell", own, "wave").alias("g"), F.lit(1).alias("role"))
-    some = left.join(waves, "cell").select("id", "cell", "size", wave.alias("wave")).withColumn("own", F.explode(F.sequence(F.lit(0), blocks - 1))).select("id", F.xxhash64("cell", "own", "wave").alias("g"), F.lit(0).alias("role"))
+    everyone = state.join(waves, "cell").withColumn("wave", F.explode(F.sequence(F.lit(0), F.col("waves") - 1))).select("id", "part", F.xxhash64("cell", own, "wave").alias("g"), F.lit(1).alias("role"))
+    some = left.join(waves, "cell").select("id", "cell", "size", "part", wave.alias("wave")).withColumn("own", F.explode(F.sequence(F.lit(0), blocks - 1))).select("id", "part", F.xxhash64("cell", "own", "wave").alias("g"), F.lit(0).alias("role"))
     found.append(verify(_with_text(everyone.unionByName(some), texts, broadcast_rows), n, num, den))
     return found
 
