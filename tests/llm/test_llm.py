@@ -338,6 +338,20 @@ def test_windows_cover_every_word():
         assert set(range(n)) == {i for s in starts for i in range(s, min(n, s + toxicity.WINDOW))}
 
 
+def test_long_words_are_read_whole():
+    for w in ("internationalisation" * 9, "обезьянами", "中文無空白的長句子" * 40, "a" * 15, "ab" * 3):
+        pieces, seen = toxicity.words_of(w), ""
+        for p in (p.decode() for p in pieces):
+            seen += p if not seen else p[max(k for k in range(len(p)) if seen.endswith(p[:k]) and w.startswith(seen + p[k:])) :]
+        assert seen == w and all(len(p) < toxicity.WIDTH for p in pieces)
+    r = random.Random(3)
+    runs = ["".join(chr(r.randrange(0x4E00, 0x4E80)) for _ in range(60)) for _ in range(600)]
+    texts = [t[:40] + "毒毒毒" + t[40:] if i % 2 else t for i, t in enumerate(runs)]
+    net = toxicity.train(texts[:500], np.arange(500) % 2)
+    planted = [t[:40] + "毒毒毒" + t[40:] for t in runs[500:]]
+    assert (toxicity.score_texts(net, planted) > toxicity.score_texts(net, runs[500:])).mean() > 0.9
+
+
 def labelled_corpus(spark, n=500):
     r = random.Random(9)
     rows, labels = [], []

@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Inputs of a word are a hashed word vector and the mean of its hashed character trigrams and prefix. The network reads
+Inputs of a word are a hashed word vector and the mean of its hashed character trigrams and prefix. A word of more bytes
+than these inputs see, such as a run of unspaced text, is read as overlapping pieces, each a word of its own. The network reads
 windows of `WINDOW` words, each overlapping the next; a document scores as its worst window. It is fitted on the
 driver from a bounded sample of labelled rows (see `fit`) and applied to whole texts in one scan without a shuffle.
 """
@@ -19,13 +20,32 @@ from timeweave.llm.common import crc_mod
 
 WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN, ATTENTION = 1 << 15, 1 << 14, 12, 16, 16
-WIDTH = 16  # bytes of a word that its character inputs see
+WIDTH = 16  # bytes that a word's inputs see, its mark included
+OVERLAP = 8  # least bytes that neighbouring pieces of a longer word share
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+def pieces_of(word: bytes) -> list[bytes]:
+    """Overlapping pieces of at most WIDTH - 1 bytes that cover a word, cut between characters."""
+    size, out, start = WIDTH - 1, [], 0
+    while True:
+        stop = min(len(word), start + size)
+        while stop < len(word) and word[stop] & 0xC0 == 0x80:
+            stop -= 1
+        out.append(word[start:stop])
+        if stop == len(word):
+            return out
+        start = stop - OVERLAP
+        while word[start] & 0xC0 == 0x80:
+            start -= 1
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased runs of letters, digits and non-ASCII bytes."""
-    return text.encode("utf-8", "replace").translate(_FOLD).split() if text else []
+    """Lower-cased runs of letters, digits and non-ASCII bytes; longer ones in pieces."""
+    words = text.encode("utf-8", "replace").translate(_FOLD).split() if text else []
+    if not words or max(map(len, words)) < WIDTH:
+        return words
+    return [p for w in words for p in ((w,) if len(w) < WIDTH else pieces_of(w))]
 
 
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
