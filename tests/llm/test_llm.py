@@ -95,6 +95,16 @@ def test_grammar_on_runs_and_repeats(spark):
     assert rows == [(0, None, 2), (2, 1, 3), (5, 1, 3)]
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(4)
+    for ids in (np.tile(r.integers(0, 900, 700), 40), np.zeros(5000, np.int64), r.integers(0, 12, 30000), np.repeat([3, 4, 4], 3000)):
+        seq, rules, lengths = token_output.build_grammar(ids, 49408)
+        assert max(Counter(zip(seq.tolist(), seq.tolist()[1:])).values(), default=0) < 8 and len(rules) < 65536 - 49408
+        assert sum(int(lengths[s - 49408]) if s >= 49408 else 1 for s in seq.tolist()) == len(ids)
+        back = token_output.Block.parse(token_output.write_block(ids, [1], [0], 49408, 2)).ids()
+        assert (back == ids).all()
+
+
 def test_packing_covers_every_id_once(spark, corpus, empty, reference_ids):
     rows = packing.pack(docs(spark, corpus).repartition(3), queries.word_vocabulary(), flush_tokens=9000).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

@@ -2,8 +2,9 @@
 
 Documents are range-partitioned by id, so shard k's documents precede shard k+1's. A shard's task encodes its
 documents in order and closes a block at about `block_ids` ids. Within a block frequent adjacent pairs become
-nonterminals, over several rounds: a round counts all pairs, takes the most frequent as rules and replaces their
-occurrences (where two overlap, the more frequent pair's, then the left one). A block stores its rules, the
+nonterminals, in rounds until no pair is frequent or symbols run out: a round counts all pairs, takes the most frequent
+as rules and replaces their occurrences (where two overlap, the more frequent pair's, then the left one; in a run of one
+symbol every other). A block stores its rules, the
 expansion length of every rule, its documents' offsets and the reduced sequence.
 
 Block layout (little-endian): magic RPG1, then unsigned 32-bit: symbol width in bytes, end id, first nonterminal,
@@ -31,7 +32,7 @@ MAGIC, NULL_ID = b"RPG1", -(1 << 63)
 BLOCKS = "shard int, block int, shard_start long, n_docs long, n_ids long, payload binary"
 
 
-def build_grammar(ids: np.ndarray, first: int, rounds: int = 6, per_round: int = 2048, least: int = 8):
+def build_grammar(ids: np.ndarray, first: int, per_round: int = 2048, least: int = 8):
     """(reduced sequence, rules of shape (n, 2), expansion lengths); symbol `first + k` is rule k."""
     wide = first + per_round > 1 << 16
     seq = ids.astype(np.uint32 if wide else np.uint16)
@@ -45,9 +46,8 @@ def build_grammar(ids: np.ndarray, first: int, rounds: int = 6, per_round: int =
         out[inner] = lengths[s[inner].astype(np.int64) - first]
         return out
 
-    for _ in range(rounds):
-        if len(seq) < 2 or len(rules) >= room:
-            break
+    # The most frequent pair is always replaced, so each round shortens the sequence.
+    while len(seq) >= 2 and len(rules) < room:
         key = (seq[:-1].astype(kind) << half) | seq[1:]
         order = np.sort(key)
         starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
@@ -65,9 +65,11 @@ def build_grammar(ids: np.ndarray, first: int, rounds: int = 6, per_round: int =
         rank[(rank >= 0) & (chosen[rank] != key)] = -1
         rank = np.where(rank < 0, np.int16(32767), rank)
         take = rank < 32767
-        take[1:] &= rank[1:] < rank[:-1]
+        take[1:] &= rank[1:] <= rank[:-1]
         take[:-1] &= rank[:-1] <= rank[1:]
         at = np.flatnonzero(take)
+        head = np.concatenate(([True], np.diff(at) != 1))
+        at = at[(at - np.maximum.accumulate(np.where(head, at, 0))) % 2 == 0]
         used = np.bincount(rank[at], minlength=len(chosen))
         keep = used >= max(2, least // 2)
         at = at[keep[rank[at]]]
