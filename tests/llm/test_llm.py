@@ -362,6 +362,13 @@ def test_long_words_are_read_whole():
     assert (toxicity.score_texts(net, planted) > toxicity.score_texts(net, runs[500:])).mean() > 0.9
 
 
+def test_texts_without_words_are_clean(spark):
+    net = toxicity.BiGru.fresh(1)
+    net.p["bias"][0] = 2.0
+    odd = docs(spark, [None, "", " \n ", "?!"])
+    assert toxicity.score(odd, net).where("predicted = 1").count() == 0 and toxicity.keep_clean(odd, net).count() == 4
+
+
 def labelled_corpus(spark, n=500):
     r = random.Random(9)
     rows, labels = [], []

@@ -259,9 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
 
 
 def score_texts(net: BiGru, texts: list, most_windows: int = 4096) -> np.ndarray:
-    """The worst window's probability of each whole text; an empty text scores what the bias alone says, at most 0.5."""
-    empty = float(min(0.5, sigmoid(net.p["bias"])[0]))
-    out = np.full(len(texts), empty)
+    """The worst window's probability of each whole text; a text without words scores 0."""
+    out = np.zeros(len(texts))
     words, docs = _numbered(texts)
     if not words:
         return out
@@ -290,7 +289,7 @@ def bounded_batches(texts: list, most_bytes: int = 1_000_000) -> Iterator[slice]
 def score(docs: DataFrame, net: BiGru, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held_out: int = 0) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Null and empty texts, and texts without words, get the network's bias, at most 0.5. Texts are scored whole whatever
+    Null and empty texts, and texts without words, score 0 and are clean. Texts are scored whole whatever
     their length; equal texts score equal. Null ids are kept and are in no fold. Extra columns are not read. An empty
     table gives no rows; without labelled rows of both classes every text scores the one class seen, else clean.
     """
