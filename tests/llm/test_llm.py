@@ -369,6 +369,12 @@ def test_texts_without_words_are_clean(spark):
     assert toxicity.score(odd, net).where("predicted = 1").count() == 0 and toxicity.keep_clean(odd, net).count() == 4
 
 
+def test_windows_hold_passages_of_half_a_window_whole():
+    for n in (40, 95, 200):
+        starts = toxicity.windows_of(n)
+        assert all(any(s <= i and i + 16 <= s + toxicity.WINDOW for s in starts) for i in range(n - 15))
+
+
 def labelled_corpus(spark, n=500):
     r = random.Random(9)
     rows, labels = [], []

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from timeweave.llm.common import crc_mod
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN, ATTENTION = 1 << 15, 1 << 14, 12, 16, 16
 WIDTH = 16  # bytes that a word's inputs see, its mark included
 OVERLAP = 8  # least bytes that neighbouring pieces of a longer word share
