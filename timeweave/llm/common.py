@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
+from array import array
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,13 +67,27 @@ class _Pieces(dict):
         return got
 
 
+class _Words(dict):
+    """Ids of words between white space, as bytes; very long words are not remembered."""
+
+    def __init__(self, owner: WordEncoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.owner.word_ids(word)
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
 class WordEncoder:
-    """Encodes whole texts with a file of the tokenizers library, piece by piece with a memo.
+    """Encodes whole texts with a file of the tokenizers library, word by word with a memo.
 
     The vocabulary's normaliser (NFC, white space folding, lower case per character) and pre-tokeniser never
-    join across white space, so a text's ids are its words' ids in a row. Text of Latin letters, digits and
+    join across white space, so a text's ids are its words' ids in a row. A new word of Latin letters, digits and
     ASCII symbols is cut into the pre-tokeniser's pieces here; words with any other character go to the library
-    whole. The memo is bounded. Result: little-endian unsigned ids, `width` bytes each.
+    whole. The memos are bounded. Result: little-endian unsigned ids, `width` bytes each.
     """
 
     # The pre-tokeniser's alternatives, over letters and numbers below U+0250.
@@ -80,33 +95,46 @@ class WordEncoder:
     _PIECES = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\t\n\r {_LETTERS}{_NUMBERS}]+")
     _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|İ|<\|")
     _SPACE = re.compile(r"[\t\n\r ]+")
+    _EVEN = bytes([9, 10, 13, *range(32, 127)])
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.model, self.limit = self.tok.model, limit
-        self.pieces = _Pieces(self)
+        self.pieces, self.words = _Pieces(self), _Words(self)
         self.width = 2 if self.tok.get_vocab_size() <= 65536 else 4
-        self.dtype = f"<u{self.width}"
+        self.dtype, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.alphabet = [chr(b) if b in set(keep) else chr(next(rest)) for b in range(256)]
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self._PIECES.findall(text.lower())))
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def word_ids(self, word: str) -> bytes:
+        if self._ODD.search(word):
+            return self.pack(self.tok.encode(word, add_special_tokens=False).ids)
+        return b"".join(map(self.pieces.__getitem__, self._PIECES.findall(word.lower())))
+
+    def _odd(self, text: str) -> bool:
+        """Whether _ODD occurs; only what is left without common characters is searched."""
+        if "<|" in text:
+            return True
+        rest = text.encode("utf-8", "surrogatepass").translate(None, self._EVEN)
+        return bool(rest) and self._ODD.search(rest.decode("utf-8", "surrogatepass")) is not None
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        if not self._ODD.search(text):
-            return self._plain(text)
-        return b"".join(self.pack(self.tok.encode(w, add_special_tokens=False).ids) if self._ODD.search(w) else self._plain(w) for w in self._SPACE.split(text))
+        for memo in (self.words, self.pieces):
+            if len(memo) > self.limit:
+                memo.clear()
+        words = self._SPACE.split(text) if self._odd(text) else text.lower().split()
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -62,21 +62,26 @@ def build_grammar(ids: np.ndarray, first: int, per_round: int = 2048, least: int
         table = np.full(1 << bits, -1, np.int16)
         table[slot(chosen)[::-1]] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int16)
         rank = table[slot(key)]
-        rank[(rank >= 0) & (chosen[rank] != key)] = -1
-        rank = np.where(rank < 0, np.int16(32767), rank)
-        take = rank < 32767
-        take[1:] &= rank[1:] <= rank[:-1]
-        take[:-1] &= rank[:-1] <= rank[1:]
-        at = np.flatnonzero(take)
-        head = np.concatenate(([True], np.diff(at) != 1))
-        at = at[(at - np.maximum.accumulate(np.where(head, at, 0))) % 2 == 0]
-        used = np.bincount(rank[at], minlength=len(chosen))
+        at = np.flatnonzero(rank >= 0)
+        rank = rank[at]
+        same = chosen[rank] == key[at]
+        at, rank = at[same], rank[same]
+        touch = at[1:] - at[:-1] == 1
+        take = np.ones(len(at), bool)
+        take[1:] &= ~touch | (rank[1:] <= rank[:-1])
+        take[:-1] &= ~touch | (rank[:-1] <= rank[1:])
+        at, rank = at[take], rank[take]
+        head = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
+        run = np.diff(np.append(head, len(at)))
+        odd = (np.arange(len(at)) - np.repeat(head, run)) % 2 == 0
+        at, rank = at[odd], rank[odd]
+        used = np.bincount(rank, minlength=len(chosen))
         keep = used >= max(2, least // 2)
-        at = at[keep[rank[at]]]
+        at, rank = at[keep[rank]], rank[keep[rank]]
         if not len(at):
             break
         new = np.cumsum(keep) - 1 + first + len(rules)
-        symbols = new[rank[at]].astype(seq.dtype)
+        symbols = new[rank].astype(seq.dtype)
         pairs = chosen[keep]
         added = np.stack([(pairs >> kind(half)), pairs & kind((1 << half) - 1)], axis=1).astype(seq.dtype)
         added_lengths = length_of(added[:, 0]) + length_of(added[:, 1])
@@ -130,12 +135,22 @@ class Block:
             todo = {c for s in todo for c in self.rules[s - self.first].tolist() if c >= self.first} - need
             need |= todo
         leaf = lambda c: cells[c] if c >= self.first else pack(c)
-        for s in sorted(need):
+        order = sorted(need)
+        for s in order:
             a, b = self.rules[s - self.first].tolist()
             cells[s] = leaf(a) + leaf(b)
-        for s in np.unique(symbols[symbols < self.first]).tolist():
-            cells[s] = pack(s)
-        return np.frombuffer(b"".join(map(cells.__getitem__, symbols.tolist())), "<u4")
+        # One array holds the rules' expansions and then the symbols themselves; every id is gathered from it.
+        flat = np.frombuffer(b"".join(map(cells.__getitem__, order)), "<u4")
+        where = np.zeros(len(self.rules), np.int64)
+        used = np.array(order, np.int64) - self.first
+        where[used] = np.cumsum(self.lengths[used].astype(np.int64)) - self.lengths[used]
+        size, at = np.ones(len(symbols), np.int64), len(flat) + np.arange(len(symbols))
+        inner = np.flatnonzero(symbols >= self.first)
+        rule = symbols[inner].astype(np.int64) - self.first
+        size[inner], at[inner] = self.lengths[rule], where[rule]
+        ends = np.cumsum(size)
+        source = np.concatenate([flat, symbols.astype("<u4")])
+        return source[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
     def ids(self, start: int = 0, n: int | None = None) -> np.ndarray:
         """Ids start .. start + n: only the symbols that cover them are expanded."""
@@ -206,7 +221,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
         for pdf in batches:
             for raw, start in zip(pdf["payload"], pdf["start"]):
                 b = Block.parse(raw)
-                ids, cut = b.ids().tobytes(), [*b.offsets.tolist(), b.n_ids]
+                ids, cut = memoryview(b.ids().tobytes()), [*b.offsets.tolist(), b.n_ids]
                 yield pd.DataFrame({
                     "doc_id": pd.array([None if d == NULL_ID else d for d in b.doc_ids.tolist()], dtype="Int64"),
                     "start": b.offsets + int(start),
