@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from timeweave.llm.graph import components
 from timeweave.llm.toxicity import bounded_batches
 
 BASE = 0x100000001B3
-GROUPS, LEAF = 64, 8
+GROUPS, LEAF = 256, 8
 PIVOTS = 8
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -89,9 +90,16 @@ def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
     return out
 
 
-COUNTED = np.uint64(int(0.22 * 2**64))  # hashes under this are counted over the corpus and come first in the order
 SLOTS = 1 << 23
-LEVELS = (3, 6, 12, 25, 50, 150, 500)  # documents with a shingle, from which its rank goes up
+BUCKETS, PACKED = 16, 1_000_000  # buckets of keys for each partition of documents; keys that a task packs at a time
+LEVELS = tuple(3 << k for k in range(16))  # documents with a shingle, from which its rank goes up
+FULLEST = 0.25  # a level that would fill more of the slots tells shingles apart no longer and is left out
+
+
+def counted_below(num: int, den: int) -> np.uint64:
+    """Hashes under this are counted over the corpus and come first in the order: three times as many as a prefix takes,
+    so that it can leave out the frequent ones."""
+    return np.uint64(min(2**64 - 1, (3 * (den - num) << 64) // den))
 
 
 def slots_of(short: np.ndarray) -> np.ndarray:
@@ -105,39 +113,76 @@ def prefix(s: np.ndarray, ranks: np.ndarray, num: int, den: int) -> np.ndarray:
     if not n:
         return s
     k = n + (-num * n) // den + 1
-    cut = int(np.searchsorted(s, COUNTED))
+    cut = int(np.searchsorted(s, counted_below(num, den)))
     head = s[:cut]
     order = np.argsort(ranks[slots_of(head >> np.uint64(24))], kind="stable")
     return np.concatenate([head[order], s[cut:]])[:k]
 
 
-def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
-    """A table of fixed size with a frequency rank per slot: shingles of all documents whose hash is under COUNTED are
-    counted, and each slot takes the highest rank in it. What comes to the driver is SLOTS / 64 rows at most."""
+def packed_keys(docs: DataFrame, n: int, below: np.uint64, bits: int) -> DataFrame:
+    """(bucket, keys): the upper 40 bits of all counted shingles, once a document, sorted into 2^bits buckets by their upper
+    bits; the other bits of many keys are packed into one value of 32-bit numbers."""
+    low = np.uint64(40 - bits)
+
+    def packed(held: list[np.ndarray]) -> pd.DataFrame:
+        keys = np.sort(np.concatenate(held))
+        bucket = (keys >> low).astype(np.int32)
+        cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(keys)]
+        rest = (keys & ((np.uint64(1) << low) - np.uint64(1))).astype("<u4")
+        return pd.DataFrame({"bucket": bucket[cuts[:-1]], "keys": [rest[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in batches:
             texts = pdf["text"].tolist()
             for part in bounded_batches(texts):
-                sets = shingle_sets(texts[part], n)
-                kept = [(s[: int(np.searchsorted(s, COUNTED))] >> np.uint64(24)).astype(np.int64) for s in sets]
-                keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-                yield pd.DataFrame({"key": keys, "n": counts})
+                kept = [s[: int(np.searchsorted(s, below))] >> np.uint64(24) for s in shingle_sets(texts[part], n)]
+                held.append(np.concatenate(kept))
+                size += len(held[-1])
+                if size >= PACKED:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return docs.select("text").mapInPandas(run, "bucket int, keys binary")
+
+
+def frequency_ranks(docs: DataFrame, n: int, num: int, den: int) -> np.ndarray:
+    """A table of fixed size with a frequency rank per slot: the counted shingles of all documents are counted, and each
+    slot takes the highest rank in it. There are BUCKETS buckets of keys for every partition of docs, so a bucket's size
+    does not grow with the table. What comes to the driver is SLOTS / 64 rows at most."""
+    bits = max(8, (BUCKETS * docs.rdd.getNumPartitions() - 1).bit_length())
+    low = np.uint64(40 - bits)
+
+    def counted(bucket: int, held: list[bytes]) -> pd.DataFrame:
+        keys, times = np.unique(np.frombuffer(b"".join(held), "<u4"), return_counts=True)
+        often = times >= LEVELS[0]
+        slot = slots_of((np.uint64(bucket) << low) | keys[often].astype(np.uint64))
+        return pd.DataFrame({"word": slot // 64, "bit": np.int64(1) << (slot % 64), "n": times[often]})
 
-    counts = docs.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEVELS[0])
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
         for pdf in batches:
-            slot = slots_of(pdf["key"].to_numpy())
-            yield pd.DataFrame({"word": slot // 64, "bit": np.int64(1) << (slot % 64), "n": pdf["n"]})
-
-    bits = counts.mapInPandas(place, "word long, bit long, n long")
-    rows = bits.groupBy("word").agg(*[F.bit_or(F.when(F.col("n") >= level, F.col("bit")).otherwise(0)).alias(f"l{level}") for level in LEVELS]).toPandas()
+            for bucket, keys in zip(pdf["bucket"].tolist(), pdf["keys"]):
+                if bucket != now and held:
+                    yield counted(now, held)
+                    held = []
+                now = bucket
+                held.append(keys)
+        if held:
+            yield counted(now, held)
+
+    packed = packed_keys(docs, n, counted_below(num, den), bits)
+    bits_of = packed.repartition(shuffle_width(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInPandas(run, "word long, bit long, n long")
+    rows = bits_of.groupBy("word").agg(*[F.bit_or(F.when(F.col("n") >= level, F.col("bit")).otherwise(0)).alias(f"l{level}") for level in LEVELS]).toPandas()
     ranks = np.zeros(SLOTS, np.uint8)
     for level in LEVELS:
         words = np.zeros(SLOTS // 64, np.uint64)
         words[rows["word"].to_numpy()] = rows[f"l{level}"].to_numpy().view(np.uint64)
-        ranks += np.unpackbits(words.view(np.uint8), bitorder="little")
+        reached = np.unpackbits(words.view(np.uint8), bitorder="little")
+        if reached.mean() <= FULLEST:
+            ranks += reached
     return ranks
 
 
@@ -163,24 +208,38 @@ def chain_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Edges between documents that follow each other by size under one key, while sizes allow a link, with the number of
     such keys (an edge may come in several rows).
 
-    Keys are streamed in order, so a key of any number of documents needs the memory of one batch.
+    Rows are range-partitioned by key, size and id and streamed in order, so a key of any number of documents is dealt
+    to many tasks and needs the memory of one batch. Only the first and the last row of each task come to the driver,
+    where neighbouring tasks are linked.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        task, last = TaskContext.get().partitionId(), None
         for pdf in batches:
             if not len(pdf):
                 continue
             k, i, m = (pdf[c].to_numpy() for c in ("key", "id", "n"))
-            if last is not None:
+            if last is None:
+                yield pd.DataFrame({"x": i[:1], "keys": m[:1], "key": k[:1], "place": [2 * task]})
+            else:
                 k, i, m = np.r_[last[0], k], np.r_[last[1], i], np.r_[last[2], m]
             last = k[-1], i[-1], m[-1]
             near = (k[1:] == k[:-1]) & (m[:-1] * den >= m[1:] * num) & (i[1:] != i[:-1])
             pairs, keys = np.unique(np.stack([i[1:][near], i[:-1][near]], axis=1), axis=0, return_counts=True)
             yield pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1], "keys": keys})
+        if last is not None:
+            yield pd.DataFrame({"x": [last[1]], "keys": [last[2]], "key": [last[0]], "place": [2 * task + 1]})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in run(batches):
+            yield pdf.reindex(columns=["x", "y", "keys", "key", "place"]).astype("Int64")
 
     width = shuffle_width(rows.sparkSession)
-    return rows.repartition(width, "key").sortWithinPartitions("key", "n", "id").mapInPandas(run, "x long, y long, keys long")
+    ordered = rows.repartitionByRange(width, "key", "n", "id").sortWithinPartitions("key", "n", "id")
+    found = staged(ordered.mapInPandas(whole, "x long, y long, keys long, key long, place long"), "chains")
+    ends = found.where("place IS NOT NULL").orderBy("place").collect()
+    across = [(b["x"], a["x"], 1) for a, b in zip(ends, ends[1:]) if a["place"] // 2 != b["place"] // 2 and a["key"] == b["key"] and a["keys"] * den >= b["keys"] * num and a["x"] != b["x"]]
+    return found.where("place IS NULL").select("x", "y", "keys").unionByName(rows.sparkSession.createDataFrame(across, "x long, y long, keys long"))
 
 
 class CountTree:
@@ -188,7 +247,7 @@ class CountTree:
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets], np.int64)
-        points = np.stack([np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+        points = np.stack([np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32 if max(map(len, sets)) > 65535 else np.uint16)
         direction = np.random.default_rng(1).standard_normal(GROUPS)
         self.order = np.argsort(points @ direction / np.maximum(1, self.size), kind="stable")
         # A level holds, for each node: largest count per group, smallest and largest set size.
@@ -207,7 +266,7 @@ class CountTree:
             keep = []
             for s in range(0, len(a), 16384):
                 x, y = a[s : s + 16384], b[s : s + 16384]
-                bound = np.minimum(top[x], top[y]).sum(axis=1)
+                bound = np.minimum(top[x], top[y]).sum(axis=1, dtype=np.int64)
                 need = bound * (num + den) >= num * (low[x] + low[y])
                 keep.append(need & (high[x] * den >= low[y] * num) & (high[y] * den >= low[x] * num))
             keep = np.concatenate(keep) if keep else np.zeros(0, bool)
@@ -321,11 +380,11 @@ def near_texts(
     Frequency ranks only order the prefixes (frequent shingles last): results do not depend on them. The broadcast of members of cells is used up to broadcast_rows rows, beyond that the join shuffles.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = staged(signatures(base, n, num, den, frequency_ranks(base, n)), "signatures")
+    signed = staged(signatures(base, n, num, den, frequency_ranks(base, n, num, den)), "signatures")
     reps = staged(signed.where("id is not null and n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("rep")), "sets")
     # A set's first document carries its prefix; copies are left out here.
     keyed = signed.join(reps.select(F.col("rep").alias("id"), "a", "b", "n"), ["id", "a", "b", "n"], "left_semi")
-    edges = staged(chain_edges(keyed.select(F.explode("keys").alias("key"), "id", "n"), num, den), "chains")
+    edges = chain_edges(keyed.select(F.explode("keys").alias("key"), "id", "n"), num, den)
     shared = edges.select(F.explode(F.array("x", "y")).alias("id"), "keys").groupBy("id").agg(F.sum("keys").alias("k"))
     cells = components(edges, "x", "y").join(shared, "id").join(keyed.select("id", "n"), "id")
     cells = staged(cells.select("id", F.col("component").alias("cell"), (F.col("k") / F.col("n")).alias("shared")).dropDuplicates(["id"]), "cells")
