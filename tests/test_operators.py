@@ -104,11 +104,158 @@ def test_alignment_compounds_and_tail():
     assert refine.align_words(["Twenty-seven dogs.", "Run home!"], ["um", "twenty", "seven", "dogs", "run", "home", "now"]) == [None, 0, 0, 0, 1, 1, 1]
 
 
-def test_split_group_by_pause_connective_gap():
-    w = lambda i, t, s, e: {"word_idx": i, "word": t, "start_ms": s, "end_ms": e}
-    words = [w(0, "one,", 0, 3000), w(1, "two", 3000, 12000), w(2, "and", 12000, 20000), w(3, "end", 20000, 21000)]
-    assert [[r["word_idx"] for r in p] for p in refine.split_group(words, 15000)] == [[0], [1], [2, 3]]
-    assert refine.split_group(words[:1], 15000) == [words[:1]]
+def brute_align(sentences, words):
+    """The rule read word by word: look at each of the next four places in turn, one word before two."""
+    plain = ["".join(c for c in w if c.isalnum()).lower() for w in words]
+    out, at, last = [None] * len(words), 0, None
+    for k, sentence in enumerate(sentences):
+        free, seen = at, []
+        for token in sentence.split():
+            token = "".join(c for c in token if c.isalnum()).lower()
+            for i in range(free, free + 4) if token else ():
+                n = 1 if plain[i : i + 1] == [token] else 2 if i + 1 < len(plain) and plain[i] + plain[i + 1] == token else 0
+                if n:
+                    seen += range(i, i + n)
+                    free = i + n
+                    break
+        if seen:
+            out[seen[0] : seen[-1] + 1] = [k] * (seen[-1] + 1 - seen[0])
+            at, last = seen[-1] + 1, k
+    return out if last is None else out[:at] + [last] * (len(words) - at)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "twenty", "seven", "x", "-"]), max_size=14), st.lists(st.lists(st.sampled_from(["a", "b", "twentyseven", "x.", "ab"]), max_size=5).map(" ".join), max_size=4))
+def test_alignment_is_the_sequential_rule(words, sentences):
+    assert refine.align_words(sentences, words) == brute_align(sentences, words)
+
+
+def test_split_long_by_pause_connective_gap(spark):
+    w = "chunk_id long, word_idx long, word string, start_ms long, end_ms long, g long"
+    words = spark.createDataFrame([(1, 0, "one,", 0, 3000, 0), (1, 1, "two", 3000, 12000, 0), (1, 2, "and", 12000, 20000, 0), (1, 3, "end", 20000, 21000, 0), (1, 4, "x,", 21000, 21500, 1), (1, 5, "y", 21500, 22000, 1)], w)
+    assert [r[2] for r in rows(refine.split_long(words, "g"), "word_idx")] == [0, 1, 2, 2, 3, 3]
+    gaps = spark.createDataFrame([(1, i, "w", 6000 * i, 6000 * i + 5000, 0) for i in range(4)], w)
+    assert [r[2] for r in rows(refine.split_long(gaps, "g"), "word_idx")] == [0, 1, 2, 3]
+    assert refine.split_long(words.limit(0), "g").count() == 0
+
+
+def test_chains_of_labels_become_one(spark):
+    names = [f"S{i:02d}" for i in range(50)]
+    labels = spark.createDataFrame([(c, s) for c in (1, 2) for s in names], "chunk_id long, speaker string")
+    pairs = [(1, a, b) for a, b in zip(names, names[1:])]
+    random.Random(3).shuffle(pairs)
+    got = rows(speakers.canonical_labels(labels, spark.createDataFrame([*pairs, (2, "S03", "S01"), (2, "S01", "other")], "chunk_id long, a string, b string")))
+    assert {r[2] for r in got if r[0] == 1} == {"S00"} and {r[1]: r[2] for r in got if r[0] == 2}["S03"] == "S01" and len(got) == 100
+
+
+def brute_faces(faces, least):
+    """Frame by frame: the held face, the candidate, where it began and for how many frames it has been seen."""
+    out, held, since, cand, begun, n = [], None, 0, None, None, 0
+    for frame, f in enumerate(faces):
+        if f is None:
+            continue
+        if f == held:
+            n = 0
+            continue
+        if f == cand:
+            n += 1
+        else:
+            cand, begun, n = f, frame, 1
+        if n >= least:
+            if held is not None and begun - since >= least:
+                out.append((1, begun, f))
+                since = begun
+            held, cand, n = f, None, 0
+    return out
+
+
+def test_face_changes_are_the_sequential_rule(spark):
+    r = random.Random(11)
+    for least in (2, 3):
+        for _ in range(6):
+            faces, at = [], 0
+            for _ in range(r.randrange(1, 30)):
+                faces += [r.choice([None, 1, 2, 3])] * r.choice([1, 1, 2, 3, 5])
+            df = spark.createDataFrame([(1, i, f) for i, f in enumerate(faces)], "chunk_id long, frame long, track long")
+            assert rows(sequences.face_changes(df, 10, 100 * least), "frame") == brute_faces(faces, least), faces
+
+
+def test_smooth_runs_is_the_sequential_rule(spark):
+    r = random.Random(12)
+    for n in (0, 1, 3, 4, 9, 30):
+        said = [r.choice("AB") for _ in range(n)]
+        runs = []
+        for s in said:
+            runs = [*runs[:-1], [s, runs[-1][1] + 1]] if runs and runs[-1][0] == s else [*runs, [s, 1]]
+        if n >= 4:
+            for i, (_, size) in enumerate(runs):
+                if size < 2:
+                    runs[i][0] = runs[i - 1][0] if i else runs[min(1, len(runs) - 1)][0]
+        df = spark.createDataFrame([(1, i, s) for i, s in enumerate(said)], "chunk_id long, i long, speaker string")
+        assert [x[2] for x in rows(sequences.smooth_runs(df, "i"), "i")] == [s for s, size in runs for _ in range(size)]
+
+
+def test_absorbed_outliers(spark):
+    t = [(1, 0, "SPEAKER_00", 0, 1000), (1, 1, "SPEAKER_95", 1300, 1500), (1, 2, "SPEAKER_96", 1600, 1900), (1, 3, "SPEAKER_01", 1950, 3000), (1, 4, "SPEAKER_99", 2900, 3100), (1, 5, "SPEAKER_97", 5000, 9000), (2, 0, "SPEAKER_95", 0, 10)]
+    df = spark.createDataFrame(t, "chunk_id long, segment_id long, speaker string, start_ms long, end_ms long")
+    got = [r[2] for r in rows(sequences.absorb_outliers(df), "chunk_id", "segment_id")]
+    assert got == ["SPEAKER_00", "SPEAKER_00", "SPEAKER_01", "SPEAKER_01", "SPEAKER_01", "SPEAKER_97", "SPEAKER_95"]
+    # The gap to the one before is -800 ms, to the next 700 ms: the distance counts without its sign.
+    deep = spark.createDataFrame([(1, 0, "SPEAKER_00", 0, 2000), (1, 1, "SPEAKER_95", 1200, 1500), (1, 2, "SPEAKER_01", 2200, 3000)], df.schema)
+    assert rows(sequences.absorb_outliers(deep), "segment_id")[1][2] == "SPEAKER_01"
+
+
+def test_silence_cuts_take_whole_silences(spark):
+    speech = spark.createDataFrame([(1, 0, 0, 56000), (1, 1, 57000, 59000), (1, 2, 59600, 64000), (1, 3, 69000, 118000), (1, 4, 119500, 121000)], "chunk_id long, speech_idx long, start_ms long, end_ms long")
+    # The five second silence from 64 s ends beyond the slack; the next target is 116.5 s.
+    assert [r[2] for r in rows(sequences.silence_cuts(speech), "cut_idx")] == [56500, 118750]
+    assert [r[2] for r in rows(sequences.silence_cuts(speech, tail_ms=2000), "cut_idx")] == [56500, 116500]
+
+
+def test_trim_short(spark):
+    s = spark.createDataFrame([(1, 0, 0, 9000), (1, 1, 9000, 12000), (1, 2, 20000, 30000), (1, 3, 30000, 40000)], "chunk_id long, segment_id long, start_ms long, end_ms long")
+    w = spark.createDataFrame([(1, 0, 3000, 3400), (1, 0, 4500, 4700), (1, 1, 9100, 9200), (1, 2, 20100, 20300), (1, 2, 29900, 29990)], "chunk_id long, turn long, start_ms long, end_ms long")
+    assert [r[2:] for r in rows(sequences.trim_short(s, w), "segment_id")] == [(2800, 4900), (9000, 12000), (20000, 30000), (30000, 40000)]
+
+
+def test_contaminated_by_level(spark):
+    w = spark.createDataFrame([(1, 0, 0, 500), (1, 1, 600, 900), (1, 2, 1000, 1300)], "chunk_id long, word_idx long, start_ms long, end_ms long")
+    levels = spark.createDataFrame([(1, 0, 0.2), (1, 1, 0.004)], "chunk_id long, word_idx long, rms double")
+    assert [r[4] for r in rows(sequences.contaminated(w, levels), "word_idx")] == [False, True, True]
+
+
+def test_split_by_speaker_smooths_inside_groups(spark):
+    said = [(0, "A"), (0, "B"), (0, "A"), (0, "B"), (0, "B"), (1, "B"), (1, "A"), (1, "A")]
+    df = spark.createDataFrame([(1, i, g, s) for i, (g, s) in enumerate(said)], "chunk_id long, word_idx long, g long, speaker string")
+    assert [r[2:] for r in rows(sequences.split_by_speaker(df, "g"), "word_idx")] == [("A", 0), ("A", 0), ("A", 0), ("B", 1), ("B", 1), ("B", 2), ("A", 3), ("A", 3)]
+
+
+def test_snap_and_nearest_label_ties(spark):
+    words = spark.createDataFrame([(1, 0, 100, 200), (1, 1, 300, 400)], "chunk_id long, word_idx long, start_ms long, end_ms long")
+    points = spark.createDataFrame([(1, 0, 250), (1, 1, 0), (1, 2, 999), (2, 0, 7), (1, 3, 300)], "chunk_id long, point_idx long, t_ms long")
+    assert rows(joins.snap(points, words), "chunk_id", "point_idx") == [(1, 0, 200), (1, 1, 100), (1, 2, 400), (1, 3, 300), (2, 0, 7)]
+    asked = spark.createDataFrame([(1, 5, 250), (1, 6, 301), (2, 7, 0)], "chunk_id long, turn_idx long, start_ms long")
+    known = spark.createDataFrame([(1, 2, 200, "B"), (1, 1, 300, "A")], "chunk_id long, turn_idx long, start_ms long, speaker string")
+    assert rows(joins.nearest_label(asked, known, "start_ms", "turn_idx"), "turn_idx") == [(1, 5, 250, "A"), (1, 6, 301, "A")]
+
+
+def test_sliding_split_is_undone_without_words(spark):
+    from timeweave.plans.live import sliding_split
+
+    seg = spark.createDataFrame([(1, 0, "A", 0, 4000), (1, 1, "B", 5000, 9000)], "chunk_id long, segment_id long, speaker string, start_ms long, end_ms long")
+    windows = spark.createDataFrame([(1, g, 5000 * g + 200 * i, "A" if i < 10 else "C") for g in (0, 1) for i in range(18)], "chunk_id long, segment_id long, t_ms long, speaker string")
+    words = spark.createDataFrame([(1, 0, "one", 100, 1900), (1, 1, "two", 2050, 3900), (1, 2, "three", 5100, 5900)], "chunk_id long, word_idx long, word string, start_ms long, end_ms long")
+    got = [tuple(r)[1:] for r in sliding_split(seg, windows, words).orderBy("segment_id", "part").collect()]
+    assert [(g[0], g[1], g[4], g[5]) for g in got] == [(0, 0, "A", "one"), (0, 1, "C", "two"), (1, 0, "A", "three")]
+
+
+def test_split_segments_at_snapped_cuts(spark):
+    seg = spark.createDataFrame([(1, 0, "A", 0, 4000)], "chunk_id long, segment_id long, speaker string, start_ms long, end_ms long")
+    words = spark.createDataFrame([(1, 0, "one", 100, 1900), (1, 1, "two", 2050, 3900)], "chunk_id long, word_idx long, word string, start_ms long, end_ms long")
+    cut = lambda *t: spark.createDataFrame([(1, 0, x) for x in t], "chunk_id long, segment_id long, cut_ms long")
+    got = lambda c: [tuple(r)[2:5] + (r["text"],) for r in refine.split_segments(seg, c, words).orderBy("part").collect()]
+    assert got(cut(1950)) == [(0, 0, 1900, "one"), (1, 1900, 4000, "two")]
+    assert got(cut(50)) == [(0, 0, 4000, "one two")] and got(cut(3950)) == [(0, 0, 4000, "one two")]
 
 
 def test_pieces_keep_short_parts_whole():
@@ -116,9 +263,10 @@ def test_pieces_keep_short_parts_whole():
     assert refine.pieces_of(0, 2000, [(900, "B")], [800, 1000], 500, "A") == [(0, 800, "A"), (800, 2000, "B")]
 
 
-def test_fields_of_answers():
-    got = dict(refine.fields_of("[0] korean: 안녕\n\n[1]\nKorean: one\ntwo\n\nlost\nemotion：Sad\n[2]\n\n(3)\ntone: x"))
-    assert got == {0: {"korean": "안녕"}, 1: {"korean": "one two", "emotion": "Sad"}, 3: {"tone": "x"}}
+def test_fields_of_answers(spark):
+    answers = spark.createDataFrame([(1, "lost\n[0] korean: 안녕\n\n[1]\nKorean: one\ntwo\n\nlost\nemotion：Sad\n[2]\n\n(3)\ntone: x"), (2, "[4] plain\nmore\n[5] no entry\n4.\nTone: y"), (3, ""), (4, None)], "batch_id long, response string")
+    got = {(r[0], r[1]): r[2:] for r in rows(refine.parse_fields(answers))}
+    assert got == {(1, 0): ("안녕", None, None, None), (1, 1): ("one two", None, "Sad", None), (1, 3): (None, None, None, "x"), (2, 4): (None, None, None, "y")}
 
 
 def test_relabel_outliers_knows_new_voices(spark):
@@ -165,7 +313,7 @@ def test_content_hash(spark, tmp_path):
 
     body = bytes(range(256)) * 8192
     (tmp_path / "x.bin").write_bytes(body)
-    df = spark.read.format("binaryFile").load(str(tmp_path / "x.bin"))
+    df = files.media_inventory(spark, str(tmp_path))
     assert files.content_hash(df).first()[1] == hashlib.md5(body[: 1 << 20] + body[-(1 << 20) :] + str(len(body)).encode()).hexdigest()[:16]
 
 
@@ -189,7 +337,7 @@ def test_late_words_are_dropped(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     out, names = [], []
-    stream = monitor.utterances(spark.readStream.schema(schema).parquet(str(source)))
+    stream = monitor.silent_utterances(spark.readStream.schema(schema).parquet(str(source)))
     query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, _: out.extend(map(tuple, df.select("n", "first_word").collect()))).start()
     for n in range(3):
         for part in (tmp_path / f"b{n}").glob("*.parquet"):
@@ -201,6 +349,32 @@ def test_late_words_are_dropped(spark, tmp_path):
     assert (2, 0) in out and dropped >= 1
 
 
+def test_utterances_close_by_timer_and_length(spark, tmp_path):
+    at = lambda ms: datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=ms)
+    schema = "chunk_id long, word_idx long, start_ms long, end_ms long, ts timestamp"
+    batches = [[(1, 0, 0, 900), (1, 1, 1000, 8000), (1, 2, 8100, 15500)], [(1, 3, 15600, 16000)], [(2, 0, 60000, 60100)], [(2, 1, 61000, 61100)]]
+    source = tmp_path / "in"
+    source.mkdir()
+    out = []
+    stream = monitor.utterances(spark.readStream.schema(schema).parquet(str(source)))
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).start()
+    for n, b in enumerate(batches):
+        spark.createDataFrame([(*x, at(x[2])) for x in b], schema).coalesce(1).write.parquet(str(tmp_path / f"b{n}"))
+        for part in (tmp_path / f"b{n}").glob("*.parquet"):
+            part.rename(source / f"{n}-{part.name}")
+        query.processAllAvailable()
+    query.stop()
+    closed = [r for r in out if not r[-1]]
+    assert (1, 0, 3, 0, 2, False) in closed and (1, 15600, 1, 3, 3, False) in closed and not any(r[0] == 2 for r in closed)
+
+
+def test_diverging_logs(spark):
+    x = spark.createDataFrame([("a", i, 90 + i, 0.5 if i < 5 else 2.0, 100, 100) for i in range(30)], "log string, seq long, step long, loss double, used long, free long")
+    got = replay(x, monitor.alert_stream, "append").orderBy("seq").collect()
+    losses = [0.5 if i < 5 else 2.0 for i in range(30)]
+    assert [r["diverging"] for r in got] == [90 + i > 100 and sum(losses[: i + 1]) / (i + 1) > 1 for i in range(30)]
+
+
 def test_resent_results_once(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "content string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     assert replay(df, monitor.drop_resent, "append").count() == 2

@@ -22,10 +22,12 @@ def parse_step(line: Column) -> Column:
     return F.when(line.rlike(STEP), F.struct(part(1).cast("long").alias("step"), part(2).cast("long").alias("total"), speed.alias("speed"), part(5).cast("double").alias("loss")))
 
 
-def is_crash(line: Column) -> Column:
+def is_crash(line: Column, age_s: Column | None = None) -> Column:
+    """A fault that is none of the benign ones; with the log's age, none while it was written within five minutes."""
     low = F.lower(line)
     benign = ["fp16", "dtype", "onnxruntime", "providerlibrary", "cublaslt", "tryget"]
-    return line.rlike("RuntimeError|FAILED") & ~low.rlike("|".join(benign))
+    found = line.rlike("RuntimeError|FAILED") & ~low.rlike("|".join(benign))
+    return found if age_s is None else found & (age_s >= 300)
 
 
 def ratio_string(text: Column) -> Column:

@@ -50,6 +50,13 @@ def prompt_line(index: Column, dur_s: Column, emotion: Column, text: Column) ->
     return F.format_string("[%d] (duration: %.1fs, target: %d~%d syllables) %s", index, F.greatest(F.lit(0.3), dur_s), t["low"], t["high"], text)
 
 
+def described_line(index: Column, dur_s: Column, emotion: Column, score: Column, speaker: Column, text: Column) -> Column:
+    """The line with the recogniser's emotion and the speaker in it."""
+    t = syllable_target(dur_s, emotion)
+    shown = F.greatest(F.lit(0.3), dur_s)
+    return F.format_string("[%d] (duration: %.1fs, target: %d~%d syllables, emotion2vec_hint: %s %.2f, speaker: %s) %s", index, shown, t["low"], t["high"], emotion, F.coalesce(score, F.lit(0.0)), speaker, text)
+
+
 def effective_rate(lang: Column, emotion: Column, description: Column) -> Column:
     return lookup(SPEECH_RATE, lang, 5.5) * lookup(PREDICT_FACTOR, emotion, 1.0) * desc_rate(description)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 BUCKET_MS = 5000
 
@@ -20,22 +21,33 @@ def range_join(left: DataFrame, right: DataFrame, key: str = "chunk_id", bucket_
     return both.where((ls <= re) & (rs <= le) & (F.col("b") == F.floor(F.greatest(ls, rs) / bucket_ms))).select("l", "r")
 
 
+def _both_ways(time: str):
+    """Frames of a chunk's rows up to each row's time, and, running backwards, from it on; rows of one time see each other."""
+    return tuple(W.partitionBy("chunk_id").orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (F.asc(time), F.desc(time)))
+
+
 def speaker_at(points: DataFrame, turns: DataFrame, fallback: str = "nearest") -> DataFrame:
     """Speaker of each (chunk_id, point_idx, t_ms): the first turn that holds it; else the nearest, the earliest on a tie.
 
-    Only points that no turn holds are compared with all turns of their chunk. A chunk without turns gives SPEAKER_00;
-    with fallback="unk" every miss gives SPEAKER_UNK.
+    A point that no turn holds lies after the ends of some turns and before the starts of the others: the nearest is
+    the one whose end was the last before it or whose start is the next after it, found by sorting points and turn
+    ends together. A chunk without turns gives SPEAKER_00; with fallback="unk" every miss gives SPEAKER_UNK.
     """
     p = points.select("chunk_id", "point_idx", "t_ms", F.col("t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"))
     t = turns.select("chunk_id", "turn_idx", "speaker", "start_ms", "end_ms")
     hits = range_join(p, t).groupBy(F.col("l.chunk_id").alias("chunk_id"), F.col("l.point_idx").alias("point_idx")).agg(F.min_by("r.speaker", "r.turn_idx").alias("speaker"))
-    found = points.join(hits, ["chunk_id", "point_idx"], "left")
     if fallback == "unk":
-        return found.select("chunk_id", "point_idx", F.coalesce("speaker", F.lit("SPEAKER_UNK")).alias("speaker"))
-    missed = found.where("speaker is null").select("chunk_id", "point_idx", "t_ms")
-    away = F.greatest(F.col("start_ms") - F.col("t_ms"), F.col("t_ms") - F.col("end_ms"))
-    near = missed.join(t, "chunk_id").groupBy("chunk_id", "point_idx").agg(F.min_by("speaker", F.struct(away.alias("d"), "turn_idx")).alias("near"))
-    return found.join(near, ["chunk_id", "point_idx"], "left").select("chunk_id", "point_idx", F.coalesce("speaker", "near", F.lit("SPEAKER_00")).alias("speaker"))
+        return points.join(hits, ["chunk_id", "point_idx"], "left").select("chunk_id", "point_idx", F.coalesce("speaker", F.lit("SPEAKER_UNK")).alias("speaker"))
+    mark = lambda time, side: t.groupBy("chunk_id", F.col(time).alias("t_ms")).agg(F.min(F.struct("turn_idx", "speaker")).alias("turn")).select("chunk_id", "t_ms", F.lit(None).cast("long").alias("point_idx"), F.when(F.lit(side == "left"), F.struct("t_ms", "turn")).alias("left"), F.when(F.lit(side == "right"), F.struct("t_ms", "turn")).alias("right"))
+    marks = mark("end_ms", "left").unionByName(mark("start_ms", "right"))
+    asked = points.select("chunk_id", "t_ms", "point_idx", F.lit(None).cast(marks.schema["left"].dataType).alias("left"), F.lit(None).cast(marks.schema["left"].dataType).alias("right"))
+    w, back = _both_ways("t_ms")
+    x = marks.unionByName(asked).withColumn("before", F.last("left", ignorenulls=True).over(w))
+    x = x.withColumn("after", F.last("right", ignorenulls=True).over(back)).where("point_idx IS NOT NULL")
+    far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.t_ms") - F.col("t_ms")).alias("d"), F.col(f"{side}.turn").alias("turn")))
+    best = F.least(F.coalesce(far("before"), far("after")), F.coalesce(far("after"), far("before")))
+    near = x.select("chunk_id", "point_idx", best["turn"]["speaker"].alias("near"))
+    return near.join(hits, ["chunk_id", "point_idx"], "left").select("chunk_id", "point_idx", F.coalesce("speaker", "near", F.lit("SPEAKER_00")).alias("speaker"))
 
 
 def contained(inner: DataFrame, outer: DataFrame, slack_ms: int = 0) -> DataFrame:
@@ -58,20 +70,45 @@ def uncovered(speech: DataFrame, segments: DataFrame, min_frac: float = 0.5) ->
     return speech.join(covered, ["chunk_id", "speech_idx"], "left_anti")
 
 
-def rasterise(turns: DataFrame, fps: int) -> DataFrame:
-    """Frames that turns cover, with the speaker of the last listed turn."""
+def rasterise(turns: DataFrame, fps: int, chunks: DataFrame | None = None) -> DataFrame:
+    """Frames that turns cover, with the speaker of the last listed turn. With chunks (chunk_id, n_frames), every frame of
+    each chunk and no other: silent ones have a null speaker."""
     frames = F.sequence(F.floor(F.col("start_ms") * fps / 1000), F.floor(F.col("end_ms") * fps / 1000))
-    return turns.select("chunk_id", "turn_idx", "speaker", F.explode(frames).alias("frame")).groupBy("chunk_id", "frame").agg(F.max_by("speaker", "turn_idx").alias("speaker"))
+    said = turns.select("chunk_id", "turn_idx", "speaker", F.explode(frames).alias("frame")).groupBy("chunk_id", "frame").agg(F.max_by("speaker", "turn_idx").alias("speaker"))
+    return said if chunks is None else frame_spine(chunks).join(said, ["chunk_id", "frame"], "left")
 
 
-def snap(points: DataFrame, words: DataFrame) -> DataFrame:
-    """Closest word boundary of each point, the first on a tie; itself in a chunk without words."""
-    edges = words.select("chunk_id", F.explode(F.array(F.struct((F.col("word_idx") * 2).alias("i"), F.col("start_ms").alias("at")), F.struct((F.col("word_idx") * 2 + 1).alias("i"), F.col("end_ms").alias("at")))).alias("e"))
-    near = points.join(edges, "chunk_id", "left").groupBy("chunk_id", "point_idx", "t_ms").agg(F.min_by("e.at", F.struct(F.abs(F.col("e.at") - F.col("t_ms")), "e.i")).alias("at"))
-    return near.select("chunk_id", "point_idx", F.coalesce("at", "t_ms").alias("t_ms"))
+def frame_spine(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, frame): every frame of chunks (chunk_id, n_frames)."""
+    return chunks.where("n_frames > 0").select("chunk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames") - 1)).alias("frame"))
 
 
-def nearest_label(rows: DataFrame, labelled: DataFrame, distance: Column, order: str) -> DataFrame:
-    """Label of the labelled row at the least distance, ties by order: columns of labelled are prefixed with o_."""
-    other = labelled.select(*[F.col(c).alias(c if c == "chunk_id" else f"o_{c}") for c in labelled.columns])
-    return rows.join(other, "chunk_id").groupBy(*rows.columns).agg(F.min_by("o_speaker", F.struct(distance, f"o_{order}")).alias("label"))
+def snap(points: DataFrame, words: DataFrame) -> DataFrame:
+    """Closest word boundary of each point, the first on a tie; itself in a chunk without words.
+
+    Points and boundaries are sorted together: the closest boundary is the last one before the point or the next one
+    after it, so no point meets all boundaries of its chunk.
+    """
+    edge = F.explode(F.array(F.struct((F.col("word_idx") * 2).alias("i"), F.col("start_ms").alias("at")), F.struct((F.col("word_idx") * 2 + 1).alias("i"), F.col("end_ms").alias("at"))))
+    edges = words.select("chunk_id", edge.alias("e")).groupBy("chunk_id", F.col("e.at").alias("t_ms")).agg(F.min("e.i").alias("i"))
+    both = edges.select("chunk_id", "t_ms", F.lit(None).cast("long").alias("point_idx"), F.struct(F.col("t_ms").alias("at"), "i").alias("e"))
+    both = both.unionByName(points.select("chunk_id", "t_ms", "point_idx", F.lit(None).cast("struct<at:bigint,i:bigint>").alias("e")))
+    w, back = _both_ways("t_ms")
+    x = both.withColumn("left", F.last("e", ignorenulls=True).over(w)).withColumn("right", F.last("e", ignorenulls=True).over(back))
+    far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.at") - F.col("t_ms")).alias("d"), F.col(f"{side}.i").alias("i"), F.col(f"{side}.at").alias("at")))
+    best = F.least(F.coalesce(far("left"), far("right")), F.coalesce(far("right"), far("left")))
+    return x.where("point_idx IS NOT NULL").select("chunk_id", "point_idx", F.coalesce(best["at"], F.col("t_ms")).alias("t_ms"))
+
+
+def nearest_label(rows: DataFrame, labelled: DataFrame, at: str, order: str) -> DataFrame:
+    """rows with the label of the labelled row (chunk_id, `order`, `at`, speaker) closest in `at`, the smaller `order` on a
+    tie; chunks without a labelled row are left out. Found among the last one before and the next one after."""
+    known = labelled.groupBy("chunk_id", at).agg(F.min_by(F.struct(F.col(order).alias("i"), "speaker"), order).alias("e"))
+    known = known.select("chunk_id", at, F.struct(F.col(at).alias("at"), F.col("e.i").alias("i"), F.col("e.speaker").alias("speaker")).alias("e"), F.lit(None).cast(rows.select(F.struct(*rows.columns)).schema[0].dataType).alias("r"))
+    asked = rows.select("chunk_id", at, F.lit(None).cast(known.schema["e"].dataType).alias("e"), F.struct(*rows.columns).alias("r"))
+    w, back = _both_ways(at)
+    x = known.unionByName(asked).withColumn("left", F.last("e", ignorenulls=True).over(w))
+    x = x.withColumn("right", F.last("e", ignorenulls=True).over(back)).where("r IS NOT NULL")
+    far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.at") - F.col(at)).alias("d"), F.col(f"{side}.i").alias("i"), F.col(f"{side}.speaker").alias("label")))
+    best = F.least(F.coalesce(far("left"), far("right")), F.coalesce(far("right"), far("left")))
+    return x.withColumn("label", best["label"]).where("label IS NOT NULL").select("r.*", "label")

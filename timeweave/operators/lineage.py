@@ -1,4 +1,4 @@
-"""Lineage cuts for iterative operators."""
+"""Paths in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder that spark.checkpoint.dir names; into one of our own only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share."""
+    """A fresh path in the folder that spark.checkpoint.dir names. A local session may do without that setting and gets a
+    temporary folder; on a cluster its executors could not see one, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         root = _own[0]
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: several uses read it instead of computing it again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

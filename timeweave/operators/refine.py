@@ -1,55 +1,76 @@
 """Refinement of segments: sentence alignment, long splits, splits at cuts, outlier labels and answer parsing.
 
-All are folds over one chunk: a row's fate depends on what was decided before it. Two tables of a chunk meet by
-cogroup, so nothing leaves the executors.
+Where a row's fate depends on what was decided before it, a small function walks over one chunk. Two tables of a chunk
+meet by cogroup, so nothing leaves the executors.
 """
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from timeweave.operators.sequences import fold
 
-# Fixed values.
+# Pause marks, connectives, names of answer fields, and the forms of an answer's lines.
 PAUSES = (",", ";", ":", "，", "；", "：", "、")
 CONNECTIVES = {"and", "but", "so", "because", "however", "although", "while", "when", "if", "then", "also"}
 FIELDS = ("korean", "context", "emotion", "tone")
+NUMBERED_LINE = r"^\s*[\[\(]?(\d+)[\]\)]?\s*[\.\:\)]?\s+(.*)$"
+BARE_NUMBER = r"^\s*[\[\(]?(\d+)[\]\)]?\s*[\.\:\)]?$"
+FIELD_LINE = r"(?i)^\s*(korean|context|emotion|tone)\s*[:：]\s*(.*)$"
 
 
-def _norm(token: str) -> str:
-    return "".join(c.lower() for c in token if c.isalnum())
+def _plain(token: str) -> str:
+    return "".join(filter(str.isalnum, token)).lower()
+
+
+class WordPlaces:
+    """Where each string stands in a chunk's words, alone or as two words run together."""
+
+    def __init__(self, words: list[str], reach: int = 4):
+        plain, self.reach = [_plain(w) for w in words], reach
+        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for i, w in enumerate(plain):
+            self.places[w].append((i, i + 1))
+            if i + 1 < len(plain):
+                self.places[w + plain[i + 1]].append((i, i + 2))
+
+    def after(self, token: str, at: int) -> tuple[int, int] | None:
+        """The first place (start, end) of token among the next `reach` words."""
+        listed = self.places.get(token, [])
+        k = bisect_left(listed, (at, 0))
+        return listed[k] if k < len(listed) and listed[k][0] < at + self.reach else None
 
 
 def align_words(sentences: list[str], words: list[str]) -> list[int | None]:
     """Sentence number of each word.
 
-    A token matches one of the next four words, or two of them run together; a sentence takes all words between its
-    first and last match. Unmatched tokens are passed over. Words left at the end go to the last sentence; words
-    before a sentence's first match go to none.
+    Every token of a sentence is looked up among the next four words; tokens that are not there are passed over. A
+    sentence takes all words from its first to its last match. Words left at the end go to the last sentence that took
+    any; words before a sentence's first match go to none.
     """
-    plain, out, cursor, last = [_norm(w) for w in words], [None] * len(words), 0, None
+    places, spans, at = WordPlaces(words), [], 0
     for k, sentence in enumerate(sentences):
-        at, hits = cursor, []
-        for token in filter(None, map(_norm, sentence.split())):
-            for i in range(at, min(at + 4, len(plain))):
-                if plain[i] == token:
-                    hits.append(i)
-                elif i + 1 < len(plain) and plain[i] + plain[i + 1] == token:
-                    hits += [i, i + 1]
-                else:
-                    continue
-                at = hits[-1] + 1
-                break
-        if hits:
-            out[min(hits) : max(hits) + 1] = [k] * (max(hits) - min(hits) + 1)
-            cursor, last = max(hits) + 1, k
-    if last is not None:
-        out[cursor:] = [last] * (len(words) - cursor)
+        met, free = [], at
+        for token in filter(None, map(_plain, sentence.split())):
+            place = places.after(token, free)
+            if place:
+                met.append(place)
+                free = place[1]
+        if met:
+            spans.append((met[0][0], free, k))
+            at = free
+    out: list[int | None] = [None] * len(words)
+    for lo, hi, k in spans:
+        out[lo:hi] = [k] * (hi - lo)
+    if spans:
+        out[at:] = [spans[-1][2]] * (len(words) - at)
     return out
 
 
@@ -64,46 +85,40 @@ def align_sentences(sentences: DataFrame, words: DataFrame) -> DataFrame:
     return sentences.groupBy("chunk_id").cogroup(words.select("chunk_id", "word_idx", "word").groupBy("chunk_id")).applyInPandas(run, "chunk_id long, word_idx long, sentence long")
 
 
-def split_group(rows: list[dict], most_ms: int, least_ms: int = 2000, gap_ms: int = 300) -> list[list[dict]]:
-    """Pieces of one group of words: after pauses, then before connectives, then at gaps, each while a piece is long."""
-    length = lambda p: p[-1]["end_ms"] - p[0]["start_ms"]
-    if length(rows) <= most_ms:
-        return [rows]
-
-    def cut(pieces: list[list[dict]], breaks) -> list[list[dict]]:
-        out = []
-        for piece in pieces:
-            if length(piece) <= most_ms:
-                out.append(piece)
-                continue
-            now: list[dict] = []
-            for r in piece:
-                if now and breaks(now, r):
-                    out.append(now)
-                    now = []
-                now.append(r)
-            out.append(now)
-        return out
-
-    pieces = cut([rows], lambda now, r: now[-1]["word"].rstrip().endswith(PAUSES))
-    pieces = cut(pieces, lambda now, r: r["word"].lower().strip(".,?!") in CONNECTIVES and length(now) >= least_ms)
-    return cut(pieces, lambda now, r: r["start_ms"] - now[-1]["end_ms"] > gap_ms and length(now) >= least_ms)
-
-
-def split_long(words: DataFrame, group: str, most_ms: int = 15000) -> DataFrame:
-    """(chunk_id, word_idx, piece): groups of consecutive words cut while they are longer than most_ms."""
-
-    def step(rows: list[dict]) -> list[dict]:
-        groups: list[list[dict]] = []
-        for r in rows:
-            if groups and groups[-1][-1]["g"] == r["g"]:
-                groups[-1].append(r)
-            else:
-                groups.append([r])
-        pieces = [p for g in groups for p in split_group(g, most_ms)]
-        return [{"chunk_id": r["chunk_id"], "word_idx": r["word_idx"], "piece": k} for k, p in enumerate(pieces) for r in p]
-
-    return fold(words.select("chunk_id", "word_idx", "word", "start_ms", "end_ms", F.col(group).alias("g")), ["word_idx"], step, "chunk_id long, word_idx long, piece long")
+def greedy_cuts(heads: list[int], flags: np.ndarray, start: np.ndarray, end: np.ndarray, most_ms: int, least_ms: int) -> list[int]:
+    """Heads of pieces after one round: a piece longer than most_ms is cut before flagged words, where what has gathered
+    since the last cut is at least least_ms long."""
+    out = []
+    for lo, hi in zip(heads, [*heads[1:], len(start)]):
+        out.append(lo)
+        if end[hi - 1] - start[lo] > most_ms:
+            for i in lo + 1 + np.flatnonzero(flags[lo + 1 : hi]):
+                if end[i - 1] - start[out[-1]] >= least_ms:
+                    out.append(int(i))
+    return out
+
+
+def split_long(words: DataFrame, group: str, most_ms: int = 15000, least_ms: int = 2000, gap_ms: int = 300) -> DataFrame:
+    """(chunk_id, word_idx, piece): groups of consecutive words cut while they are longer than most_ms: after pauses, then
+    before connectives, then at gaps; the last two leave at least least_ms. Whether a cut may stand before a word is
+    worked out per row; only the running length is a walk over the chunk."""
+    w = W.partitionBy("chunk_id").orderBy("word_idx")
+    before = F.lag("word").over(w)
+    paused = F.coalesce(F.regexp_extract(F.rtrim(before), "(.)$", 1).isin(*PAUSES), F.lit(False))
+    joins = F.regexp_replace(F.lower("word"), "^[.,?!]+|[.,?!]+$", "").isin(*CONNECTIVES)
+    apart = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(w) > gap_ms, F.lit(False))
+    flagged = words.select("chunk_id", "word_idx", "start_ms", "end_ms", F.coalesce(F.col(group) != F.lag(group).over(w), F.lit(True)).alias("head"), paused.alias("paused"), joins.alias("joins"), apart.alias("apart"))
+
+    def step(c: dict[str, list]) -> dict[str, list]:
+        start, end = np.array(c["start_ms"]), np.array(c["end_ms"])
+        heads = np.flatnonzero(c["head"]).tolist()
+        for flag, least in (("paused", -1), ("joins", least_ms), ("apart", least_ms)):
+            heads = greedy_cuts(heads, np.array(c[flag]), start, end, most_ms, least)
+        piece = np.zeros(len(start), np.int64)
+        piece[heads[1:]] = 1
+        return {"chunk_id": c["chunk_id"], "word_idx": c["word_idx"], "piece": np.cumsum(piece)}
+
+    return fold(flagged, ["word_idx"], step, "chunk_id long, word_idx long, piece long")
 
 
 def pieces_of(start: int, end: int, cuts: list[tuple[int, str | None]], edges: list[int], least_ms: int, first: str | None) -> list[tuple[int, int, str | None]]:
@@ -167,59 +182,57 @@ def relabel_outliers(turns: DataFrame, centroids: DataFrame, min_ms: int = 500,
     return turns.groupBy("chunk_id").cogroup(centroids.groupBy("chunk_id")).applyInPandas(run, "chunk_id long, turn_idx long, speaker string")
 
 
-_HEAD = re.compile(r"^\s*[\[\(]?(\d+)[\]\)]?\s*[.:\)]?(?:\s+(.*))?$")
-_FIELD = re.compile(r"^\s*(" + "|".join(FIELDS) + r")\s*[:：]\s*(.*)$", re.IGNORECASE)
-
-
-def fields_of(response: str) -> list[tuple[int, dict[str, str]]]:
-    """Entries of an answer: a number alone on a line opens one, then field lines; a line goes on with the field above it
-    until a blank line. Text behind a number opens an entry only before the first."""
-    entries: list[tuple[int, dict[str, list[str]]]] = []
-    field = None
-    for line in map(str.rstrip, response.split("\n")):
-        head, named = _HEAD.match(line), _FIELD.match(line)
-        if not line.strip():
-            field = None
-        elif head and (head[2] is None or not entries):
-            entries.append((int(head[1]), {}))
-            field, rest = None, head[2]
-            if rest:
-                inner = _FIELD.match(rest)
-                field = inner[1].lower() if inner else "korean"
-                entries[-1][1].setdefault(field, []).append((inner[2] if inner else rest).strip())
-        elif named and entries:
-            field = named[1].lower()
-            entries[-1][1].setdefault(field, []).append(named[2].strip())
-        elif entries and field:
-            entries[-1][1].setdefault(field, []).append(line.strip())
-    joined = [(n, {k: " ".join(v).strip() for k, v in e.items()}) for n, e in entries]
-    return [(n, {k: v for k, v in e.items() if v}) for n, e in joined if any(e.values())]
-
-
-@F.udtf(returnType="idx long, korean string, context string, emotion string, tone string")
-class ParseFields:
-    """SQL table function over one answer."""
-
-    def eval(self, response: str):
-        for n, e in fields_of(response or ""):
-            yield (n, *[e.get(k) for k in FIELDS])
-
-
 @F.udtf(returnType="pos long, word string")
 class TokeniseWords:
     def eval(self, text: str):
         yield from enumerate((text or "").split())
 
 
-def parse_fields(responses: DataFrame) -> DataFrame:
-    """(batch_id, idx, korean, context, emotion, tone); a number that comes twice keeps its last entry."""
+def numbered_lines(responses: DataFrame) -> DataFrame:
+    """(batch_id, line_no, line): lines of answers without blanks at their end."""
+    return responses.select("batch_id", F.posexplode(F.split("response", "\n")).alias("line_no", "line")).withColumn("line", F.rtrim("line"))
+
+
+def joined_lines(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """What was said under each key, lines in order and joined by blanks."""
+    said = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"])
+    return parts.groupBy(*keys).agg(F.trim(F.array_join(said, " ")).alias("said"))
+
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(b, n, *[e.get(k) for k in FIELDS]) for b, r in zip(pdf["batch_id"], pdf["response"]) for n, e in dict(fields_of(r or "")).items()]
-            yield pd.DataFrame(rows, columns=["batch_id", "idx", *FIELDS])
+def parse_numbered(responses: DataFrame) -> DataFrame:
+    """(batch_id, idx, said) of numbered answers; a line without a number goes on with the one before."""
+    w = W.partitionBy("batch_id").orderBy("line_no")
+    own = F.when(F.col("line").rlike(NUMBERED_LINE), F.regexp_extract("line", NUMBERED_LINE, 1).cast("long"))
+    marked = numbered_lines(responses).withColumn("own", own).withColumn("idx", F.last("own", ignorenulls=True).over(w)).where("idx is not null")
+    said = F.when(F.col("own").isNotNull(), F.regexp_extract("line", NUMBERED_LINE, 2)).otherwise(F.trim("line"))
+    return joined_lines(marked.withColumn("said", said).where("own is not null OR said <> ''"), ["batch_id", "idx"])
 
-    return responses.select("batch_id", "response").mapInPandas(run, "batch_id long, idx long, " + ", ".join(f"{k} string" for k in FIELDS))
+
+def parse_fields(responses: DataFrame) -> DataFrame:
+    """(batch_id, idx, korean, context, emotion, tone) of answers with named fields.
+
+    A number alone on a line opens an entry; text behind a number does so only where no entry is open yet, and is the
+    entry's first field line (korean where it names no field). A named line opens a field, a blank line ends it, other
+    lines go on with it. Both marks are carried down by window. Fields and entries without text are left out; a number
+    that comes twice keeps its last entry.
+    """
+    w = W.partitionBy("batch_id").orderBy("line_no")
+    line, blank = F.col("line"), F.trim("line") == ""
+    bare, headed = line.rlike(BARE_NUMBER), line.rlike(NUMBERED_LINE)
+    x = numbered_lines(responses).withColumn("headed", headed & ~blank).withColumn("bare", bare & ~blank)
+    first = F.min(F.when(F.col("headed") | F.col("bare"), F.col("line_no"))).over(W.partitionBy("batch_id"))
+    x = x.withColumn("opens", F.col("bare") | F.coalesce(F.col("headed") & (F.col("line_no") == first), F.lit(False)))
+    x = x.withColumn("entry", F.sum(F.col("opens").cast("int")).over(w)).where("entry > 0")
+    number: Column = F.coalesce(F.nullif(F.regexp_extract("line", BARE_NUMBER, 1), F.lit("")), F.regexp_extract("line", NUMBERED_LINE, 1)).cast("long")
+    body = F.when(F.col("opens"), F.when(F.col("bare"), F.lit("")).otherwise(F.regexp_extract("line", NUMBERED_LINE, 2))).otherwise(line)
+    x = x.withColumn("idx", F.last(F.when(F.col("opens"), number), ignorenulls=True).over(w)).withColumn("body", body)
+    named = F.col("body").rlike(FIELD_LINE)
+    mark = F.when(named, F.lower(F.regexp_extract("body", FIELD_LINE, 1))).when(F.col("opens"), F.when(F.col("body") != "", "korean").otherwise("")).when(F.trim("body") == "", "")
+    said = F.trim(F.when(named, F.regexp_extract("body", FIELD_LINE, 2)).otherwise(F.col("body")))
+    x = x.withColumn("field", F.last(mark, ignorenulls=True).over(w)).withColumn("said", said).where("field <> ''")
+    full = joined_lines(x, ["batch_id", "idx", "entry", "field"]).where("said <> ''")
+    wide = full.groupBy("batch_id", "idx", "entry").agg(*[F.max(F.when(F.col("field") == f, F.col("said"))).alias(f) for f in FIELDS])
+    return wide.groupBy("batch_id", "idx").agg(F.max_by(F.struct(*FIELDS), "entry").alias("kept")).select("batch_id", "idx", "kept.*")
 
 
 def choose_k(vectors: DataFrame, most: int = 8, least_score: float = 0.1, seed: int = 1) -> int:

@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from timeweave.functions.text import is_outlier
+from timeweave.functions.vectors import iou
 
-def fold(rows: DataFrame, order: list[str], step: Callable[[list[dict]], list[dict]], schema: str, key: str = "chunk_id") -> DataFrame:
-    """Run `step` over each chunk's rows in order; it gets and returns lists of dicts."""
+
+def fold(rows: DataFrame, order: list[str], step: Callable[[dict[str, list]], dict[str, list]], schema: str, key: str = "chunk_id") -> DataFrame:
+    """Run `step` over each chunk's rows in order; it gets and returns columns as lists."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = step(pdf.sort_values(order).to_dict("records"))
+        out = step({c: v.tolist() for c, v in pdf.sort_values(order).items()})
         return pd.DataFrame(out, columns=names)
 
     return rows.groupBy(key).applyInPandas(run, schema)
@@ -44,8 +47,9 @@ def absorb_short(turns: DataFrame, min_ms: int = 500) -> DataFrame:
     return isles.groupBy("chunk_id", "isle").agg(F.min("turn_idx").alias("turn_idx"), F.min_by("speaker", "turn_idx").alias("speaker"), F.min_by("start_ms", "turn_idx").alias("start_ms"), F.max_by("end_ms", "turn_idx").alias("end_ms")).drop("isle")
 
 
-def contaminated(words: DataFrame) -> DataFrame:
-    """Words over 3 s or under 20 ms, and runs of three of equal length and gap (within 50 ms) over 1 s with gaps over .3 s."""
+def contaminated(words: DataFrame, levels: DataFrame | None = None, quiet: float = 0.005) -> DataFrame:
+    """Words over 3 s or under 20 ms, and runs of three of equal length and gap (within 50 ms) over 1 s with gaps over .3 s;
+    with levels (chunk_id, word_idx, rms), also words that are quieter than `quiet` or outside the audio."""
     w = W.partitionBy("chunk_id").orderBy("word_idx")
     d = F.col("end_ms") - F.col("start_ms")
     x = words.withColumn("d", d).withColumn("g", F.lead("start_ms").over(w) - F.col("end_ms"))
@@ -54,24 +58,26 @@ def contaminated(words: DataFrame) -> DataFrame:
     starts = near("d", "d1") & near("d1", "d2") & near("g", "g1") & (F.col("d") > 1000) & (F.col("g") > 300)
     x = x.withColumn("run", F.coalesce(starts, F.lit(False)))
     three = F.max("run").over(w.rowsBetween(-2, 0))
-    return x.select("chunk_id", "word_idx", ((F.col("d") > 3000) | (F.col("d") < 20)).alias("bad_length"), three.alias("bad_rhythm"))
+    flags = x.select("chunk_id", "word_idx", ((F.col("d") > 3000) | (F.col("d") < 20)).alias("bad_length"), three.alias("bad_rhythm"))
+    if levels is None:
+        return flags
+    heard = flags.join(levels.select("chunk_id", "word_idx", "rms"), ["chunk_id", "word_idx"], "left")
+    return heard.select("chunk_id", "word_idx", "bad_length", "bad_rhythm", F.coalesce(F.col("rms") < quiet, F.lit(True)).alias("bad_level"))
 
 
 def gap_segments(words: DataFrame, hard_ms: int = 1500, soft_ms: int = 400, soft_after_ms: int = 3000, most_ms: int = 15000) -> DataFrame:
     """Segment number of each word: a break before a word after a long gap, a short gap once long enough, or too long."""
 
-    def step(rows: list[dict]) -> list[dict]:
-        out, seg, start, end = [], 0, None, None
-        for r in rows:
+    def step(c: dict[str, list]) -> dict[str, list]:
+        number, seg, start, end = [], 0, None, None
+        for s, e in zip(c["start_ms"], c["end_ms"]):
             if start is None:
-                start = r["start_ms"]
-            else:
-                gap, run = r["start_ms"] - end, end - start
-                if gap > hard_ms or (gap > soft_ms and run >= soft_after_ms) or run >= most_ms:
-                    seg, start = seg + 1, r["start_ms"]
-            end = r["end_ms"]
-            out.append({"chunk_id": r["chunk_id"], "word_idx": r["word_idx"], "segment": seg})
-        return out
+                start = s
+            elif s - end > hard_ms or (s - end > soft_ms and end - start >= soft_after_ms) or end - start >= most_ms:
+                seg, start = seg + 1, s
+            end = e
+            number.append(seg)
+        return {"chunk_id": c["chunk_id"], "word_idx": c["word_idx"], "segment": number}
 
     return fold(words.select("chunk_id", "word_idx", "start_ms", "end_ms"), ["word_idx"], step, "chunk_id long, word_idx long, segment long")
 
@@ -79,133 +85,128 @@ def gap_segments(words: DataFrame, hard_ms: int = 1500, soft_ms: int = 400, soft
 def punct_segments(words: DataFrame, most_ms: int = 12000, most_words: int = 30) -> DataFrame:
     """Segment number of each word: a break after an end mark, a long run or many words."""
 
-    def step(rows: list[dict]) -> list[dict]:
-        out, seg, start, n = [], 0, None, 0
-        for r in rows:
-            start, n = (r["start_ms"], 1) if start is None else (start, n + 1)
-            out.append({"chunk_id": r["chunk_id"], "word_idx": r["word_idx"], "segment": seg})
-            if r["word"][-1:] in (".", "?", "!") or r["end_ms"] - start >= most_ms or n >= most_words:
+    def step(c: dict[str, list]) -> dict[str, list]:
+        number, seg, start, n = [], 0, None, 0
+        for s, e, mark in zip(c["start_ms"], c["end_ms"], c["mark"]):
+            start, n = (s, 1) if start is None else (start, n + 1)
+            number.append(seg)
+            if mark or e - start >= most_ms or n >= most_words:
                 seg, start = seg + 1, None
-        return out
+        return {"chunk_id": c["chunk_id"], "word_idx": c["word_idx"], "segment": number}
 
-    return fold(words.select("chunk_id", "word_idx", "word", "start_ms", "end_ms"), ["word_idx"], step, "chunk_id long, word_idx long, segment long")
+    marked = words.select("chunk_id", "word_idx", "start_ms", "end_ms", F.right("word", F.lit(1)).isin(".", "?", "!").alias("mark"))
+    return fold(marked, ["word_idx"], step, "chunk_id long, word_idx long, segment long")
 
 
 def merge_short(groups: DataFrame, short_ms: int = 1500, most_ms: int = 12000) -> DataFrame:
     """Merge a group with the one before if either is short and both together are not long."""
 
-    def step(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for r in rows:
-            p = out[-1] if out else None
-            if p and (p["end_ms"] - p["start_ms"] < short_ms or r["end_ms"] - r["start_ms"] < short_ms) and r["end_ms"] - p["start_ms"] <= most_ms:
-                p["end_ms"], p["n"] = r["end_ms"], p["n"] + 1
+    def step(c: dict[str, list]) -> dict[str, list]:
+        kept: list[list] = []
+        for g, s, e in zip(c["group_idx"], c["start_ms"], c["end_ms"]):
+            if kept and min(kept[-1][2] - kept[-1][1], e - s) < short_ms and e - kept[-1][1] <= most_ms:
+                kept[-1][2:] = [e, kept[-1][3] + 1]
             else:
-                out.append({"chunk_id": r["chunk_id"], "group_idx": r["group_idx"], "start_ms": r["start_ms"], "end_ms": r["end_ms"], "n": 1})
-        return out
+                kept.append([g, s, e, 1])
+        return {"chunk_id": c["chunk_id"][: len(kept)]} | {k: [r[i] for r in kept] for i, k in enumerate(("group_idx", "start_ms", "end_ms", "n"))}
 
     return fold(groups.select("chunk_id", "group_idx", "start_ms", "end_ms"), ["group_idx"], step, "chunk_id long, group_idx long, start_ms long, end_ms long, n long")
 
 
-def smooth_aba(rows: DataFrame, order: str, label: str = "speaker") -> DataFrame:
+def smooth_aba(rows: DataFrame, order: str, label: str = "speaker", key: str = "chunk_id") -> DataFrame:
     """A-B-A becomes A-A-A from left to right; a smoothed label counts for the next test."""
 
-    def step(rs: list[dict]) -> list[dict]:
-        for i in range(1, len(rs) - 1):
-            if rs[i - 1][label] == rs[i + 1][label] != rs[i][label]:
-                rs[i][label] = rs[i - 1][label]
-        return rs
+    def step(c: dict[str, list]) -> dict[str, list]:
+        said = c[label]
+        for i in range(1, len(said) - 1):
+            if said[i - 1] == said[i + 1]:
+                said[i] = said[i - 1]
+        return {**c, label: said}
+
+    kind = dict(rows.dtypes)[order]
+    return fold(rows.select(key, order, label), [order], step, f"{key} long, {order} {kind}, {label} string", key)
+
 
-    return fold(rows.select("chunk_id", order, label), [order], step, f"chunk_id long, {order} long, {label} string")
+def split_by_speaker(words: DataFrame, group: str, label: str = "speaker") -> DataFrame:
+    """(chunk_id, word_idx, speaker, part): A-B-A is smoothed inside each group of words, then a group is cut where the
+    speaker changes; parts are numbered through the chunk."""
+    numbered = words.withColumn("__place", F.dense_rank().over(W.partitionBy("chunk_id").orderBy(group)).cast("long"))
+    keyed = numbered.select("chunk_id", "word_idx", "__place", F.xxhash64("chunk_id", "__place").alias("__group"), label)
+    smooth = smooth_aba(keyed, "word_idx", label, "__group").withColumnRenamed(label, "__said")
+    both = keyed.join(smooth, ["__group", "word_idx"])
+    w = W.partitionBy("chunk_id").orderBy("__place", "word_idx")
+    new = (F.col("__place") != F.lag("__place").over(w)) | (F.col("__said") != F.lag("__said").over(w))
+    return both.withColumn("__new", F.coalesce(new.cast("long"), F.lit(0))).select("chunk_id", "word_idx", F.col("__said").alias(label), F.sum("__new").over(w).alias("part"))
+
+
+def _runs(rows: DataFrame, order: str, label: str) -> DataFrame:
+    """Rows with the number of their run of equal labels and that run's length."""
+    w = W.partitionBy("chunk_id").orderBy(order)
+    cut = rows.withColumn("__new", F.coalesce((F.col(label) != F.lag(label).over(w)).cast("int"), F.lit(1)))
+    numbered = cut.withColumn("__run", F.sum("__new").over(w)).drop("__new")
+    return numbered.withColumn("__size", F.count("*").over(W.partitionBy("chunk_id", "__run")))
 
 
 def smooth_runs(rows: DataFrame, order: str, label: str = "speaker", least: int = 2) -> DataFrame:
-    """Runs shorter than `least` take the smoothed label before them, at the start the one after; short inputs stay."""
-
-    def step(rs: list[dict]) -> list[dict]:
-        if len(rs) < 2 * least:
-            return rs
-        runs: list[list] = []
-        for r in rs:
-            if runs and runs[-1][0] == r[label]:
-                runs[-1][1] += 1
-            else:
-                runs.append([r[label], 1])
-        for i, (_, n) in enumerate(runs):
-            if n < least:
-                runs[i][0] = runs[i - 1][0] if i else runs[1][0] if len(runs) > 1 else runs[0][0]
-        flat = [k for k, n in runs for _ in range(n)]
-        for r, k in zip(rs, flat):
-            r[label] = k
-        return rs
+    """Runs shorter than `least` take the smoothed label before them, at the start the one after; short inputs stay.
 
-    return fold(rows.select("chunk_id", order, label), [order], step, f"chunk_id long, {order} long, {label} string")
+    The label before a short run is that of the last run long enough; short runs at the start take the second run's.
+    """
+    w = W.partitionBy("chunk_id").orderBy(order)
+    x = _runs(rows.select("chunk_id", order, label), order, label)
+    whole = W.partitionBy("chunk_id")
+    x = x.withColumn("__n", F.count("*").over(whole)).withColumn("__second", F.first(F.when(F.col("__run") == 2, F.col(label)), ignorenulls=True).over(whole))
+    held = F.last(F.when(F.col("__size") >= least, F.col(label)), ignorenulls=True).over(w)
+    return x.select("chunk_id", order, F.when(F.col("__n") < 2 * least, F.col(label)).otherwise(F.coalesce(held, "__second", label)).alias(label))
 
 
 def face_changes(frames: DataFrame, fps: int = 25, min_ms: int = 500) -> DataFrame:
-    """Frames at which a new face stays on: enough stable frames, and as many since the last change; nulls are skipped."""
-    least = max(2, min_ms * fps // 1000)
+    """(chunk_id, frame, track): where a new face stays on; frames without a face are passed over.
 
-    def step(rows: list[dict]) -> list[dict]:
-        out, held, since, candidate, begun, n = [], None, rows[0]["frame"] if rows else 0, None, None, 0
-        for r in rows:
-            face, frame = r["track"], r["frame"]
-            if face is None or pd.isna(face):
-                continue
-            if face == held:
-                n = 0
-                continue
-            candidate, begun, n = (candidate, begun, n + 1) if face == candidate else (face, frame, 1)
-            if n >= least:
-                if held is not None and begun - since >= least:
-                    out.append({"chunk_id": r["chunk_id"], "frame": begun, "track": face})
-                    since = begun
-                held, candidate, n = face, None, 0
-        return out
-
-    return fold(frames.select("chunk_id", "frame", "track"), ["frame"], step, "chunk_id long, frame long, track long")
-
-
-def silence_cuts(speech: DataFrame, every_ms: int = 60000, slack_ms: int = 5000) -> DataFrame:
-    """Cut points near every target: the middle of the longest silence within the slack, else the target itself."""
-
-    def step(rows: list[dict]) -> list[dict]:
-        out, end, target = [], max(r["end_ms"] for r in rows), every_ms
-        gaps = [(a["end_ms"], b["start_ms"]) for a, b in zip(rows, rows[1:]) if b["start_ms"] > a["end_ms"]]
-        while target < end:
-            best, at = 0, target
-            for a, b in gaps:
-                a, b = max(a, target - slack_ms), min(b, target + slack_ms)
-                if b - a > best:
-                    best, at = b - a, (a + b) // 2
-            out.append({"chunk_id": rows[0]["chunk_id"], "cut_idx": len(out), "cut_ms": at})
-            target = at + every_ms
-        return out
+    A run of one face is settled when it has enough frames. A settled run of another face than the settled one before
+    is a change; it begins with the face's first frame since any third face was seen. A change lies beyond the frames
+    that settled the face before it, so two changes are never closer than that.
+    """
+    least = max(2, min_ms * fps // 1000)
+    seen = _runs(frames.where("track IS NOT NULL").select("chunk_id", "frame", "track"), "frame", "track")
+    runs = seen.groupBy("chunk_id", "__run").agg(F.first("track").alias("track"), F.min("frame").alias("frame"), F.first("__size").alias("n"))
+    w = W.partitionBy("chunk_id").orderBy("__run")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    settled = F.col("n") >= least
+    x = runs.withColumn("held", F.last(F.when(settled, F.col("track")), ignorenulls=True).over(before))
+    x = x.where(F.col("held").isNull() | (F.col("track") != F.col("held"))).withColumn("settled", settled)
+    x = x.withColumn("epoch", F.coalesce(F.sum(F.col("settled").cast("int")).over(before), F.lit(0)))
+    inside = W.partitionBy("chunk_id", "epoch").orderBy("__run")
+    x = x.withColumn("new", F.coalesce((F.col("track") != F.lag("track").over(inside)).cast("int"), F.lit(1))).withColumn("chain", F.sum("new").over(inside))
+    begun = F.min("frame").over(W.partitionBy("chunk_id", "epoch", "chain"))
+    return x.withColumn("begun", begun).where("settled AND held IS NOT NULL").select("chunk_id", F.col("begun").alias("frame"), "track")
+
+
+def silence_cuts(speech: DataFrame, every_ms: int = 60000, slack_ms: int = 5000, tail_ms: int = 1000) -> DataFrame:
+    """Cut points near every target: the middle of the longest silence that lies within the slack (and ends tail_ms before
+    the end), the first on a tie, else the target itself. The next target counts from the cut."""
+
+    def step(c: dict[str, list]) -> dict[str, list]:
+        total, target, cuts = max(c["end_ms"]), every_ms, []
+        gaps = [(b - a, -a, (a + b) // 2) for a, b in zip(c["end_ms"], c["start_ms"][1:]) if b > a]
+        while target < total:
+            low, high = target - slack_ms, min(target + slack_ms, total - tail_ms)
+            near = [g for g in gaps if -g[1] >= low and g[0] - g[1] <= high]
+            cuts.append(max(near)[2] if near else target)
+            target = cuts[-1] + every_ms
+        return {"chunk_id": c["chunk_id"][:1] * len(cuts), "cut_idx": list(range(len(cuts))), "cut_ms": cuts}
 
     return fold(speech.select("chunk_id", "speech_idx", "start_ms", "end_ms"), ["start_ms", "speech_idx"], step, "chunk_id long, cut_idx long, cut_ms long")
 
 
 def nms(boxes: DataFrame, limit: float = 0.3) -> DataFrame:
-    """Greedy suppression per frame: keep the best score, drop boxes that overlap it by more than the limit."""
-
-    def overlap(p: dict, q: dict) -> float:
-        w, h = min(p["x2"], q["x2"]) - max(p["x1"], q["x1"]), min(p["y2"], q["y2"]) - max(p["y1"], q["y1"])
-        both = max(0.0, w) * max(0.0, h)
-        area = sum((b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) for b in (p, q)) - both
-        return both / area if area > 0 else 0.0
-
-    def step(rows: list[dict]) -> list[dict]:
-        kept, here, frame = [], [], None
-        for r in rows:
-            if r["frame"] != frame:
-                here, frame = [], r["frame"]
-            if all(overlap(r, k) <= limit for k in here):
-                here.append(r)
-                kept.append(r)
-        return [{k: r[k] for k in ("chunk_id", "frame", "track")} for r in kept]
-
-    ordered = boxes.withColumn("place", -F.col("score"))
-    return fold(ordered, ["frame", "place", "track"], step, "chunk_id long, frame long, track long")
+    """Greedy suppression per frame: keep the best score (the smaller track on a tie), drop boxes that overlap a kept one by
+    more than the limit. One expression over each frame's boxes."""
+    corners = ("x1", "y1", "x2", "y2")
+    side = lambda b: [b[c] for c in corners]
+    best_first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("place"), "track", *corners)))
+    kept = F.aggregate("b", F.slice("b", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: iou(side(x), side(k)) > limit), acc).otherwise(F.concat(acc, F.array(x))))
+    return boxes.groupBy("chunk_id", "frame").agg(best_first.alias("b")).select("chunk_id", "frame", F.explode(F.transform(kept, lambda x: x["track"])).alias("track"))
 
 
 def synth_groups(segments: DataFrame, gap_ms: int = 300) -> DataFrame:
@@ -231,35 +232,53 @@ def pingpong(frames: DataFrame, per: str, idx: str, m: int) -> DataFrame:
 
 
 def absorb_outliers(segments: DataFrame, max_ms: int = 400) -> DataFrame:
-    """Short segments of outlier speakers (number over 90) take the nearest main neighbour's label, the one before on a
-    tie; an absorbed one counts as main for later rows."""
-    number = lambda s: int(s.rsplit("_", 1)[-1]) if s.rsplit("_", 1)[-1].isdigit() else 0
-
-    def step(rows: list[dict]) -> list[dict]:
-        out = [{k: r[k] for k in ("chunk_id", "segment_id", "speaker")} for r in rows]
-        main = [number(r["speaker"]) <= 90 for r in rows]
-        for i, r in enumerate(rows):
-            if main[i] or r["end_ms"] - r["start_ms"] >= max_ms:
-                continue
-            left = next((j for j in range(i - 1, -1, -1) if main[j]), None)
-            right = next((j for j in range(i + 1, len(rows)) if main[j]), None)
-            if left is None and right is None:
-                continue
-            gap_l = r["start_ms"] - rows[left]["end_ms"] if left is not None else float("inf")
-            gap_r = rows[right]["start_ms"] - r["end_ms"] if right is not None else float("inf")
-            out[i]["speaker"] = out[left if gap_l <= gap_r else right]["speaker"]
-            main[i] = True
-        return out
-
-    return fold(segments.select("chunk_id", "segment_id", "speaker", "start_ms", "end_ms"), ["segment_id"], step, "chunk_id long, segment_id long, speaker string")
-
-
-def global_rank(rows: DataFrame, order: str, block: int = 10_000) -> DataFrame:
-    """Position r (from 1) of each row by a whole-number column, without one task that sees all rows: ranks inside
-    blocks of the value, plus the rows of earlier blocks, of which there is one count each."""
+    """Short segments of outlier speakers (number over 90) take the label of the nearest main neighbour in time, the one
+    before on a tie; an absorbed one counts as main for later rows. Distances are absolute, so overlaps count as well."""
+    ahead = W.partitionBy("chunk_id").orderBy(F.desc("segment_id")).rowsBetween(W.unboundedPreceding, -1)
+    main = F.when(~is_outlier(F.col("speaker")), F.struct("start_ms", "speaker"))
+    rows = segments.withColumn("next", F.last(main, ignorenulls=True).over(ahead))
+    rows = rows.select("chunk_id", "segment_id", "speaker", "start_ms", "end_ms", is_outlier(F.col("speaker")).alias("odd"), F.col("next.start_ms").alias("next_ms"), F.col("next.speaker").alias("next_speaker"))
+
+    def step(c: dict[str, list]) -> dict[str, list]:
+        label, last = [], None
+        for said, start, end, odd, next_ms, next_said in zip(*(c[k] for k in ("speaker", "start_ms", "end_ms", "odd", "next_ms", "next_speaker"))):
+            near = [(abs(start - last[0]), 0, last[1])] if last else []
+            if next_said is not None:
+                near.append((abs(next_ms - end), 1, next_said))
+            absorbed = odd and end - start < max_ms and bool(near)
+            label.append(min(near)[2] if absorbed else said)
+            if absorbed or not odd:
+                last = (end, label[-1])
+        return {"chunk_id": c["chunk_id"], "segment_id": c["segment_id"], "speaker": label}
+
+    return fold(rows, ["segment_id"], step, "chunk_id long, segment_id long, speaker string")
+
+
+def trim_short(segments: DataFrame, words: DataFrame, most_words: int = 3, least_ms: int = 5000, spoken_ms: int = 1000, pad_ms: int = 200) -> DataFrame:
+    """(chunk_id, segment_id, start_ms, end_ms): a long segment of few words shrinks to its words and a pad at both ends.
+
+    Words are those with the segment's number as turn; segments without words stay as they are.
+    """
+    spans = words.groupBy("chunk_id", F.col("turn").alias("segment_id")).agg(F.min("start_ms").alias("ws"), F.max("end_ms").alias("we"), F.count("*").alias("n"))
+    x = segments.select("chunk_id", "segment_id", "start_ms", "end_ms").join(spans, ["chunk_id", "segment_id"], "left")
+    trim = F.coalesce((F.col("n") <= most_words) & (F.col("end_ms") - F.col("start_ms") >= least_ms) & (F.col("we") - F.col("ws") >= spoken_ms), F.lit(False))
+    start, end = F.greatest("start_ms", F.col("ws") - pad_ms), F.least("end_ms", F.col("we") + pad_ms)
+    return x.select("chunk_id", "segment_id", F.when(trim, start).otherwise(F.col("start_ms")).alias("start_ms"), F.when(trim, end).otherwise(F.col("end_ms")).alias("end_ms"))
+
+
+def sliding(segments: DataFrame, window_ms: int = 600, hop_ms: int = 200) -> DataFrame:
+    """(chunk_id, segment_id, t_ms): starts of the windows that fit into each segment."""
+    fit = segments.where(F.col("end_ms") - F.col("start_ms") >= window_ms)
+    return fit.select("chunk_id", "segment_id", F.explode(F.sequence("start_ms", F.col("end_ms") - window_ms, F.lit(hop_ms).cast("long"))).alias("t_ms"))
+
+
+def global_rank(rows: DataFrame, order: str, by: list[str] | None = None, block: int = 10_000) -> DataFrame:
+    """Position r (from 1) of each row by a whole-number column, within `by`, without one task that sees all rows: ranks
+    inside blocks of the value, plus the rows of earlier blocks, of which there is one count each."""
+    by = by or []
     cut = rows.withColumn("__block", F.floor(F.col(order) / block))
-    counts = cut.groupBy("__block").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__block", before.alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__block").orderBy(order))
-    return cut.withColumn("__r", inside).join(offsets, "__block").withColumn("r", F.col("__r") + F.col("__before")).drop("__block", "__r", "__before")
+    counts = cut.groupBy(*by, "__block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*by, "__block", before.alias("__before"))
+    inside = F.row_number().over(W.partitionBy(*by, "__block").orderBy(order))
+    return cut.withColumn("__r", inside).join(offsets, [*by, "__block"]).withColumn("r", F.col("__r") + F.col("__before")).drop("__block", "__r", "__before")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from timeweave.functions.vectors import dot
-from timeweave.operators.lineage import cut
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
@@ -34,21 +33,29 @@ def similar_pairs(centroids: DataFrame) -> DataFrame:
     return a.join(b, "chunk_id").where("a < b").withColumn("sim", sim).where(F.col("sim") >= F.when(F.col("n") >= 3, 0.5).otherwise(0.65)).select("chunk_id", "a", "b", "sim")
 
 
-def canonical_labels(labels: DataFrame, pairs: DataFrame, rounds: int = 12) -> DataFrame:
-    """Smallest label reachable by pairs, within each chunk; each round takes neighbours' minima and follows them.
+def canonical_labels(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Smallest label reachable by pairs, within each chunk.
 
-    Chunks hold few speakers, so the rounds are a fixed bound on a path's length (doubled by following minima).
+    A chunk's pairs are folded over a map from speaker to label: each pair gives the labels of both groups it meets the
+    smaller of the two. One pass over the pairs, whatever the length of a chain.
     """
-    both = pairs.select("chunk_id", "a", "b").unionByName(pairs.select("chunk_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    now = labels.select("chunk_id", "speaker", F.col("speaker").alias("canonical"))
-    for _ in range(rounds):
-        near = both.join(now.select("chunk_id", F.col("speaker").alias("b"), F.col("canonical").alias("c")), ["chunk_id", "b"]).groupBy("chunk_id", F.col("a").alias("speaker")).agg(F.min("c").alias("c"))
-        new = now.join(near, ["chunk_id", "speaker"], "left").select("chunk_id", "speaker", F.least("canonical", F.coalesce("c", "canonical")).alias("canonical"), (F.col("c") < F.col("canonical")).alias("moved"))
-        new = cut(new)
-        now = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
-    return now
+    known = labels.groupBy("chunk_id").agg(F.collect_set("speaker").alias("speakers"))
+    met = pairs.groupBy("chunk_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+
+    def meet(state, pair):
+        a, b = state[pair["a"]], state[pair["b"]]
+        return F.when(a == b, state).otherwise(F.transform_values(state, lambda _, v: F.when((v == a) | (v == b), F.least(a, b)).otherwise(v)))
+
+    start = F.map_from_arrays("speakers", F.transform("speakers", lambda s: F.when(s.isNotNull(), s)))
+    folded = F.aggregate(F.coalesce("pairs", F.array().cast("array<struct<a:string,b:string>>")), start, meet)
+    return known.join(met, "chunk_id", "left").select("chunk_id", F.explode(folded).alias("speaker", "canonical"))
+
+
+def best_speakers(rows: DataFrame, centroids: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, speaker, sim: the speaker of the best cosine for each row with an embedding, the smaller label on a tie."""
+    heard = rows.where("embedding IS NOT NULL").select("chunk_id", *keys, "embedding")
+    scored = heard.join(centroids.select("chunk_id", F.col("speaker").alias("other"), "centroid"), "chunk_id").withColumn("sim", F.round(dot(F.col("embedding"), F.col("centroid")), 9))
+    return scored.groupBy("chunk_id", *keys).agg(F.min_by(F.struct(F.col("other").alias("speaker"), "sim"), F.struct(-F.col("sim"), "other")).alias("best")).select("chunk_id", *keys, "best.*")
 
 
 def reassign_short(turns: DataFrame, centroids: DataFrame, max_ms: int = 800) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from timeweave.functions import text
+from timeweave.functions.logs import parse_step
 from timeweave.functions.vectors import dot
 from timeweave.operators import refine, sequences, speakers
+from timeweave.plans.media import ALERTS_SQL
 from timeweave.plans.timelines import CENTROIDS
 from timeweave.sources import timeline as T
 from timeweave.streaming import monitor
@@ -34,7 +36,12 @@ def split_turns(s, d):
 
 add("c7_reassign_split", split_turns, wt("turn_vectors", f"""+{CENTROIDS}, sc AS (SELECT t.chunk_id, t.turn_idx, c.speaker AS other, round(list_dot_product(t.embedding, c.centroid), 9) AS sim FROM turn_vectors t JOIN centroids c USING (chunk_id) WHERE t.turn_idx % 3 = 0 AND t.end_ms - t.start_ms >= 400 AND t.embedding IS NOT NULL),
   best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY chunk_id, turn_idx ORDER BY sim DESC, other) = 1) SELECT t.chunk_id, t.turn_idx, CASE WHEN b.sim >= 0.5 THEN b.other ELSE t.speaker END AS speaker FROM turn_vectors t LEFT JOIN best b USING (chunk_id, turn_idx)"""))
-add("e4_relabel_outliers", lambda s, d: refine.relabel_outliers(T.turn_vectors(s, d), speakers.speaker_centroids(T.turn_vectors(s, d))))
+add("e4_relabel_outliers", lambda s, d: refine.relabel_outliers(T.turn_vectors(s, d), speakers.speaker_centroids(T.turn_vectors(s, d))), wt("turn_vectors", f"""+{CENTROIDS},
+  q AS (SELECT chunk_id, turn_idx, speaker, embedding, end_ms - start_ms >= 500 AND embedding IS NOT NULL AS heard, row_number() OVER (PARTITION BY chunk_id ORDER BY turn_idx) AS i FROM turn_vectors),
+  f AS (SELECT chunk_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS turn_idx, CAST(NULL AS VARCHAR) AS speaker, list(centroid) AS bank, 99 AS fresh FROM centroids GROUP BY 1
+    UNION ALL SELECT chunk_id, i, turn_idx, CASE WHEN odd THEN printf('SPEAKER_%02d', fresh) ELSE speaker END, CASE WHEN odd THEN list_append(bank, embedding) ELSE bank END, CASE WHEN odd THEN fresh - 1 ELSE fresh END
+    FROM (SELECT q.*, f.bank, f.fresh, q.heard AND list_max(list_transform(f.bank, lambda b: list_dot_product(b, q.embedding))) < 0.4 AS odd FROM f JOIN q ON q.chunk_id = f.chunk_id AND q.i = f.i + 1))
+  SELECT chunk_id, turn_idx, speaker FROM f WHERE i > 0""", recursive=True))
 
 
 def sentences(s, d):
@@ -44,7 +51,26 @@ def sentences(s, d):
 
 
 add("e7_align_sentences", lambda s, d: refine.align_sentences(sentences(s, d), T.words(s, d)))
-add("e8_split_long", lambda s, d: refine.split_long(T.words(s, d), "turn"))
+def _walk(out: str, rows: str, flag: str) -> str:
+    """A round of cuts before flagged words that leave at least two seconds, over rows with head and long."""
+    return f"""{out} AS (SELECT chunk_id, word_idx, end_ms, start_ms AS since, true AS cut FROM {rows} WHERE word_idx = 0
+    UNION ALL SELECT chunk_id, word_idx, end_ms, CASE WHEN cut THEN start_ms ELSE since END, cut
+    FROM (SELECT q.chunk_id, q.word_idx, q.start_ms, q.end_ms, f.since, q.head OR (q.long AND q.{flag} AND f.end_ms - f.since >= 2000) AS cut FROM {out} f JOIN {rows} q ON q.chunk_id = f.chunk_id AND q.word_idx = f.word_idx + 1))"""
+
+
+def _long(out: str, heads: str) -> str:
+    """Rows of flags with the heads of pieces found so far, and whether a row's piece is too long."""
+    return f"""{out}n AS (SELECT g.*, h.cut AS head, sum(CAST(h.cut AS INT)) OVER (PARTITION BY g.chunk_id ORDER BY g.word_idx) AS piece FROM fl g JOIN {heads} h USING (chunk_id, word_idx)),
+  {out} AS (SELECT *, max(end_ms) OVER (PARTITION BY chunk_id, piece) - min(start_ms) OVER (PARTITION BY chunk_id, piece) > 15000 AS long FROM {out}n)"""
+
+
+CONNECTED = ", ".join(f"'{w}'" for w in sorted(refine.CONNECTIVES))
+PAUSED = ", ".join(f"'{p}'" for p in refine.PAUSES)
+add("e8_split_long", lambda s, d: refine.split_long(T.words(s, d), "turn"), wt("words", f"""+fl AS (SELECT chunk_id, word_idx, start_ms, end_ms, turn, coalesce(turn <> lag(turn) OVER w, true) AS first, coalesce(right(rtrim(lag(word) OVER w), 1) IN ({PAUSED}), false) AS paused,
+    trim(lower(word), '.,?!') IN ({CONNECTED}) AS joins, coalesce(start_ms - lag(end_ms) OVER w > 300, false) AS apart FROM words WINDOW w AS (PARTITION BY chunk_id ORDER BY word_idx)),
+  h1 AS (SELECT chunk_id, word_idx, first OR (paused AND max(end_ms) OVER (PARTITION BY chunk_id, turn) - min(start_ms) OVER (PARTITION BY chunk_id, turn) > 15000) AS cut FROM fl),
+  {_long("r1", "h1")}, {_walk("h2", "r1", "joins")}, {_long("r2", "h2")}, {_walk("h3", "r2", "apart")}
+  SELECT chunk_id, word_idx, CAST(sum(CAST(cut AS INT)) OVER (PARTITION BY chunk_id ORDER BY word_idx) AS BIGINT) - 1 AS piece FROM h3""", recursive=True))
 
 
 def cuts(s, d):
@@ -54,37 +80,82 @@ def cuts(s, d):
 add("e14_split_segments", lambda s, d: refine.split_segments(T.segments(s, d), cuts(s, d), T.words(s, d)))
 
 
-def label_changes(s, d):
-    """Windows of 600 ms every 200 ms get a label, short runs are smoothed, changes become cuts."""
-    w = QUERY_SLIDING(s, d).withColumn("speaker", F.expr("CASE WHEN (t_ms div 3000 + segment_id) % 2 = 0 THEN 'A' ELSE 'B' END"))
-    w = w.withColumn("i", F.row_number().over(W.partitionBy("chunk_id", "segment_id").orderBy("t_ms")).cast("long")).withColumn("key", col("segment_id") * 1_000_000 + col("i"))
-    smooth = sequences.smooth_runs(w, "key").withColumnRenamed("speaker", "label")
-    order = W.partitionBy("chunk_id", "segment_id").orderBy("t_ms")
-    x = w.join(smooth, ["chunk_id", "key"]).withColumn("before", F.lag("label").over(order))
-    return x.where("before <> label").select("chunk_id", "segment_id", col("t_ms").alias("cut_ms"), col("label").alias("speaker"))
+def vector_segments(s, d):
+    return T.turn_vectors(s, d).withColumnRenamed("turn_idx", "segment_id")
+
+
+def window_speakers(s, d):
+    """Best speaker of each window of a segment; a window's vector is that of the segment as many places on as
+    three hops have passed."""
+    v = T.turn_vectors(s, d)
+    w = sequences.sliding(vector_segments(s, d)).join(v.select("chunk_id", col("turn_idx").alias("segment_id"), "start_ms"), ["chunk_id", "segment_id"])
+    w = w.withColumn("turn_idx", (col("segment_id") + F.expr("(t_ms - start_ms) div 600")) % 50).select("chunk_id", "segment_id", "t_ms", "turn_idx")
+    heard = w.join(v.select("chunk_id", "turn_idx", "embedding"), ["chunk_id", "turn_idx"])
+    return speakers.best_speakers(heard, speakers.speaker_centroids(v), ["segment_id", "t_ms"])
+
+
+add("e16_window_speakers", lambda s, d: window_speakers(s, d).select("chunk_id", "segment_id", "t_ms", "speaker"), wt("turn_vectors", f"""+{CENTROIDS}, wn AS (SELECT chunk_id, turn_idx AS segment_id, start_ms, unnest(range(start_ms, end_ms - 600 + 1, 200)) AS t_ms FROM turn_vectors WHERE end_ms - start_ms >= 600),
+  h AS (SELECT w.chunk_id, w.segment_id, w.t_ms, v.embedding FROM wn w JOIN turn_vectors v ON v.chunk_id = w.chunk_id AND v.turn_idx = (w.segment_id + (w.t_ms - w.start_ms) // 600) % 50 WHERE v.embedding IS NOT NULL)
+  SELECT h.chunk_id, h.segment_id, h.t_ms, c.speaker FROM h JOIN centroids c USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY h.chunk_id, h.segment_id, h.t_ms ORDER BY round(list_dot_product(h.embedding, c.centroid), 9) DESC, c.speaker) = 1"""))
+
 
+def label_changes(windows):
+    """(chunk_id, segment_id, cut_ms, speaker) where the smoothed label of a segment's windows changes, and the smoothed label
+    that each segment starts with."""
+    keyed = windows.withColumn("chunk_id", F.struct("chunk_id", "segment_id"))
+    order = W.partitionBy("chunk_id").orderBy("t_ms")
+    x = sequences.smooth_runs(keyed, "t_ms").withColumn("before", F.lag("speaker").over(order)).select("chunk_id.*", "t_ms", "speaker", "before")
+    return x.where("before <> speaker").select("chunk_id", "segment_id", col("t_ms").alias("cut_ms"), "speaker"), x.where("before IS NULL").select("chunk_id", "segment_id", col("speaker").alias("first"))
 
-def QUERY_SLIDING(s, d):
-    return T.segments(s, d).where("end_ms - start_ms >= 600").select("chunk_id", "segment_id", F.explode(F.sequence(col("start_ms"), col("end_ms") - 600, F.lit(200).cast("long"))).alias("t_ms"))
 
+def sliding_split(segments, windows, words):
+    """Segments cut where their windows' speaker changes; a piece carries the smoothed speaker."""
+    changes, first = label_changes(windows)
+    named = segments.join(first, ["chunk_id", "segment_id"], "left").join(changes.select("chunk_id", "segment_id").distinct().withColumn("cut", F.lit(True)), ["chunk_id", "segment_id"], "left")
+    return refine.split_segments(named.withColumn("speaker", F.when(col("cut"), col("first")).otherwise(col("speaker"))), changes, words, need_words=True)
 
-add("e18_sliding_split", lambda s, d: refine.split_segments(T.segments(s, d), label_changes(s, d), T.words(s, d), need_words=True))
+
+add("e18_sliding_split", lambda s, d: sliding_split(vector_segments(s, d), window_speakers(s, d), T.words(s, d)))
 add("h12_parse_fields", lambda s, d: refine.parse_fields(T.segments(s, d).select(col("chunk_id").alias("batch_id"), "segment_id", F.concat(F.lit("["), "segment_id", F.lit("]\nKorean: "), "text", F.lit("\nwent on\n\nemotion： "), "emotion", F.lit("\nTONE: soft")).alias("r")).groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "r"))), lambda x: x["r"]), "\n").alias("response"))),
     wt("segments", "SELECT chunk_id AS batch_id, segment_id AS idx, text || ' went on' AS korean, CAST(NULL AS VARCHAR) AS context, emotion, 'soft' AS tone FROM segments"))
 add("j3_udtf_tokens", lambda s, d: (s.udtf.register("tokenise_words", refine.TokeniseWords), T.table(s, d, "documents").createOrReplaceTempView("timeweave_documents"), s.sql("SELECT doc_id, pos, word FROM timeweave_documents, LATERAL tokenise_words(text)"))[2].groupBy("doc_id").agg(F.count("*").alias("n")),
     r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS w FROM documents) GROUP BY 1")
 
 # Streaming twins: the same rows as a batch, through a stream over files.
-add("i1_log_status_stream", lambda s, d: replay(T.train_lines(s, d), monitor.log_status, "complete").select("log", "step", "total", F.round("mean_loss", 6).alias("mean_loss"), "crashed"),
-    wt("train_lines", r"SELECT log, arg_max(CAST(regexp_extract(line, '(\d+)/(\d+) \[', 1) AS BIGINT), seq) AS step, arg_max(CAST(regexp_extract(line, '(\d+)/(\d+) \[', 2) AS BIGINT), seq) AS total, round(avg(CAST(regexp_extract(line, 'step_loss=([\d.]+)', 1) AS DOUBLE)), 6) AS mean_loss, false AS crashed FROM train_lines GROUP BY 1"))
+def log_state(s, d):
+    """Last state of every log, from a stream over its lines."""
+    out = replay(T.train_lines(s, d).repartition("log"), monitor.log_status, "append")
+    last = out.groupBy("log").agg(F.max_by(F.struct("step", "total", "mean_loss", "eta_s", "done", "crashed"), "seq").alias("s")).select("log", "s.*")
+    return last.withColumns({"mean_loss": F.round("mean_loss", 6), "eta_s": F.round("eta_s", 6)})
+
+
+add("i1_log_status_stream", log_state, wt("train_lines", r"""+p AS (SELECT log, seq, CAST(regexp_extract(line, '(\d+)/(\d+) \[', 1) AS BIGINT) AS step, CAST(regexp_extract(line, '(\d+)/(\d+) \[', 2) AS BIGINT) AS total, CAST(regexp_extract(line, 'step_loss=([\d.]+)', 1) AS DOUBLE) AS loss, contains(line, 's/it') AS slow FROM train_lines),
+  m AS (SELECT *, avg(loss) OVER (PARTITION BY log ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS mean_loss FROM p),
+  l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY log ORDER BY seq DESC) = 1)
+  SELECT log, step, total, round(mean_loss, 6) AS mean_loss, CASE WHEN total > step THEN round((total - step) / CASE WHEN slow THEN 1 / CAST(2.5 AS DOUBLE) ELSE CAST(2.5 AS DOUBLE) END, 6) END AS eta_s, step >= total AS done, false AS crashed FROM l"""))
 stamped = lambda df, ms: df.withColumn("ts", F.timestamp_millis(ms))
 add("i4_level_stream", lambda s, d: replay(stamped(T.samples(s, d), col("idx") * 10), monitor.level_stream, "complete").select("clip_id", F.unix_timestamp("second").alias("second"), F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak")),
     wt("samples", "SELECT clip_id, idx // 100 AS second, round(sqrt(avg(CAST(value AS DOUBLE) * value)), 6) AS rms, round(max(abs(CAST(value AS DOUBLE))), 6) AS peak FROM samples GROUP BY 1, 2"))
 add("i5_speaker_windows_stream", lambda s, d: replay(stamped(T.turns(s, d).select("chunk_id", "speaker", "start_ms"), col("start_ms") + 1000), monitor.speaker_windows, "complete").select("chunk_id", "speaker", F.unix_millis("start").alias("start_ms"), "n"),
     wt("turns", "SELECT chunk_id, speaker, ((start_ms + 1000) // 200 - k) * 200 AS start_ms, count(*) AS n FROM turns, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1, 2, 3"))
-add("i6_utterances_stream", lambda s, d: replay(stamped(T.words(s, d).select("chunk_id", "word_idx", "start_ms"), col("start_ms")), lambda x: monitor.utterances(x, "900 milliseconds"), "complete").select("chunk_id", F.unix_millis("start").alias("start_ms"), "n", "first_word", "last_word"),
-    wt("words", "+b AS (SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY chunk_id ORDER BY word_idx) <= 900 THEN 0 ELSE 1 END AS new FROM words), c AS (SELECT *, sum(new) OVER (PARTITION BY chunk_id ORDER BY word_idx) AS u FROM b) SELECT chunk_id, min(start_ms) AS start_ms, count(*) AS n, min(word_idx) AS first_word, max(word_idx) AS last_word FROM c GROUP BY chunk_id, u"))
+def capped(s, d):
+    """Utterances that a silence or fifteen seconds close; an open one comes again with every batch, the longest counts."""
+    words = stamped(T.words(s, d).select("chunk_id", "word_idx", "start_ms", "end_ms"), col("start_ms")).repartition("chunk_id")
+    out = replay(words, monitor.utterances, "append")
+    return out.groupBy("chunk_id", "first_word").agg(F.max("last_word").alias("last_word"), F.min("start_ms").alias("start_ms"), F.max("n").alias("n"))
+
+
+add("i6_utterances_stream", capped, wt("words", """+u AS (SELECT chunk_id, word_idx, CAST(0 AS BIGINT) AS u, start_ms AS s, end_ms AS e FROM words WHERE word_idx = 0
+    UNION ALL SELECT w.chunk_id, w.word_idx, CASE WHEN br THEN u + 1 ELSE u END, CASE WHEN br THEN w.start_ms ELSE s END, w.end_ms FROM (SELECT w.*, g.u, g.s, w.start_ms - g.e > 1500 OR g.e - g.s >= 15000 AS br FROM u g JOIN words w ON w.chunk_id = g.chunk_id AND w.word_idx = g.word_idx + 1) w)
+  SELECT chunk_id, min(word_idx) AS first_word, max(word_idx) AS last_word, min(s) AS start_ms, count(*) AS n FROM u GROUP BY chunk_id, u""", recursive=True))
 add("i7_drop_resent_stream", lambda s, d: replay(stamped(T.table(s, d, "documents").select(col("text").alias("content")), F.lit(1000)), monitor.drop_resent, "append").select("fingerprint"),
     "SELECT md5(text) AS fingerprint FROM documents GROUP BY 1")
-add("i2_alerts_stream", lambda s, d: replay(T.train_lines(s, d).select("log", "seq", col("seq").alias("step"), (8000 + (col("seq") * 37 + F.length("log") * 991) % 7800).alias("used"), (200 - col("seq") % 170).alias("free")).coalesce(1), monitor.alert_stream, "append"),
-    wt("train_lines", "+x AS (SELECT log, seq, 8000 + (seq * 37 + length(log) * 991) % 7800 AS used, 200 - seq % 170 AS free FROM train_lines), y AS (SELECT *, max(used) OVER (PARTITION BY log ORDER BY seq) AS peak FROM x), z AS (SELECT *, lag(peak, 4) OVER (PARTITION BY log ORDER BY seq) AS old FROM y) SELECT log, seq, peak, peak > CAST(0.92 AS DOUBLE) * 16000 AS memory, coalesce(old > 0 AND peak > CAST(1.1 AS DOUBLE) * old, false) AS growth, free < 50 AS disk, false AS stalled FROM z"))
+
+
+def alerts(s, d):
+    p = T.train_lines(s, d).select("log", "seq", parse_step(col("line")).alias("p")).select("log", "seq", "p.step", "p.loss")
+    x = p.withColumn("used", 8000 + (col("seq") * 37 + F.length("log") * 991) % 7800).withColumn("free", 200 - col("seq") % 170)
+    return replay(x.repartition("log"), monitor.alert_stream, "append")
+
+
+add("i2_alerts_stream", alerts, ALERTS_SQL)

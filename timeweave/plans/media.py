@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from timeweave.functions import planning, text, vectors
-from timeweave.operators import joins, sequences
-from timeweave.plans.timelines import COUNTS, TARGETS, face_counts, frame_targets
+from timeweave.operators import joins, refine, sequences
+from timeweave.operators.refine import NUMBERED_LINE
+from timeweave.plans import timelines
+from timeweave.plans.scalars import KIND
+from timeweave.plans.timelines import COLLAPSE, COUNTS, RASTER, SPINE, face_counts
 from timeweave.sources import timeline as T
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -21,12 +24,12 @@ def add(name: str, query, sql: str | None = None) -> None:
 
 
 def boxes(s, d):
-    """Detected boxes: every third face box, moved a little."""
-    return T.face_frames(s, d).where("(frame + track) % 3 = 0").select("chunk_id", "frame", col("track").alias("face"), (col("x1") + 9).alias("x1"), (col("y1") + 7).alias("y1"), (col("x2") + 9).alias("x2"), (col("y2") + 7).alias("y2"))
+    """Detected boxes: the face boxes, moved a little."""
+    return T.face_frames(s, d).select("chunk_id", "frame", col("track").alias("face"), (col("x1") + 9).alias("x1"), (col("y1") + 7).alias("y1"), (col("x2") + 9).alias("x2"), (col("y2") + 7).alias("y2"))
 
 
 def match_faces(s, d):
-    f = T.face_frames(s, d).where("chunk_id % 4 <> 1")
+    f = T.face_frames(s, d).where("score > -2")
     present = f.select("chunk_id").distinct().withColumn("known", F.lit(True))
     side = lambda p: [col(f"{p}.{c}") for c in ("x1", "y1", "x2", "y2")]
     b = boxes(s, d)
@@ -37,29 +40,42 @@ def match_faces(s, d):
 
 
 IOU = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
-add("c10_match_faces", match_faces, wt("face_frames", f"""+bx AS (SELECT chunk_id, frame, track AS face, x1 + 9 AS x1, y1 + 7 AS y1, x2 + 9 AS x2, y2 + 7 AS y2 FROM face_frames WHERE (frame + track) % 3 = 0), f AS (SELECT * FROM face_frames WHERE chunk_id % 4 <> 1),
+add("c10_match_faces", match_faces, wt("face_frames", f"""+bx AS (SELECT chunk_id, frame, track AS face, x1 + 9 AS x1, y1 + 7 AS y1, x2 + 9 AS x2, y2 + 7 AS y2 FROM face_frames), f AS (SELECT * FROM face_frames WHERE score > -2),
   sc AS (SELECT a.chunk_id, a.frame, a.face, b.track, b.score, {IOU} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {IOU}) AS iou FROM bx a JOIN f b USING (chunk_id, frame)),
   bs AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY chunk_id, frame, face ORDER BY iou DESC, track) = 1)
   SELECT bx.chunk_id, bx.frame, bx.face, CASE WHEN bx.chunk_id NOT IN (SELECT chunk_id FROM f) THEN NULL WHEN bs.iou IS NULL OR bs.iou < 0.2 THEN false ELSE bs.score >= 0 END AS speaking FROM bx LEFT JOIN bs USING (chunk_id, frame, face)"""))
 
 
 def chunk_frames(s, d):
-    c = T.face_frames(s, d).groupBy("chunk_id").agg((F.max("frame") + 1).alias("n_frames"))
-    return c.withColumn("first", F.coalesce(F.sum("n_frames").over(W.orderBy("chunk_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    """Frames of each chunk on its video's own timeline: a video takes every tenth chunk."""
+    c = T.face_frames(s, d).groupBy("chunk_id").agg((F.max("frame") + 1).alias("n_frames")).withColumn("video", col("chunk_id") % 10)
+    before = W.partitionBy("video").orderBy("chunk_id").rowsBetween(W.unboundedPreceding, -1)
+    return c.withColumn("first", F.coalesce(F.sum("n_frames").over(before), F.lit(0)))
 
 
-CHUNKS = "ch AS (SELECT chunk_id, n_frames, CAST(coalesce(sum(n_frames) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM (SELECT chunk_id, max(frame) + 1 AS n_frames FROM face_frames GROUP BY 1))"
-add("c11_locate_chunk", lambda s, d: T.samples(s, d).where("clip_id = 0").select(col("idx").alias("g")).join(F.broadcast(chunk_frames(s, d)), (col("g") * 9 >= col("first")) & (col("g") * 9 < col("first") + col("n_frames"))).select("g", "chunk_id", (col("g") * 9 - col("first")).alias("frame")),
-    wt("face_frames samples", f"+{CHUNKS} SELECT idx AS g, chunk_id, idx * 9 - first AS frame FROM samples JOIN ch ON idx * 9 >= first AND idx * 9 < first + n_frames WHERE clip_id = 0"))
+def locate(s, d):
+    """C11: chunk and frame of each ninth frame of a video; frames and chunks meet by range in buckets."""
+    at = T.samples(s, d).select(col("clip_id").alias("video"), col("idx").alias("g"), (col("idx") * 9).alias("start_ms"), (col("idx") * 9).alias("end_ms"))
+    span = chunk_frames(s, d).select("video", "chunk_id", col("first").alias("start_ms"), (col("first") + col("n_frames") - 1).alias("end_ms"))
+    return joins.range_join(at, span, "video", 1000).select("l.video", "l.g", "r.chunk_id", (col("l.start_ms") - col("r.start_ms")).alias("frame"))
+
+
+CHUNKS = """ch AS (SELECT chunk_id, n_frames, chunk_id % 10 AS video, CAST(coalesce(sum(n_frames) OVER (PARTITION BY chunk_id % 10 ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first
+  FROM (SELECT chunk_id, max(frame) + 1 AS n_frames FROM face_frames GROUP BY 1))"""
+add("c11_locate_chunk", locate, wt("face_frames samples", f"+{CHUNKS} SELECT video, idx AS g, chunk_id, idx * 9 - first AS frame FROM samples JOIN ch ON clip_id = video AND idx * 9 >= first AND idx * 9 < first + n_frames"))
 add("c12_with_media_pending", lambda s, d: T.table(s, d, "pages").select(col("page_id").alias("id"), F.length("html").alias("size")).join(T.table(s, d, "documents").select(col("doc_id").alias("id")), "id", "left_semi").join(T.table(s, d, "labels").select(col("doc_id").alias("id")), "id", "left_anti").where("size > 1024"),
     "SELECT page_id AS id, CAST(length(html) AS INTEGER) AS size FROM pages WHERE page_id IN (SELECT doc_id FROM documents) AND page_id NOT IN (SELECT doc_id FROM labels) AND length(html) > 1024")
 def clips(s, d):
-    return T.samples(s, d).where("clip_id = 1").select("idx", col("value").alias("a")), T.samples(s, d).where("clip_id = 2 AND idx % 11 <> 3").select("idx", col("value").alias("b"))
+    """Each clip's samples beside those of the next clip, the last beside the first's."""
+    x = T.samples(s, d)
+    return x.select(col("clip_id").alias("clip"), "idx", col("value").alias("a")), x.select(((col("clip_id") + 9) % 10).alias("clip"), "idx", col("value").alias("b"))
+
+
+CLIPS = "+a AS (SELECT clip_id AS clip, idx, value AS a FROM samples), b AS (SELECT (clip_id + 9) % 10 AS clip, idx, value AS b FROM samples)"
+add("c14_c15_mix_samples", lambda s, d: clips(s, d)[0].join(clips(s, d)[1], ["clip", "idx"]).select("clip", "idx", F.round(col("a") - col("b"), 6).alias("difference"), F.round(0.8 * col("a") + 0.3 * col("b"), 6).alias("mix")),
+    wt("samples", CLIPS + " SELECT clip, idx, round(a - b, 6) AS difference, round(CAST(0.8 AS DOUBLE) * a + CAST(0.3 AS DOUBLE) * b, 6) AS mix FROM a JOIN b USING (clip, idx)"))
 
 
-CLIPS = "+a AS (SELECT idx, value AS a FROM samples WHERE clip_id = 1), b AS (SELECT idx, value AS b FROM samples WHERE clip_id = 2 AND idx % 11 <> 3)"
-add("c14_c15_mix_samples", lambda s, d: clips(s, d)[0].join(clips(s, d)[1], "idx").select("idx", F.round(col("a") - col("b"), 6).alias("difference"), F.round(0.8 * col("a") + 0.3 * col("b"), 6).alias("mix")),
-    wt("samples", CLIPS + " SELECT idx, round(a - b, 6) AS difference, round(CAST(0.8 AS DOUBLE) * a + CAST(0.3 AS DOUBLE) * b, 6) AS mix FROM a JOIN b USING (idx)"))
 def masked(s, d):
     x = T.samples(s, d).select(col("clip_id").alias("chunk_id"), "idx", "value", (col("idx") * 10).alias("start_ms"), (col("idx") * 10).alias("end_ms"))
     inside = joins.range_join(x, T.speech(s, d)).select(col("l.chunk_id").alias("chunk_id"), col("l.idx").alias("idx")).distinct().withColumn("in", F.lit(True))
@@ -69,26 +85,47 @@ def masked(s, d):
 add("c16_mask_outside", masked, wt("samples speech", "SELECT clip_id AS chunk_id, idx, CASE WHEN EXISTS (SELECT 1 FROM speech p WHERE p.chunk_id = s.clip_id AND s.idx * 10 BETWEEN p.start_ms AND p.end_ms) THEN CAST(value AS DOUBLE) ELSE 0 END AS value FROM samples s"))
 
 
+def scored(s, d):
+    """Segments; every third chunk was never scored."""
+    return T.segments(s, d).withColumn("tts_mos", F.when(col("chunk_id") % 3 != 0, col("tts_mos")))
+
+
 def best_references(s, d):
-    """F1: per chunk, speaker and emotion the best scored segment, the first on a tie."""
-    return T.segments(s, d).groupBy("chunk_id", "speaker", "emotion").agg(F.max_by(F.struct("segment_id", F.least(col("end_ms") - col("start_ms"), F.lit(15000)).alias("clip_ms")), F.struct("tts_mos", -col("segment_id"))).alias("r")).select("chunk_id", "speaker", "emotion", "r.*")
+    """F1: per chunk, speaker and emotion the best scored segment, without scores the longest; the first on a tie."""
+    dur = col("end_ms") - col("start_ms")
+    first = F.struct("tts_mos", F.when(col("tts_mos").isNull(), dur), -col("segment_id"))
+    return scored(s, d).groupBy("chunk_id", "speaker", "emotion").agg(F.max_by(F.struct("segment_id", F.least(dur, F.lit(15000)).alias("clip_ms")), first).alias("r")).select("chunk_id", "speaker", "emotion", "r.*")
 
 
-BEST = "bref AS (SELECT chunk_id, speaker, emotion, segment_id, least(end_ms - start_ms, 15000) AS clip_ms FROM segments QUALIFY row_number() OVER (PARTITION BY chunk_id, speaker, emotion ORDER BY tts_mos DESC, segment_id) = 1)"
+BEST = """bref AS (SELECT chunk_id, speaker, emotion, segment_id, least(end_ms - start_ms, 15000) AS clip_ms FROM segments
+  QUALIFY row_number() OVER (PARTITION BY chunk_id, speaker, emotion ORDER BY CASE WHEN chunk_id % 3 <> 0 THEN tts_mos ELSE end_ms - start_ms END DESC, segment_id) = 1)"""
 add("f1_best_references", best_references, wt("segments", f"+{BEST} SELECT * FROM bref"))
 
 
 def looked_up(s, d):
+    """C17: reference of a segment's speaker and emotion, else the neutral one, else its own audio, wider where it is short."""
     p = best_references(s, d).select("chunk_id", "speaker", "emotion", col("segment_id").alias("ref"))
-    asked = T.segments(s, d).select("chunk_id", "segment_id", "speaker", F.when(col("segment_id") % 2 == 0, "Scared").otherwise(col("emotion")).alias("emotion"))
+    asked = T.segments(s, d).select("chunk_id", "segment_id", "speaker", F.when(col("segment_id") % 2 == 0, "Scared").otherwise(col("emotion")).alias("emotion"), "start_ms", "end_ms")
     neutral = p.where("emotion = 'Neutral'").select("chunk_id", "speaker", col("ref").alias("neutral"))
-    return asked.join(p, ["chunk_id", "speaker", "emotion"], "left").join(neutral, ["chunk_id", "speaker"], "left").select("chunk_id", "segment_id", F.coalesce("ref", "neutral").alias("ref"))
+    x = asked.join(p, ["chunk_id", "speaker", "emotion"], "left").join(neutral, ["chunk_id", "speaker"], "left").withColumn("ref", F.coalesce("ref", "neutral"))
+    pad = F.when(col("end_ms") - col("start_ms") < 2000, 500).otherwise(0)
+    own = lambda c: F.when(col("ref").isNull(), c)
+    return x.select("chunk_id", "segment_id", "ref", own(F.greatest(F.lit(0), col("start_ms") - pad)).alias("self_start_ms"), own(col("end_ms") + pad).alias("self_end_ms"))
+
 
+add("c17_lookup_reference", looked_up, wt("segments", f"""+{BEST}, q AS (SELECT chunk_id, segment_id, speaker, start_ms, end_ms, CASE WHEN end_ms - start_ms < 2000 THEN 500 ELSE 0 END AS pad, CASE WHEN segment_id % 2 = 0 THEN 'Scared' ELSE emotion END AS emotion FROM segments),
+  x AS (SELECT q.*, coalesce(a.segment_id, n.segment_id) AS ref FROM q LEFT JOIN bref a ON a.chunk_id = q.chunk_id AND a.speaker = q.speaker AND a.emotion = q.emotion LEFT JOIN bref n ON n.chunk_id = q.chunk_id AND n.speaker = q.speaker AND n.emotion = 'Neutral')
+  SELECT chunk_id, segment_id, ref, CASE WHEN ref IS NULL THEN greatest(0, start_ms - pad) END AS self_start_ms, CASE WHEN ref IS NULL THEN end_ms + pad END AS self_end_ms FROM x"""))
 
-add("c17_lookup_reference", looked_up, wt("segments", f"""+{BEST}, q AS (SELECT chunk_id, segment_id, speaker, CASE WHEN segment_id % 2 = 0 THEN 'Scared' ELSE emotion END AS emotion FROM segments)
-  SELECT q.chunk_id, q.segment_id, coalesce(a.segment_id, n.segment_id) AS ref FROM q LEFT JOIN bref a ON a.chunk_id = q.chunk_id AND a.speaker = q.speaker AND a.emotion = q.emotion LEFT JOIN bref n ON n.chunk_id = q.chunk_id AND n.speaker = q.speaker AND n.emotion = 'Neutral'"""))
-add("c20_paired", lambda s, d: sequences.global_rank(clips(s, d)[0], "idx").join(sequences.global_rank(clips(s, d)[1], "idx"), "r").where("(r - 1) % 20 = 0").select("r", F.round(F.abs(col("a") - col("b")), 6).alias("diff")),
-    wt("samples", CLIPS + ", x AS (SELECT *, row_number() OVER (ORDER BY idx) AS r FROM a), y AS (SELECT *, row_number() OVER (ORDER BY idx) AS r FROM b) SELECT CAST(r AS BIGINT) AS r, round(abs(x.a - y.b), 6) AS diff FROM x JOIN y USING (r) WHERE (r - 1) % 20 = 0"))
+
+def paired(s, d):
+    """C20: every twentieth pair of a clip's and the next clip's samples, by rank."""
+    a, b = (sequences.global_rank(x, "idx", ["clip"]) for x in clips(s, d))
+    return a.drop("idx").join(b.drop("idx"), ["clip", "r"]).where("(r - 1) % 20 = 0").select("clip", "r", F.round(F.abs(col("a") - col("b")), 6).alias("diff"))
+
+
+add("c20_paired", paired, wt("samples", CLIPS + """, x AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY idx) AS r FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY idx) AS r FROM b)
+  SELECT clip, CAST(r AS BIGINT) AS r, round(abs(x.a - y.b), 6) AS diff FROM x JOIN y USING (clip, r) WHERE (r - 1) % 20 = 0"""))
 
 
 def bins(s, d):
@@ -99,28 +136,29 @@ def bins(s, d):
 
 BINS = "bins AS (SELECT clip_id, idx // 100 AS second, round(sqrt(avg(value * value)), 6) AS rms, round(max(abs(value)), 6) AS peak, sqrt(avg(value * value)) > 0.05 AS speech, sqrt(avg(value * value)) > 0.01 AS audio FROM (SELECT clip_id, idx, CAST(value AS DOUBLE) AS value FROM samples) GROUP BY 1, 2 HAVING count(*) = 100)"
 add("d11_level_bins", bins, wt("samples", f"+{BINS} SELECT * FROM bins"))
-add("c21_align_bins", lambda s, d: bins(s, d).where("clip_id < 3").groupBy("second").pivot("clip_id", [0, 1, 2]).agg(F.first("rms")).toDF("second", "original", "final", "dubbed"),
-    wt("samples", f"+{BINS} SELECT second, max(rms) FILTER (WHERE clip_id = 0) AS original, max(rms) FILTER (WHERE clip_id = 1) AS final, max(rms) FILTER (WHERE clip_id = 2) AS dubbed FROM bins WHERE clip_id < 3 GROUP BY 1"))
+add("c21_align_bins", lambda s, d: bins(s, d).withColumn("take", F.expr("clip_id div 3")).withColumn("role", col("clip_id") % 3).groupBy("take", "second").pivot("role", [0, 1, 2]).agg(F.first("rms")).toDF("take", "second", "original", "final", "dubbed"),
+    wt("samples", f"+{BINS} SELECT clip_id // 3 AS take, second, max(rms) FILTER (WHERE clip_id % 3 = 0) AS original, max(rms) FILTER (WHERE clip_id % 3 = 1) AS final, max(rms) FILTER (WHERE clip_id % 3 = 2) AS dubbed FROM bins GROUP BY 1, 2"))
 add("a15_downmix", lambda s, d: T.samples(s, d).groupBy("idx").agg(F.round(F.avg("value"), 6).alias("value")), wt("samples", "SELECT idx, round(avg(CAST(value AS DOUBLE)), 6) AS value FROM samples GROUP BY 1"))
-add("d12_word_level", lambda s, d: joins.range_join(T.words(s, d).where("chunk_id < 10"), T.samples(s, d).select(col("clip_id").alias("chunk_id"), (col("idx") * 10).alias("start_ms"), (col("idx") * 10).alias("end_ms"), "value")).groupBy(col("l.chunk_id").alias("chunk_id"), col("l.word_idx").alias("word_idx")).agg(F.round(F.sqrt(F.avg(col("r.value") * col("r.value"))), 6).alias("rms")),
-    wt("words samples", "SELECT w.chunk_id, w.word_idx, round(sqrt(avg(CAST(value AS DOUBLE) * value)), 6) AS rms FROM words w JOIN samples s ON s.clip_id = w.chunk_id AND s.idx * 10 BETWEEN w.start_ms AND w.end_ms GROUP BY 1, 2"))
+def word_levels(s, d):
+    """Level of the audio under each word; a chunk's audio is the clip of its last digit."""
+    heard = T.samples(s, d).select("clip_id", (col("idx") * 10).alias("start_ms"), (col("idx") * 10).alias("end_ms"), "value")
+    both = joins.range_join(T.words(s, d).withColumn("clip_id", col("chunk_id") % 10), heard, "clip_id")
+    return both.groupBy(col("l.chunk_id").alias("chunk_id"), col("l.word_idx").alias("word_idx")).agg(F.round(F.sqrt(F.avg(col("r.value") * col("r.value"))), 6).alias("rms"))
 
 
-def parsed(s, d):
-    """Numbered answers; a line without a number goes on with the one before, joined by a blank."""
-    lines = T.responses(s, d).select("batch_id", F.posexplode(F.split("response", "\n")).alias("line_no", "line"))
-    w = W.partitionBy("batch_id").orderBy("line_no")
-    pattern = r"^\s*[\[\(]?(\d+)[\]\)]?\s*[\.\:\)]?\s+(.*)$"
-    marked = lines.withColumn("line", F.rtrim("line")).withColumn("own", F.when(col("line").rlike(pattern), F.regexp_extract("line", pattern, 1).cast("long"))).withColumn("idx", F.last("own", ignorenulls=True).over(w)).where("idx is not null")
-    said = F.when(col("own").isNotNull(), F.regexp_extract("line", pattern, 2)).otherwise(F.trim("line"))
-    parts = marked.withColumn("said", said).where("own is not null OR said <> ''")
-    return parts.groupBy("batch_id", "idx").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"]), " ")).alias("said"))
+LEVELS = "levels AS (SELECT w.chunk_id, w.word_idx, round(sqrt(avg(CAST(value AS DOUBLE) * value)), 6) AS rms FROM words w JOIN samples s ON s.clip_id = w.chunk_id % 10 AND s.idx * 10 BETWEEN w.start_ms AND w.end_ms GROUP BY 1, 2)"
+add("d12_word_level", word_levels, wt("words samples", f"+{LEVELS} SELECT * FROM levels"))
+add("e1_contaminated", lambda s, d: sequences.contaminated(T.words(s, d), word_levels(s, d)), wt("words samples", f"""+{LEVELS}, x AS (SELECT *, end_ms - start_ms AS d, lead(start_ms) OVER w - end_ms AS g FROM words WINDOW w AS (PARTITION BY chunk_id ORDER BY word_idx)),
+  y AS (SELECT *, lead(d) OVER w AS d1, lead(d, 2) OVER w AS d2, lead(g) OVER w AS g1 FROM x WINDOW w AS (PARTITION BY chunk_id ORDER BY word_idx)),
+  z AS (SELECT *, coalesce(abs(d - d1) < 50 AND abs(d1 - d2) < 50 AND abs(g - g1) < 50 AND d > 1000 AND g > 300, false) AS run FROM y)
+  SELECT chunk_id, word_idx, d > 3000 OR d < 20 AS bad_length, max(run) OVER (PARTITION BY chunk_id ORDER BY word_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS bad_rhythm, coalesce(rms < 0.005, true) AS bad_level FROM z LEFT JOIN levels USING (chunk_id, word_idx)"""))
 
 
-NUMBERED = r"""ln0 AS (SELECT batch_id, unnest(string_split(response, chr(10))) AS line, unnest(range(0, len(string_split(response, chr(10))))) AS no FROM responses),
-  ln1 AS (SELECT batch_id, no, rtrim(line) AS line, CASE WHEN regexp_matches(rtrim(line), '^\s*[\[\(]?(\d+)[\]\)]?\s*[\.\:\)]?\s+(.*)$') THEN CAST(regexp_extract(rtrim(line), '^\s*[\[\(]?(\d+)[\]\)]?\s*[\.\:\)]?\s+(.*)$', 1) AS BIGINT) END AS own FROM ln0),
+parsed = lambda s, d: refine.parse_numbered(T.responses(s, d))
+NUMBERED = rf"""ln0 AS (SELECT batch_id, unnest(string_split(response, chr(10))) AS line, unnest(range(0, len(string_split(response, chr(10))))) AS no FROM responses),
+  ln1 AS (SELECT batch_id, no, rtrim(line) AS line, CASE WHEN regexp_matches(rtrim(line), '{NUMBERED_LINE}') THEN CAST(regexp_extract(rtrim(line), '{NUMBERED_LINE}', 1) AS BIGINT) END AS own FROM ln0),
   ln2 AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY batch_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS idx FROM ln1),
-  ln3 AS (SELECT batch_id, idx, no, own, CASE WHEN own IS NOT NULL THEN regexp_extract(line, '^\s*[\[\(]?(\d+)[\]\)]?\s*[\.\:\)]?\s+(.*)$', 2) ELSE trim(line) END AS said FROM ln2 WHERE idx IS NOT NULL),
+  ln3 AS (SELECT batch_id, idx, no, own, CASE WHEN own IS NOT NULL THEN regexp_extract(line, '{NUMBERED_LINE}', 2) ELSE trim(line) END AS said FROM ln2 WHERE idx IS NOT NULL),
   parsed AS (SELECT batch_id, idx, trim(string_agg(said, ' ' ORDER BY no)) AS said FROM ln3 WHERE own IS NOT NULL OR said <> '' GROUP BY 1, 2)"""
 add("h11_parse_numbered", parsed, wt("responses", f"+{NUMBERED} SELECT * FROM parsed"))
 expected = lambda s, d: T.responses(s, d).select("batch_id", "n_expected", F.explode(F.sequence(F.lit(0).cast("long"), col("n_expected") - 1)).alias("idx"))
@@ -131,12 +169,36 @@ add("c23_apply_responses", lambda s, d: T.segments(s, d).join(parsed(s, d).selec
     wt("segments responses", f"+{NUMBERED} SELECT s.chunk_id, s.segment_id, coalesce(nullif(p.said, ''), '') AS translated FROM segments s LEFT JOIN parsed p ON p.batch_id = s.chunk_id AND p.idx = s.segment_id"))
 add("d5_speaker_stats", lambda s, d: T.turns(s, d).groupBy("chunk_id", "speaker").agg(F.sum(col("end_ms") - col("start_ms")).alias("talk_ms"), F.count("*").alias("turns"), F.count_if(col("end_ms") - col("start_ms") >= 1000).alias("long_turns")),
     wt("turns", "SELECT chunk_id, speaker, CAST(sum(end_ms - start_ms) AS BIGINT) AS talk_ms, count(*) AS turns, count(*) FILTER (WHERE end_ms - start_ms >= 1000) AS long_turns FROM turns GROUP BY 1, 2"))
-add("d8_av_coverage", lambda s, d: T.face_frames(s, d).groupBy("chunk_id").agg(F.count_distinct("frame").alias("face_frames")).join(frame_targets(s, d).groupBy("chunk_id").agg(F.count("*").alias("target_frames")), "chunk_id").withColumn("percent", F.round(col("target_frames") * 100.0 / 1000, 6)),
-    wt("face_frames face_turns", f"+{TARGETS} SELECT f.chunk_id, f.n AS face_frames, t.n AS target_frames, round(CAST(t.n AS DOUBLE) * 100 / 1000, 6) AS percent FROM (SELECT chunk_id, count(DISTINCT frame) AS n FROM face_frames GROUP BY 1) f JOIN (SELECT chunk_id, count(*) AS n FROM targets GROUP BY 1) t USING (chunk_id)"))
+
+
+def coverage(s, d):
+    """Frames with speech, with a face and with a target, of all frames of a chunk."""
+    spine = joins.rasterise(T.face_turns(s, d), 25, timelines.chunk_frames(s, d))
+    seen = T.face_frames(s, d).groupBy("chunk_id", "frame").agg(F.max("score").alias("best"))
+    x = spine.join(seen, ["chunk_id", "frame"], "left").groupBy("chunk_id").agg(
+        F.count("*").alias("n_frames"), F.count("speaker").alias("audio_frames"), F.count("best").alias("face_frames"), F.count_if(col("speaker").isNotNull() & (col("best") > -0.5)).alias("target_frames"))
+    return x.select("*", *[F.round(col(f"{k}_frames") * 100.0 / col("n_frames"), 6).alias(f"{k}_percent") for k in ("audio", "face", "target")])
+
+
+add("d8_av_coverage", coverage, wt("face_frames face_turns", f"""+{RASTER}, {SPINE}, x AS (SELECT s.chunk_id, s.frame, r.speaker, b.best FROM spine s LEFT JOIN raster r USING (chunk_id, frame) LEFT JOIN (SELECT chunk_id, frame, max(score) AS best FROM face_frames GROUP BY 1, 2) b USING (chunk_id, frame)),
+  y AS (SELECT chunk_id, count(*) AS n_frames, count(speaker) AS audio_frames, count(best) AS face_frames, count(*) FILTER (WHERE speaker IS NOT NULL AND best > -0.5) AS target_frames FROM x GROUP BY 1)
+  SELECT *, """ + ", ".join(f"round(CAST({k}_frames AS DOUBLE) * 100 / n_frames, 6) AS {k}_percent" for k in ("audio", "face", "target")) + " FROM y"))
 add("d9_track_summary", lambda s, d: T.face_frames(s, d).groupBy("chunk_id", "track").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n"), F.round(F.avg((col("score") > 0).cast("double")) * 100, 6).alias("speaking"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("peak")),
     wt("face_frames", "SELECT chunk_id, track, min(frame) AS first, max(frame) AS last, count(*) AS n, round(avg(CAST(score > 0 AS DOUBLE)) * 100, 6) AS speaking, round(avg(CAST(score AS DOUBLE)), 6) AS mean, round(max(CAST(score AS DOUBLE)), 6) AS peak FROM face_frames GROUP BY 1, 2"))
-add("d10_skip_stats", lambda s, d: T.face_frames(s, d).groupBy("chunk_id", "frame").agg(F.max("score").alias("score")).groupBy("chunk_id").agg(F.count("*").alias("covered"), F.count_if(col("score") < 0).alias("skipped")).withColumn("kept", 1000 - col("skipped")),
-    wt("face_frames", "SELECT chunk_id, count(*) AS covered, count(*) FILTER (WHERE score < 0) AS skipped, 1000 - count(*) FILTER (WHERE score < 0) AS kept FROM (SELECT chunk_id, frame, max(score) AS score FROM face_frames GROUP BY 1, 2) GROUP BY 1"))
+
+
+def frame_scores(s, d):
+    """Best score of every frame on its video's timeline, and whether it is skipped; frames without a face are kept."""
+    at = chunk_frames(s, d).select("video", "chunk_id", "first", "n_frames")
+    best = T.face_frames(s, d).groupBy("chunk_id", "frame").agg(F.max("score").alias("score"))
+    x = joins.frame_spine(at).join(best, ["chunk_id", "frame"], "left").join(at.drop("n_frames"), "chunk_id")
+    return x.select("video", "chunk_id", (col("first") + col("frame")).alias("g"), "score", F.coalesce(col("score") < 0, F.lit(False)).alias("skip"))
+
+
+SCORES = f"""{CHUNKS}, fs AS (SELECT video, chunk_id, first + frame AS g, score, coalesce(score < 0, false) AS skip FROM (SELECT *, unnest(range(0, n_frames)) AS frame FROM ch) LEFT JOIN (SELECT chunk_id, frame, max(score) AS score FROM face_frames GROUP BY 1, 2) USING (chunk_id, frame))"""
+add("d10_frame_scores", lambda s, d: frame_scores(s, d).withColumn("score", F.round("score", 6)), wt("face_frames", f"+{SCORES} SELECT video, chunk_id, g, round(CAST(score AS DOUBLE), 6) AS score, skip FROM fs"))
+add("d10_skip_stats", lambda s, d: frame_scores(s, d).groupBy("video", "chunk_id").agg(F.count("*").alias("frames"), F.count("score").alias("covered"), F.count_if("skip").alias("skipped"), F.count_if(~col("skip")).alias("kept")),
+    wt("face_frames", f"+{SCORES} SELECT video, chunk_id, count(*) AS frames, count(score) AS covered, count(*) FILTER (WHERE skip) AS skipped, count(*) FILTER (WHERE NOT skip) AS kept FROM fs GROUP BY 1, 2"))
 RATIO = "length(regexp_replace(text, '[^가-힣]', '', 'g')) / CAST(length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS DOUBLE)"
 add("d13_script_verdict", lambda s, d: T.transcripts(s, d).withColumn("r", F.coalesce(F.try_divide(text.hangul_count(col("text")), text.script_counts(col("text"))["total"]), F.lit(1.0))).select("run", "second", F.round("r", 6).alias("ratio"), F.when(col("r") >= 0.85, "PASS").when(col("r") >= 0.7, "MARGINAL").otherwise("FAIL").alias("verdict")),
     wt("transcripts", f"SELECT run, second, round(r, 6) AS ratio, CASE WHEN r >= 0.85 THEN 'PASS' WHEN r >= 0.7 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM (SELECT run, second, CASE WHEN regexp_matches(text, '\\p{{L}}') THEN {RATIO} ELSE 1.0 END AS r FROM transcripts)"))
@@ -149,8 +211,17 @@ add("d15_compare_runs", lambda s, d: leaks(s, d).groupBy("run").agg(F.count_if(c
     wt("transcripts", f"+lk AS (SELECT run, {LEAK_SQL} AS leak FROM transcripts), n AS (SELECT run, count(*) FILTER (WHERE leak IN ('OTHER', 'ENG', 'MIXED')) AS leaks FROM lk GROUP BY 1) SELECT run, leaks, leaks - lag(leaks) OVER (ORDER BY run) AS change FROM n"))
 add("d16_confusion", lambda s, d: T.segments(s, d).groupBy("chunk_id", "speaker").pivot("emotion", ["Neutral", "Happy", "Sad", "Angry", "Surprised", "Scared"]).count().fillna(0).withColumn("purity", F.round(F.greatest("Neutral", "Happy", "Sad", "Angry", "Surprised", "Scared") / (col("Neutral") + col("Happy") + col("Sad") + col("Angry") + col("Surprised") + col("Scared")), 6)),
     wt("segments", "SELECT *, round(greatest(Neutral, Happy, Sad, Angry, Surprised, Scared) / CAST(Neutral + Happy + Sad + Angry + Surprised + Scared AS DOUBLE), 6) AS purity FROM (SELECT chunk_id, speaker, " + ", ".join(f"count(*) FILTER (WHERE emotion = '{e}') AS {e}" for e in ("Neutral", "Happy", "Sad", "Angry", "Surprised", "Scared")) + " FROM segments GROUP BY 1, 2)"))
-add("d17_quality_summary", lambda s, d: clips(s, d)[0].join(clips(s, d)[1], "idx").groupBy(F.expr("idx div 50").alias("pair")).agg(F.avg((col("a") - col("b")) * (col("a") - col("b"))).alias("mse")).withColumn("psnr", F.when(col("mse") == 0, float("inf")).otherwise(10 * F.log10(4.0 / col("mse")))).agg(F.round(F.avg("psnr"), 6).alias("mean"), F.round(F.median("psnr"), 6).alias("median"), F.round(F.min("psnr"), 6).alias("low"), F.round(F.expr("percentile(psnr, 0.05)"), 6).alias("p5"), F.round(F.expr("percentile(psnr, 0.95)"), 6).alias("p95")),
-    wt("samples", CLIPS + ", m AS (SELECT idx // 50 AS pair, avg((CAST(a AS DOUBLE) - b) * (CAST(a AS DOUBLE) - b)) AS mse FROM a JOIN b USING (idx) GROUP BY 1), q AS (SELECT CASE WHEN mse = 0 THEN CAST('inf' AS DOUBLE) ELSE 10 * log10(4.0 / mse) END AS psnr FROM m) SELECT round(avg(psnr), 6) AS mean, round(median(psnr), 6) AS median, round(min(psnr), 6) AS low, round(quantile_cont(psnr, 0.05), 6) AS p5, round(quantile_cont(psnr, 0.95), 6) AS p95 FROM q"))
+def quality_summary(s, d):
+    """Signal-to-noise of each clip against the next one in pieces of fifty samples, summed up per clip."""
+    mse = clips(s, d)[0].join(clips(s, d)[1], ["clip", "idx"]).groupBy("clip", F.expr("idx div 50").alias("piece")).agg(F.avg((col("a") - col("b")) * (col("a") - col("b"))).alias("mse"))
+    psnr = mse.withColumn("psnr", F.when(col("mse") == 0, float("inf")).otherwise(10 * F.log10(4.0 / col("mse"))))
+    figures = {"mean": F.avg("psnr"), "median": F.median("psnr"), "low": F.min("psnr"), "p5": F.expr("percentile(psnr, 0.05)"), "p95": F.expr("percentile(psnr, 0.95)")}
+    return psnr.groupBy("clip").agg(*[F.round(v, 6).alias(k) for k, v in figures.items()])
+
+
+add("d17_quality_summary", quality_summary, wt("samples", CLIPS + """, m AS (SELECT clip, idx // 50 AS piece, avg((CAST(a AS DOUBLE) - b) * (CAST(a AS DOUBLE) - b)) AS mse FROM a JOIN b USING (clip, idx) GROUP BY 1, 2),
+  q AS (SELECT clip, CASE WHEN mse = 0 THEN CAST('inf' AS DOUBLE) ELSE 10 * log10(4.0 / mse) END AS psnr FROM m)
+  SELECT clip, round(avg(psnr), 6) AS mean, round(median(psnr), 6) AS median, round(min(psnr), 6) AS low, round(quantile_cont(psnr, 0.05), 6) AS p5, round(quantile_cont(psnr, 0.95), 6) AS p95 FROM q GROUP BY 1"""))
 
 
 def evaluate_scores(rows, pred: str, label: str, group: str):
@@ -197,9 +268,30 @@ add("d23_d24_gains", lambda s, d: rms_by_clip(s, d).join(F.broadcast(rms_by_clip
 add("d25_fill_stats", lambda s, d: T.samples(s, d).withColumn("m", F.expr("CAST(round((value + 1) * 127.5) AS BIGINT)")).groupBy("clip_id").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.avg((col("m") < 128).cast("double")) * 100, 6).alias("below")),
     wt("samples", "SELECT clip_id, round(avg(m), 6) AS mean, round(avg(CAST(m < 128 AS DOUBLE)) * 100, 6) AS below FROM (SELECT clip_id, CAST(round((CAST(value AS DOUBLE) + 1) * CAST(127.5 AS DOUBLE)) AS BIGINT) AS m FROM samples) GROUP BY 1"))
 add("d26_interval_totals", lambda s, d: T.speech(s, d).groupBy("chunk_id").agg(F.count("*").alias("intervals"), F.sum(col("end_ms") - col("start_ms")).alias("speech_ms")), wt("speech", "SELECT chunk_id, count(*) AS intervals, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms FROM speech GROUP BY 1"))
+
+
+def change_counts(s, d):
+    """Turns before and after joining, and emotions that the content type overrides, per chunk."""
+    t = T.turns(s, d)
+    joined = sequences.collapse_turns(t).groupBy("chunk_id").agg(F.count("*").alias("turns_after"))
+    neutral = text.lookup(planning.POLICIES, F.expr(KIND), "passthrough") == "neutral_only"
+    moods = T.segments(s, d).groupBy("chunk_id").agg(F.count_if(neutral & (col("emotion") != "Neutral")).alias("overrides"))
+    return t.groupBy("chunk_id").agg(F.count("*").alias("turns_before")).join(joined, "chunk_id").join(moods, "chunk_id")
+
+
+add("d26_change_counts", change_counts, wt("segments", f"""+src AS (SELECT chunk_id, turn_idx, speaker, start_ms, end_ms FROM turns), {COLLAPSE}
+  SELECT b.chunk_id, b.turns_before, a.turns_after, m.overrides FROM (SELECT chunk_id, count(*) AS turns_before FROM turns GROUP BY 1) b JOIN (SELECT chunk_id, count(DISTINCT head) AS turns_after FROM fold GROUP BY 1) a USING (chunk_id)
+  JOIN (SELECT chunk_id, count(*) FILTER (WHERE {KIND} IN ('lecture', 'news') AND emotion <> 'Neutral') AS overrides FROM segments GROUP BY 1) m USING (chunk_id)""", recursive=True))
 add("d28_stage_timing", lambda s, d: T.table(s, d, "events").groupBy("event_type").agg(F.round(F.sum("value"), 3).alias("total"), F.round(F.sum("value") / F.count_distinct("user_id"), 3).alias("per_user")), "SELECT event_type, round(sum(value), 3) AS total, round(sum(value) / count(DISTINCT user_id), 3) AS per_user FROM events GROUP BY 1")
 add("f3_largest_face", lambda s, d: T.face_frames(s, d).groupBy("chunk_id", "frame").agg(F.max_by("track", F.struct((col("x2") - col("x1")) * (col("y2") - col("y1")), -col("track"))).alias("track")), wt("face_frames", "SELECT chunk_id, frame, first(track ORDER BY (x2 - x1) * (y2 - y1) DESC, track) AS track FROM face_frames GROUP BY 1, 2"))
-add("f4_stratified_cap", lambda s, d: T.table(s, d, "documents").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))).where((col("lang") == "en") | (col("r") <= 60)).select("doc_id", "lang"), "SELECT doc_id, lang FROM documents QUALIFY lang = 'en' OR row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 60")
+def stratified(s, d):
+    """all English documents, of every other language the first sixty; only the latter are ranked."""
+    docs = T.table(s, d, "documents").select("doc_id", "lang")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))
+    return docs.where("lang = 'en'").unionByName(docs.where("lang <> 'en'").withColumn("r", rank).where("r <= 60").drop("r"))
+
+
+add("f4_stratified_cap", stratified, "SELECT doc_id, lang FROM documents QUALIFY lang = 'en' OR row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 60")
 add("f6_first_words", lambda s, d: T.words(s, d).where("word_idx < 200").groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("head")), wt("words", "SELECT chunk_id, string_agg(word, ' ' ORDER BY word_idx) AS head FROM words WHERE word_idx < 200 GROUP BY 1"))
 add("f7_long_words", lambda s, d: T.words(s, d).where("end_ms - start_ms > 3000").withColumn("r", F.row_number().over(W.partitionBy("chunk_id").orderBy("word_idx"))).where("r <= 5").select("chunk_id", "word_idx", "word"), wt("words", "SELECT chunk_id, word_idx, word FROM words WHERE end_ms - start_ms > 3000 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY word_idx) <= 5"))
 add("g1_concat_chunks", lambda s, d: T.turns(s, d).join(T.turns(s, d).groupBy("chunk_id").agg(F.max("end_ms").alias("dur")).withColumn("run", F.expr("chunk_id div 20")).withColumn("shift", F.coalesce(F.sum("dur").over(W.partitionBy("run").orderBy("chunk_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "chunk_id").select("run", "chunk_id", "turn_idx", (col("start_ms") + col("shift")).alias("start_ms")),
@@ -224,8 +316,9 @@ def alerts(s, d):
     w = W.partitionBy("log").orderBy("seq")
     x = monitored(s, d).withColumn("used", 8000 + (col("seq") * 37 + F.length("log") * 991) % 7800).withColumn("free", 200 - col("seq") % 170)
     x = x.withColumn("peak", F.max("used").over(w)).withColumn("old", F.lag("peak", 4).over(w)).withColumn("lo", F.min("step").over(w.rowsBetween(-2, 0))).withColumn("n", F.count("*").over(w.rowsBetween(-2, 0)))
-    return x.select("log", "seq", "peak", (col("peak") > 0.92 * 16000).alias("memory"), F.coalesce((col("old") > 0) & (col("peak") > col("old") * 1.1), F.lit(False)).alias("growth"), (col("free") < 50).alias("disk"), ((col("loss") > 0.01) & (col("step") > 100)).alias("diverging"), ((col("n") == 3) & (col("lo") == col("step")) & (col("step") > 0)).alias("stalled"))
+    return x.select("log", "seq", "peak", (col("peak") > 0.92 * 16000).alias("memory"), F.coalesce((col("old") > 0) & (col("peak") > col("old") * 1.1), F.lit(False)).alias("growth"), (col("free") < 50).alias("disk"), ((F.avg("loss").over(w.rowsBetween(-99, 0)) > 1.0) & (col("step") > 100)).alias("diverging"), ((col("n") == 3) & (col("lo") == col("step")) & (col("step") > 0)).alias("stalled"))
 
 
-add("i2_i3_alerts_batch", alerts, wt("train_lines", f"""+{LOGS}, x AS (SELECT *, 8000 + (seq * 37 + length(log) * 991) % 7800 AS used, 200 - seq % 170 AS free FROM pl), y AS (SELECT *, max(used) OVER (PARTITION BY log ORDER BY seq) AS peak, min(step) OVER (PARTITION BY log ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS lo, count(*) OVER (PARTITION BY log ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM x),
-  z AS (SELECT *, lag(peak, 4) OVER (PARTITION BY log ORDER BY seq) AS old FROM y) SELECT log, seq, peak, peak > CAST(0.92 AS DOUBLE) * 16000 AS memory, coalesce(old > 0 AND peak > old * CAST(1.1 AS DOUBLE), false) AS growth, free < 50 AS disk, loss > 0.01 AND step > 100 AS diverging, n = 3 AND lo = step AND step > 0 AS stalled FROM z"""))
+ALERTS_SQL = wt("train_lines", f"""+{LOGS}, x AS (SELECT *, 8000 + (seq * 37 + length(log) * 991) % 7800 AS used, 200 - seq % 170 AS free FROM pl), y AS (SELECT *, max(used) OVER (PARTITION BY log ORDER BY seq) AS peak, min(step) OVER (PARTITION BY log ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS lo, count(*) OVER (PARTITION BY log ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM x),
+  z AS (SELECT *, lag(peak, 4) OVER (PARTITION BY log ORDER BY seq) AS old FROM y) SELECT log, seq, peak, peak > CAST(0.92 AS DOUBLE) * 16000 AS memory, coalesce(old > 0 AND peak > old * CAST(1.1 AS DOUBLE), false) AS growth, free < 50 AS disk, avg(loss) OVER (PARTITION BY log ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 1.0 AND step > 100 AS diverging, n = 3 AND lo = step AND step > 0 AS stalled FROM z""")
+add("i2_i3_alerts_batch", alerts, ALERTS_SQL)

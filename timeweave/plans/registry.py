@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.operators import joins, sequences
+from timeweave.operators.lineage import staged
 from timeweave.plans import live, media, scalars, storage, timelines
-from timeweave.plans.timelines import GAPS, points
+from timeweave.plans.timelines import GAPS
 from timeweave.sources import timeline as T
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who says how much: speaker of every word, words cut into utterances, talk time by chunk and speaker."""
-    words = T.words(spark, sf_dir)
-    said = joins.speaker_at(points(spark, sf_dir), T.turns(spark, sf_dir)).withColumnRenamed("point_idx", "word_idx")
+    words = staged(T.words(spark, sf_dir), "words")
+    said = joins.speaker_at(timelines.points_of(words), T.turns_of(spark, sf_dir, words)).withColumnRenamed("point_idx", "word_idx")
     cut = sequences.gap_segments(words)
     rows = words.join(said, ["chunk_id", "word_idx"]).join(cut, ["chunk_id", "word_idx"])
     return rows.groupBy("chunk_id", "speaker").agg(F.count("*").alias("words"), F.count_distinct("segment").alias("utterances"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("talk_ms"))

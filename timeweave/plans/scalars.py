@@ -51,9 +51,22 @@ LOW_SQL = f"greatest(1, CAST(floor({TARGET_SQL} * ({FACTOR_SQL} - 0.5)) AS BIGIN
 HIGH_SQL = f"greatest({LOW_SQL} + 1, CAST(floor({TARGET_SQL} * ({FACTOR_SQL} + 0.5)) AS BIGINT))"
 add("h8_syllable_target", lambda s, d: T.segments(s, d).select("chunk_id", "segment_id", planning.syllable_target((col("end_ms") - col("start_ms")) / 1000.0, col("emotion")).alias("t")).select("chunk_id", "segment_id", "t.*"),
     T.with_tables("segments", f"SELECT chunk_id, segment_id, {LOW_SQL} AS low, {HIGH_SQL} AS high FROM segments"))
-add("h9_prompt_line", lambda s, d: T.segments(s, d).withColumn("ds", F.expr("round((end_ms - start_ms) / 100) * 100 / 1000.0 + 0.00001")).select("chunk_id", "segment_id", planning.prompt_line(col("segment_id"), col("ds"), col("emotion"), col("text")).alias("line")),
-    T.with_tables("segments", f"""SELECT chunk_id, segment_id, printf('[%d] (duration: %.1fs, target: %d~%d syllables) %s', segment_id, greatest(CAST(0.3 AS DOUBLE), ds), {LOW_SQL.replace('(end_ms - start_ms) / 1000.0', 'ds')}, {HIGH_SQL.replace('(end_ms - start_ms) / 1000.0', 'ds')}, text) AS line
-      FROM (SELECT *, round((end_ms - start_ms) / 100) * 100 / 1000.0 + 0.00001 AS ds FROM segments)"""))
+
+
+def prompts(s, d):
+    """H9: both forms of every segment's line, and a batch of seven joined by line ends."""
+    x = T.segments(s, d).withColumn("ds", F.expr("round((end_ms - start_ms) / 100) * 100 / 1000.0 + 0.00001")).withColumn("hint", F.expr("CAST(emotion_score AS DOUBLE) + 0.00001"))
+    x = x.withColumn("batch", F.expr("segment_id div 7")).withColumn("slot", col("segment_id") % 7)
+    plain = planning.prompt_line(col("slot"), col("ds"), col("emotion"), col("text"))
+    full = planning.described_line(col("slot"), col("ds"), col("emotion"), col("hint"), col("speaker"), col("text"))
+    lines = x.select("chunk_id", "batch", "slot", plain.alias("p"), full.alias("f"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", c))), lambda r: r[c]), "\n")
+    return lines.groupBy("chunk_id", "batch").agg(joined("p").alias("plain"), joined("f").alias("described"))
+
+
+LINE_HEAD = f"printf('[%d] (duration: %.1fs, target: %d~%d syllables', segment_id % 7, greatest(CAST(0.3 AS DOUBLE), ds), {LOW_SQL.replace('(end_ms - start_ms) / 1000.0', 'ds')}, {HIGH_SQL.replace('(end_ms - start_ms) / 1000.0', 'ds')})"
+add("h9_prompt_line", prompts, T.with_tables("segments", f"""+l AS (SELECT chunk_id, segment_id // 7 AS batch, segment_id, {LINE_HEAD} || ') ' || text AS p, {LINE_HEAD} || printf(', emotion2vec_hint: %s %.2f, speaker: %s) ', emotion, CAST(emotion_score AS DOUBLE) + 0.00001, speaker) || text AS f
+  FROM (SELECT *, round((end_ms - start_ms) / 100) * 100 / 1000.0 + 0.00001 AS ds FROM segments)) SELECT chunk_id, batch, string_agg(p, chr(10) ORDER BY segment_id) AS plain, string_agg(f, chr(10) ORDER BY segment_id) AS described FROM l GROUP BY 1, 2"""))
 add("h10_strip_think", lambda s, d: T.segments(s, d).withColumn("r", F.concat(F.lit("<think>a\nb</think> \""), col("text"), F.lit("\""))).select("chunk_id", "segment_id", text.strip_quotes(text.strip_think(col("r"))).alias("said")),
     T.with_tables("segments", r"""SELECT chunk_id, segment_id, regexp_replace(trim(regexp_replace('<think>a' || chr(10) || 'b</think> "' || text || '"', '(?s)<think>.*?</think>', '', 'g')), '^["'']+|["'']+$', '', 'g') AS said FROM segments"""))
 RATIO = "((chunk_id * 7 + segment_id * 13) % 200 / 100.0)"
@@ -79,8 +92,8 @@ add("h18_h27_parse_step", lambda s, d: T.train_lines(s, d).select("log", "seq",
       CASE WHEN regexp_extract(line, '{STEP_SQL}', 4) = 'it/s' THEN CAST(regexp_extract(line, '{STEP_SQL}', 3) AS DOUBLE) ELSE 1 / CAST(regexp_extract(line, '{STEP_SQL}', 3) AS DOUBLE) END AS speed, CAST(regexp_extract(line, '{STEP_SQL}', 5) AS DOUBLE) AS loss FROM train_lines)
       SELECT *, round(CASE WHEN speed > 0 AND total > step THEN (total - step) / speed END, 6) AS eta FROM p"""))
 ODD_LINE = "CASE event_id % 4 WHEN 0 THEN 'RuntimeError: bad shape' WHEN 1 THEN 'FAILED: fp16 kernel' WHEN 2 THEN 'FAILED node ' || event_type ELSE event_type END"
-add("h19_is_crash", lambda s, d: T.table(s, d, "events").select("event_id", logs.is_crash(F.expr(ODD_LINE)).alias("crash")),
-    f"SELECT event_id, (contains(x, 'RuntimeError') OR contains(x, 'FAILED')) AND NOT regexp_matches(lower(x), 'fp16|dtype|onnxruntime|providerlibrary|cublaslt|tryget') AS crash FROM (SELECT event_id, {ODD_LINE} AS x FROM events)")
+add("h19_is_crash", lambda s, d: T.table(s, d, "events").select("event_id", logs.is_crash(F.expr(ODD_LINE), F.expr("event_id * 37 % 600")).alias("crash")),
+    f"SELECT event_id, event_id * 37 % 600 >= 300 AND (contains(x, 'RuntimeError') OR contains(x, 'FAILED')) AND NOT regexp_matches(lower(x), 'fp16|dtype|onnxruntime|providerlibrary|cublaslt|tryget') AS crash FROM (SELECT event_id, {ODD_LINE} AS x FROM events)")
 add("h20_speaker_number", lambda s, d: T.turn_vectors(s, d).withColumn("l", F.concat(F.lit("SPEAKER_"), col("turn_idx") + 60)).select("chunk_id", "turn_idx", text.speaker_number(col("l")).alias("number"), text.is_outlier(col("l")).alias("outlier")),
     T.with_tables("turn_vectors", "SELECT chunk_id, turn_idx, turn_idx + 60 AS number, turn_idx + 60 > 90 AS outlier FROM turn_vectors"))
 add("h21_short_name", lambda s, d: T.table(s, d, "part").select("p_partkey", text.short_name(col("p_name")).alias("short")), "SELECT p_partkey, CASE WHEN x = '' THEN 'run' ELSE x END AS short FROM (SELECT p_partkey, left(regexp_replace(p_name, '[^a-zA-Z0-9가-힣]', '', 'g'), 10) AS x FROM part)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from timeweave.operators import refine
 from timeweave.operators.lineage import shared_path
 from timeweave.plans.media import BEST, best_references
 from timeweave.sources import files
@@ -66,13 +67,15 @@ add("a5_read_tracks", tracks, wt("face_frames", "+q AS (SELECT *, lead(frame) OV
 
 
 def index(s, d):
+    """Every fifth chunk has no frame count; a video takes every tenth chunk."""
     path = shared_path(s, "index")
-    c = T.face_frames(s, d).groupBy("chunk_id").agg((F.max("frame") + 1).alias("n_frames"))
-    files.write_index(c.select(F.format_string("chunk_%03d", "chunk_id").alias("stem"), F.when(col("chunk_id") % 5 != 2, col("n_frames")).alias("n_frames")), path)
+    c = T.face_frames(s, d).groupBy("chunk_id").agg((F.max("frame") + 1).alias("n_frames")).withColumn("video", col("chunk_id") % 10)
+    files.write_index(c.select("video", F.format_string("chunk_%06d", "chunk_id").alias("stem"), F.when(col("chunk_id") % 5 != 2, col("n_frames")).alias("n_frames")), path)
     return files.read_index(s, path)
 
 
-add("a6_index", index, wt("face_frames", "SELECT printf('chunk_%03d', chunk_id) AS stem, row_number() OVER (ORDER BY chunk_id) - 1 AS ord, n_frames FROM (SELECT chunk_id, max(frame) + 1 AS n_frames FROM face_frames GROUP BY 1) WHERE chunk_id % 5 <> 2"))
+add("a6_index", index, wt("face_frames", """SELECT chunk_id % 10 AS video, printf('chunk_%06d', chunk_id) AS stem, row_number() OVER (PARTITION BY chunk_id % 10 ORDER BY chunk_id) - 1 AS ord, n_frames
+  FROM (SELECT chunk_id, max(frame) + 1 AS n_frames FROM face_frames GROUP BY 1) WHERE chunk_id % 5 <> 2"""))
 
 
 def scores(s, d):
@@ -117,3 +120,54 @@ def validation(s, d):
 
 
 add("a14_validation", validation, wt("segments", "SELECT w.chunk_id, w.dur AS duration_ms, s.n AS segments, least(w.n, 200) AS n_words, w.last_word FROM (SELECT chunk_id, max(end_ms) AS dur, count(*) AS n, arg_max(word, CASE WHEN word_idx < 200 THEN word_idx ELSE -1 END) AS last_word FROM words GROUP BY 1) w JOIN (SELECT chunk_id, count(*) AS n FROM segments GROUP BY 1) s USING (chunk_id)"))
+
+
+# Clip metadata: one file a supplier, as an object or a list, with keys in either case, some broken, some without a name.
+CLIP = """CASE s_suppkey % 5 WHEN 0 THEN concat('{"Video_env": {"Angle": "', angle, '"}, "Audio_env": {"Noise": "', noise, '"}, "Video_info": {"video_Name": "', s_name, '"}}')
+  WHEN 1 THEN concat('[{"Video_env": {"angle": "', angle, '"}, "Audio_env": {"noise": "', noise, '"}, "Video_info": {"video_name": "', s_name, '"}}]')
+  WHEN 2 THEN concat('{"Video_env": {"Angle": "', angle, '"}, "Video_info": {"video_name": "', s_name, '"}}')
+  WHEN 3 THEN concat('{"Audio_env": {"noise": "', noise, '"}}') ELSE concat('{broken ', s_name) END"""
+SUPPLIERS = "SELECT *, concat('A', CAST(s_nationkey % 4 AS {0})) AS angle, concat('N', CAST(s_nationkey % 3 AS {0})) AS noise FROM supplier"
+
+
+def clip_folder(s, d):
+    path = shared_path(s, "clips")
+    x = T.table(s, d, "supplier").withColumn("angle", F.expr("concat('A', CAST(s_nationkey % 4 AS STRING))")).withColumn("noise", F.expr("concat('N', CAST(s_nationkey % 3 AS STRING))"))
+    x.select(F.expr(CLIP).alias("value"), "s_suppkey").repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    return path
+
+
+def clips(s, d):
+    """A file that names no video stands for its own name, which the writer chose: it is shown as a dash."""
+    meta = files.read_clip_metadata(s, clip_folder(s, d), "*.txt")
+    return meta.select("angle", "noise", F.when(col("video").startswith("part-"), "-").otherwise(col("video")).alias("video"))
+
+
+CLIPS_SQL = f"""WITH s AS ({SUPPLIERS.format('VARCHAR')}), clips AS (SELECT CASE WHEN s_suppkey % 5 < 3 THEN angle END AS angle, CASE WHEN s_suppkey % 5 <> 2 THEN noise END AS noise, CASE WHEN s_suppkey % 5 = 3 THEN '-' ELSE s_name END AS video FROM s WHERE s_suppkey % 5 < 4)"""
+add("a8_clip_metadata", clips, f"{CLIPS_SQL} SELECT * FROM clips")
+add("b12_filter_clips", lambda s, d: files.filter_clips(clips(s, d), angle="A1", noise="N1"), f"{CLIPS_SQL} SELECT * FROM clips WHERE angle = 'A1' AND noise = 'N1'")
+SUPPLIER = r"CAST(regexp_extract(path, 's_suppkey=([0-9]+)', 1) AS BIGINT) AS supplier"
+BYTES_SQL = f"WITH s AS ({SUPPLIERS.format('VARCHAR')}), f AS (SELECT s_suppkey, {CLIP} || chr(10) AS body FROM s)"
+add("a9_media_inventory", lambda s, d: files.media_inventory(s, clip_folder(s, d), "*.txt", 40).selectExpr(SUPPLIER, "length"), f"{BYTES_SQL} SELECT s_suppkey AS supplier, strlen(body) AS length FROM f WHERE strlen(body) >= 40")
+add("a10_content_hash", lambda s, d: files.content_hash(files.media_inventory(s, clip_folder(s, d), "*.txt")).selectExpr(SUPPLIER, "fingerprint"),
+    f"{BYTES_SQL} SELECT s_suppkey AS supplier, left(md5(body || body || CAST(strlen(body) AS VARCHAR)), 16) AS fingerprint FROM f")
+
+
+def count_words(weight, texts):
+    """A scorer that cannot take a text without a blank: it fails for the whole batch."""
+    if any(t is None or " " not in t for t in texts):
+        raise ValueError("not a sentence")
+    return [weight * len(t) for t in texts]
+
+
+add("j1_score_with", lambda s, d: (lambda docs: docs.select("doc_id", files.score_with(docs, "text", count_words, lambda: 0.5).alias("score")))(T.table(s, d, "documents")),
+    "SELECT doc_id, CAST(CASE WHEN contains(text, ' ') THEN 0.5 * length(text) ELSE 0 END AS DOUBLE) AS score FROM documents")
+
+
+def speaker_count(s, d):
+    """The number of speakers in the table, with the number of voices it was chosen from."""
+    v = T.turn_vectors(s, d).where("embedding IS NOT NULL").select("embedding")
+    return v.agg(F.count("*").alias("voices")).withColumn("speakers", F.lit(refine.choose_k(v)))
+
+
+add("d27_choose_k", speaker_count)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,9 @@ REPORT = (
 )
 
 
+MEGABYTE = 1 << 20
+
+
 def _columns(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -76,16 +80,17 @@ def read_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_index(chunks: DataFrame, path: str, fps: int = 25, threshold: float = 0.0) -> None:
-    """One index document: chunks by name with their frame counts. It holds an entry a chunk of one video."""
+    """An index document for each video: its chunks by name with their frame counts."""
     entries = F.array_sort(F.collect_list(F.struct("stem", "n_frames")))
-    chunks.agg(entries.alias("chunks")).select(F.lit(1).alias("version"), F.lit(fps).alias("fps"), F.lit(threshold).alias("score_threshold"), "chunks").write.json(path)
+    documents = chunks.groupBy("video").agg(entries.alias("chunks"))
+    documents.select("video", F.lit(1).alias("version"), F.lit(fps).alias("fps"), F.lit(threshold).alias("score_threshold"), "chunks").write.json(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, ord, n_frames); entries without a frame count are dropped, order is by name."""
-    raw = spark.read.schema("chunks array<struct<stem:string, n_frames:long>>").json(path)
+    """(video, stem, ord, n_frames); entries without a frame count are dropped, order within a video is by name."""
+    raw = spark.read.schema("video long, chunks array<struct<stem:string, n_frames:long>>").json(path)
     kept = F.array_sort(F.filter("chunks", lambda c: c["n_frames"].isNotNull()))
-    return raw.select(F.posexplode(kept).alias("ord", "c")).select("c.stem", F.col("ord").cast("long").alias("ord"), "c.n_frames")
+    return raw.select("video", F.posexplode(kept).alias("ord", "c")).select("video", "c.stem", F.col("ord").cast("long").alias("ord"), "c.n_frames")
 
 
 def read_score_list(spark: SparkSession, path: str, existing: DataFrame | None = None) -> DataFrame:
@@ -95,13 +100,14 @@ def read_score_list(spark: SparkSession, path: str, existing: DataFrame | None =
     return rows if existing is None else rows.join(existing.select("file"), "file", "left_semi")
 
 
-def read_clip_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """(file, angle, noise, video) of JSON objects or one-element lists, keys in either case; broken files are skipped."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root).select("value", F.col("_metadata.file_name").alias("file"))
+def read_clip_metadata(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """(file, angle, noise, video) of JSON objects or one-element lists, keys in either case; broken files are skipped. A file
+    that names no video stands for one of its own name."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).select("value", F.col("_metadata.file_name").alias("file"))
     # Spark's own field names do not tell case apart, JSON paths do.
     pick = lambda where, *names: F.coalesce(*[F.get_json_object("value", f"{top}.{where}.{n}") for top in ("$", "$[0]") for n in names])
     out = raw.select("file", pick("Video_env", "Angle", "angle").alias("angle"), pick("Audio_env", "Noise", "noise").alias("noise"), pick("Video_info", "video_Name", "video_name").alias("video"))
-    return out.where("angle is not null or noise is not null or video is not null").withColumn("video", F.coalesce("video", F.concat(F.regexp_replace("file", r"\.json$", ""), F.lit(".mp4"))))
+    return out.where("angle is not null or noise is not null or video is not null").withColumn("video", F.coalesce("video", F.concat(F.regexp_replace("file", r"\.\w+$", ""), F.lit(".mp4"))))
 
 
 def filter_clips(meta: DataFrame, angle: str | None = None, noise: str | None = None) -> DataFrame:
@@ -118,11 +124,26 @@ def media_inventory(spark: SparkSession, root: str, pattern: str = "*", min_byte
 
 
 def content_hash(files: DataFrame) -> DataFrame:
-    """First 16 hex digits of md5(first megabyte, last megabyte, size) of binaryFile rows."""
-    mb = 1 << 20
-    tail = F.expr(f"substring(content, greatest(length - {mb} + 1, 1), {mb})")
-    whole = F.concat(F.expr(f"substring(content, 1, {mb})"), tail, F.col("length").cast("string").cast("binary"))
-    return files.select("path", F.substring(F.md5(whole), 1, 16).alias("fingerprint"))
+    """(path, fingerprint): first 16 hex digits of md5(first megabyte, last megabyte, size) of files (path, length).
+
+    Tasks open the files and read the two ends only, whatever their size.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            out = []
+            for path, length in zip(pdf["path"], pdf["length"].tolist()):
+                store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with store.open_input_file(name) as f:
+                    digest = hashlib.md5(f.read_at(min(MEGABYTE, length), 0))
+                    digest.update(f.read_at(min(MEGABYTE, length), max(0, length - MEGABYTE)))
+                digest.update(str(length).encode())
+                out.append(digest.hexdigest()[:16])
+            yield pd.DataFrame({"path": pdf["path"], "fingerprint": out})
+
+    return files.select("path", "length").mapInPandas(run, "path string, fingerprint string")
 
 
 def new_run_id(name: str, now: datetime | None = None) -> str:

@@ -29,7 +29,11 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speaker turns: chunk_id, turn_idx, speaker, start_ms, end_ms; odd turns start 100 ms early and may overlap."""
-    spans = words(spark, sf_dir).groupBy("chunk_id", "turn").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("end_ms"))
+    return turns_of(spark, sf_dir, words(spark, sf_dir))
+
+
+def turns_of(spark: SparkSession, sf_dir: str, timed: DataFrame) -> DataFrame:
+    spans = timed.groupBy("chunk_id", "turn").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("end_ms"))
     roles = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("chunk_id"), F.col("turn").cast("long").alias("turn"), "role")
     speaker = F.when(F.col("role") == "user", "SPEAKER_00").when(F.col("role") == "assistant", "SPEAKER_01").otherwise("SPEAKER_02")
     return spans.join(roles, ["chunk_id", "turn"]).select("chunk_id", F.col("turn").alias("turn_idx"), speaker.alias("speaker"), (F.col("s") - 100 * (F.col("turn") % 2)).alias("start_ms"), "end_ms")
@@ -102,12 +106,17 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select((i % 10).alias("clip_id"), F.expr("CAST(event_id AS BIGINT) div 10").alias("idx"), value.alias("value"))
 
 
+PIECE = "(?s).{1,60}"
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text a second and run: Korean, mixed, English, silent, empty in turn."""
-    s = table(spark, sf_dir, "documents").withColumn("second", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long") - 1)
-    k = F.col("second") % 5
-    text = F.when(k == 0, "안녕하세요").when(k == 1, F.concat(F.lit("안녕 "), F.substring("text", 1, 20))).when(k == 2, F.substring("text", 1, 30)).when(k == 3, ".").otherwise("")
-    return s.select(F.col("source").alias("run"), "second", text.alias("text"))
+    """One text a second and run: every document in pieces of sixty characters, plain, after or before Korean in turn, then
+    a silent, an empty and a Korean second."""
+    pieces = F.concat(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PIECE), F.lit(0)), F.array(F.lit("."), F.lit(""), F.lit("안녕하세요")))
+    s = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(pieces).alias("pos", "piece"))
+    second = F.col("doc_id") * 10000 + F.col("pos")
+    text = F.when(second % 5 == 1, F.concat(F.lit("안녕 "), F.col("piece"))).when(second % 5 == 3, F.concat(F.col("piece"), F.lit(" 안녕하세요"))).otherwise(F.col("piece"))
+    return s.select(F.col("source").alias("run"), second.alias("second"), F.when(F.length("piece") > 1, text).otherwise(F.col("piece")).alias("text"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +176,9 @@ TABLE_SQL = {
       face_turns AS (SELECT k AS chunk_id, t AS turn_idx, 'SPEAKER_0' || ((t * 3 + k) % 4) AS speaker, t * 2000 + (k * 131 + t * 57) % 500 AS start_ms, t * 2000 + (k * 131 + t * 57) % 500 + 400 + (t * 311 + k * 97) % 1900 AS end_ms FROM ftt
         UNION ALL SELECT k, 20, 'SPEAKER_09', 39500, 39900 FROM ftc WHERE k % 2 = 0)""",
     "samples": "samples AS (SELECT CAST(event_id AS BIGINT) % 10 AS clip_id, CAST(event_id AS BIGINT) // 10 AS idx, (CAST(round(value * 100) AS BIGINT) % 2000 - 1000) / 1000.0 AS value FROM events)",
-    "transcripts": """tr0 AS (SELECT source AS run, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS second, text FROM documents),
-      transcripts AS (SELECT run, second, CASE second % 5 WHEN 0 THEN '안녕하세요' WHEN 1 THEN '안녕 ' || left(text, 20) WHEN 2 THEN left(text, 30) WHEN 3 THEN '.' ELSE '' END AS text FROM tr0)""",
+    "transcripts": """tr0 AS (SELECT source AS run, CAST(doc_id AS BIGINT) AS doc_id, list_concat(regexp_extract_all(coalesce(text, ''), '(?s).{1,60}'), ['.', '', '안녕하세요']) AS p FROM documents),
+      tr1 AS (SELECT run, doc_id * 10000 + unnest(range(0, len(p))) AS second, unnest(p) AS piece FROM tr0),
+      transcripts AS (SELECT run, second, CASE WHEN length(piece) <= 1 THEN piece WHEN second % 5 = 1 THEN '안녕 ' || piece WHEN second % 5 = 3 THEN piece || ' 안녕하세요' ELSE piece END AS text FROM tr1)""",
     "responses": """responses AS (SELECT CAST(conv_id AS BIGINT) AS batch_id, coalesce(string_agg('[' || turn || '] ' || text, chr(10) ORDER BY turn) FILTER (WHERE turn % 5 <> 4), '') AS response, count(*) AS n_expected FROM conversations GROUP BY 1)""",
     "attempts": """attempts AS (SELECT chunk_id, segment_id, CAST(attempt AS BIGINT) AS attempt, CAST(CASE attempt WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 1.1 END AS DOUBLE) AS speed, 1 + ((chunk_id * 19 + segment_id * 23 + attempt * 37) % 40) / 10.0 AS score FROM segments, (SELECT unnest([0, 1, 2]) AS attempt))""",
     "train_lines": """tl0 AS (SELECT CAST(user_id AS BIGINT) AS user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS total FROM events),

@@ -15,33 +15,58 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from timeweave.functions.logs import is_crash, parse_step
 
-ALERTS = "log string, seq long, peak long, memory boolean, growth boolean, disk boolean, stalled boolean"
+ALERTS = "log string, seq long, peak long, memory boolean, growth boolean, disk boolean, diverging boolean, stalled boolean"
 
 
-def log_status(lines: DataFrame) -> DataFrame:
-    """Latest step, total, mean loss and crash flag per log, over lines (log, seq, line). Update or complete mode."""
-    p = lines.select("log", "seq", parse_step(F.col("line")).alias("p"), is_crash(F.col("line")).alias("crash"))
-    return p.groupBy("log").agg(F.max_by("p.step", "seq").alias("step"), F.max_by("p.total", "seq").alias("total"), F.avg("p.loss").alias("mean_loss"), F.max("crash").alias("crashed"))
+STATUS = "log string, seq long, step long, total long, mean_loss double, eta_s double, done boolean, crashed boolean"
 
 
-def alert_stream(snapshots: DataFrame, total_mb: int = 16000) -> DataFrame:
-    """Alerts over snapshots (log, seq, step, used, free): running peak, growth over five snapshots, disk, stall.
+def log_status(lines: DataFrame, keep: int = 100) -> DataFrame:
+    """Of each log with new lines (log, seq, line): latest step and total, mean of the last `keep` losses, seconds left, whether
+    it is done or has crashed. Append mode, one row a log and batch; the row of the largest seq is the latest state.
 
-    State is the last five peaks and last three steps of a log. Rows of a batch are taken in seq order.
+    State is the last `keep` losses, step, total, speed and the crash flag of a log.
     """
+    p = lines.select("log", "seq", parse_step(F.col("line")).alias("p"), is_crash(F.col("line")).alias("crash")).select("log", "seq", "p.*", "crash")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        peaks, steps = (list(x) for x in state.get) if state.exists else ([], [])
+        losses, at, total, speed, crashed = (list(state.get[0]), *state.get[1:]) if state.exists else ([], None, None, None, False)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        known = rows[rows["step"].notna()]
+        if len(known):
+            last = known.iloc[-1]
+            at, total, speed = int(last["step"]), int(last["total"]), float(last["speed"])
+        losses = [*losses, *known["loss"].tolist()][-keep:]
+        crashed = bool(crashed or rows["crash"].any())
+        state.update((losses, at, total, speed, crashed))
+        left = None if at is None or not speed or total <= at else (total - at) / speed
+        mean = sum(losses) / len(losses) if losses else None
+        yield pd.DataFrame([(key[0], int(rows["seq"].iloc[-1]), at, total, mean, left, at is not None and at >= total, crashed)], columns=[c.split()[0] for c in STATUS.split(", ")])
+
+    state = "losses array<double>, step long, total long, speed double, crashed boolean"
+    return p.groupBy("log").applyInPandasWithState(step, STATUS, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def alert_stream(snapshots: DataFrame, total_mb: int = 16000, keep: int = 100) -> DataFrame:
+    """Alerts over snapshots (log, seq, step, loss, used, free): running peak, growth over five snapshots, disk, mean of the
+    last `keep` losses over 1 after step 100, stall.
+
+    State is the last five peaks, last three steps and last losses of a log. Rows of a batch are taken in seq order.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        peaks, steps, losses = (list(x) for x in state.get) if state.exists else ([], [], [])
         rows = []
         for r in pd.concat(list(batches)).sort_values("seq").itertuples():
             peaks = [*peaks, max([*peaks[-1:], r.used])][-5:]
-            steps = [*steps, r.step][-3:]
+            steps, losses = [*steps, r.step][-3:], [*losses, r.loss][-keep:]
             growth = len(peaks) == 5 and peaks[0] > 0 and peaks[-1] > 1.1 * peaks[0]
-            rows.append((key[0], r.seq, peaks[-1], peaks[-1] > 0.92 * total_mb, growth, 0 < r.free < 50, len(steps) == 3 and len(set(steps)) == 1 and steps[0] > 0))
-        state.update((peaks, steps))
+            diverging = r.step > 100 and sum(losses) / len(losses) > 1.0
+            rows.append((key[0], r.seq, peaks[-1], peaks[-1] > 0.92 * total_mb, growth, 0 < r.free < 50, diverging, len(steps) == 3 and len(set(steps)) == 1 and steps[0] > 0))
+        state.update((peaks, steps, losses))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in ALERTS.split(", ")])
 
-    return snapshots.groupBy("log").applyInPandasWithState(step, ALERTS, "peaks array<long>, steps array<long>", "append", GroupStateTimeout.NoTimeout)
+    return snapshots.groupBy("log").applyInPandasWithState(step, ALERTS, "peaks array<long>, steps array<long>, losses array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def level_stream(samples: DataFrame, late: str = "2 seconds") -> DataFrame:
@@ -56,8 +81,42 @@ def speaker_windows(points: DataFrame, late: str = "2 seconds") -> DataFrame:
     return w.agg(F.count("*").alias("n")).select("chunk_id", "speaker", F.col("window.start").alias("start"), "n")
 
 
-def utterances(words: DataFrame, gap: str = "1500 milliseconds", late: str = "5 seconds") -> DataFrame:
-    """Words closed by a silence: one row per chunk and session."""
+UTTERANCES = "chunk_id long, start_ms long, n long, first_word long, last_word long, open boolean"
+
+
+def utterances(words: DataFrame, gap_ms: int = 1500, most_ms: int = 15000, late: str = "5 seconds") -> DataFrame:
+    """Words (chunk_id, word_idx, start_ms, end_ms, ts) closed by a silence, or once most_ms long. Append mode.
+
+    A closed utterance comes once; one that is still open comes with every batch that adds to it (open is true), so a
+    reader takes the row of most words. When the watermark passes the silence after the last word, it is closed by timer.
+    Words later than the watermark are dropped.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = list(state.get) if state.exists else None
+        out = []
+        if state.hasTimedOut:
+            out.append((*now[:1], *now[2:], False))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("word_idx")
+            for i, s, e in zip(*(rows[c].tolist() for c in ("word_idx", "start_ms", "end_ms"))):
+                if now is not None and (s - now[1] > gap_ms or now[1] - now[0] >= most_ms):
+                    out.append((now[0], *now[2:], False))
+                    now = None
+                now = [s, e, 1, i, i] if now is None else [now[0], e, now[2] + 1, now[3], i]
+            out.append((now[0], *now[2:], True))
+            state.update(tuple(now))
+            silent = int((rows["at_ms"] + rows["end_ms"] - rows["start_ms"]).max()) + gap_ms
+            state.setTimeoutTimestamp(max(silent, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=[c.split()[0] for c in UTTERANCES.split(", ")])
+
+    kept = words.withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
+    return kept.groupBy("chunk_id").applyInPandasWithState(step, UTTERANCES, "start_ms long, end_ms long, n long, first_word long, last_word long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def silent_utterances(words: DataFrame, gap: str = "1500 milliseconds", late: str = "5 seconds") -> DataFrame:
+    """Words closed by a silence alone: one row per chunk and session."""
     w = words.withWatermark("ts", late).groupBy("chunk_id", F.session_window("ts", gap))
     return w.agg(F.count("*").alias("n"), F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word")).select("chunk_id", F.col("session_window.start").alias("start"), "n", "first_word", "last_word")
 
