@@ -38,7 +38,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, broadcast_rows: int = 200_0
     """(id, first, last, items) for every place where a window occurs, positions in words from 0.
 
     The tables of benchmark words and windows are broadcast only while they have at most `broadcast_rows` rows; beyond
-    that the joins shuffle.
+    that the joins shuffle, one small row a word.
     """
     windows = staged(windows, "windows")
     n_windows = windows.count()
@@ -50,9 +50,17 @@ def occurrences(docs: DataFrame, windows: DataFrame, broadcast_rows: int = 200_0
         F.min_by(F.struct("key", "at"), F.struct(F.coalesce("n", F.lit(0)), "key", "at")).alias("p"), F.min(F.coalesce("n", F.lit(0))).alias("n")
     )
     prefixes = staged(rarest.where("n > 0").select(F.col("p.key").alias("key"), F.col("p.at").alias("at"), "window", "len", "items"), "prefixes")
-    placed = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("w")).select("id", "w", F.posexplode("w").alias("pos", "word"))
+    words = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("w"))
+    if n_windows <= broadcast_rows:
+        placed = words.select("id", "w", F.posexplode("w").alias("pos", "word"))
+        found = placed.withColumn("key", F.lower("word")).join(F.broadcast(prefixes), "key")
+    else:
+        # Only places travel to the prefixes; candidates then meet their document's words again.
+        placed = words.select("id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")).select("id", "n", "pos", F.lower("word").alias("key"))
+        met = placed.join(prefixes, "key").where((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("len") <= F.col("n")))
+        again = staged(met.select(F.col("id").alias("__id"), "pos", "at", "window", "len", "items").distinct(), "candidates")
+        found = words.join(again, F.col("id").eqNullSafe(F.col("__id")))
     first = F.col("pos") - F.col("at")
-    found = placed.withColumn("key", F.lower("word")).join(_guarded(prefixes, n_windows, broadcast_rows), "key")
     inside = found.where((first >= 0) & (first + F.col("len") <= F.size("w")))
     same = inside.where(lower_ascii(F.array_join(F.slice("w", first + 1, F.col("len")), " ")) == F.col("window"))
     return same.select("id", first.alias("first"), (first + F.col("len") - 1).alias("last"), "items")
