@@ -25,15 +25,16 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int, host_col: str, t
     totals = sited.groupBy("host").agg(F.count("*").alias("pages"))
     lines = sited.select("host", F.explode(F.array_distinct(F.split("t", "\n", -1))).alias("line")).where(F.trim("line") != "")
     counts = lines.select("host", _key(F.col("line")).alias("k")).groupBy("host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    common = counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
+    common = counts.join(totals, "host").where(F.col("n") / F.col("pages") > ratio)
     return staged(common.groupBy("host").agg(F.collect_set("k").alias("keys")), "boilerplate")
 
 
-def strip_boilerplate(pages: DataFrame, ratio: float = 0.1, min_pages: int = 3, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def strip_boilerplate(pages: DataFrame, ratio: float = 0.01, min_pages: int = 3, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """All rows and columns of `pages` with boilerplate lines taken out of the text, plus line_total and line_dropped.
 
     Lines end at a newline; what is left is joined by newlines again. Lines of blanks only are neither counted nor
-    dropped. A line on fewer than `min_pages` pages of a host is kept, so a host of one or two pages loses nothing.
+    dropped. A line on fewer than `min_pages` pages of a host is kept: on a host of few pages every line exceeds a small
+    ratio, so without it a host of one or two pages would lose all its text.
     Null hosts form no site: their pages stay as they are. Null texts stay null with no lines; empty texts have one
     blank line. Repeated rows count as pages of their own. Columns of `pages` are kept whatever their names are, but
     for line_total and line_dropped, which are replaced. Very long texts are split whole. Empty tables stay empty.
@@ -58,7 +59,7 @@ WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FR
 p AS (SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source),
 b AS (
   SELECT c.source, c.line FROM (SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY source, line) c
-  JOIN p USING (source) WHERE c.n >= 3 AND c.n > 0.1 * p.pages),
+  JOIN p USING (source) WHERE c.n >= 3 AND c.n / p.pages > CAST(0.01 AS DOUBLE)),
 h AS (SELECT source, list(line) AS lines FROM b GROUP BY source),
 k AS (SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS a, list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(h.lines, []), x)) AS kept
   FROM documents d LEFT JOIN h USING (source))
