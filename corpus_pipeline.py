@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; documents stay, their n_chars counts what is left."""
-    kept = line_dedup.strip_boilerplate(docs, ratio=0.1, min_pages=3).drop("line_total", "line_dropped")
+    kept = line_dedup.strip_boilerplate(docs, ratio=0.01, min_pages=3).drop("line_total", "line_dropped")
     return kept.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kept.schema["n_chars"].dataType)))
 
 
