@@ -101,15 +101,16 @@ add("a11_run_sink", runs, wt("turns", "SELECT chunk_id, turn_idx, start_ms, CASE
 
 
 def logs(s, d):
-    """Half of the lines of a log end in a carriage return."""
+    """A file a log; half of its lines end in a carriage return. What is read is the tail of each file."""
     path = shared_path(s, "log")
-    one = T.train_lines(s, d).groupBy("log").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: F.concat(x["line"], F.when(x["seq"] % 2 == 0, "\n").otherwise("\r"))), "").alias("value"), F.lit(1).alias("one"))
-    one.select("value").write.option("lineSep", "\n").text(path)
-    back = files.read_train_log(s, path, 100_000_000)
-    return back.groupBy("line").agg(F.count("*").alias("n"))
+    ended = F.concat("line", F.when(col("seq") % 2 == 0, "\n").otherwise("\r"))
+    one = T.train_lines(s, d).groupBy("log").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", ended.alias("e")))), lambda x: x["e"]), "").alias("value"))
+    one.repartition("log").write.partitionBy("log").option("lineSep", "\n").text(path)
+    return files.read_train_log(s, path).groupBy("line").agg(F.count("*").alias("n"))
 
 
-add("a12_train_log", logs, wt("train_lines", "SELECT line, count(*) AS n FROM train_lines GROUP BY 1"))
+add("a12_train_log", logs, wt("train_lines", """+f AS (SELECT log, right(string_agg(line || CASE WHEN seq % 2 = 0 THEN chr(10) ELSE chr(13) END, '' ORDER BY seq) || chr(10), 200000) AS tail FROM train_lines GROUP BY 1)
+  SELECT line, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(tail, '[\r\n]')) AS line FROM f) WHERE line <> '' GROUP BY 1"""))
 
 
 def validation(s, d):
