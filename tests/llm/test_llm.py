@@ -446,7 +446,7 @@ def test_pipeline_stages_against_brute_force(spark, sf):
             pages, n = Counter(), Counter(r["source"] for r in before.values())
             for r in before.values():
                 pages.update((r["source"], x) for x in set(r["text"].split("\n")) if x.strip(" "))
-            cut = lambda r: "\n".join(x for x in r["text"].split("\n") if not x.strip(" ") or pages[r["source"], x] < 3 or pages[r["source"], x] <= 0.1 * n[r["source"]])
+            cut = lambda r: "\n".join(x for x in r["text"].split("\n") if not x.strip(" ") or pages[r["source"], x] < 3 or pages[r["source"], x] / n[r["source"]] <= 0.01)
             assert {i: r["text"] for i, r in kept.items()} == {i: cut(r) for i, r in before.items()}
         if name == "ngram_join":
             ids = sorted(before)

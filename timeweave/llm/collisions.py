@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import shuffle_width, staged
+from timeweave.llm.common import lean, shuffle_width, staged
 from timeweave.llm.graph import components
 
 CELL_WIDTH = 8.0  # cell edges, in standard deviations of a threshold pair's difference
@@ -130,7 +130,7 @@ def near_vectors(
 
     Null, empty and zero vectors, vectors with null or non-finite components, and rows with a null label or id link
     with nothing. Vectors of different length never link. Equal vectors are searched once and count as links of each
-    other. Repeated rows of one id count as vectors of their own. Extra columns are not read. Empty tables give no rows.
+    other. Rows that repeat an id are vectors of their own, equal or not. Extra columns are not read. Empty tables give no rows.
     Links found have a cosine of at least `threshold`; a pair at the threshold is found with about `recall`, closer
     pairs more often.
     """
@@ -138,7 +138,8 @@ def near_vectors(
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     own = raw.withColumn("ok", F.coalesce(sound, F.lit(False)))
-    reps = staged(own.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    distinct = own.where("ok").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    reps = staged(distinct.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     cuts, tables = plan(largest, threshold, target, math.sqrt(recall))
     sigma = math.sqrt(2 * (1 - threshold))
@@ -155,6 +156,7 @@ def near_vectors(
             out.append(x / np.linalg.norm(x))
         return out
 
+    @lean
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys = []
@@ -180,6 +182,7 @@ def near_vectors(
     grouped = placed.select("t", "cell", "rep", "copies", "v", "keys", mine.alias("mine"), other)
     grouped = grouped.select("t", F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "rep", "copies", "v", "keys", "mine", (F.col("mine") != F.col("other")).alias("cross"))
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs_of_groups(batches, ["t", "g"], lambda n: n * n / 400_000):
             groups = pdf["__group"].to_numpy()
@@ -212,8 +215,10 @@ def near_vectors(
 
     found = staged(grouped.repartition(shuffle_width(spark), "t", "g").sortWithinPartitions("t", "g").mapInPandas(count, "rep long, links long, root long"), "links")
     per_rep = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = staged(reps.select("label", "v", "rep", "copies").join(per_rep, "rep", "left").join(components(found, "rep", "root"), F.col("rep") == F.col("id"), "left").select(
-        "label", "v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")), "linked")
+    parts = components(found, "rep", "root").select(F.col("id").alias("rep"), F.col("component").alias("part"))
+    named = staged(reps.select("label", "v", "rep", "least", "copies").join(per_rep, "rep", "left").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "parts")
+    least = named.groupBy("part").agg(F.min("least").alias("component"))
+    linked = staged(named.join(least, "part").select("label", "v", "copies", F.coalesce("links", F.lit(0)).alias("links"), "component"), "linked")
     out = own.join(linked.withColumn("ok", F.lit(True)), ["ok", "label", "v"], "left")
     links = F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long")
     component = F.coalesce("component", "id")
