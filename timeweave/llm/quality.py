@@ -1,10 +1,12 @@
 """Quality by positive-unlabelled learning: a small network fitted on the non-negative unbiased risk.
 
-Trusted positives are labelled rows of class 1; the unlabelled set is web text without a label. The share of class 1
-in it (the class prior) is estimated from the labelled rows outside the held-out fold. With sigmoid loss l the risk is
+Trusted positives are labelled rows of class 1; the unlabelled set is all text. The share of class 1 in it (the class
+prior) is estimated from the labelled rows outside the held-out fold. With sigmoid loss l the risk is
     prior * E_p[l(g, +1)] + max(0, E_u[l(g, -1)] - prior * E_p[l(g, -1)])
 and when the bracket falls below zero its gradient is reversed, so the network cannot fit the unlabelled set as
-negatives. The operating point of the score is put in the widest gap of unlabelled scores near the prior's quantile.
+negatives. Features of every whole text are made once and written. Their means and deviations cover all rows. Adam
+starts on a bounded sample of both sets; then full steps follow in which E_u is the mean over every row, a job each.
+The operating point of the score is put in the emptiest stretch of all rows' outputs near the prior's quantile.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import crc_mod
+from timeweave.llm.common import crc_mod, lean, staged
 from timeweave.llm.toxicity import sigmoid
 
-OPERATING_POINT = 0.7
+OPERATING_POINT, SPREAD = 0.7, 0.02
 # Character classes of bytes; all others of ASCII are classes of their own.
 _GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\t\r", "\n", ".", ",", "!", "?", "*#$%&@^~=+", "|", "<>{}[]()\\/", "'\"`:;_-"]
 CLASSES = 16
@@ -70,105 +72,194 @@ class Scorer:
     shift: float
     slope: float
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.scale).clip(-6, 6)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(((x - self.mean) / self.scale).clip(-6, 6) @ self.w1 + self.b1) @ self.w2
+        return np.tanh(self.scaled(x) @ self.w1 + self.b1) @ self.w2
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid((self.logits(x) - self.shift) * self.slope + np.log(OPERATING_POINT / (1 - OPERATING_POINT)))
 
 
-def valley(ordered: np.ndarray, share: float, slack: float = 0.25) -> float:
-    """Middle of the widest gap of sorted values, among those near the one that leaves `share` below it."""
-    at = share * len(ordered)
-    lo, hi = int(at * (1 - slack)), min(len(ordered) - 1, int(at * (1 + slack)) + 1)
-    if hi <= lo:
-        return float(ordered[min(lo, len(ordered) - 1)])
-    k = lo + int(np.argmax(np.diff(ordered[lo : hi + 1])))
-    return float((ordered[k] + ordered[k + 1]) / 2)
+def valley(counts: np.ndarray, share: float, slack: float = 0.25, width: int = 48) -> float:
+    """Place (in bins) of the emptiest stretch of a histogram, among those whose share below is near `share`; the middle of
+    all equally empty ones in a row."""
+    below = np.cumsum(counts) / max(1, counts.sum())
+    full = np.convolve(counts, np.ones(width), "same")
+    near = np.flatnonzero((below >= share * (1 - slack)) & (below <= min(share * (1 + slack), 1 - 0.25 * (1 - share))))
+    if not len(near):
+        return float(np.searchsorted(below, share))
+    empty = near[full[near] == full[near].min()]
+    runs = np.split(empty, np.flatnonzero(np.diff(empty) != 1) + 1)
+    longest = max(runs, key=len)
+    return float(longest[0] + longest[-1] + 1) / 2
+
+
+def _gradient(net: Scorer, x: np.ndarray, d_out: np.ndarray, hid: np.ndarray) -> dict[str, np.ndarray]:
+    d_hid = d_out[:, None] * net.w2 * (1 - hid * hid)
+    return {"w1": x.T @ d_hid, "b1": d_hid.sum(axis=0), "w2": hid.T @ d_out}
+
+
+def _part(net: Scorer, x: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(sigmoid outputs, gradient of their sum) over rows of scaled features."""
+    hid = np.tanh(x @ net.w1 + net.b1)
+    s = sigmoid(hid @ net.w2)
+    return s, _gradient(net, x, s * (1 - s), hid)
+
+
+def _combine(net: Scorer, prior: float, positive: tuple, unlabelled: tuple, decay: float) -> dict[str, np.ndarray]:
+    """Gradient of the non-negative risk from the means of both sets: the sigmoid loss of class -1 is s, of class +1 is 1 - s."""
+    (s_p, g_p), (s_u, g_u) = positive, unlabelled
+    rest = {k: g_u[k] - prior * g_p[k] for k in g_u}
+    if s_u - prior * s_p >= 0:
+        g = {k: rest[k] - prior * g_p[k] for k in rest}
+    else:
+        g = {k: -rest[k] for k in rest}
+    return {k: v + (decay * getattr(net, k) if k != "b1" else 0) for k, v in g.items()}
+
+
+class Adam:
+    def __init__(self, net: Scorer, rate: float):
+        self.net, self.rate, self.step = net, rate, 0
+        self.moments = {k: [np.zeros_like(getattr(net, k)) for _ in range(2)] for k in ("w1", "b1", "w2")}
 
+    def take(self, g: dict[str, np.ndarray]) -> None:
+        self.step += 1
+        for k, (m, q) in self.moments.items():
+            m += 0.1 * (g[k] - m)
+            q += 0.01 * (g[k] ** 2 - q)
+            value = getattr(self.net, k)
+            value -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(q / (1 - 0.99**self.step)) + 1e-8)
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 9, hidden: int = 24, epochs: int = 60, batch: int = 512, rate: float = 0.004, decay: float = 1e-3) -> Scorer:
-    """Minimise the non-negative risk by Adam over paired batches of both sets."""
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.ndarray | None = None, scale: np.ndarray | None = None, seed: int = 9, hidden: int = 24, epochs: int = 60, batch: int = 512, rate: float = 0.004, decay: float = 1e-3) -> Scorer:
+    """Minimise the non-negative risk by Adam over paired batches of both sets; the operating point is left at 0."""
     if not len(positive) or not len(unlabelled):
         zero = np.zeros(FEATURES, np.float32)
         return Scorer(zero, zero + 1, np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
     r = np.random.default_rng(seed)
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 0.02
-    xp, xu = ((positive - mean) / scale).clip(-6, 6), ((unlabelled - mean) / scale).clip(-6, 6)
-    p = {"w1": r.standard_normal((FEATURES, hidden)) / np.sqrt(FEATURES), "b1": np.zeros(hidden), "w2": r.standard_normal(hidden) / np.sqrt(hidden)}
-    moments, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}, 0
-    rounds = max(1, len(xu) // batch)
+    if mean is None:
+        mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + SPREAD
+    net = Scorer(mean, scale, r.standard_normal((FEATURES, hidden)) / np.sqrt(FEATURES), np.zeros(hidden), r.standard_normal(hidden) / np.sqrt(hidden), 0.0, 1.0)
+    xp, xu = net.scaled(positive), net.scaled(unlabelled)
+    adam, rounds = Adam(net, rate), max(1, len(xu) // batch)
     for _ in range(epochs):
         for part_p, part_u in zip(np.array_split(r.permutation(len(xp)), rounds), np.array_split(r.permutation(len(xu)), rounds)):
-            if not len(part_p) or not len(part_u):
-                continue
-            x = np.concatenate([xp[part_p], xu[part_u]])
-            k = len(part_p)
-            hid = np.tanh(x @ p["w1"] + p["b1"])
-            s = sigmoid(hid @ p["w2"])
-            slope = s * (1 - s)
-            risk_minus = s[k:].mean() - prior * s[:k].mean()  # sigmoid loss of class -1 is s
-            d = np.zeros(len(x))
-            if risk_minus >= 0:
-                d[:k] = -prior * slope[:k] / k - prior * slope[:k] / k
-                d[k:] = slope[k:] / len(part_u)
-            else:
-                d[:k] = prior * slope[:k] / k
-                d[k:] = -slope[k:] / len(part_u)
-            d_hid = d[:, None] * p["w2"] * (1 - hid * hid)
-            g = {"w2": hid.T @ d + decay * p["w2"], "w1": x.T @ d_hid + decay * p["w1"], "b1": d_hid.sum(axis=0)}
-            step += 1
-            for name, v in p.items():
-                m, q = moments[name]
-                m += 0.1 * (g[name] - m)
-                q += 0.01 * (g[name] ** 2 - q)
-                v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
-    net = Scorer(mean, scale, p["w1"], p["b1"], p["w2"], 0.0, 1.0)
-    of_u = np.sort(net.logits(unlabelled))
-    net.shift = valley(of_u, 1 - prior)
-    net.slope = float(2.0 / max(of_u.std(), 1e-3))
+            if len(part_p) and len(part_u):
+                sides = []
+                for x in (xp[part_p], xu[part_u]):
+                    s, g = _part(net, x)
+                    sides.append((s.mean(), {k: v / len(x) for k, v in g.items()}))
+                adam.take(_combine(net, prior, *sides, decay))
     return net
 
 
+def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x): features of every whole text, written once."""
+
+    @lean
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "x": [features(t) for t in pdf["text"]]})
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return staged(rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, x array<float>"), "features")
+
+
+def _summed(made: DataFrame, of_rows, size: int) -> np.ndarray:
+    """Sum over all rows of what of_rows(x) gives for a block of them, `size` numbers. A task adds up its blocks; the sums of
+    all tasks are added by place, so the driver gets `size` numbers whatever the table holds."""
+
+    @lean
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for pdf in batches:
+            if len(pdf):
+                total += of_rows(np.stack(pdf["x"].to_numpy()))
+        yield pd.DataFrame({"k": np.arange(size), "v": total})
+
+    rows = made.select("x").mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(size)
+    for r in rows:
+        out[r["k"]] = r["v"]
+    return out
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, positive_rows: int = 4000, unlabelled_rows: int = 8000, most_chars: int = 40_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, positive_rows: int = 4000, start_rows: int = 8000, full_steps: int = 6, id_col: str = "doc_id", text_col: str = "text", made: DataFrame | None = None
 ) -> Scorer:
-    """Fit on at most positive_rows trusted and unlabelled_rows unlabelled texts of up to most_chars characters, taken in
-    hash order of the id. Features are made on the executors; the driver sees FEATURES numbers a row."""
+    """Fit on at most positive_rows trusted texts outside the held-out fold and on all text: start_rows rows, in hash order
+    of the id, for the first epochs, then full_steps steps over every row. `made` is featurise(docs) where the caller has it."""
+    made = featurise(docs, id_col, text_col) if made is None else made
     ids = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
     trusted = ids.where((crc_mod("id", modulus) != held_out) & F.col("y").isNotNull())
     prior = trusted.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
-    texts = docs.where(F.length(text_col) <= most_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order = F.xxhash64("id", F.lit(4))
-    known = texts.select("id").withColumn("h", order)
-    positive = known.join(trusted.where("y = 1").select("id"), "id", "left_semi").orderBy("h", "id").limit(positive_rows).select("id", F.lit(1).alias("p"))
-    unlabelled = known.join(ids.select("id"), "id", "left_anti").where("id is not null").orderBy("h", "id").limit(unlabelled_rows).select("id", F.lit(0).alias("p"))
-    chosen = texts.join(F.broadcast(positive.unionByName(unlabelled)), "id").select("id", "p", "text")
+    prior = min(0.98, max(0.02, prior if prior is not None else 0.5))
+    known = made.select("id").where("id IS NOT NULL").distinct().withColumn("h", F.xxhash64("id", F.lit(4)))
+    chosen = known.join(trusted.where("y = 1").select("id"), "id", "left_semi").orderBy("h", "id").limit(positive_rows).select("id", F.lit(1).alias("p"))
+    chosen = chosen.unionByName(known.orderBy("h", "id").limit(start_rows).select("id", F.lit(0).alias("p")))
+    # Of rows that repeat an id one stands for all, so what comes to the driver keeps its bound.
+    pdf = made.join(F.broadcast(chosen), "id").groupBy("id", "p").agg(F.min("x").alias("x")).toPandas().sort_values(["p", "id"])
+    x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, FEATURES), np.float32)
+    own = pdf["p"].to_numpy() == 1
+    if not own.any():
+        return fit_pu(x[:0], x[:0], prior)
+    sums = _summed(made, lambda x: np.concatenate([[len(x)], x.sum(axis=0, dtype=float), (x.astype(float) ** 2).sum(axis=0)]), 1 + 2 * FEATURES)
+    n = max(1.0, sums[0])
+    mean = sums[1 : 1 + FEATURES] / n
+    scale = np.sqrt(np.maximum(0, sums[1 + FEATURES :] / n - mean**2)) + SPREAD
+    net = fit_pu(x[own], x[~own], prior, mean, scale)
+    xp, adam, shapes = net.scaled(x[own]), Adam(net, 0.002), {k: getattr(net, k).shape for k in ("w1", "b1", "w2")}
+    spark = made.sparkSession
+    for _ in range(full_steps):
+        shared = spark.sparkContext.broadcast(net)  # a fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "p": pdf["p"], "x": [features(t) for t in pdf["text"]]})
+        def of_rows(x: np.ndarray, shared=shared) -> np.ndarray:
+            s, g = _part(shared.value, shared.value.scaled(x))
+            return np.concatenate([[s.sum()], *(g[k].ravel() for k in shapes)])
 
-    pdf = chosen.mapInPandas(run, f"id {dict(texts.dtypes)['id']}, p int, x array<float>").toPandas().sort_values(["p", "id"])
-    x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, FEATURES), np.float32)
-    known_class = pdf["p"].to_numpy() == 1
-    return fit_pu(x[known_class], x[~known_class], min(0.98, max(0.02, prior if prior is not None else 0.5)))
+        flat = _summed(made, of_rows, 1 + sum(int(np.prod(v)) for v in shapes.values())) / n
+        cuts = np.cumsum([1] + [int(np.prod(v)) for v in shapes.values()])
+        over = {k: flat[a:b].reshape(v) for (k, v), a, b in zip(shapes.items(), cuts[:-1], cuts[1:])}
+        s, g = _part(net, xp)
+        adam.take(_combine(net, prior, (s.mean(), {k: v / len(xp) for k, v in g.items()}), (flat[0], over), 1e-3))
+    return _placed(net, made, prior)
+
+
+def _placed(net: Scorer, made: DataFrame, prior: float, bins: int = 4096) -> Scorer:
+    """The network with its operating point, from a histogram of all rows' outputs."""
+    most = float(np.abs(net.w2).sum()) + 1e-6  # no output is larger
+    shared = made.sparkSession.sparkContext.broadcast(net)
+
+    def of_rows(x: np.ndarray) -> np.ndarray:
+        out = shared.value.logits(x)
+        place = np.clip(((out + most) / (2 * most) * bins).astype(int), 0, bins - 1)
+        return np.concatenate([[out.sum(), (out * out).sum()], np.bincount(place, minlength=bins)])
+
+    total = _summed(made, of_rows, bins + 2)
+    n = max(1.0, total[2:].sum())
+    net.shift = valley(total[2:], 1 - prior) / bins * 2 * most - most
+    net.slope = float(2.0 / max(np.sqrt(max(0.0, total[1] / n - (total[0] / n) ** 2)), 1e-3))
+    return net
 
 
-def score(docs: DataFrame, net: Scorer, threshold: float = OPERATING_POINT, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held_out: int = 2) -> DataFrame:
+def score(docs: DataFrame, net: Scorer, threshold: float = OPERATING_POINT, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held_out: int = 2, made: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Null and empty texts have all features zero and get that score. Whole texts are read, whatever their length. Equal texts score equal. Null ids are kept and are in
-    no fold. Extra columns are not read. An empty table gives no rows; without positives or unlabelled text every row
-    scores the operating point.
+    no fold. Repeated rows score each. Extra columns are not read. An empty table gives no rows; without positives every row
+    scores the operating point. `made` is featurise(docs) where the caller has it.
     """
-    model = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size
+    made = featurise(docs, id_col, text_col) if made is None else made
+    model = made.sparkSession.sparkContext.broadcast(net)  # a fixed size
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.stack([features(t) for t in pdf["t"]])
+                x = np.stack(pdf["x"].to_numpy())
                 yield pd.DataFrame({"doc_id": pdf["d"], "held_out": pdf["h"], "score": model.value.score(x).astype(float)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(crc_mod(id_col, modulus) == held_out, F.lit(False)).alias("h"), F.col(text_col).alias("t"))
+    rows = made.select(F.col("id").cast("long").alias("d"), F.coalesce(crc_mod("id", modulus) == held_out, F.lit(False)).alias("h"), "x")
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

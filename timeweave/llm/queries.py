@@ -27,7 +27,8 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    return quality.score(docs, quality.fit(docs, load(spark, sf_dir, "labels")), threshold=0.7)
+    made = quality.featurise(docs)
+    return quality.score(docs, quality.fit(docs, load(spark, sf_dir, "labels"), made=made), threshold=0.7, made=made)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.strip_boilerplate(docs, ratio=0.1, min_pages=3)
+    return line_dedup.strip_boilerplate(docs, ratio=0.01, min_pages=3)
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
