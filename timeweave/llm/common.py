@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import re
 import sys
 import tempfile
 import uuid
 from array import array
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +22,15 @@ _local_scratch: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. A local session may do without that setting and gets
+    a temporary folder; on a cluster its executors could not see one, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local_scratch:
         _local_scratch.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        spark.sparkContext.setCheckpointDir(_local_scratch[0])
     return _local_scratch[0]
 
 
@@ -42,9 +48,18 @@ def lower_ascii(c: Column) -> Column:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let batches that Spark hands to Python hold a few megabytes of text, where the session keeps Spark's default of 64:
+    both sides hold several copies of a batch in every running task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":
+        spark.conf.set(name, most)
+
+
 def crc_mod(c: Column, m: int) -> Column:
     """crc32 of the value as decimal text, modulo m."""
     return F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(m))
@@ -147,5 +162,28 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def release(encoders: bool = True) -> None:
+    """Give memory that is free in this process back to the machine, where the C library can; with encoders, also what they
+    remember, which only a task that encodes has a use for."""
+    import pyarrow
+
+    if encoders:
+        _encoders.clear()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that releases memory when it ends: workers are reused, and would keep what a stage took."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import encoder
+from timeweave.llm.common import encoder, release
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -157,5 +157,6 @@ def pack(
                     yield rows(False)
                     fresh = 0
         yield rows(True)
+        release(encoders=False)
 
     return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInPandas(run, SCHEMA)

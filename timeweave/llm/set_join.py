@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timeweave.llm.collisions import Roots, runs_of_groups
-from timeweave.llm.common import shuffle_width, staged
+from timeweave.llm.common import lean, shuffle_width, staged
 from timeweave.llm.graph import components
 from timeweave.llm.toxicity import bounded_batches
 
@@ -131,6 +131,7 @@ def packed_keys(docs: DataFrame, n: int, below: np.uint64, bits: int) -> DataFra
         rest = (keys & ((np.uint64(1) << low) - np.uint64(1))).astype("<u4")
         return pd.DataFrame({"bucket": bucket[cuts[:-1]], "keys": [rest[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in batches:
@@ -161,6 +162,7 @@ def frequency_ranks(docs: DataFrame, n: int, num: int, den: int) -> np.ndarray:
         slot = slots_of((np.uint64(bucket) << low) | keys[often].astype(np.uint64))
         return pd.DataFrame({"word": slot // 64, "bit": np.int64(1) << (slot % 64), "n": times[often]})
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
         for pdf in batches:
@@ -190,6 +192,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -
     """(id, n, a, b, keys): set size, two independent hashes of the set, and its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # SLOTS bytes
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["text"].tolist()
@@ -230,6 +233,7 @@ def chain_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
         if last is not None:
             yield pd.DataFrame({"x": [last[1]], "keys": [last[2]], "key": [last[0]], "place": [2 * task + 1]})
 
+    @lean
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in run(batches):
             yield pdf.reindex(columns=["x", "y", "keys", "key", "place"]).astype("Int64")
@@ -264,8 +268,8 @@ class CountTree:
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
             keep = []
-            for s in range(0, len(a), 16384):
-                x, y = a[s : s + 16384], b[s : s + 16384]
+            for s in range(0, len(a), 4096):
+                x, y = a[s : s + 4096], b[s : s + 4096]
                 bound = np.minimum(top[x], top[y]).sum(axis=1, dtype=np.int64)
                 need = bound * (num + den) >= num * (low[x] + low[y])
                 keep.append(need & (high[x] * den >= low[y] * num) & (high[y] * den >= low[x] * num))
@@ -296,6 +300,7 @@ def verify(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     if "part" not in rows.columns:
         rows = rows.withColumn("part", F.lit(None).cast("long"))
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs_of_groups(batches, ["g"], lambda k: k / 400):
             sets = [s for part in bounded_batches(pdf["text"].tolist()) for s in shingle_sets(pdf["text"].iloc[part].tolist(), n)]

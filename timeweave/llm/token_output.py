@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import encoder, shuffle_width, staged
+from timeweave.llm.common import encoder, release, shuffle_width, staged
 
 MAGIC, NULL_ID = b"RPG1", -(1 << 63)
 BLOCKS = "shard int, block int, shard_start long, n_docs long, n_ids long, payload binary"
@@ -203,10 +203,12 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, block_ids: in
                     yield close()
         if doc_ids:
             yield close()
+        release(encoders=False)
 
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     n = shuffle_width(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, F.col("d").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("d").asc_nulls_first(), "t")
+    order = [F.col("d").asc_nulls_first(), F.xxhash64("t"), F.col("t")]
+    ordered = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     return staged(ordered.mapInPandas(run, BLOCKS), "token-blocks")
 
 
@@ -240,8 +242,8 @@ def read_documents(blocks: DataFrame) -> DataFrame:
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, **columns: str) -> DataFrame:
     """Write documents as compressed blocks and report each from the files read back.
 
-    Null and empty texts are the end id alone. Null ids come first. Repeated rows are written each, in text order
-    within an id. A very long text makes its block longer and is never cut. Extra columns are not read. An empty
+    Null and empty texts are the end id alone. Null ids come first. Repeated rows are written each, in order of
+    their texts' hashes within an id. A very long text makes its block longer and is never cut. Extra columns are not read. An empty
     table writes no block and gives no rows.
     """
     return read_documents(write_blocks(docs, tokenizer, end_id, **columns))

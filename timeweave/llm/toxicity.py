@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import crc_mod
+from timeweave.llm.common import crc_mod, lean, release
 
 WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN, ATTENTION = 1 << 15, 1 << 14, 12, 16, 16
@@ -240,8 +240,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: dict[int, int], most_chars: int, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """A bounded sample on the driver: of each class at most per_class rows, in hash order of the id, texts up to
-    most_chars characters."""
+    """A bounded sample on the driver: of each class at most per_class ids, in hash order, with a text of up to most_chars
+    characters (the smallest of those that repeat an id)."""
     ids = labels.where(keep).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(list(per_class)) & F.col("id").isNotNull())
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, most_chars))
     ranked = ids.join(texts.select("id"), "id", "left_semi").withColumn("h", F.xxhash64("id", F.lit(3)))
@@ -249,7 +249,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_cl
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "y").toPandas().drop_duplicates().sort_values(["id", "text"])
+    one = texts.join(F.broadcast(chosen.distinct()), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    return one.toPandas().sort_values(["id", "text"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, toxic_rows: int = 1000, clean_rows: int = 2000, most_chars: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> BiGru:
@@ -295,6 +296,7 @@ def score(docs: DataFrame, net: BiGru, threshold: float = 0.5, id_col: str = "do
     """
     model = docs.sparkSession.sparkContext.broadcast(net.p)  # a fixed size: the hashed tables and the weights
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = BiGru(model.value)
         for pdf in batches:
@@ -317,5 +319,6 @@ def keep_clean(docs: DataFrame, net: BiGru, threshold: float = 0.5, text_col: st
             texts = s.tolist()
             parts = [score_texts(own, texts[p]) for p in bounded_batches(texts)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        release()
 
     return docs.where(of_text(F.col(text_col)) < threshold)
