@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import collisions, decontaminate, line_dedup, packing, quality, set_join, substrings, token_output, toxicity, warc
+from timeweave.llm import collisions, decontaminate, line_dedup, merkle, packing, patterns, quality, repair, set_join, substrings, token_output, toxicity, warc
 from timeweave.llm.common import load
 
 
@@ -57,6 +57,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), word_vocabulary(), end_id=1)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(load(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(load(spark, sf_dir, "documents"))
+
+
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_decontaminate": op2_decontaminate,
@@ -68,10 +80,15 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_pattern_packing": op13_pattern_packing,
 }
 
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op3_warc_derivatives": warc.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_conversation_repair": repair.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
