@@ -349,25 +349,6 @@ def test_late_words_are_dropped(spark, tmp_path):
     assert (2, 0) in out and dropped >= 1
 
 
-def test_utterances_close_by_timer_and_length(spark, tmp_path):
-    at = lambda ms: datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=ms)
-    schema = "chunk_id long, word_idx long, start_ms long, end_ms long, ts timestamp"
-    batches = [[(1, 0, 0, 900), (1, 1, 1000, 8000), (1, 2, 8100, 15500)], [(1, 3, 15600, 16000)], [(2, 0, 60000, 60100)], [(2, 1, 61000, 61100)]]
-    source = tmp_path / "in"
-    source.mkdir()
-    out = []
-    stream = monitor.utterances(spark.readStream.schema(schema).parquet(str(source)))
-    query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).start()
-    for n, b in enumerate(batches):
-        spark.createDataFrame([(*x, at(x[2])) for x in b], schema).coalesce(1).write.parquet(str(tmp_path / f"b{n}"))
-        for part in (tmp_path / f"b{n}").glob("*.parquet"):
-            part.rename(source / f"{n}-{part.name}")
-        query.processAllAvailable()
-    query.stop()
-    closed = [r for r in out if not r[-1]]
-    assert (1, 0, 3, 0, 2, False) in closed and (1, 15600, 1, 3, 3, False) in closed and not any(r[0] == 2 for r in closed)
-
-
 def test_diverging_logs(spark):
     x = spark.createDataFrame([("a", i, 90 + i, 0.5 if i < 5 else 2.0, 100, 100) for i in range(30)], "log string, seq long, step long, loss double, used long, free long")
     got = replay(x, monitor.alert_stream, "append").orderBy("seq").collect()

@@ -1,17 +1,21 @@
 """Window and sequence operators over ordered rows of a chunk.
 
 Rules that reset at a break are windows (gaps and islands). Rules where a row's fate depends on decisions already made
-are folds: `fold` runs a small Python function over one chunk's ordered rows. A chunk is a few minutes of speech, a
-few thousand rows at most; chunks are spread over the cluster.
+are scans: `scan` lets a chunk's ordered rows pass by a small rule object, one Arrow batch at a time, so a chunk may have any
+length. `fold` hands a whole chunk to a function; chunks are spread over the cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from timeweave.functions.text import is_outlier
@@ -19,7 +23,7 @@ from timeweave.functions.vectors import iou
 
 
 def fold(rows: DataFrame, order: list[str], step: Callable[[dict[str, list]], dict[str, list]], schema: str, key: str = "chunk_id") -> DataFrame:
-    """Run `step` over each chunk's rows in order; it gets and returns columns as lists."""
+    """Run `step` over each chunk's rows in order; it gets and returns columns as lists. For rules that look a whole chunk over."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -29,6 +33,51 @@ def fold(rows: DataFrame, order: list[str], step: Callable[[dict[str, list]], di
     return rows.groupBy(key).applyInPandas(run, schema)
 
 
+class Scan:
+    """A rule that walks over a chunk's rows once. A new one is made for each chunk; `take` gets the next columns as lists
+    and returns the rows that are settled by then, as columns, `close` the rest."""
+
+    def take(self, c: dict[str, list]) -> dict[str, list]:
+        raise NotImplementedError
+
+    def close(self) -> dict[str, list]:
+        return {}
+
+
+def scan(rows: DataFrame, order: list[str], make: Callable[[], Scan], schema: str, key: str = "chunk_id") -> DataFrame:
+    """Run a `Scan` over each chunk's rows in order, batch by batch: a chunk of any length takes the memory of one batch.
+
+    Chunks are sorted on disk by Spark and pass by a task as Arrow batches. The key is the first column of `schema` and is
+    added to what the rule returns; numbers without nulls come as whole numbers.
+    """
+    names, kept = [c.split()[0] for c in schema.split(", ")], rows.columns
+    target = rows.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(target)
+        now, rule = None, None
+
+        def made(value, out: dict[str, list]) -> Iterator[pa.RecordBatch]:
+            n = len(next(iter(out.values()), []))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([value] * n if c == names[0] else out[c], kinds.field(c).type) for c in names], schema=kinds)
+
+        for batch in batches:
+            values, n = batch.column(kept.index(key)), batch.num_rows
+            cuts = [0, *(np.flatnonzero(pc.not_equal(values[1:], values[:-1]).fill_null(True).to_numpy(zero_copy_only=False)) + 1).tolist(), n] if n else []
+            for a, b in zip(cuts, cuts[1:]):
+                part, value = batch.slice(a, b - a), values[a].as_py()
+                if rule is None or value != now:
+                    if rule is not None:
+                        yield from made(now, rule.close())
+                    now, rule = value, make()
+                yield from made(now, rule.take({c: part.column(i).to_pylist() if part.column(i).null_count or not pa.types.is_integer(part.column(i).type) else part.column(i).to_numpy().tolist() for i, c in enumerate(kept) if c != key}))
+        if rule is not None:
+            yield from made(now, rule.close())
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def collapse_turns(turns: DataFrame, gap_ms: int = 300) -> DataFrame:
     """Join adjacent turns of a speaker whose gap to the running end is under gap_ms."""
     w = W.partitionBy("chunk_id").orderBy("turn_idx")
@@ -65,66 +114,110 @@ def contaminated(words: DataFrame, levels: DataFrame | None = None, quiet: float
     return heard.select("chunk_id", "word_idx", "bad_length", "bad_rhythm", F.coalesce(F.col("rms") < quiet, F.lit(True)).alias("bad_level"))
 
 
-def gap_segments(words: DataFrame, hard_ms: int = 1500, soft_ms: int = 400, soft_after_ms: int = 3000, most_ms: int = 15000) -> DataFrame:
-    """Segment number of each word: a break before a word after a long gap, a short gap once long enough, or too long."""
+class GapSegments(Scan):
+    def __init__(self, hard_ms: int, soft_ms: int, soft_after_ms: int, most_ms: int):
+        self.hard, self.soft, self.soft_after, self.most = hard_ms, soft_ms, soft_after_ms, most_ms
+        self.segment, self.start, self.end = 0, None, None
 
-    def step(c: dict[str, list]) -> dict[str, list]:
-        number, seg, start, end = [], 0, None, None
+    def take(self, c: dict[str, list]) -> dict[str, list]:
+        number, segment, start, end = [], self.segment, self.start, self.end
         for s, e in zip(c["start_ms"], c["end_ms"]):
             if start is None:
                 start = s
-            elif s - end > hard_ms or (s - end > soft_ms and end - start >= soft_after_ms) or end - start >= most_ms:
-                seg, start = seg + 1, s
+            elif s - end > self.hard or (s - end > self.soft and end - start >= self.soft_after) or end - start >= self.most:
+                segment, start = segment + 1, s
             end = e
-            number.append(seg)
-        return {"chunk_id": c["chunk_id"], "word_idx": c["word_idx"], "segment": number}
+            number.append(segment)
+        self.segment, self.start, self.end = segment, start, end
+        return {"word_idx": c["word_idx"], "segment": number}
 
-    return fold(words.select("chunk_id", "word_idx", "start_ms", "end_ms"), ["word_idx"], step, "chunk_id long, word_idx long, segment long")
 
+def gap_segments(words: DataFrame, hard_ms: int = 1500, soft_ms: int = 400, soft_after_ms: int = 3000, most_ms: int = 15000) -> DataFrame:
+    """Segment number of each word: a break before a word after a long gap, a short gap once long enough, or too long."""
+    rows = words.select("chunk_id", "word_idx", "start_ms", "end_ms")
+    return scan(rows, ["word_idx"], lambda: GapSegments(hard_ms, soft_ms, soft_after_ms, most_ms), "chunk_id long, word_idx long, segment long")
 
-def punct_segments(words: DataFrame, most_ms: int = 12000, most_words: int = 30) -> DataFrame:
-    """Segment number of each word: a break after an end mark, a long run or many words."""
 
-    def step(c: dict[str, list]) -> dict[str, list]:
-        number, seg, start, n = [], 0, None, 0
+class PunctSegments(Scan):
+    def __init__(self, most_ms: int, most_words: int):
+        self.most_ms, self.most_words = most_ms, most_words
+        self.segment, self.start, self.n = 0, None, 0
+
+    def take(self, c: dict[str, list]) -> dict[str, list]:
+        number, segment, start, n = [], self.segment, self.start, self.n
         for s, e, mark in zip(c["start_ms"], c["end_ms"], c["mark"]):
             start, n = (s, 1) if start is None else (start, n + 1)
-            number.append(seg)
-            if mark or e - start >= most_ms or n >= most_words:
-                seg, start = seg + 1, None
-        return {"chunk_id": c["chunk_id"], "word_idx": c["word_idx"], "segment": number}
+            number.append(segment)
+            if mark or e - start >= self.most_ms or n >= self.most_words:
+                segment, start = segment + 1, None
+        self.segment, self.start, self.n = segment, start, n
+        return {"word_idx": c["word_idx"], "segment": number}
 
+
+def punct_segments(words: DataFrame, most_ms: int = 12000, most_words: int = 30) -> DataFrame:
+    """Segment number of each word: a break after an end mark, a long run or many words."""
     marked = words.select("chunk_id", "word_idx", "start_ms", "end_ms", F.right("word", F.lit(1)).isin(".", "?", "!").alias("mark"))
-    return fold(marked, ["word_idx"], step, "chunk_id long, word_idx long, segment long")
+    return scan(marked, ["word_idx"], lambda: PunctSegments(most_ms, most_words), "chunk_id long, word_idx long, segment long")
 
 
-def merge_short(groups: DataFrame, short_ms: int = 1500, most_ms: int = 12000) -> DataFrame:
-    """Merge a group with the one before if either is short and both together are not long."""
+class MergeShort(Scan):
+    """Holds the group that the next one may still join."""
+
+    def __init__(self, short_ms: int, most_ms: int):
+        self.short, self.most, self.open = short_ms, most_ms, None
+
+    def _columns(self, rows: list[tuple]) -> dict[str, list]:
+        return {k: [r[i] for r in rows] for i, k in enumerate(("group_idx", "start_ms", "end_ms", "n"))}
 
-    def step(c: dict[str, list]) -> dict[str, list]:
-        kept: list[list] = []
+    def take(self, c: dict[str, list]) -> dict[str, list]:
+        done, now = [], self.open
         for g, s, e in zip(c["group_idx"], c["start_ms"], c["end_ms"]):
-            if kept and min(kept[-1][2] - kept[-1][1], e - s) < short_ms and e - kept[-1][1] <= most_ms:
-                kept[-1][2:] = [e, kept[-1][3] + 1]
+            if now and min(now[2] - now[1], e - s) < self.short and e - now[1] <= self.most:
+                now = (now[0], now[1], e, now[3] + 1)
             else:
-                kept.append([g, s, e, 1])
-        return {"chunk_id": c["chunk_id"][: len(kept)]} | {k: [r[i] for r in kept] for i, k in enumerate(("group_idx", "start_ms", "end_ms", "n"))}
+                if now:
+                    done.append(now)
+                now = (g, s, e, 1)
+        self.open = now
+        return self._columns(done)
 
-    return fold(groups.select("chunk_id", "group_idx", "start_ms", "end_ms"), ["group_idx"], step, "chunk_id long, group_idx long, start_ms long, end_ms long, n long")
+    def close(self) -> dict[str, list]:
+        return self._columns([self.open] if self.open else [])
 
 
-def smooth_aba(rows: DataFrame, order: str, label: str = "speaker", key: str = "chunk_id") -> DataFrame:
-    """A-B-A becomes A-A-A from left to right; a smoothed label counts for the next test."""
+def merge_short(groups: DataFrame, short_ms: int = 1500, most_ms: int = 12000) -> DataFrame:
+    """Merge a group with the one before if either is short and both together are not long."""
+    rows = groups.select("chunk_id", "group_idx", "start_ms", "end_ms")
+    return scan(rows, ["group_idx"], lambda: MergeShort(short_ms, most_ms), "chunk_id long, group_idx long, start_ms long, end_ms long, n long")
+
+
+class SmoothAba(Scan):
+    """Holds the last two rows: a row is settled when the one after it is known."""
+
+    def __init__(self, order: str, label: str):
+        self.order, self.label, self.before, self.open = order, label, [], None
 
-    def step(c: dict[str, list]) -> dict[str, list]:
-        said = c[label]
-        for i in range(1, len(said) - 1):
-            if said[i - 1] == said[i + 1]:
-                said[i] = said[i - 1]
-        return {**c, label: said}
+    def take(self, c: dict[str, list]) -> dict[str, list]:
+        places, labels, before, now = [], [], self.before, self.open
+        for place, said in zip(c[self.order], c[self.label]):
+            if now is not None:
+                if before and before[0] is not None and before[0] == said:
+                    now = (now[0], said)
+                places.append(now[0])
+                labels.append(now[1])
+                before = [now[1]]
+            now = (place, said)
+        self.before, self.open = before, now
+        return {self.order: places, self.label: labels}
 
+    def close(self) -> dict[str, list]:
+        return {self.order: [self.open[0]], self.label: [self.open[1]]} if self.open else {}
+
+
+def smooth_aba(rows: DataFrame, order: str, label: str = "speaker", key: str = "chunk_id") -> DataFrame:
+    """A-B-A becomes A-A-A from left to right; a smoothed label counts for the next test."""
     kind = dict(rows.dtypes)[order]
-    return fold(rows.select(key, order, label), [order], step, f"{key} long, {order} {kind}, {label} string", key)
+    return scan(rows.select(key, order, label), [order], lambda: SmoothAba(order, label), f"{key} long, {order} {kind}, {label} string", key)
 
 
 def split_by_speaker(words: DataFrame, group: str, label: str = "speaker") -> DataFrame:
@@ -182,21 +275,50 @@ def face_changes(frames: DataFrame, fps: int = 25, min_ms: int = 500) -> DataFra
     return x.withColumn("begun", begun).where("settled AND held IS NOT NULL").select("chunk_id", F.col("begun").alias("frame"), "track")
 
 
+class SilenceCuts(Scan):
+    """Holds the silences near the next target. A target is settled once speech goes on beyond its slack and the tail, or at
+    the chunk's end."""
+
+    def __init__(self, every_ms: int, slack_ms: int, tail_ms: int):
+        self.every, self.slack, self.tail = every_ms, slack_ms, tail_ms
+        self.target, self.end, self.total, self.gaps, self.cuts = every_ms, None, None, [], 0
+
+    def _settle(self, last: bool) -> list[int]:
+        out = []
+        while self.target < self.total and (last or self.total - self.tail >= self.target + self.slack):
+            low, high = self.target - self.slack, min(self.target + self.slack, self.total - self.tail)
+            near = [g for g in self.gaps if g[1] >= low and g[2] <= high]
+            out.append(max(near, key=lambda g: (g[2] - g[1], -g[1]))[0] if near else self.target)
+            self.target = out[-1] + self.every
+            self.gaps = [g for g in self.gaps if g[1] >= self.target - self.slack]
+        return out
+
+    def _columns(self, cuts: list[int]) -> dict[str, list]:
+        first, self.cuts = self.cuts, self.cuts + len(cuts)
+        return {"cut_idx": list(range(first, self.cuts)), "cut_ms": cuts}
+
+    def take(self, c: dict[str, list]) -> dict[str, list]:
+        cuts = []
+        for s, e in zip(c["start_ms"], c["end_ms"]):
+            if self.end is not None and s > self.end and self.end >= self.target - self.slack:
+                self.gaps.append(((self.end + s) // 2, self.end, s))
+            self.end = e
+            if self.total is None or e > self.total:
+                # Silences known so far end before this speech starts, so those of settled targets are all here.
+                self.total = s if self.total is None else max(self.total, s)
+                cuts += self._settle(False)
+                self.total = e
+        return self._columns(cuts)
+
+    def close(self) -> dict[str, list]:
+        return self._columns(self._settle(True) if self.total is not None else [])
+
+
 def silence_cuts(speech: DataFrame, every_ms: int = 60000, slack_ms: int = 5000, tail_ms: int = 1000) -> DataFrame:
     """Cut points near every target: the middle of the longest silence that lies within the slack (and ends tail_ms before
     the end), the first on a tie, else the target itself. The next target counts from the cut."""
-
-    def step(c: dict[str, list]) -> dict[str, list]:
-        total, target, cuts = max(c["end_ms"]), every_ms, []
-        gaps = [(b - a, -a, (a + b) // 2) for a, b in zip(c["end_ms"], c["start_ms"][1:]) if b > a]
-        while target < total:
-            low, high = target - slack_ms, min(target + slack_ms, total - tail_ms)
-            near = [g for g in gaps if -g[1] >= low and g[0] - g[1] <= high]
-            cuts.append(max(near)[2] if near else target)
-            target = cuts[-1] + every_ms
-        return {"chunk_id": c["chunk_id"][:1] * len(cuts), "cut_idx": list(range(len(cuts))), "cut_ms": cuts}
-
-    return fold(speech.select("chunk_id", "speech_idx", "start_ms", "end_ms"), ["start_ms", "speech_idx"], step, "chunk_id long, cut_idx long, cut_ms long")
+    rows = speech.select("chunk_id", "speech_idx", "start_ms", "end_ms")
+    return scan(rows, ["start_ms", "speech_idx"], lambda: SilenceCuts(every_ms, slack_ms, tail_ms), "chunk_id long, cut_idx long, cut_ms long")
 
 
 def nms(boxes: DataFrame, limit: float = 0.3) -> DataFrame:
@@ -231,27 +353,32 @@ def pingpong(frames: DataFrame, per: str, idx: str, m: int) -> DataFrame:
     return out.select(per, "pos", F.when(at < F.col("n"), at).otherwise(2 * F.col("n") - 1 - at).alias(idx)).join(frames, [per, idx])
 
 
-def absorb_outliers(segments: DataFrame, max_ms: int = 400) -> DataFrame:
-    """Short segments of outlier speakers (number over 90) take the label of the nearest main neighbour in time, the one
-    before on a tie; an absorbed one counts as main for later rows. Distances are absolute, so overlaps count as well."""
-    ahead = W.partitionBy("chunk_id").orderBy(F.desc("segment_id")).rowsBetween(W.unboundedPreceding, -1)
-    main = F.when(~is_outlier(F.col("speaker")), F.struct("start_ms", "speaker"))
-    rows = segments.withColumn("next", F.last(main, ignorenulls=True).over(ahead))
-    rows = rows.select("chunk_id", "segment_id", "speaker", "start_ms", "end_ms", is_outlier(F.col("speaker")).alias("odd"), F.col("next.start_ms").alias("next_ms"), F.col("next.speaker").alias("next_speaker"))
+class AbsorbOutliers(Scan):
+    def __init__(self, max_ms: int):
+        self.max_ms, self.last = max_ms, None
 
-    def step(c: dict[str, list]) -> dict[str, list]:
-        label, last = [], None
+    def take(self, c: dict[str, list]) -> dict[str, list]:
+        label, last = [], self.last
         for said, start, end, odd, next_ms, next_said in zip(*(c[k] for k in ("speaker", "start_ms", "end_ms", "odd", "next_ms", "next_speaker"))):
             near = [(abs(start - last[0]), 0, last[1])] if last else []
             if next_said is not None:
                 near.append((abs(next_ms - end), 1, next_said))
-            absorbed = odd and end - start < max_ms and bool(near)
+            absorbed = odd and end - start < self.max_ms and bool(near)
             label.append(min(near)[2] if absorbed else said)
             if absorbed or not odd:
                 last = (end, label[-1])
-        return {"chunk_id": c["chunk_id"], "segment_id": c["segment_id"], "speaker": label}
+        self.last = last
+        return {"segment_id": c["segment_id"], "speaker": label}
+
 
-    return fold(rows, ["segment_id"], step, "chunk_id long, segment_id long, speaker string")
+def absorb_outliers(segments: DataFrame, max_ms: int = 400) -> DataFrame:
+    """Short segments of outlier speakers (number over 90) take the label of the nearest main neighbour in time, the one
+    before on a tie; an absorbed one counts as main for later rows. Distances are absolute, so overlaps count as well."""
+    ahead = W.partitionBy("chunk_id").orderBy(F.desc("segment_id")).rowsBetween(W.unboundedPreceding, -1)
+    main = F.when(~is_outlier(F.col("speaker")), F.struct("start_ms", "speaker"))
+    rows = segments.withColumn("next", F.last(main, ignorenulls=True).over(ahead))
+    rows = rows.select("chunk_id", "segment_id", "speaker", "start_ms", "end_ms", is_outlier(F.col("speaker")).alias("odd"), F.col("next.start_ms").alias("next_ms"), F.col("next.speaker").alias("next_speaker"))
+    return scan(rows, ["segment_id"], lambda: AbsorbOutliers(max_ms), "chunk_id long, segment_id long, speaker string")
 
 
 def trim_short(segments: DataFrame, words: DataFrame, most_words: int = 3, least_ms: int = 5000, spoken_ms: int = 1000, pad_ms: int = 200) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,11 +12,10 @@ from timeweave.functions.vectors import dot
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
-    """L2-normalised mean vector per key; sums are taken per dimension, so they combine before the shuffle."""
-    long = rows.select(*keys, F.posexplode(vector).alias("dim", "x")).groupBy(*keys, "dim").agg(F.avg("x").alias("x"))
-    mean = long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("m"))
+    """L2-normalised mean vector per key. Whole vectors are summed where they lie, so a task sends one sum for each key."""
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(vector)))).alias("m")
     norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + x * x))
-    return mean.select(*keys, F.transform("m", lambda x: x / norm).alias("centroid"))
+    return rows.groupBy(*keys).agg(mean).select(*keys, F.transform("m", lambda x: x / norm).alias("centroid"))
 
 
 def speaker_centroids(turns: DataFrame, min_ms: int = 500) -> DataFrame:

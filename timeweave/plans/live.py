@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from timeweave.functions import text
+from timeweave.functions import tables, text
 from timeweave.functions.logs import parse_step
 from timeweave.functions.vectors import dot
 from timeweave.operators import refine, sequences, speakers
-from timeweave.plans.media import ALERTS_SQL
+from timeweave.operators.lineage import shared_path, staged
+from timeweave.plans.media import ALERTS_SQL, NUMBERED
 from timeweave.plans.timelines import CENTROIDS
+from timeweave.sources import files
 from timeweave.sources import timeline as T
+from timeweave.sources.tail import tail
 from timeweave.streaming import monitor
-from timeweave.streaming.runner import replay
+from timeweave.streaming.runner import drain, read_out, replay, replay_in_order
 
 QUERIES, ORACLE_SQL = {}, {}
 col, wt = F.col, T.with_tables
@@ -116,40 +119,116 @@ def sliding_split(segments, windows, words):
 
 
 add("e18_sliding_split", lambda s, d: sliding_split(vector_segments(s, d), window_speakers(s, d), T.words(s, d)))
-add("h12_parse_fields", lambda s, d: refine.parse_fields(T.segments(s, d).select(col("chunk_id").alias("batch_id"), "segment_id", F.concat(F.lit("["), "segment_id", F.lit("]\nKorean: "), "text", F.lit("\nwent on\n\nemotion： "), "emotion", F.lit("\nTONE: soft")).alias("r")).groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "r"))), lambda x: x["r"]), "\n").alias("response"))),
-    wt("segments", "SELECT chunk_id AS batch_id, segment_id AS idx, text || ' went on' AS korean, CAST(NULL AS VARCHAR) AS context, emotion, 'soft' AS tone FROM segments"))
+def field_responses(s, d):
+    """One answer a chunk: an entry for each segment with named fields, a line that goes on and a blank one."""
+    r = F.concat(F.lit("["), "segment_id", F.lit("]\nKorean: "), "text", F.lit("\nwent on\n\nemotion： "), "emotion", F.lit("\nTONE: soft"))
+    parts = F.array_sort(F.collect_list(F.struct("segment_id", r.alias("r"))))
+    return T.segments(s, d).groupBy(col("chunk_id").alias("batch_id")).agg(F.array_join(F.transform(parts, lambda x: x["r"]), "\n").alias("response"))
+
+
+FIELDS_SQL = "SELECT chunk_id AS batch_id, segment_id AS idx, text || ' went on' AS korean, CAST(NULL AS VARCHAR) AS context, emotion, 'soft' AS tone FROM segments"
+
+
+def in_sql(function: str, responses):
+    """Answers through a table function of SQL."""
+    spark = responses.sparkSession
+    tables.register(spark)
+    return spark.sql(f"SELECT * FROM {function}(TABLE({{lines}}) PARTITION BY batch_id ORDER BY line_no)", lines=refine.numbered_lines(responses))
+
+
+add("h12_parse_fields", lambda s, d: refine.parse_fields(field_responses(s, d)), wt("segments", FIELDS_SQL))
+add("j3_udtf_fields", lambda s, d: in_sql("parse_fields", field_responses(s, d)), wt("segments", FIELDS_SQL))
+add("j3_udtf_numbered", lambda s, d: in_sql("parse_numbered", T.responses(s, d)), wt("responses", f"+{NUMBERED} SELECT * FROM parsed"))
 add("j3_udtf_tokens", lambda s, d: (s.udtf.register("tokenise_words", refine.TokeniseWords), T.table(s, d, "documents").createOrReplaceTempView("timeweave_documents"), s.sql("SELECT doc_id, pos, word FROM timeweave_documents, LATERAL tokenise_words(text)"))[2].groupBy("doc_id").agg(F.count("*").alias("n")),
     r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS w FROM documents) GROUP BY 1")
 
 # Streaming twins: the same rows as a batch, through a stream over files.
-def log_state(s, d):
-    """Last state of every log, from a stream over its lines."""
-    out = replay(T.train_lines(s, d).repartition("log"), monitor.log_status, "append")
-    last = out.groupBy("log").agg(F.max_by(F.struct("step", "total", "mean_loss", "eta_s", "done", "crashed"), "seq").alias("s")).select("log", "s.*")
+CRASH, BENIGN, PLAIN = "RuntimeError: CUDA error", "RuntimeError: fp16 is slow", "saving checkpoint"
+
+
+def log_texts(s, d):
+    """(name, content) of each log as a training process writes it: progress ends at a carriage return, other lines at a newline."""
+    user = F.substring("log", 4, 20).cast("long")
+    other = F.when((col("seq") * 31 + user) % 997 == 3, CRASH).when((col("seq") * 31 + user) % 41 == 5, BENIGN).when((col("seq") + user) % 29 == 4, PLAIN)
+    said = F.concat("line", F.lit("\r"), F.coalesce(F.concat(other, F.lit("\n")), F.lit("")))
+    return T.train_lines(s, d).groupBy("log").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", said.alias("said")))), lambda x: x["said"]), "").alias("content")).withColumnRenamed("log", "name")
+
+
+def log_state(s, d, steps: int = 3):
+    """Last state of every log, from files that grow between batches and are cut anywhere in a line."""
+    folder, out, state = (shared_path(s, f"logs-{k}") for k in ("in", "out", "state"))
+    texts = staged(log_texts(s, d), "log-texts")
+    for k in range(1, steps + 1):
+        files.write_texts(texts.withColumn("content", F.expr(f"left(content, CAST(length(content) * {k} div {steps} AS INT))")), folder)
+        stream = monitor.log_status(tail(s, folder, suffix=".log", tailbytes=1 << 40))
+        drain(stream, out, state)
+    last = read_out(s, stream, out).groupBy("log").agg(F.max_by(F.struct("step", "total", "mean_loss", "eta_s", "done", "crashed"), "seq").alias("s")).select("log", "s.*")
     return last.withColumns({"mean_loss": F.round("mean_loss", 6), "eta_s": F.round("eta_s", 6)})
 
 
-add("i1_log_status_stream", log_state, wt("train_lines", r"""+p AS (SELECT log, seq, CAST(regexp_extract(line, '(\d+)/(\d+) \[', 1) AS BIGINT) AS step, CAST(regexp_extract(line, '(\d+)/(\d+) \[', 2) AS BIGINT) AS total, CAST(regexp_extract(line, 'step_loss=([\d.]+)', 1) AS DOUBLE) AS loss, contains(line, 's/it') AS slow FROM train_lines),
-  m AS (SELECT *, avg(loss) OVER (PARTITION BY log ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS mean_loss FROM p),
+add("i1_log_status_stream", log_state, wt("train_lines", r"""+p AS (SELECT log, seq, CAST(regexp_extract(line, '(\d+)/(\d+) \[', 1) AS BIGINT) AS step, CAST(regexp_extract(line, '(\d+)/(\d+) \[', 2) AS BIGINT) AS total, CAST(regexp_extract(line, 'step_loss=([\d.]+)', 1) AS DOUBLE) AS loss, contains(line, 's/it') AS slow,
+    (seq * 31 + CAST(substr(log, 4) AS BIGINT)) % 997 = 3 AS crash FROM train_lines),
+  m AS (SELECT *, avg(loss) OVER (PARTITION BY log ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS mean_loss, bool_or(crash) OVER (PARTITION BY log) AS crashed FROM p),
   l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY log ORDER BY seq DESC) = 1)
-  SELECT log, step, total, round(mean_loss, 6) AS mean_loss, CASE WHEN total > step THEN round((total - step) / CASE WHEN slow THEN 1 / CAST(2.5 AS DOUBLE) ELSE CAST(2.5 AS DOUBLE) END, 6) END AS eta_s, step >= total AS done, false AS crashed FROM l"""))
+  SELECT log, step, total, round(mean_loss, 6) AS mean_loss, CASE WHEN total > step THEN round((total - step) / CASE WHEN slow THEN 1 / CAST(2.5 AS DOUBLE) ELSE CAST(2.5 AS DOUBLE) END, 6) END AS eta_s, step >= total AS done, crashed FROM l"""))
 stamped = lambda df, ms: df.withColumn("ts", F.timestamp_millis(ms))
 add("i4_level_stream", lambda s, d: replay(stamped(T.samples(s, d), col("idx") * 10), monitor.level_stream, "complete").select("clip_id", F.unix_timestamp("second").alias("second"), F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak")),
     wt("samples", "SELECT clip_id, idx // 100 AS second, round(sqrt(avg(CAST(value AS DOUBLE) * value)), 6) AS rms, round(max(abs(CAST(value AS DOUBLE))), 6) AS peak FROM samples GROUP BY 1, 2"))
 add("i5_speaker_windows_stream", lambda s, d: replay(stamped(T.turns(s, d).select("chunk_id", "speaker", "start_ms"), col("start_ms") + 1000), monitor.speaker_windows, "complete").select("chunk_id", "speaker", F.unix_millis("start").alias("start_ms"), "n"),
     wt("turns", "SELECT chunk_id, speaker, ((start_ms + 1000) // 200 - k) * 200 AS start_ms, count(*) AS n FROM turns, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1, 2, 3"))
+SLICES, SLICE_MS = 4, 30_000
+HEARTBEAT = "SELECT CAST(-1 AS BIGINT) AS chunk_id, CAST(NULL AS BIGINT) AS word_idx, CAST(NULL AS STRING) AS word, CAST(NULL AS BIGINT) AS start_ms, CAST(NULL AS BIGINT) AS end_ms, timestamp'2200-01-01' AS ts"
+
+
+def live_words(s, d):
+    return stamped(T.words(s, d).select("chunk_id", "word_idx", "word", "start_ms", "end_ms"), col("start_ms"))
+
+
 def capped(s, d):
-    """Utterances that a silence or fifteen seconds close; an open one comes again with every batch, the longest counts."""
-    words = stamped(T.words(s, d).select("chunk_id", "word_idx", "start_ms", "end_ms"), col("start_ms")).repartition("chunk_id")
-    out = replay(words, monitor.utterances, "append")
-    return out.groupBy("chunk_id", "first_word").agg(F.max("last_word").alias("last_word"), F.min("start_ms").alias("start_ms"), F.max("n").alias("n"))
+    """Utterances that a silence or fifteen seconds close; words arrive in slices of thirty seconds, a heartbeat ends the
+    recording."""
+    rows = live_words(s, d).unionByName(s.sql(HEARTBEAT))
+    arrival = F.when(col("word_idx").isNull(), SLICES).otherwise(F.least(F.floor(col("start_ms") / SLICE_MS).cast("int"), F.lit(SLICES - 1)))
+    out, _ = replay_in_order(rows, arrival, SLICES + 1, monitor.utterances)
+    return out.select("chunk_id", "first_word", "last_word", "start_ms", "n", "text")
 
 
 add("i6_utterances_stream", capped, wt("words", """+u AS (SELECT chunk_id, word_idx, CAST(0 AS BIGINT) AS u, start_ms AS s, end_ms AS e FROM words WHERE word_idx = 0
     UNION ALL SELECT w.chunk_id, w.word_idx, CASE WHEN br THEN u + 1 ELSE u END, CASE WHEN br THEN w.start_ms ELSE s END, w.end_ms FROM (SELECT w.*, g.u, g.s, w.start_ms - g.e > 1500 OR g.e - g.s >= 15000 AS br FROM u g JOIN words w ON w.chunk_id = g.chunk_id AND w.word_idx = g.word_idx + 1) w)
-  SELECT chunk_id, min(word_idx) AS first_word, max(word_idx) AS last_word, min(s) AS start_ms, count(*) AS n FROM u GROUP BY chunk_id, u""", recursive=True))
-add("i7_drop_resent_stream", lambda s, d: replay(stamped(T.table(s, d, "documents").select(col("text").alias("content")), F.lit(1000)), monitor.drop_resent, "append").select("fingerprint"),
-    "SELECT md5(text) AS fingerprint FROM documents GROUP BY 1")
+  SELECT chunk_id, min(word_idx) AS first_word, max(word_idx) AS last_word, min(s) AS start_ms, count(*) AS n, string_agg(w.word, ' ' ORDER BY word_idx) AS text FROM u JOIN words w USING (chunk_id, word_idx) GROUP BY chunk_id, u""", recursive=True))
+
+
+def late_words(s, d):
+    """I8: of words that arrive in slices, every 23rd two slices late, those kept and those dropped as later than the watermark."""
+    on_time = F.least(F.floor(col("start_ms") / SLICE_MS).cast("int"), F.lit(SLICES - 1))
+    arrival = on_time + F.when((col("word_idx") * 7 + col("chunk_id")) % 23 == 0, 2).otherwise(0)
+    _, counts = replay_in_order(live_words(s, d), arrival, SLICES + 2, monitor.utterances)
+    rows = [(k, arrived, dropped, arrived - dropped) for k, (arrived, dropped) in enumerate(counts)]
+    return s.createDataFrame(rows, "slice long, arrived long, dropped long, kept long")
+
+
+add("i8_late_words_stream", late_words, wt("words", f"""+a AS (SELECT start_ms, least(start_ms // {SLICE_MS}, {SLICES - 1}) + CASE WHEN (word_idx * 7 + chunk_id) % 23 = 0 THEN 2 ELSE 0 END AS slice FROM words),
+  n AS (SELECT CAST(unnest(range({SLICES + 2})) AS BIGINT) AS slice),
+  m AS (SELECT n.slice, max(a.start_ms) - 5000 AS mark FROM n LEFT JOIN a ON a.slice < n.slice GROUP BY 1)
+  SELECT m.slice, count(a.start_ms) AS arrived, count(a.start_ms) FILTER (a.start_ms <= greatest(m.mark, 0)) AS dropped, count(a.start_ms) FILTER (NOT coalesce(a.start_ms <= greatest(m.mark, 0), false)) AS kept FROM m LEFT JOIN a USING (slice) GROUP BY 1"""))
+RESENT_S, RESENT_SLICES = 700, 7
+
+
+def resent(s, d):
+    """Results that are sent again, one slice on (within the watermark, dropped) or four slices on (beyond it, new)."""
+    docs = T.table(s, d, "documents").select(col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("content"))
+    again = F.when(col("doc_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).when(col("doc_id") % 10 == 1, F.array(F.lit(0), F.lit(4))).otherwise(F.array(F.lit(0)))
+    sent = docs.select("content", F.explode(F.transform(again, lambda k: (k + col("doc_id") % 3).cast("int"))).alias("slice"))
+    rows = stamped(sent, (col("slice") + 1) * RESENT_S * 1000)
+    out, _ = replay_in_order(rows, col("slice"), RESENT_SLICES, monitor.drop_resent)
+    return out.select("fingerprint", F.unix_timestamp("ts").alias("second"))
+
+
+add("i7_drop_resent_stream", resent, f"""WITH RECURSIVE d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, md5(coalesce(text, '')) AS fingerprint FROM documents),
+  r AS (SELECT DISTINCT fingerprint, unnest(CASE doc_id % 10 WHEN 0 THEN [0, 1] WHEN 1 THEN [0, 4] ELSE [0] END) + doc_id % 3 AS slice FROM d),
+  k AS (SELECT fingerprint, min(slice) AS slice FROM r GROUP BY 1
+    UNION ALL SELECT k.fingerprint, (SELECT min(r.slice) FROM r WHERE r.fingerprint = k.fingerprint AND k.slice * {RESENT_S} + 600 <= (r.slice - 1) * {RESENT_S} - 600) FROM k WHERE k.slice IS NOT NULL)
+  SELECT fingerprint, (slice + 1) * {RESENT_S} AS second FROM k WHERE slice IS NOT NULL""")
 
 
 def alerts(s, d):

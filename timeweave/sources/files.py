@@ -130,12 +130,12 @@ def content_hash(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+        from timeweave.sources.tail import opened
 
         for pdf in batches:
             out = []
             for path, length in zip(pdf["path"], pdf["length"].tolist()):
-                store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                store, name = opened(path)
                 with store.open_input_file(name) as f:
                     digest = hashlib.md5(f.read_at(min(MEGABYTE, length), 0))
                     digest.update(f.read_at(min(MEGABYTE, length), max(0, length - MEGABYTE)))
@@ -166,6 +166,23 @@ def write_manifest(df: DataFrame, path: str, column: str = "path") -> None:
     df.select(F.col(column).cast("string").alias("value")).write.text(path)
 
 
+def write_texts(texts: DataFrame, folder: str, ending: str = ".log") -> None:
+    """One file a row (name, content): written whole by its task, so a task that runs again writes the same file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from timeweave.sources.tail import opened
+
+        store, root = opened(folder)
+        store.create_dir(root)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                with store.open_output_stream(f"{root}/{name}{ending}") as f:
+                    f.write(content.encode())
+            yield pdf[["name"]]
+
+    texts.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def write_validation(words: DataFrame, ratios: DataFrame, path: str, first: int = 200) -> None:
     """One document a chunk: its figures and first words."""
     head = F.slice(F.array_sort(F.collect_list(F.struct("word_idx", "word", "start_ms", "end_ms"))), 1, first)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from timeweave.functions.logs import is_crash, parse_step
@@ -18,6 +19,10 @@ from timeweave.functions.logs import is_crash, parse_step
 ALERTS = "log string, seq long, peak long, memory boolean, growth boolean, disk boolean, diverging boolean, stalled boolean"
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 STATUS = "log string, seq long, step long, total long, mean_loss double, eta_s double, done boolean, crashed boolean"
 
 
@@ -81,38 +86,70 @@ def speaker_windows(points: DataFrame, late: str = "2 seconds") -> DataFrame:
     return w.agg(F.count("*").alias("n")).select("chunk_id", "speaker", F.col("window.start").alias("start"), "n")
 
 
-UTTERANCES = "chunk_id long, start_ms long, n long, first_word long, last_word long, open boolean"
+UTTERANCES = "chunk_id long, start_ms long, end_ms long, n long, first_word long, last_word long, text string"
 
 
-def utterances(words: DataFrame, gap_ms: int = 1500, most_ms: int = 15000, late: str = "5 seconds") -> DataFrame:
-    """Words (chunk_id, word_idx, start_ms, end_ms, ts) closed by a silence, or once most_ms long. Append mode.
+class Utterances(StatefulProcessor):
+    """Words of one chunk, closed by a silence, by length or, when the watermark passes the silence, by timer.
 
-    A closed utterance comes once; one that is still open comes with every batch that adds to it (open is true), so a
-    reader takes the row of most words. When the watermark passes the silence after the last word, it is closed by timer.
-    Words later than the watermark are dropped.
+    State: the open utterance's times and word numbers as one value, its words as a list. Both are empty between
+    utterances.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = list(state.get) if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            out.append((*now[:1], *now[2:], False))
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("word_idx")
-            for i, s, e in zip(*(rows[c].tolist() for c in ("word_idx", "start_ms", "end_ms"))):
-                if now is not None and (s - now[1] > gap_ms or now[1] - now[0] >= most_ms):
-                    out.append((now[0], *now[2:], False))
-                    now = None
-                now = [s, e, 1, i, i] if now is None else [now[0], e, now[2] + 1, now[3], i]
-            out.append((now[0], *now[2:], True))
-            state.update(tuple(now))
-            silent = int((rows["at_ms"] + rows["end_ms"] - rows["start_ms"]).max()) + gap_ms
-            state.setTimeoutTimestamp(max(silent, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=[c.split()[0] for c in UTTERANCES.split(", ")])
+    def __init__(self, gap_ms: int, most_ms: int):
+        self.gap_ms, self.most_ms = gap_ms, most_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.span = handle.getValueState("span", "start_ms long, end_ms long, n long, first_word long, last_word long")
+        self.words = handle.getListState("words", "word string")
+
+    def _closed(self, key: tuple, span: tuple, words: list[str]) -> tuple:
+        return (key[0], *span, " ".join(words))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        span, out, fresh, cleared, at = self.span.get() if self.span.exists() else None, [], [], False, None
+        held = [w for (w,) in self.words.get()] if span is not None else []
+        # A chunk's words of one batch, in order; numbers only, and the words' texts.
+        got = sorted(r for pdf in rows for r in zip(*(pdf[c].tolist() for c in ("word_idx", "start_ms", "end_ms", "at_ms", "word"))))
+        for i, s, e, t, word in got:
+            if span is not None and (s - span[1] > self.gap_ms or span[1] - span[0] >= self.most_ms):
+                out.append(self._closed(key, span, held + fresh))
+                span, held, fresh, cleared = None, [], [], True
+            span = (s, e, 1, i, i) if span is None else (span[0], e, span[2] + 1, span[3], i)
+            fresh.append(word)
+            at = t + e - s
+        if got:
+            self.span.update(tuple(span))
+            if cleared:
+                self.words.clear()
+            self.words.appendList([(w,) for w in fresh])
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(at + self.gap_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(out, columns=_names(UTTERANCES))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.span.exists():
+            yield pd.DataFrame([self._closed(key, self.span.get(), [w for (w,) in self.words.get()])], columns=_names(UTTERANCES))
+            self.span.clear()
+            self.words.clear()
+
+    def close(self) -> None:
+        pass
 
+
+def utterances(words: DataFrame, gap_ms: int = 1500, most_ms: int = 15000, late: str = "5 seconds") -> DataFrame:
+    """Words (chunk_id, word_idx, word, start_ms, end_ms, ts) closed by a silence, or once most_ms long. Append mode.
+
+    Every utterance comes once, when it is closed: by a later word, or by timer when the watermark passes the silence after
+    its last word. Rows without a word number are heartbeats: they move the watermark only (a last one closes what is open
+    when a recording ends). Words later than the watermark are dropped and counted. Needs the RocksDB state store.
+    """
     kept = words.withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
-    return kept.groupBy("chunk_id").applyInPandasWithState(step, UTTERANCES, "start_ms long, end_ms long, n long, first_word long, last_word long", "append", GroupStateTimeout.EventTimeTimeout)
+    # A filter that names the event time stays above the watermark, which therefore sees heartbeats.
+    heard = kept.where(F.when(F.col("word_idx").isNotNull() & F.col("chunk_id").isNotNull(), F.col("ts")).isNotNull()).select("chunk_id", "word_idx", F.coalesce("word", F.lit("")).alias("word"), "start_ms", "end_ms", "at_ms", "ts")
+    return heard.groupBy("chunk_id").transformWithStateInPandas(Utterances(gap_ms, most_ms), UTTERANCES, "append", "eventtime")
 
 
 def silent_utterances(words: DataFrame, gap: str = "1500 milliseconds", late: str = "5 seconds") -> DataFrame:
@@ -122,5 +159,5 @@ def silent_utterances(words: DataFrame, gap: str = "1500 milliseconds", late: st
 
 
 def drop_resent(results: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Results whose content was not seen within the watermark."""
+    """Results whose content was not seen within the watermark; one that is sent again later is new."""
     return results.withColumn("fingerprint", F.md5("content")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["fingerprint"])
