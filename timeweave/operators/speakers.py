@@ -52,6 +52,34 @@ def canonical_labels(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     return known.join(met, "chunk_id", "left").select("chunk_id", F.explode(folded).alias("speaker", "canonical"))
 
 
+def canonical_labels_in_sql(labels: DataFrame, pairs: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """`canonical_labels` as a recursive query: a round gives every label the smallest among its neighbours' labels, until a
+    chunk's labels stay. Chains of up to `most_rounds` speakers; a chunk that still changes then is an error. One row a
+    chunk and round, all kept by Spark while the query runs: for chunks in the thousands, `canonical_labels` for more."""
+    return labels.sparkSession.sql(
+        f"""WITH RECURSIVE
+        met AS (SELECT chunk_id, collect_list(struct(a, b)) AS pairs FROM {{pairs}} GROUP BY chunk_id),
+        known AS (SELECT chunk_id, collect_set(speaker) AS speakers FROM {{labels}} GROUP BY chunk_id),
+        first AS (SELECT k.chunk_id, map_from_arrays(speakers, speakers) AS label, coalesce(pairs, array()) AS pairs FROM known k LEFT JOIN met m ON m.chunk_id <=> k.chunk_id),
+        found(chunk_id, round, label, pairs, open) MAX RECURSION LEVEL {most_rounds + 2} AS (
+          SELECT chunk_id, 0, label, pairs, true FROM first
+          UNION ALL
+          SELECT chunk_id, round + 1, next, pairs, CASE WHEN round + 1 < {most_rounds} OR map_values(next) = map_values(label) THEN map_values(next) <> map_values(label)
+            ELSE raise_error('a chain of speakers is longer than {most_rounds}') END
+          FROM (SELECT *, transform_values(label, (k, v) -> array_min(concat(array(v), transform(filter(pairs, p -> p.a = k OR p.b = k), p -> least(label[p.a], label[p.b]))))) AS next FROM found) WHERE open)
+        SELECT chunk_id, explode(label) AS (speaker, canonical) FROM found WHERE NOT open""",
+        labels=labels, pairs=pairs,
+    )
+
+
+def reference_band(segments: DataFrame) -> DataFrame:
+    """Segments (chunk_id, start_ms, end_ms) that may stand for their speaker's voice: of 3 to 15 seconds, in a chunk without
+    any such of 1 to 25."""
+    dur = F.col("end_ms") - F.col("start_ms")
+    some = F.max(dur.between(3000, 15000)).over(W.partitionBy("chunk_id"))
+    return segments.withColumn("some", some).where(F.when(F.col("some"), dur.between(3000, 15000)).otherwise(dur.between(1000, 25000))).drop("some")
+
+
 def best_speakers(rows: DataFrame, centroids: DataFrame, keys: list[str]) -> DataFrame:
     """keys, speaker, sim: the speaker of the best cosine for each row with an embedding, the smaller label on a tie."""
     heard = rows.where("embedding IS NOT NULL").select("chunk_id", *keys, "embedding")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from timeweave.functions import planning, text, vectors
-from timeweave.operators import joins, refine, sequences
+from timeweave.functions import blocks, planning, text, vectors
+from timeweave.operators import joins, refine, sequences, speakers
+from timeweave.operators.lineage import staged
 from timeweave.operators.refine import NUMBERED_LINE
 from timeweave.plans import timelines
-from timeweave.plans.scalars import KIND
+from timeweave.plans.scalars import BAND, KIND
 from timeweave.plans.timelines import COLLAPSE, COUNTS, RASTER, SPINE, face_counts
 from timeweave.sources import timeline as T
 
@@ -63,17 +64,31 @@ def locate(s, d):
 CHUNKS = """ch AS (SELECT chunk_id, n_frames, chunk_id % 10 AS video, CAST(coalesce(sum(n_frames) OVER (PARTITION BY chunk_id % 10 ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first
   FROM (SELECT chunk_id, max(frame) + 1 AS n_frames FROM face_frames GROUP BY 1))"""
 add("c11_locate_chunk", locate, wt("face_frames samples", f"+{CHUNKS} SELECT video, idx AS g, chunk_id, idx * 9 - first AS frame FROM samples JOIN ch ON clip_id = video AND idx * 9 >= first AND idx * 9 < first + n_frames"))
-add("c12_with_media_pending", lambda s, d: T.table(s, d, "pages").select(col("page_id").alias("id"), F.length("html").alias("size")).join(T.table(s, d, "documents").select(col("doc_id").alias("id")), "id", "left_semi").join(T.table(s, d, "labels").select(col("doc_id").alias("id")), "id", "left_anti").where("size > 1024"),
-    "SELECT page_id AS id, CAST(length(html) AS INTEGER) AS size FROM pages WHERE page_id IN (SELECT doc_id FROM documents) AND page_id NOT IN (SELECT doc_id FROM labels) AND length(html) > 1024")
+def sample_blocks(s, d):
+    """Samples as they are stored: a hundred to a block."""
+    return staged(blocks.to_blocks(T.samples(s, d)), "sample-blocks")
+
+
 def clips(s, d):
     """Each clip's samples beside those of the next clip, the last beside the first's."""
     x = T.samples(s, d)
     return x.select(col("clip_id").alias("clip"), "idx", col("value").alias("a")), x.select(((col("clip_id") + 9) % 10).alias("clip"), "idx", col("value").alias("b"))
 
 
+def clip_blocks(s, d):
+    """(clip, block, a, b): blocks of each clip and of the next one."""
+    x = sample_blocks(s, d)
+    return x.select(col("clip_id").alias("clip"), "block", col("samples").alias("a")).join(x.select(((col("clip_id") + 9) % 10).alias("clip"), "block", col("samples").alias("b")), ["clip", "block"])
+
+
+def mixes(s, d):
+    """Difference and mix of each clip and the next one."""
+    made = clip_blocks(s, d).select("clip", "block", blocks.mixed(col("a"), col("b"), 1.0, -1.0).alias("difference"), blocks.mixed(col("a"), col("b"), 0.8, 0.3).alias("mix"))
+    return blocks.to_samples(made, "difference", "mix", clip="clip").withColumns({c: F.round(c, 6) for c in ("difference", "mix")})
+
+
 CLIPS = "+a AS (SELECT clip_id AS clip, idx, value AS a FROM samples), b AS (SELECT (clip_id + 9) % 10 AS clip, idx, value AS b FROM samples)"
-add("c14_c15_mix_samples", lambda s, d: clips(s, d)[0].join(clips(s, d)[1], ["clip", "idx"]).select("clip", "idx", F.round(col("a") - col("b"), 6).alias("difference"), F.round(0.8 * col("a") + 0.3 * col("b"), 6).alias("mix")),
-    wt("samples", CLIPS + " SELECT clip, idx, round(a - b, 6) AS difference, round(CAST(0.8 AS DOUBLE) * a + CAST(0.3 AS DOUBLE) * b, 6) AS mix FROM a JOIN b USING (clip, idx)"))
+add("c14_c15_mix_samples", mixes, wt("samples", CLIPS + " SELECT clip, idx, round(a - b, 6) AS difference, round(CAST(0.8 AS DOUBLE) * a + CAST(0.3 AS DOUBLE) * b, 6) AS mix FROM a JOIN b USING (clip, idx)"))
 
 
 def masked(s, d):
@@ -91,14 +106,15 @@ def scored(s, d):
 
 
 def best_references(s, d):
-    """F1: per chunk, speaker and emotion the best scored segment, without scores the longest; the first on a tie."""
+    """F1: per chunk, speaker and emotion the best scored segment of the allowed lengths, without scores the longest; the first
+    on a tie."""
     dur = col("end_ms") - col("start_ms")
     first = F.struct("tts_mos", F.when(col("tts_mos").isNull(), dur), -col("segment_id"))
-    return scored(s, d).groupBy("chunk_id", "speaker", "emotion").agg(F.max_by(F.struct("segment_id", F.least(dur, F.lit(15000)).alias("clip_ms")), first).alias("r")).select("chunk_id", "speaker", "emotion", "r.*")
+    return speakers.reference_band(scored(s, d)).groupBy("chunk_id", "speaker", "emotion").agg(F.max_by(F.struct("segment_id", F.least(dur, F.lit(15000)).alias("clip_ms")), first).alias("r")).select("chunk_id", "speaker", "emotion", "r.*")
 
 
-BEST = """bref AS (SELECT chunk_id, speaker, emotion, segment_id, least(end_ms - start_ms, 15000) AS clip_ms FROM segments
-  QUALIFY row_number() OVER (PARTITION BY chunk_id, speaker, emotion ORDER BY CASE WHEN chunk_id % 3 <> 0 THEN tts_mos ELSE end_ms - start_ms END DESC, segment_id) = 1)"""
+BEST = BAND.removeprefix("+") + """, bref AS (SELECT chunk_id, speaker, emotion, segment_id, least(dur, 15000) AS clip_ms FROM band
+  QUALIFY row_number() OVER (PARTITION BY chunk_id, speaker, emotion ORDER BY CASE WHEN chunk_id % 3 <> 0 THEN tts_mos ELSE dur END DESC, segment_id) = 1)"""
 add("f1_best_references", best_references, wt("segments", f"+{BEST} SELECT * FROM bref"))
 
 
@@ -113,8 +129,8 @@ def looked_up(s, d):
     return x.select("chunk_id", "segment_id", "ref", own(F.greatest(F.lit(0), col("start_ms") - pad)).alias("self_start_ms"), own(col("end_ms") + pad).alias("self_end_ms"))
 
 
-add("c17_lookup_reference", looked_up, wt("segments", f"""+{BEST}, q AS (SELECT chunk_id, segment_id, speaker, start_ms, end_ms, CASE WHEN end_ms - start_ms < 2000 THEN 500 ELSE 0 END AS pad, CASE WHEN segment_id % 2 = 0 THEN 'Scared' ELSE emotion END AS emotion FROM segments),
-  x AS (SELECT q.*, coalesce(a.segment_id, n.segment_id) AS ref FROM q LEFT JOIN bref a ON a.chunk_id = q.chunk_id AND a.speaker = q.speaker AND a.emotion = q.emotion LEFT JOIN bref n ON n.chunk_id = q.chunk_id AND n.speaker = q.speaker AND n.emotion = 'Neutral')
+add("c17_lookup_reference", looked_up, wt("segments", f"""+{BEST}, asked AS (SELECT chunk_id, segment_id, speaker, start_ms, end_ms, CASE WHEN end_ms - start_ms < 2000 THEN 500 ELSE 0 END AS pad, CASE WHEN segment_id % 2 = 0 THEN 'Scared' ELSE emotion END AS emotion FROM segments),
+  x AS (SELECT q.*, coalesce(a.segment_id, n.segment_id) AS ref FROM asked q LEFT JOIN bref a ON a.chunk_id = q.chunk_id AND a.speaker = q.speaker AND a.emotion = q.emotion LEFT JOIN bref n ON n.chunk_id = q.chunk_id AND n.speaker = q.speaker AND n.emotion = 'Neutral')
   SELECT chunk_id, segment_id, ref, CASE WHEN ref IS NULL THEN greatest(0, start_ms - pad) END AS self_start_ms, CASE WHEN ref IS NULL THEN end_ms + pad END AS self_end_ms FROM x"""))
 
 
@@ -129,9 +145,9 @@ add("c20_paired", paired, wt("samples", CLIPS + """, x AS (SELECT *, row_number(
 
 
 def bins(s, d):
-    """Level and peak per full second and clip."""
-    full = T.samples(s, d).groupBy("clip_id", F.expr("idx div 100").alias("second")).agg(F.count("*").alias("n"), F.sqrt(F.avg(col("value") * col("value"))).alias("rms"), F.max(F.abs("value")).alias("peak"))
-    return full.where("n = 100").select("clip_id", "second", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"), (col("rms") > 0.05).alias("speech"), (col("rms") > 0.01).alias("audio"))
+    """Level and peak per full second and clip; a block is a second."""
+    full = sample_blocks(s, d).where(F.size(blocks.known(col("samples"))) == 100).select("clip_id", col("block").alias("second"), blocks.rms(col("samples")).alias("rms"), blocks.peak(col("samples")).alias("peak"))
+    return full.select("clip_id", "second", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"), (col("rms") > 0.05).alias("speech"), (col("rms") > 0.01).alias("audio"))
 
 
 BINS = "bins AS (SELECT clip_id, idx // 100 AS second, round(sqrt(avg(value * value)), 6) AS rms, round(max(abs(value)), 6) AS peak, sqrt(avg(value * value)) > 0.05 AS speech, sqrt(avg(value * value)) > 0.01 AS audio FROM (SELECT clip_id, idx, CAST(value AS DOUBLE) AS value FROM samples) GROUP BY 1, 2 HAVING count(*) = 100)"
@@ -213,8 +229,9 @@ add("d16_confusion", lambda s, d: T.segments(s, d).groupBy("chunk_id", "speaker"
     wt("segments", "SELECT *, round(greatest(Neutral, Happy, Sad, Angry, Surprised, Scared) / CAST(Neutral + Happy + Sad + Angry + Surprised + Scared AS DOUBLE), 6) AS purity FROM (SELECT chunk_id, speaker, " + ", ".join(f"count(*) FILTER (WHERE emotion = '{e}') AS {e}" for e in ("Neutral", "Happy", "Sad", "Angry", "Surprised", "Scared")) + " FROM segments GROUP BY 1, 2)"))
 def quality_summary(s, d):
     """Signal-to-noise of each clip against the next one in pieces of fifty samples, summed up per clip."""
-    mse = clips(s, d)[0].join(clips(s, d)[1], ["clip", "idx"]).groupBy("clip", F.expr("idx div 50").alias("piece")).agg(F.avg((col("a") - col("b")) * (col("a") - col("b"))).alias("mse"))
-    psnr = mse.withColumn("psnr", F.when(col("mse") == 0, float("inf")).otherwise(10 * F.log10(4.0 / col("mse"))))
+    halves = blocks.pieces(blocks.mixed(col("a"), col("b"), 1.0, -1.0), 100, 50)
+    mse = clip_blocks(s, d).select("clip", F.explode(F.transform(halves, blocks.mean_square)).alias("mse")).where("mse IS NOT NULL")
+    psnr = mse.withColumn("psnr", blocks.signal_to_noise(col("mse")))
     figures = {"mean": F.avg("psnr"), "median": F.median("psnr"), "low": F.min("psnr"), "p5": F.expr("percentile(psnr, 0.05)"), "p95": F.expr("percentile(psnr, 0.95)")}
     return psnr.groupBy("clip").agg(*[F.round(v, 6).alias(k) for k, v in figures.items()])
 
@@ -282,7 +299,23 @@ def change_counts(s, d):
 add("d26_change_counts", change_counts, wt("segments", f"""+src AS (SELECT chunk_id, turn_idx, speaker, start_ms, end_ms FROM turns), {COLLAPSE}
   SELECT b.chunk_id, b.turns_before, a.turns_after, m.overrides FROM (SELECT chunk_id, count(*) AS turns_before FROM turns GROUP BY 1) b JOIN (SELECT chunk_id, count(DISTINCT head) AS turns_after FROM fold GROUP BY 1) a USING (chunk_id)
   JOIN (SELECT chunk_id, count(*) FILTER (WHERE {KIND} IN ('lecture', 'news') AND emotion <> 'Neutral') AS overrides FROM segments GROUP BY 1) m USING (chunk_id)""", recursive=True))
-add("d28_stage_timing", lambda s, d: T.table(s, d, "events").groupBy("event_type").agg(F.round(F.sum("value"), 3).alias("total"), F.round(F.sum("value") / F.count_distinct("user_id"), 3).alias("per_user")), "SELECT event_type, round(sum(value), 3) AS total, round(sum(value) / count(DISTINCT user_id), 3) AS per_user FROM events GROUP BY 1")
+def stage_times(timings, frames, keys: list[str]):
+    """Of stage times (keys, stage, ms) and frame counts (keys, n_frames), each stage's total, its share of all stages and
+    its time a frame (of one frame where there are none)."""
+    total = timings.groupBy(*keys, "stage").agg(F.count("*").alias("calls"), F.sum("ms").alias("total_ms"))
+    share = F.try_divide("total_ms", F.sum("total_ms").over(W.partitionBy(*keys)))
+    x = total.withColumn("share", share).join(frames, keys, "left")
+    return x.select(*keys, "stage", "calls", F.round("total_ms", 3).alias("total_ms"), F.round("share", 6).alias("share"), F.round(col("total_ms") / F.greatest(F.coalesce("n_frames", F.lit(1)), F.lit(1)), 3).alias("ms_per_frame"))
+
+
+def stage_timing(s, d):
+    """Stage times are logged as events; a chunk's frames are those of its faces."""
+    timings = T.table(s, d, "events").select(F.expr("CAST(user_id AS BIGINT) div 15").alias("chunk_id"), col("event_type").alias("stage"), col("value").cast("double").alias("ms"))
+    return stage_times(timings, T.face_frames(s, d).groupBy("chunk_id").agg((F.max("frame") + 1).alias("n_frames")), ["chunk_id"])
+
+
+add("d28_stage_timing", stage_timing, wt("face_frames", """+t AS (SELECT CAST(user_id AS BIGINT) // 15 AS chunk_id, event_type AS stage, count(*) AS calls, sum(CAST(value AS DOUBLE)) AS total FROM events GROUP BY 1, 2), n AS (SELECT chunk_id, max(frame) + 1 AS n_frames FROM face_frames GROUP BY 1)
+  SELECT t.chunk_id, stage, calls, round(total, 3) AS total_ms, round(total / sum(total) OVER (PARTITION BY t.chunk_id), 6) AS share, round(total / n_frames, 3) AS ms_per_frame FROM t JOIN n USING (chunk_id)"""))
 add("f3_largest_face", lambda s, d: T.face_frames(s, d).groupBy("chunk_id", "frame").agg(F.max_by("track", F.struct((col("x2") - col("x1")) * (col("y2") - col("y1")), -col("track"))).alias("track")), wt("face_frames", "SELECT chunk_id, frame, first(track ORDER BY (x2 - x1) * (y2 - y1) DESC, track) AS track FROM face_frames GROUP BY 1, 2"))
 def stratified(s, d):
     """all English documents, of every other language the first sixty; only the latter are ranked."""

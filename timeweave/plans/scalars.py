@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timeweave.functions import logs, planning, text, vectors
+from timeweave.operators import speakers
 from timeweave.sources import timeline as T
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -119,8 +120,9 @@ add("b4_top_emotion", lambda s, d: T.segments(s, d).select("chunk_id", "segment_
 KIND = "CASE chunk_id % 4 WHEN 0 THEN 'lecture' WHEN 1 THEN 'drama' WHEN 2 THEN 'news' ELSE 'other' END"
 add("b5_emotion_policy", lambda s, d: T.segments(s, d).withColumn("neutral", text.lookup(planning.POLICIES, F.expr(KIND), "passthrough") == "neutral_only").select("chunk_id", "segment_id", F.when(col("neutral"), "Neutral").otherwise(col("emotion")).alias("emotion"), F.when(col("neutral"), 1.0).otherwise(col("emotion_score")).cast("double").alias("emotion_score"), col("emotion").alias("raw_emotion")),
     T.with_tables("segments", f"SELECT chunk_id, segment_id, CASE WHEN {KIND} IN ('lecture', 'news') THEN 'Neutral' ELSE emotion END AS emotion, CAST(CASE WHEN {KIND} IN ('lecture', 'news') THEN 1.0 ELSE emotion_score END AS DOUBLE) AS emotion_score, emotion AS raw_emotion FROM segments"))
-add("b2_reference_band", lambda s, d: T.segments(s, d).withColumn("dur", col("end_ms") - col("start_ms")).withColumn("some", F.max(col("dur").between(3000, 15000)).over(T.W.partitionBy("chunk_id"))).where(F.when(col("some"), col("dur").between(3000, 15000)).otherwise(col("dur").between(1000, 25000))).select("chunk_id", "segment_id", "dur"),
-    T.with_tables("segments", "+q AS (SELECT *, end_ms - start_ms AS dur FROM segments), r AS (SELECT *, max(CASE WHEN dur BETWEEN 3000 AND 15000 THEN 1 ELSE 0 END) OVER (PARTITION BY chunk_id) AS ok FROM q) SELECT chunk_id, segment_id, dur FROM r WHERE CASE WHEN ok = 1 THEN dur BETWEEN 3000 AND 15000 ELSE dur BETWEEN 1000 AND 25000 END"))
+BAND = """+q AS (SELECT *, end_ms - start_ms AS dur FROM segments), r AS (SELECT *, max(CASE WHEN dur BETWEEN 3000 AND 15000 THEN 1 ELSE 0 END) OVER (PARTITION BY chunk_id) AS ok FROM q),
+  band AS (SELECT * FROM r WHERE CASE WHEN ok = 1 THEN dur BETWEEN 3000 AND 15000 ELSE dur BETWEEN 1000 AND 25000 END)"""
+add("b2_reference_band", lambda s, d: speakers.reference_band(T.segments(s, d)).select("chunk_id", "segment_id", (col("end_ms") - col("start_ms")).alias("dur")), T.with_tables("segments", f"{BAND} SELECT chunk_id, segment_id, dur FROM band"))
 BOX = "x2 - x1 AS w, y2 - y1 AS h, (frame * 7 + track * 13) % 100 / 100.0 AS det, (frame * 3 + track) % 9 - 4.0 AS dx, (frame * 5 + track) % 7 - 3.0 AS dy, (frame * 11) % 60 AS bright"
 GATES = {
     "size": "w >= 50 AND h >= 80 AND w / h >= 0.2 AND w / h <= 1.5 AND det >= 0.5", "strict": "w >= 50 AND h >= 80 AND w / h >= 0.4 AND w / h <= 1.5 AND det >= 0.85",

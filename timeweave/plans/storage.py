@@ -146,6 +146,27 @@ def clips(s, d):
 
 CLIPS_SQL = f"""WITH s AS ({SUPPLIERS.format('VARCHAR')}), clips AS (SELECT CASE WHEN s_suppkey % 5 < 3 THEN angle END AS angle, CASE WHEN s_suppkey % 5 <> 2 THEN noise END AS noise, CASE WHEN s_suppkey % 5 = 3 THEN '-' ELSE s_name END AS video FROM s WHERE s_suppkey % 5 < 4)"""
 add("a8_clip_metadata", clips, f"{CLIPS_SQL} SELECT * FROM clips")
+MEDIA_BYTES, MADE_BYTES = "400 + (s_suppkey * 37) % 900", "(s_suppkey * 613) % 2600"
+
+
+def media_pending(s, d):
+    """Metadata files meet the media files of their names (two in three suppliers have one, every seventh twice); those
+    whose crop is missing or too small are to do."""
+    names = T.table(s, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit(".mp4")).alias("file"))
+    meta = clips(s, d).where("video <> '-'").withColumn("video", F.concat("video", F.lit(".mp4")))
+    source, made = shared_path(s, "media"), shared_path(s, "made")
+    put = lambda x, size, folder: files.write_texts(x.select(F.regexp_replace("file", r"\.mp4$", "").alias("name"), F.expr(f"repeat('x', CAST({size} AS INT))").alias("content")), folder, ".mp4")
+    put(names.where("s_suppkey % 3 <> 1"), MEDIA_BYTES, f"{source}/a")
+    put(names.where("s_suppkey % 7 = 0"), "7", f"{source}/b")
+    put(names.where("s_suppkey % 2 = 0"), MADE_BYTES, made)
+    todo = files.pending(files.with_media(meta, files.media_inventory(s, source, "*.mp4")), files.media_inventory(s, made, "*.mp4"))
+    return todo.select("video", "angle", "noise", F.element_at(F.split("path", "/"), -2).alias("folder"), "length")
+
+
+add("c12_with_media_pending", media_pending, f"""{CLIPS_SQL}, k AS (SELECT s_suppkey, s_name FROM supplier),
+  m AS (SELECT s_name, CASE WHEN s_suppkey % 3 <> 1 THEN 'a' ELSE 'b' END AS folder, CASE WHEN s_suppkey % 3 <> 1 THEN CAST({MEDIA_BYTES} AS BIGINT) ELSE 7 END AS length FROM k WHERE s_suppkey % 3 <> 1 OR s_suppkey % 7 = 0),
+  done AS (SELECT s_name FROM k WHERE s_suppkey % 2 = 0 AND {MADE_BYTES} > 1024)
+  SELECT c.video || '.mp4' AS video, c.angle, c.noise, m.folder, m.length FROM clips c JOIN m ON m.s_name = c.video WHERE c.video NOT IN (SELECT s_name FROM done)""")
 add("b12_filter_clips", lambda s, d: files.filter_clips(clips(s, d), angle="A1", noise="N1"), f"{CLIPS_SQL} SELECT * FROM clips WHERE angle = 'A1' AND noise = 'N1'")
 SUPPLIER = r"CAST(regexp_extract(path, 's_suppkey=([0-9]+)', 1) AS BIGINT) AS supplier"
 BYTES_SQL = f"WITH s AS ({SUPPLIERS.format('VARCHAR')}), f AS (SELECT s_suppkey, {CLIP} || chr(10) AS body FROM s)"

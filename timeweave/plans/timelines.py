@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from timeweave.functions import text
-from timeweave.operators import joins, sequences, speakers
+from timeweave.operators import joins, sequences, speakers, split
+from timeweave.operators.lineage import staged
 from timeweave.sources import timeline as T
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -63,6 +64,12 @@ def labels_of(s, d):
 
 REACH = f"{CENTROIDS}, {PAIRS}, both_ways AS (SELECT chunk_id, a, b FROM pairs UNION SELECT chunk_id, b, a FROM pairs), reach AS (SELECT chunk_id, speaker AS a, speaker AS b FROM centroids UNION SELECT r.chunk_id, r.a, e.b FROM reach r JOIN both_ways e ON e.chunk_id = r.chunk_id AND e.a = r.b)"
 add("d3_canonical_labels", labels_of, wt("turn_vectors", f"+{REACH} SELECT chunk_id, a AS speaker, min(b) AS canonical FROM reach GROUP BY 1, 2", recursive=True))
+def labels_in_sql(s, d):
+    c = staged(speakers.speaker_centroids(T.turn_vectors(s, d)), "centroids")
+    return speakers.canonical_labels_in_sql(c.select("chunk_id", "speaker"), speakers.similar_pairs(c))
+
+
+add("d3_canonical_labels_recursive", labels_in_sql, ORACLE_SQL["d3_canonical_labels"])
 add("d4_dense_rename", lambda s, d: labels_of(s, d).select("chunk_id", "speaker", F.format_string("SPEAKER_%02d", F.dense_rank().over(W.partitionBy("chunk_id").orderBy("canonical")) - 1).alias("renamed")),
     wt("turn_vectors", f"+{REACH}, k AS (SELECT chunk_id, a AS speaker, min(b) AS canonical FROM reach GROUP BY 1, 2) SELECT chunk_id, speaker, printf('SPEAKER_%02d', dense_rank() OVER (PARTITION BY chunk_id ORDER BY canonical) - 1) AS renamed FROM k", recursive=True))
 
@@ -141,18 +148,22 @@ add("e2_collapse_turns", lambda s, d: sequences.collapse_turns(T.face_turns(s, d
     wt("face_turns", f"+src AS (SELECT chunk_id, turn_idx, 'S' || (turn_idx // 3) AS speaker, start_ms, end_ms FROM face_turns), {COLLAPSE} SELECT chunk_id, head AS turn_idx, speaker, start_ms, max(end_ms) AS end_ms FROM fold GROUP BY chunk_id, head, speaker, start_ms", recursive=True))
 add("e3_absorb_short", lambda s, d: sequences.absorb_short(T.face_turns(s, d), 900), wt("face_turns", """+h AS (SELECT *, end_ms - start_ms >= 900 OR row_number() OVER (PARTITION BY chunk_id ORDER BY turn_idx) = 1 AS head FROM face_turns), i AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY chunk_id ORDER BY turn_idx) AS isle FROM h)
   SELECT chunk_id, min(turn_idx) AS turn_idx, arg_min(speaker, turn_idx) AS speaker, arg_min(start_ms, turn_idx) AS start_ms, arg_max(end_ms, turn_idx) AS end_ms FROM i GROUP BY chunk_id, isle"""))
+BLOCK_ROWS = 1000  # so that chunks of the given tables are cut; a cluster takes more
 GAPS = """gf AS (SELECT chunk_id, word_idx, CAST(0 AS BIGINT) AS segment, start_ms AS s, end_ms AS e FROM words WHERE word_idx = 0
   UNION ALL SELECT w.chunk_id, w.word_idx, CASE WHEN br THEN segment + 1 ELSE segment END, CASE WHEN br THEN w.start_ms ELSE s END, w.end_ms FROM (SELECT w.*, g.segment, g.s, w.start_ms - g.e > 1500 OR (w.start_ms - g.e > 400 AND g.e - g.s >= 3000) OR g.e - g.s >= 15000 AS br FROM gf g JOIN words w ON w.chunk_id = g.chunk_id AND w.word_idx = g.word_idx + 1) w)"""
 add("e5_gap_segments", lambda s, d: sequences.gap_segments(T.words(s, d)), wt("words", f"+{GAPS} SELECT chunk_id, word_idx, segment FROM gf", recursive=True))
 add("e6_punct_segments", lambda s, d: sequences.punct_segments(T.words(s, d)), wt("words", """+pf AS (SELECT chunk_id, word_idx, CAST(0 AS BIGINT) AS segment, start_ms AS s, 1 AS n, right(word, 1) IN ('.', '?', '!') OR end_ms - start_ms >= 12000 AS stop FROM words WHERE word_idx = 0
   UNION ALL SELECT w.chunk_id, w.word_idx, CASE WHEN p.stop THEN p.segment + 1 ELSE p.segment END, CASE WHEN p.stop THEN w.start_ms ELSE p.s END, CASE WHEN p.stop THEN 1 ELSE p.n + 1 END,
     right(w.word, 1) IN ('.', '?', '!') OR w.end_ms - CASE WHEN p.stop THEN w.start_ms ELSE p.s END >= 12000 OR CASE WHEN p.stop THEN 1 ELSE p.n + 1 END >= 30 FROM pf p JOIN words w ON w.chunk_id = p.chunk_id AND w.word_idx = p.word_idx + 1) SELECT chunk_id, word_idx, segment FROM pf""", recursive=True))
+add("e5_gap_segments_split", lambda s, d: split.gap_segments(T.words(s, d), block_rows=BLOCK_ROWS), ORACLE_SQL["e5_gap_segments"])
+add("e6_punct_segments_split", lambda s, d: split.punct_segments(T.words(s, d), block_rows=BLOCK_ROWS), ORACLE_SQL["e6_punct_segments"])
 add("e9_merge_short", lambda s, d: sequences.merge_short(T.speech(s, d).withColumnRenamed("speech_idx", "group_idx")), wt("speech", """+mf AS (SELECT chunk_id, speech_idx AS i, speech_idx AS group_idx, start_ms AS s, end_ms AS e, 1 AS n FROM speech WHERE speech_idx = 0
   UNION ALL SELECT chunk_id, i, CASE WHEN j THEN group_idx ELSE i END, CASE WHEN j THEN s ELSE start_ms END, end_ms, CASE WHEN j THEN n + 1 ELSE 1 END FROM (SELECT x.chunk_id, x.speech_idx AS i, m.group_idx, m.s, m.n, x.start_ms, x.end_ms, (m.e - m.s < 1500 OR x.end_ms - x.start_ms < 1500) AND x.end_ms - m.s <= 12000 AS j FROM mf m JOIN speech x ON x.chunk_id = m.chunk_id AND x.speech_idx = m.i + 1))
   SELECT chunk_id, group_idx, min(s) AS start_ms, max(e) AS end_ms, CAST(max(n) AS BIGINT) AS n FROM mf GROUP BY 1, 2""", recursive=True))
 ABA = "CASE WHEN (chunk_id * 5 + word_idx * word_idx) % 7 < 3 THEN 'A' WHEN (chunk_id * 5 + word_idx * word_idx) % 7 < 6 THEN 'B' ELSE 'C' END"
 add("e10_smooth_aba", lambda s, d: sequences.smooth_aba(T.words(s, d).withColumn("speaker", F.expr(ABA)), "word_idx"), wt("words", f"""+l AS (SELECT chunk_id, word_idx, {ABA} AS raw, lead({ABA}) OVER (PARTITION BY chunk_id ORDER BY word_idx) AS nxt FROM words),
   sf AS (SELECT chunk_id, word_idx, raw AS speaker FROM l WHERE word_idx = 0 UNION ALL SELECT l.chunk_id, l.word_idx, CASE WHEN l.nxt = s.speaker THEN s.speaker ELSE l.raw END FROM sf s JOIN l ON l.chunk_id = s.chunk_id AND l.word_idx = s.word_idx + 1) SELECT * FROM sf""", recursive=True))
+add("e10_smooth_aba_split", lambda s, d: split.smooth_aba(T.words(s, d).withColumn("speaker", F.expr(ABA)), "word_idx", block_rows=BLOCK_ROWS), ORACLE_SQL["e10_smooth_aba"])
 add("e17_smooth_runs", lambda s, d: sequences.smooth_runs(T.words(s, d).withColumn("speaker", F.expr(ABA)), "word_idx"), wt("words", f"""+l AS (SELECT chunk_id, word_idx, {ABA} AS raw FROM words), n AS (SELECT *, CASE WHEN raw = lag(raw) OVER w THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY chunk_id ORDER BY word_idx)),
   r AS (SELECT *, sum(new) OVER (PARTITION BY chunk_id ORDER BY word_idx) AS run, count(*) OVER (PARTITION BY chunk_id) AS total FROM n), q AS (SELECT chunk_id, run, any_value(raw) AS raw, count(*) AS size, any_value(total) AS total FROM r GROUP BY 1, 2),
   sm AS (SELECT q.chunk_id, q.run, CASE WHEN q.total < 4 OR q.size >= 2 THEN q.raw ELSE coalesce(x.raw, q.raw) END AS speaker FROM q LEFT JOIN q x ON x.chunk_id = q.chunk_id AND x.run = 2 WHERE q.run = 1
@@ -210,8 +221,16 @@ add("e22_silence_cuts", lambda s, d: sequences.silence_cuts(T.speech(s, d), 3000
   SELECT chunk_id, cut_idx, cut_ms FROM cuts""", recursive=True))
 add("e23_pingpong", lambda s, d: sequences.pingpong(T.turns(s, d).select("chunk_id", col("turn_idx").cast("int").alias("i"), "speaker"), "chunk_id", "i", 12).select("chunk_id", "pos", col("i").cast("int").alias("i"), "speaker"),
     wt("turns", "SELECT n.chunk_id, CAST(p AS INTEGER) AS pos, CAST(i AS INTEGER) AS i, t.speaker FROM (SELECT chunk_id, p, CASE WHEN p % (2 * n) < n THEN p % (2 * n) ELSE 2 * n - 1 - p % (2 * n) END AS i FROM (SELECT chunk_id, count(*) AS n FROM turns GROUP BY 1), (SELECT unnest(range(0, 12)) AS p)) n JOIN turns t ON t.chunk_id = n.chunk_id AND t.turn_idx = n.i"))
-add("e24_place_clips", lambda s, d: T.face_turns(s, d).select("chunk_id", "turn_idx", F.explode(F.expr("CASE WHEN start_ms div 100 <= 350 THEN sequence(start_ms div 100, least(end_ms div 100, 350)) END")).alias("bin")).groupBy("chunk_id", "bin").agg(F.max("turn_idx").alias("clip")),
-    wt("face_turns", "SELECT chunk_id, CAST(bin AS BIGINT) AS bin, max(turn_idx) AS clip FROM (SELECT chunk_id, turn_idx, unnest(range(start_ms // 100, least(end_ms // 100, 350) + 1)) AS bin FROM face_turns) GROUP BY 1, 2"))
+def place_clips(s, d):
+    """In each tenth of a second of a chunk's video the clip laid down last; clips end where the video ends."""
+    length = T.face_frames(s, d).groupBy("chunk_id").agg(((F.max("frame") + 1) * 40).alias("video_ms"))
+    last = F.expr("least(end_ms, video_ms - 1) div 100")
+    x = T.face_turns(s, d).join(length, "chunk_id").where("start_ms < video_ms")
+    return x.select("chunk_id", "turn_idx", F.explode(F.sequence(F.expr("start_ms div 100"), last)).alias("bin")).groupBy("chunk_id", "bin").agg(F.max("turn_idx").alias("clip"))
+
+
+add("e24_place_clips", place_clips, wt("face_frames face_turns", """+v AS (SELECT chunk_id, (max(frame) + 1) * 40 AS video_ms FROM face_frames GROUP BY 1)
+  SELECT chunk_id, CAST(bin AS BIGINT) AS bin, max(turn_idx) AS clip FROM (SELECT chunk_id, turn_idx, unnest(range(start_ms // 100, least(end_ms, video_ms - 1) // 100 + 1)) AS bin FROM face_turns JOIN v USING (chunk_id) WHERE start_ms < video_ms) GROUP BY 1, 2"""))
 add("e25_best_attempt", lambda s, d: T.attempts(s, d).groupBy("chunk_id", "segment_id").agg(F.min(F.when(col("score") >= 3.5, col("attempt"))).alias("good"), F.max_by("attempt", F.struct("score", -col("attempt"))).alias("best")).select("chunk_id", "segment_id", F.coalesce("good", "best").alias("attempt")),
     wt("attempts", "SELECT chunk_id, segment_id, coalesce(min(attempt) FILTER (WHERE score >= 3.5), first(attempt ORDER BY score DESC, attempt)) AS attempt FROM attempts GROUP BY 1, 2"))
 add("e26_every_kth", lambda s, d: T.samples(s, d).where("idx % 20 = 0"), wt("samples", "SELECT * FROM samples WHERE idx % 20 = 0"))

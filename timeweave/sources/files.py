@@ -103,10 +103,11 @@ def read_score_list(spark: SparkSession, path: str, existing: DataFrame | None =
 def read_clip_metadata(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """(file, angle, noise, video) of JSON objects or one-element lists, keys in either case; broken files are skipped. A file
     that names no video stands for one of its own name."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).select("value", F.col("_metadata.file_name").alias("file"))
-    # Spark's own field names do not tell case apart, JSON paths do.
-    pick = lambda where, *names: F.coalesce(*[F.get_json_object("value", f"{top}.{where}.{n}") for top in ("$", "$[0]") for n in names])
-    out = raw.select("file", pick("Video_env", "Angle", "angle").alias("angle"), pick("Audio_env", "Noise", "noise").alias("noise"), pick("Video_info", "video_Name", "video_name").alias("video"))
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    # Parsed once; a broken file has no value. Spark's own field names do not tell case apart, paths into a value do.
+    parsed = raw.select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    pick = lambda where, *names: F.coalesce(*[F.try_variant_get("v", f"{top}.{where}.{n}", "string") for top in ("$", "$[0]") for n in names])
+    out = parsed.select("file", pick("Video_env", "Angle", "angle").alias("angle"), pick("Audio_env", "Noise", "noise").alias("noise"), pick("Video_info", "video_Name", "video_name").alias("video"))
     return out.where("angle is not null or noise is not null or video is not null").withColumn("video", F.coalesce("video", F.concat(F.regexp_replace("file", r"\.\w+$", ""), F.lit(".mp4"))))
 
 
@@ -123,6 +124,20 @@ def media_inventory(spark: SparkSession, root: str, pattern: str = "*", min_byte
     return files.where(F.col("length") >= min_bytes).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
+def with_media(meta: DataFrame, media: DataFrame) -> DataFrame:
+    """Metadata (video) with path and length of the media file (path, name, length) of that base name, the first path where
+    several have it; metadata whose file is nowhere is left out."""
+    first = media.groupBy(F.col("name").alias("video")).agg(F.min_by(F.struct("path", "length"), "path").alias("m"))
+    return meta.join(first.select("video", "m.path", "m.length"), "video")
+
+
+def pending(pairs: DataFrame, made: DataFrame, least_bytes: int = 1024) -> DataFrame:
+    """Pairs (path of a media file) without a made file (name, length) of the same stem that has more than `least_bytes`."""
+    stem = lambda name: F.regexp_replace(name, r"\.\w+$", "")
+    done = made.where(F.col("length") > least_bytes).select(stem(F.col("name")).alias("stem")).distinct()
+    return pairs.withColumn("stem", stem(F.element_at(F.split("path", "/"), -1))).join(done, "stem", "left_anti").drop("stem")
+
+
 def content_hash(files: DataFrame) -> DataFrame:
     """(path, fingerprint): first 16 hex digits of md5(first megabyte, last megabyte, size) of files (path, length).
 
