@@ -80,7 +80,31 @@ def cuts(s, d):
     return T.segments(s, d).select("chunk_id", "segment_id", F.explode(F.expr("sequence(start_ms + 7000, greatest(end_ms, start_ms + 7000), 7000)")).alias("cut_ms")).where("cut_ms > 0")
 
 
-add("e14_split_segments", lambda s, d: refine.split_segments(T.segments(s, d), cuts(s, d), T.words(s, d)))
+def _parts(need_words: bool) -> str:
+    """Parts of seg (chunk_id, segment_id, speaker, start_ms, end_ms) at cut (chunk_id, segment_id, cut_ms, after): cuts snap to the
+    closest edge of a word that lies in the segment, then one after the other make a part if it is long enough."""
+    whole = " OR (need.bad AND len(p.parts) > 1)" if need_words else ""
+    needed = "need AS (SELECT chunk_id, segment_id, bool_or(text = '') AS bad FROM said GROUP BY 1, 2)," if need_words else ""
+    inside = "w.chunk_id = x.chunk_id AND w.start_ms >= x.start_ms AND w.end_ms <= x.end_ms"
+    text = "(SELECT coalesce(string_agg(w.word, ' ' ORDER BY w.word_idx), '') FROM words w WHERE w.chunk_id = {0}.chunk_id AND w.start_ms >= {1}.a AND w.end_ms <= {1}.b)"
+    return f"""edge AS (SELECT x.chunk_id, x.segment_id, unnest([w.start_ms, w.end_ms]) AS e, unnest([2 * w.word_idx, 2 * w.word_idx + 1]) AS pos FROM seg x JOIN words w ON {inside}),
+  near AS (SELECT c.chunk_id, c.segment_id, c.cut_ms, c.after, coalesce(arg_min(g.e, struct_pack(d := abs(g.e - c.cut_ms), pos := g.pos)), c.cut_ms) AS t FROM cut c LEFT JOIN edge g USING (chunk_id, segment_id) GROUP BY 1, 2, 3, 4),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, segment_id ORDER BY cut_ms, after NULLS FIRST) AS k FROM near),
+  walk AS (SELECT chunk_id, segment_id, CAST(0 AS BIGINT) AS k, start_ms AS since, speaker AS label, end_ms, CAST([] AS STRUCT(a BIGINT, b BIGINT, l VARCHAR)[]) AS parts FROM seg
+    UNION ALL SELECT w.chunk_id, w.segment_id, o.k, CASE WHEN o.t - w.since >= 500 THEN o.t ELSE w.since END, CASE WHEN o.t - w.since >= 500 THEN o.after ELSE w.label END, w.end_ms,
+      CASE WHEN o.t - w.since >= 500 THEN list_append(w.parts, {{'a': w.since, 'b': o.t, 'l': w.label}}) ELSE w.parts END FROM walk w JOIN ordered o ON o.chunk_id = w.chunk_id AND o.segment_id = w.segment_id AND o.k = w.k + 1),
+  closed AS (SELECT chunk_id, segment_id, CASE WHEN end_ms - since >= 500 THEN list_append(parts, {{'a': since, 'b': end_ms, 'l': label}}) ELSE parts END AS parts FROM walk QUALIFY row_number() OVER (PARTITION BY chunk_id, segment_id ORDER BY k DESC) = 1),
+  flat AS (SELECT chunk_id, segment_id, unnest(range(len(parts))) AS part, unnest(parts, max_depth := 2) FROM closed),
+  said AS (SELECT f.*, {text.format("f", "f")} AS text FROM flat f), {needed}
+  kept AS (SELECT p.chunk_id, p.segment_id, len(p.parts) < 2{whole} AS whole FROM closed p {"LEFT JOIN need USING (chunk_id, segment_id)" if need_words else ""})
+  SELECT x.chunk_id, x.segment_id, CAST(coalesce(f.part, 0) AS BIGINT) AS part, coalesce(f.a, x.start_ms) AS start_ms, coalesce(f.b, x.end_ms) AS end_ms, coalesce(f.l, x.speaker) AS speaker,
+    coalesce(f.text, (SELECT coalesce(string_agg(w.word, ' ' ORDER BY w.word_idx), '') FROM words w WHERE {inside})) AS text
+  FROM seg x JOIN kept USING (chunk_id, segment_id) LEFT JOIN said f ON f.chunk_id = x.chunk_id AND f.segment_id = x.segment_id AND NOT kept.whole"""
+
+
+add("e14_split_segments", lambda s, d: refine.split_segments(T.segments(s, d), cuts(s, d), T.words(s, d)), wt("segments", f"""+seg AS (SELECT chunk_id, segment_id, speaker, start_ms, end_ms FROM segments),
+  cut AS (SELECT * FROM (SELECT chunk_id, segment_id, unnest(range(start_ms + 7000, greatest(end_ms, start_ms + 7000) + 1, 7000)) AS cut_ms, CAST(NULL AS VARCHAR) AS after FROM segments) WHERE cut_ms > 0),
+  {_parts(False)}""", recursive=True))
 
 
 def vector_segments(s, d):
@@ -97,9 +121,10 @@ def window_speakers(s, d):
     return speakers.best_speakers(heard, speakers.speaker_centroids(v), ["segment_id", "t_ms"])
 
 
-add("e16_window_speakers", lambda s, d: window_speakers(s, d).select("chunk_id", "segment_id", "t_ms", "speaker"), wt("turn_vectors", f"""+{CENTROIDS}, wn AS (SELECT chunk_id, turn_idx AS segment_id, start_ms, unnest(range(start_ms, end_ms - 600 + 1, 200)) AS t_ms FROM turn_vectors WHERE end_ms - start_ms >= 600),
-  h AS (SELECT w.chunk_id, w.segment_id, w.t_ms, v.embedding FROM wn w JOIN turn_vectors v ON v.chunk_id = w.chunk_id AND v.turn_idx = (w.segment_id + (w.t_ms - w.start_ms) // 600) % 50 WHERE v.embedding IS NOT NULL)
-  SELECT h.chunk_id, h.segment_id, h.t_ms, c.speaker FROM h JOIN centroids c USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY h.chunk_id, h.segment_id, h.t_ms ORDER BY round(list_dot_product(h.embedding, c.centroid), 9) DESC, c.speaker) = 1"""))
+HEARD = f"""{CENTROIDS}, wn AS (SELECT chunk_id, turn_idx AS segment_id, start_ms, unnest(range(start_ms, end_ms - 600 + 1, 200)) AS t_ms FROM turn_vectors WHERE end_ms - start_ms >= 600),
+  h AS (SELECT w.chunk_id, w.segment_id, w.t_ms, v.embedding FROM wn w JOIN turn_vectors v ON v.chunk_id = w.chunk_id AND v.turn_idx = (w.segment_id + (w.t_ms - w.start_ms) // 600) % 50 WHERE v.embedding IS NOT NULL),
+  wsp AS (SELECT h.chunk_id, h.segment_id, h.t_ms, c.speaker FROM h JOIN centroids c USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY h.chunk_id, h.segment_id, h.t_ms ORDER BY round(list_dot_product(h.embedding, c.centroid), 9) DESC, c.speaker) = 1)"""
+add("e16_window_speakers", lambda s, d: window_speakers(s, d).select("chunk_id", "segment_id", "t_ms", "speaker"), wt("turn_vectors", f"+{HEARD} SELECT * FROM wsp"))
 
 
 def label_changes(windows):
@@ -118,7 +143,15 @@ def sliding_split(segments, windows, words):
     return refine.split_segments(named.withColumn("speaker", F.when(col("cut"), col("first")).otherwise(col("speaker"))), changes, words, need_words=True)
 
 
-add("e18_sliding_split", lambda s, d: sliding_split(vector_segments(s, d), window_speakers(s, d), T.words(s, d)))
+add("e18_sliding_split", lambda s, d: sliding_split(vector_segments(s, d), window_speakers(s, d), T.words(s, d)), wt("words turn_vectors", f"""+{HEARD},
+  rn AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER w THEN 0 ELSE 1 END AS new FROM wsp WINDOW w AS (PARTITION BY chunk_id, segment_id ORDER BY t_ms)),
+  rr AS (SELECT *, sum(new) OVER (PARTITION BY chunk_id, segment_id ORDER BY t_ms) AS run, count(*) OVER (PARTITION BY chunk_id, segment_id) AS total FROM rn),
+  rz AS (SELECT *, count(*) OVER (PARTITION BY chunk_id, segment_id, run) AS size, max(CASE WHEN run = 2 THEN speaker END) OVER (PARTITION BY chunk_id, segment_id) AS second FROM rr),
+  smooth AS (SELECT chunk_id, segment_id, t_ms, CASE WHEN total < 4 THEN speaker ELSE coalesce(last_value(CASE WHEN size >= 2 THEN speaker END IGNORE NULLS) OVER (PARTITION BY chunk_id, segment_id ORDER BY t_ms ROWS UNBOUNDED PRECEDING), second, speaker) END AS speaker FROM rz),
+  ch AS (SELECT *, lag(speaker) OVER (PARTITION BY chunk_id, segment_id ORDER BY t_ms) AS before FROM smooth),
+  cut AS (SELECT chunk_id, segment_id, t_ms AS cut_ms, speaker AS after FROM ch WHERE before <> speaker),
+  seg AS (SELECT v.chunk_id, v.turn_idx AS segment_id, CASE WHEN EXISTS (SELECT 1 FROM cut c WHERE c.chunk_id = v.chunk_id AND c.segment_id = v.turn_idx) THEN (SELECT any_value(c.speaker) FROM ch c WHERE c.chunk_id = v.chunk_id AND c.segment_id = v.turn_idx AND c.before IS NULL) ELSE v.speaker END AS speaker, v.start_ms, v.end_ms FROM turn_vectors v),
+  {_parts(True)}""", recursive=True))
 def field_responses(s, d):
     """One answer a chunk: an entry for each segment with named fields, a line that goes on and a blank one."""
     r = F.concat(F.lit("["), "segment_id", F.lit("]\nKorean: "), "text", F.lit("\nwent on\n\nemotion： "), "emotion", F.lit("\nTONE: soft"))

@@ -117,7 +117,7 @@ add("d6_face_contingency", lambda s, d: face_counts(s, d).where("n >= 5").groupB
 
 
 def shared_faces(s, d):
-    c = face_counts(s, d)
+    c = staged(face_counts(s, d), "face-counts")
     t = c.groupBy("chunk_id", "speaker").agg(F.sum("n").alias("total"))
     both = c.select("chunk_id", "track", col("speaker").alias("a"), col("n").alias("na")).join(c.select("chunk_id", "track", col("speaker").alias("b"), col("n").alias("nb")), ["chunk_id", "track"]).where("a < b")
     shared = both.groupBy("chunk_id", "a", "b").agg(F.sum(F.least("na", "nb")).alias("shared"))
@@ -126,8 +126,21 @@ def shared_faces(s, d):
     return shared.join(named("a"), ["chunk_id", "a"]).join(named("b"), ["chunk_id", "b"]).where((col("shared") >= 10) & (share >= 0.3)).select("chunk_id", "a", "b", "shared", F.round(share, 6).alias("share"))
 
 
-add("c9_face_merge_pairs", shared_faces, wt("face_frames face_turns", f"""+{COUNTS}, ft AS (SELECT chunk_id, speaker, sum(n) AS t FROM fcounts GROUP BY 1, 2), sh AS (SELECT x.chunk_id, x.speaker AS a, y.speaker AS b, CAST(sum(least(x.n, y.n)) AS BIGINT) AS shared FROM fcounts x JOIN fcounts y ON x.chunk_id = y.chunk_id AND x.track = y.track AND x.speaker < y.speaker GROUP BY 1, 2, 3)
-  SELECT sh.chunk_id, a, b, shared, round(least(shared / p.t, shared / q.t), 6) AS share FROM sh JOIN ft p ON p.chunk_id = sh.chunk_id AND p.speaker = a JOIN ft q ON q.chunk_id = sh.chunk_id AND q.speaker = b WHERE shared >= 10 AND least(shared / p.t, shared / q.t) >= 0.3"""))
+SHARED = f"""{COUNTS}, ft AS (SELECT chunk_id, speaker, sum(n) AS t FROM fcounts GROUP BY 1, 2), sh AS (SELECT x.chunk_id, x.speaker AS a, y.speaker AS b, CAST(sum(least(x.n, y.n)) AS BIGINT) AS shared FROM fcounts x JOIN fcounts y ON x.chunk_id = y.chunk_id AND x.track = y.track AND x.speaker < y.speaker GROUP BY 1, 2, 3),
+  merges AS (SELECT sh.chunk_id, a, b, shared, round(least(shared / p.t, shared / q.t), 6) AS share FROM sh JOIN ft p ON p.chunk_id = sh.chunk_id AND p.speaker = a JOIN ft q ON q.chunk_id = sh.chunk_id AND q.speaker = b WHERE shared >= 10 AND least(shared / p.t, shared / q.t) >= 0.3)"""
+add("c9_face_merge_pairs", shared_faces, wt("face_frames face_turns", f"+{SHARED} SELECT * FROM merges"))
+
+
+def face_merged_turns(s, d):
+    """Turns of speakers that share a face take the smallest label among them, however long the chain; others keep theirs."""
+    t = T.face_turns(s, d)
+    same = speakers.canonical_labels(t.select("chunk_id", "speaker").distinct(), shared_faces(s, d))
+    return t.join(same, ["chunk_id", "speaker"]).select("chunk_id", "turn_idx", col("canonical").alias("speaker"), "start_ms", "end_ms")
+
+
+add("c9_face_merged_turns", face_merged_turns, wt("face_frames face_turns", f"""+{SHARED}, ways AS (SELECT chunk_id, a, b FROM merges UNION SELECT chunk_id, b, a FROM merges),
+  met AS (SELECT DISTINCT chunk_id, speaker AS a, speaker AS b FROM face_turns UNION SELECT m.chunk_id, m.a, w.b FROM met m JOIN ways w ON w.chunk_id = m.chunk_id AND w.a = m.b)
+  SELECT t.chunk_id, t.turn_idx, min(m.b) AS speaker, t.start_ms, t.end_ms FROM face_turns t JOIN met m ON m.chunk_id = t.chunk_id AND m.a = t.speaker GROUP BY ALL""", recursive=True))
 add("d7_spurious_speakers", lambda s, d: T.face_turns(s, d).groupBy("chunk_id", "speaker").agg(F.sum(col("end_ms") - col("start_ms")).alias("total_ms")).where("total_ms < 600").join(face_counts(s, d).where("n >= 5"), ["chunk_id", "speaker"], "left_anti"),
     wt("face_frames face_turns", f"+{COUNTS} SELECT chunk_id, speaker, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms FROM face_turns t WHERE NOT EXISTS (SELECT 1 FROM fcounts c WHERE c.chunk_id = t.chunk_id AND c.speaker = t.speaker AND n >= 5) GROUP BY 1, 2 HAVING sum(end_ms - start_ms) < 600"))
 add("c13_snap", lambda s, d: joins.snap(T.turns(s, d).select("chunk_id", col("turn_idx").alias("point_idx"), (col("start_ms") + 777).alias("t_ms")), T.words(s, d)),
