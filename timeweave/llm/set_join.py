@@ -372,6 +372,14 @@ def _all_links(cells: DataFrame, texts: DataFrame, n: int, num: int, den: int, b
     return found
 
 
+def _same_id(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (id, root) from ids that have several sets to the documents that stand for those sets."""
+    sets = F.struct("a", "b", "n")
+    known = signed.where("id IS NOT NULL AND n > 0").select("id", "a", "b", "n")
+    several = known.groupBy("id").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).where("low <> high").select("id")
+    return known.join(several, "id", "left_semi").join(reps, ["a", "b", "n"]).select("id", F.col("rep").alias("root"))
+
+
 def near_texts(
     docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 128, broadcast_rows: int = 500_000
 ) -> DataFrame:
@@ -380,7 +388,7 @@ def near_texts(
     Two documents link when den * |intersection| >= num * |union| of their sets of n-word shingles; component_id is the
     smallest doc_id reachable by links. Null, empty and blank texts have no shingles and link with nothing. Rows with a
     null id keep a null component and link with nothing. Equal texts link by equal sets. Rows that repeat an id are the
-    same vertex. Texts are read whole. Extra columns are not read. An empty table gives no rows.
+    same vertex, whatever their texts. Texts are read whole. Extra columns are not read. An empty table gives no rows.
 
     Frequency ranks only order the prefixes (frequent shingles last): results do not depend on them. The broadcast of members of cells is used up to broadcast_rows rows, beyond that the join shuffles.
     """
@@ -397,14 +405,26 @@ def near_texts(
     links = found[0]
     for f in found[1:]:
         links = links.unionByName(f)
+    links = links.unionByName(_same_id(signed, reps))
     parts = components(links, "id", "root")
     named = staged(reps.join(parts, F.col("rep") == F.col("id"), "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component")), "named")
     out = signed.select("id", "n", "a", "b").join(named, ["a", "b", "n"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of docs, with all their columns, that are their component's smallest id. Rows without an id stay."""
-    found = staged(near_texts(docs, id_col=id_col, **params), "near")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, id_col, "left_anti")
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of docs, with all their columns, that are their component's smallest id.
+
+    Rows that repeat an id are one document and stay or go together. A row without an id is a document of its own behind
+    all others: it goes if anything it links with stays, and of equal texts without ids one row stays. Null, empty and
+    blank texts link with nothing and stay. An empty table stays empty.
+    """
+    # Ids of rows without one: two to the 62 and more, from the text.
+    own = F.when(F.col(id_col).isNull(), F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit((1 << 61) - 1))).otherwise(F.col(id_col).cast("long"))
+    named = docs.withColumn("__own", own)
+    found = staged(near_texts(named.select(F.col("__own").alias("id"), F.col(text_col).alias("text")), id_col="id", text_col="text", **params), "near")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__own")).distinct()
+    kept = named.join(gone, "__own", "left_anti")
+    blank = F.coalesce(F.col(text_col).rlike(r"^[\x20\x09-\x0D]*$"), F.lit(True))
+    nameless = F.col(id_col).isNull() & ~blank
+    return kept.where(~nameless).unionByName(kept.where(nameless).dropDuplicates(["__own"])).drop("__own")
