@@ -136,7 +136,6 @@ def _neighbours(suffixes: DataFrame, bucket_rows: int = 500_000) -> DataFrame:
             return
         keys = np.concatenate(parts)
         keys = keys[multikey_order(keys)]
-        keys = keys[np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]]  # copies of a text bring each place more than once
         group = np.cumsum(np.r_[False, (keys[1:, :4] != keys[:-1, :4]).any(axis=1)])
         several = np.bincount(group)[group] > 1
         take = several | (group == 0) | (group == group[-1])
@@ -149,10 +148,10 @@ def _neighbours(suffixes: DataFrame, bucket_rows: int = 500_000) -> DataFrame:
 
 def _kept(found: DataFrame) -> DataFrame:
     """Settled suffixes, and those at bucket ends whose gram another bucket holds too. There are at most two ends a
-    bucket, so their grams are broadcast."""
-    ends = F.broadcast(found.where("state = 0").select("gram").distinct())
+    bucket; Spark broadcasts their grams while they are few."""
+    ends = staged(found.where("state = 0").select("gram").distinct(), "ends")
     places = found.join(ends, "gram", "left_semi").groupBy("gram").agg(F.count_distinct("t", "s", "pos").alias("places"))
-    shared = F.broadcast(places.where("places > 1").select("gram"))
+    shared = staged(places.where("places > 1").select("gram"), "shared-ends")
     return found.where("state = 1").drop("state").unionByName(found.where("state = 0").join(shared, "gram", "left_semi").drop("state"))
 
 
@@ -244,6 +243,17 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
     return staged(contexts.repartition(width, "gram", "part").sortWithinPartitions("gram", "part").mapInPandas(run, "kind long, t long, s long, first long, last long, hash long, second long"), "repeats")
 
 
+def _one_each(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """One row (text, t, s) of each text, so that a text of many copies has each of its suffixes once: the row with the
+    smallest id; of rows that repeat a text under one id any."""
+    twice = staged(copies.where("copies > 1").select("t", "s", "rep", "rows"), "copied")
+    chosen = texts.join(twice, ["t", "s"], "left").where("rep IS NULL OR number = rep")
+    one = chosen.where("rows IS NULL OR rows = 1").select("text", "t", "s")
+    if twice.where("rows > 1").isEmpty():
+        return one
+    return one.unionByName(chosen.where("rows > 1").select("text", "t", "s").dropDuplicates(["t", "s"]))
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", part: int = 128) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
@@ -256,8 +266,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     other = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"), other.alias("s"), F.octet_length(text).cast("long").alias("n"))
     long_ones, number = base.where(F.col("n") >= length), F.coalesce(F.col("id").cast("long"), F.lit(-1))
-    copies = staged(long_ones.groupBy("t", "s").agg(F.count("*").alias("copies"), F.min(number).alias("rep")), "copies")
-    kept = staged(_kept(_neighbours(staged(_suffixes(long_ones.select("text", "t", "s"), length), "suffixes"))), "kept")
+    by_id = long_ones.groupBy("t", "s", number.alias("rep")).agg(F.count("*").alias("rows"))
+    copies = staged(by_id.groupBy("t", "s").agg(F.sum("rows").alias("copies"), F.min("rep").alias("rep"), F.min_by("rows", "rep").alias("rows")), "copies")
+    kept = staged(_kept(_neighbours(staged(_suffixes(_one_each(long_ones.withColumn("number", number), copies), length), "suffixes"))), "kept")
     parts = staged(kept.groupBy("gram").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1"), "parts")
     places = staged(kept.groupBy("t", "s").agg(F.collect_set("pos").alias("places")).join(copies, ["t", "s"]).select("t", "s", "rep", "places"), "places")
     # One row of each text brings the context: the one with the smallest id; rows repeated under one id are dropped later.
