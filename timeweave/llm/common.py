@@ -155,10 +155,11 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The Python worker's encoder of a vocabulary file; its memo lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+def encoder(path: str, limit: int = 600_000) -> WordEncoder:
+    """The Python worker's encoder of a vocabulary file; its memos of at most `limit` words and pieces live as long as the
+    worker, or until another limit is asked for."""
+    if path not in _encoders or _encoders[path].limit != limit:
+        _encoders[path] = WordEncoder(path, limit)
     return _encoders[path]
 
 

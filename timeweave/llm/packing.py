@@ -117,7 +117,7 @@ def pack(
     end_id: int = 1,
     tiers: tuple[int, ...] = (256, 512, 1024, 2048),
     step_tokens: int = 16 * 2048,
-    flush_tokens: int = 1 << 21,
+    flush_tokens: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -129,7 +129,7 @@ def pack(
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, limit=200_000)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         packer, pid = TierPacker(tiers, step_tokens), TaskContext.get().partitionId()
         seq, group, fresh = pid << 36, pid << 36, 0
