@@ -33,7 +33,7 @@ def strip_boilerplate(pages: DataFrame, ratio: float = 0.01, min_pages: int = 3,
     """All rows and columns of `pages` with boilerplate lines taken out of the text, plus line_total and line_dropped.
 
     Lines end at a newline; what is left is joined by newlines again. Lines of blanks only are neither counted nor
-    dropped. A line on fewer than `min_pages` pages of a host is kept: on a host of few pages every line exceeds a small
+    dropped; lines are told apart by 96 bits of two hashes. A line on fewer than `min_pages` pages of a host is kept: on a host of few pages every line exceeds a small
     ratio, so without it a host of one or two pages would lose all its text.
     Null hosts form no site: their pages stay as they are. Null texts stay null with no lines; empty texts have one
     blank line. Repeated rows count as pages of their own. Columns of `pages` are kept whatever their names are, but
@@ -55,10 +55,11 @@ def strip_boilerplate(pages: DataFrame, ratio: float = 0.01, min_pages: int = 3,
 
 
 ORACLE_SQL = """
-WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+WITH r AS (SELECT *, row_number() OVER () AS row FROM documents),
+l AS (SELECT row, source, unnest(string_split(text, chr(10))) AS line FROM r WHERE text IS NOT NULL),
 p AS (SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source),
 b AS (
-  SELECT c.source, c.line FROM (SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY source, line) c
+  SELECT c.source, c.line FROM (SELECT source, line, count(DISTINCT row) AS n FROM l WHERE trim(line) <> '' GROUP BY source, line) c
   JOIN p USING (source) WHERE c.n >= 3 AND c.n / p.pages > CAST(0.01 AS DOUBLE)),
 h AS (SELECT source, list(line) AS lines FROM b GROUP BY source),
 k AS (SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS a, list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(h.lines, []), x)) AS kept
