@@ -412,19 +412,20 @@ def near_texts(
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000, **params) -> DataFrame:
     """The rows of docs, with all their columns, that are their component's smallest id.
 
     Rows that repeat an id are one document and stay or go together. A row without an id is a document of its own behind
     all others: it goes if anything it links with stays, and of equal texts without ids one row stays. Null, empty and
-    blank texts link with nothing and stay. An empty table stays empty.
+    blank texts link with nothing and stay. An empty table stays empty. Ids that go are broadcast up to `broadcast_rows` of
+    them (8 bytes each), beyond that the join shuffles.
     """
     # Ids of rows without one: two to the 62 and more, from the text.
     own = F.when(F.col(id_col).isNull(), F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit((1 << 61) - 1))).otherwise(F.col(id_col).cast("long"))
     named = docs.withColumn("__own", own)
     found = staged(near_texts(named.select(F.col("__own").alias("id"), F.col(text_col).alias("text")), id_col="id", text_col="text", **params), "near")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__own")).distinct()
-    kept = named.join(gone, "__own", "left_anti")
+    gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__own")).distinct(), "gone")
+    kept = named.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "__own", "left_anti")
     blank = F.coalesce(F.col(text_col).rlike(r"^[\x20\x09-\x0D]*$"), F.lit(True))
     nameless = F.col(id_col).isNull() & ~blank
     return kept.where(~nameless).unionByName(kept.where(nameless).dropDuplicates(["__own"])).drop("__own")
