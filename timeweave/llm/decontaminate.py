@@ -88,12 +88,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     )
 
 
-def keep_uncontaminated(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of an item occurs. Rows are judged by their text, so rows
-    without an id and rows that share one are too; null and empty texts stay, an empty table stays empty."""
-    keyed = docs.withColumn("__text", F.sha2(text_col, 256))
-    gone = occurrences(keyed.select("__text", F.col(text_col).alias("text")), windows_of(items, size), id_col="__text", text_col="text")
-    return keyed.join(staged(gone.select(F.col("id").alias("__text")).distinct(), "contaminated"), "__text", "left_anti").drop("__text")
+    without an id and rows that share one are too; null and empty texts stay, an empty table stays empty. Digests of
+    texts that go (16 bytes) are broadcast up to `broadcast_rows` of them, beyond that the join shuffles."""
+    keyed = docs.withColumn("__text", F.unhex(F.md5(text_col)))
+    hits = occurrences(keyed.select("__text", F.col(text_col).alias("text")), windows_of(items, size), id_col="__text", text_col="text")
+    gone = staged(hits.select(F.col("id").alias("__text")).distinct(), "contaminated")
+    return keyed.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "__text", "left_anti").drop("__text")
 
 
 ORACLE_SQL = r"""
