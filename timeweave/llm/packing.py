@@ -117,19 +117,21 @@ def pack(
     end_id: int = 1,
     tiers: tuple[int, ...] = (256, 512, 1024, 2048),
     step_tokens: int = 16 * 2048,
-    flush_tokens: int = 1 << 20,
+    flush_tokens: int = 1 << 21,
     id_col: str = "doc_id",
     text_col: str = "text",
+    memo_words: int = 600_000,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
     Null and empty texts are one end id. A null id is kept as null. Repeated rows are packed each. Very long texts
     are cut into whole windows. Extra columns are not read. An empty table gives no rows. sequence_id and step_group
     are numbered within the input split (its number in the upper bits), so they follow the table's file layout.
+    A worker remembers the ids of at most memo_words words and as many pieces.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer, limit=200_000)
+        enc = encoder(tokenizer, memo_words)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         packer, pid = TierPacker(tiers, step_tokens), TaskContext.get().partitionId()
         seq, group, fresh = pid << 36, pid << 36, 0
