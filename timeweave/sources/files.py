@@ -104,8 +104,9 @@ def read_clip_metadata(spark: SparkSession, root: str, pattern: str = "*.json")
     """(file, angle, noise, video) of JSON objects or one-element lists, keys in either case; broken files are skipped. A file
     that names no video stands for one of its own name."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    # Parsed once; a broken file has no value. Spark's own field names do not tell case apart, paths into a value do.
-    parsed = raw.select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    # Parsed once: filters would carry the parser with them, but not past a generator. A broken file has no value. Spark's own
+    # field names do not tell case apart, paths into a value do.
+    parsed = raw.select(F.col("_metadata.file_name").alias("file"), F.explode(F.array_compact(F.array(F.try_parse_json("value")))).alias("v"))
     pick = lambda where, *names: F.coalesce(*[F.try_variant_get("v", f"{top}.{where}.{n}", "string") for top in ("$", "$[0]") for n in names])
     out = parsed.select("file", pick("Video_env", "Angle", "angle").alias("angle"), pick("Audio_env", "Noise", "noise").alias("noise"), pick("Video_info", "video_Name", "video_name").alias("video"))
     return out.where("angle is not null or noise is not null or video is not null").withColumn("video", F.coalesce("video", F.concat(F.regexp_replace("file", r"\.\w+$", ""), F.lit(".mp4"))))
