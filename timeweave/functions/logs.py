@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The form of a progress line, and the faults and harmless marks of a crash line below.
 STEP = r"Steps:\s+\d+%\|[^|]*\|\s+(\d+)/(\d+)\s+\[\S+,\s+([\d.]+)\s*(s/it|it/s)[^\]]*step_loss=([\d.eE+-]+)"
 
 
@@ -25,6 +26,7 @@ def parse_step(line: Column) -> Column:
 def is_crash(line: Column, age_s: Column | None = None) -> Column:
     """A fault that is none of the benign ones; with the log's age, none while it was written within five minutes."""
     low = F.lower(line)
+    # Marks of lines that are no crash.
     benign = ["fp16", "dtype", "onnxruntime", "providerlibrary", "cublaslt", "tryget"]
     found = line.rlike("RuntimeError|FAILED") & ~low.rlike("|".join(benign))
     return found if age_s is None else found & (age_s >= 300)
