@@ -241,3 +241,34 @@ def test_long_chains_stay_whole(spark, seed):
         want |= {i: min(own) for i in own}
     got = set_join.near_texts(awkward(spark, rows).repartition(4)).collect()
     assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
+def test_long_labelled_texts_teach_in_slices(spark):
+    docs = spark.createDataFrame([(1, "a" * 50), (2, "".join(chr(97 + i // 40) for i in range(800))), (3, None), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), {0: 5, 1: 5}, most_chars=80, slices=4)
+    assert dict(zip(got["id"], got["y"])) == {1: 0, 2: 1}
+    text = dict(zip(got["id"], got["text"]))
+    whole = "".join(chr(97 + i // 40) for i in range(800))
+    assert text[1] == "a" * 50 and text[2].split("\n") == [whole[s : s + 20] for s in (0, 260, 520, 780)]
+
+
+def test_toxicity_cut_has_the_fewest_errors():
+    out, y = np.array([-3.0, -2, -1, 0.5, 2, 4]), np.array([0, 0, 1, 0, 1, 1])
+    error, cut = toxicity._cut(out, y)
+    assert error == 1 / 6 and ((out >= cut) != y).sum() == 1
+    assert toxicity._cut(np.array([-1.0, 2.0]), np.array([0, 1])) == (0, 0)
+
+
+def test_toxic_stems_generalise_to_unseen_words():
+    r = np.random.default_rng(3)
+    texts, labels = [], []
+    for i in range(600):
+        words = ["".join(r.choice(list("abcdefghij"), 6)) for _ in range(40)]
+        if i % 5 == 0:
+            words[7:7] = ["grolk" + "".join(r.choice(list("abcdefghij"), 4)) for _ in range(3)]  # no word twice, one stem
+        texts.append(" ".join(words))
+        labels.append(int(i % 5 == 0))
+    net = toxicity.train(texts[:450], np.array(labels[:450]))
+    got, want = toxicity.score_texts(net, texts[450:]) >= 0.5, np.array(labels[450:]) == 1
+    assert (got == want).mean() >= 0.97
