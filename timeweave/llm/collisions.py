@@ -158,19 +158,23 @@ def near_vectors(
 
     @lean
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each vector length, once a task
         for pdf in batches:
-            keys = []
-            for x in unit(pdf["v"]):
-                rng = np.random.default_rng([seed, 1, len(x)])
-                proj = x @ matrix(len(x), 0, tables * cuts) if cuts else np.zeros(tables)
-                offset = rng.random(len(proj)) * CELL_WIDTH * sigma
-                cells = np.floor((proj + offset) / (CELL_WIDTH * sigma)).astype(np.int64).reshape(tables, -1)
-                mixed = np.full(tables, len(x), np.uint64)
-                for c in cells.T:
-                    mixed = (mixed ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            vectors, keys = unit(pdf["v"]), np.empty((len(pdf), tables), np.int64)
+            lengths = np.fromiter(map(len, vectors), np.int64, len(vectors))
+            for dim in np.unique(lengths):
+                if dim not in drawn:
+                    offset = np.random.default_rng([seed, 1, dim]).random(max(1, cuts) * tables) * CELL_WIDTH * sigma
+                    drawn[dim] = (matrix(dim, 0, tables * cuts), offset)
+                (directed, offset), rows = drawn[dim], np.flatnonzero(lengths == dim)
+                proj = np.stack([vectors[i] for i in rows]) @ directed if cuts else np.zeros((len(rows), tables))
+                cells = np.floor((proj + offset) / (CELL_WIDTH * sigma)).astype(np.int64).reshape(len(rows), tables, -1)
+                mixed = np.full((len(rows), tables), dim, np.uint64)
+                for c in range(cells.shape[2]):
+                    mixed = (mixed ^ cells[:, :, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     mixed ^= mixed >> np.uint64(29)
-                keys.append(mixed.view(np.int64))
-            yield pd.DataFrame({"label": pdf["label"], "rep": pdf["rep"], "copies": pdf["copies"], "v": pdf["v"], "keys": keys})
+                keys[rows] = mixed.view(np.int64)
+            yield pd.DataFrame({"label": pdf["label"], "rep": pdf["rep"], "copies": pdf["copies"], "v": pdf["v"], "keys": list(keys)})
 
     label_type = dict(reps.dtypes)["label"]
     routed = staged(reps.select("label", "rep", "copies", "v").mapInPandas(route, f"label {label_type}, rep long, copies long, v array<double>, keys array<long>"), "routed")
