@@ -272,3 +272,26 @@ def test_toxic_stems_generalise_to_unseen_words():
     net = toxicity.train(texts[:450], np.array(labels[:450]))
     got, want = toxicity.score_texts(net, texts[450:]) >= 0.5, np.array(labels[450:]) == 1
     assert (got == want).mean() >= 0.97
+
+
+def test_an_epoch_is_the_mean_of_the_tasks_walks(spark):
+    r = np.random.default_rng(3)
+    x = r.random((70, quality.FEATURES)).astype(np.float32)
+    parts = [spark.createDataFrame([(i, x[i].tolist()) for i in ids], "id long, x array<float>").coalesce(1) for ids in (range(50), range(50, 70))]
+    net = quality.fit_pu(x[:20], x, 0.6, epochs=1)
+    mean, after = quality.epoch(net, parts[0].unionByName(parts[1]), x[:20], 0.6)
+    walks = [quality.walk(net, iter([block]), x[:20], 0.6) for block in (x[:50], x[50:])]
+    assert mean == pytest.approx(quality.sigmoid(net.logits(x)).mean())
+    assert [n for n, _, _ in walks] == [50, 20]
+    for k in quality.WEIGHTS:
+        assert np.allclose(getattr(after, k), sum(n * getattr(own, k) for n, _, own in walks) / 70)
+        assert not np.allclose(getattr(after, k), getattr(net, k))
+
+
+def test_epochs_read_rows_beyond_the_sample(spark):
+    """Weights start from ten rows; the epochs over all rows lower the risk over all rows."""
+    good, junk = "The quick brown fox jumps over the lazy dog, and it rests.", "%% $$ || ## 00 11 %% $$ || ##"
+    docs = spark.createDataFrame([(i, (good if i % 3 else junk) + f" {i}") for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    net = quality.fit(docs, labels, start_rows=10, positive_rows=10, full_epochs=4)
+    assert len(net.risks) == 5 and min(net.risks) < net.risks[0]

@@ -4,8 +4,10 @@ Trusted positives are labelled rows of class 1; the unlabelled set is all text.
 prior) is estimated from the labelled rows outside the held-out fold. With sigmoid loss l the risk is
     prior * E_p[l(g, +1)] + max(0, E_u[l(g, -1)] - prior * E_p[l(g, -1)])
 and when the bracket falls below zero its gradient is reversed, so the network cannot fit the unlabelled set as
-negatives. Features of every whole text are made once and written. Their means and deviations cover all rows. Adam
-starts on a bounded sample of both sets; then full steps follow in which E_u is the mean over every row, a job each.
+negatives. Features of every whole text are made once and written. Their means and deviations cover all rows. Starting
+weights come from a bounded sample of both sets; then every epoch takes mini-batches of all rows: each task walks through
+its rows from the same weights, and the mean of the tasks' weights, by their rows, starts the next epoch. The risk over all
+rows is measured before and after each epoch, and the weights of the least risk stay.
 The operating point of the score is put in the emptiest stretch of all rows' outputs near the prior's quantile.
 """
 
@@ -13,8 +15,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,7 @@ for _i, _g in enumerate(_GROUPS):
 _CLASS[128:] = CLASSES - 2
 EXTRA = 14
 FEATURES = CLASSES * CLASSES + CLASSES + EXTRA
+WEIGHTS = ("w1", "b1", "w2")
 
 
 def features(text: str | None) -> np.ndarray:
@@ -71,6 +74,7 @@ class Scorer:
     w2: np.ndarray
     shift: float
     slope: float
+    risks: tuple[float, ...] = ()  #: over all rows: of the starting weights, then after each epoch
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale).clip(-6, 6)
@@ -119,10 +123,15 @@ def _combine(net: Scorer, prior: float, positive: tuple, unlabelled: tuple, deca
     return {k: v + (decay * getattr(net, k) if k != "b1" else 0) for k, v in g.items()}
 
 
+def _risk(prior: float, s_p: float, s_u: float) -> float:
+    """The non-negative risk, from the mean outputs of both sets."""
+    return float(prior * (1 - s_p) + max(0.0, s_u - prior * s_p))
+
+
 class Adam:
     def __init__(self, net: Scorer, rate: float):
         self.net, self.rate, self.step = net, rate, 0
-        self.moments = {k: [np.zeros_like(getattr(net, k)) for _ in range(2)] for k in ("w1", "b1", "w2")}
+        self.moments = {k: [np.zeros_like(getattr(net, k)) for _ in range(2)] for k in WEIGHTS}
 
     def take(self, g: dict[str, np.ndarray]) -> None:
         self.step += 1
@@ -133,6 +142,15 @@ class Adam:
             value -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(q / (1 - 0.99**self.step)) + 1e-8)
 
 
+def _step(adam: Adam, prior: float, x_p: np.ndarray, x_u: np.ndarray, decay: float) -> None:
+    """One step on a mini-batch of each set, of scaled features."""
+    sides = []
+    for x in (x_p, x_u):
+        s, g = _part(adam.net, x)
+        sides.append((s.mean(), {k: v / len(x) for k, v in g.items()}))
+    adam.take(_combine(adam.net, prior, *sides, decay))
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.ndarray | None = None, scale: np.ndarray | None = None, seed: int = 9, hidden: int = 24, epochs: int = 60, batch: int = 512, rate: float = 0.004, decay: float = 1e-3) -> Scorer:
     """Minimise the non-negative risk by Adam over paired batches of both sets; the operating point is left at 0."""
     if not len(positive) or not len(unlabelled):
@@ -147,14 +165,25 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.
     for _ in range(epochs):
         for part_p, part_u in zip(np.array_split(r.permutation(len(xp)), rounds), np.array_split(r.permutation(len(xu)), rounds)):
             if len(part_p) and len(part_u):
-                sides = []
-                for x in (xp[part_p], xu[part_u]):
-                    s, g = _part(net, x)
-                    sides.append((s.mean(), {k: v / len(x) for k, v in g.items()}))
-                adam.take(_combine(net, prior, *sides, decay))
+                _step(adam, prior, xp[part_p], xu[part_u], decay)
     return net
 
 
+def walk(net: Scorer, blocks: Iterator[np.ndarray], positive: np.ndarray, prior: float, batch: int = 512, rate: float = 1e-3, decay: float = 1e-3, seed: int = 9) -> tuple[int, float, Scorer]:
+    """Mini-batches over every row of the blocks, each block shuffled, against as many positives drawn anew. Returns the number of
+    rows, the sum of the outputs that `net` itself gives them, and the network after the last step; `net` stays as it is."""
+    own = replace(net, **{k: getattr(net, k).copy() for k in WEIGHTS})
+    xp, adam, r = net.scaled(positive), Adam(own, rate), np.random.default_rng(seed)
+    rows, outputs = 0, 0.0
+    for block in blocks:
+        x = net.scaled(block)
+        rows += len(x)
+        outputs += float(sigmoid(net.logits(block)).sum())
+        for part in np.array_split(r.permutation(len(x)), max(1, len(x) // batch)):
+            _step(adam, prior, xp[r.choice(len(xp), min(batch, len(xp)), replace=False)], x[part], decay)
+    return rows, outputs, own
+
+
 def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, x): features of every whole text, written once."""
 
@@ -167,17 +196,13 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return staged(rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, x array<float>"), "features")
 
 
-def _summed(made: DataFrame, of_rows, size: int) -> np.ndarray:
-    """Sum over all rows of what of_rows(x) gives for a block of them, `size` numbers. A task adds up its blocks; the sums of
-    all tasks are added by place, so the driver gets `size` numbers whatever the table holds."""
+def _added(made: DataFrame, of_task: Callable[[Iterator[np.ndarray]], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all tasks of what of_task(blocks of features) gives, `size` numbers. They are added by place, so the driver
+    gets `size` numbers whatever the table holds."""
 
     @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
-        for pdf in batches:
-            if len(pdf):
-                total += of_rows(np.stack(pdf["x"].to_numpy()))
-        yield pd.DataFrame({"k": np.arange(size), "v": total})
+        yield pd.DataFrame({"k": np.arange(size), "v": of_task(np.stack(pdf["x"].to_numpy()) for pdf in batches if len(pdf))})
 
     rows = made.select("x").mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
@@ -186,11 +211,38 @@ def _summed(made: DataFrame, of_rows, size: int) -> np.ndarray:
     return out
 
 
+def _summed(made: DataFrame, of_rows: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all rows of what of_rows(x) gives for a block of them, `size` numbers."""
+
+    def of_task(blocks: Iterator[np.ndarray]) -> np.ndarray:
+        total = np.zeros(size)
+        for x in blocks:
+            total += of_rows(x)
+        return total
+
+    return _added(made, of_task, size)
+
+
+def epoch(net: Scorer, made: DataFrame, positive: np.ndarray, prior: float, seed: int = 9) -> tuple[float, Scorer]:
+    """One epoch over every row: (mean output of `net` over all rows, network with the mean of the tasks' weights by rows)."""
+    shared = made.sparkSession.sparkContext.broadcast((net, positive))  # bounded by the number of positives
+
+    def of_task(blocks: Iterator[np.ndarray]) -> np.ndarray:
+        rows, outputs, own = walk(shared.value[0], blocks, shared.value[1], prior, seed=seed)
+        return np.concatenate([[rows, outputs], *(rows * getattr(own, k).ravel() for k in WEIGHTS)])
+
+    sizes = [getattr(net, k).size for k in WEIGHTS]
+    total = _added(made, of_task, 2 + sum(sizes))
+    n, parts = max(1.0, total[0]), np.split(total[2:], np.cumsum(sizes)[:-1])
+    return total[1] / n, replace(net, **{k: (v / n).reshape(getattr(net, k).shape) for k, v in zip(WEIGHTS, parts)})
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, positive_rows: int = 4000, start_rows: int = 8000, full_steps: int = 6, id_col: str = "doc_id", text_col: str = "text", made: DataFrame | None = None
+    docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, positive_rows: int = 4000, start_rows: int = 8000, full_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", made: DataFrame | None = None
 ) -> Scorer:
     """Fit on at most positive_rows trusted texts outside the held-out fold and on all text: start_rows rows, in hash order
-    of the id, for the first epochs, then full_steps steps over every row. `made` is featurise(docs) where the caller has it."""
+    of the id, give the weights to start from, then full_epochs epochs take mini-batches of every row, labelled or not. Of all
+    these weights those of the least risk over all rows stay. `made` is featurise(docs) where the caller has it."""
     made = featurise(docs, id_col, text_col) if made is None else made
     ids = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
     trusted = ids.where((crc_mod("id", modulus) != held_out) & F.col("y").isNotNull())
@@ -210,21 +262,17 @@ def fit(
     mean = sums[1 : 1 + FEATURES] / n
     scale = np.sqrt(np.maximum(0, sums[1 + FEATURES :] / n - mean**2)) + SPREAD
     net = fit_pu(x[own], x[~own], prior, mean, scale)
-    xp, adam, shapes = net.scaled(x[own]), Adam(net, 0.002), {k: getattr(net, k).shape for k in ("w1", "b1", "w2")}
-    spark = made.sparkSession
-    for _ in range(full_steps):
-        shared = spark.sparkContext.broadcast(net)  # a fixed size
-
-        def of_rows(x: np.ndarray, shared=shared) -> np.ndarray:
-            s, g = _part(shared.value, shared.value.scaled(x))
-            return np.concatenate([[s.sum()], *(g[k].ravel() for k in shapes)])
-
-        flat = _summed(made, of_rows, 1 + sum(int(np.prod(v)) for v in shapes.values())) / n
-        cuts = np.cumsum([1] + [int(np.prod(v)) for v in shapes.values()])
-        over = {k: flat[a:b].reshape(v) for (k, v), a, b in zip(shapes.items(), cuts[:-1], cuts[1:])}
-        s, g = _part(net, xp)
-        adam.take(_combine(net, prior, (s.mean(), {k: v / len(xp) for k, v in g.items()}), (flat[0], over), 1e-3))
-    return _placed(net, made, prior)
+    s_p = lambda of: sigmoid(of.logits(x[own])).mean()
+    tried = []
+    for i in range(full_epochs):
+        s_u, after = epoch(net, made, x[own], prior, seed=9 + i)
+        tried.append((_risk(prior, s_p(net), s_u), net))
+        net = after
+    shared = made.sparkSession.sparkContext.broadcast(net)  # a fixed size
+    s_u = _summed(made, lambda x: np.array([sigmoid(shared.value.logits(x)).sum()]), 1)[0] / n
+    tried.append((_risk(prior, s_p(net), s_u), net))
+    best = min(tried, key=lambda t: t[0])[1]
+    return _placed(replace(best, risks=tuple(t[0] for t in tried)), made, prior)
 
 
 def _placed(net: Scorer, made: DataFrame, prior: float, bins: int = 4096) -> Scorer:
