@@ -277,12 +277,12 @@ def test_toxic_stems_generalise_to_unseen_words():
 def test_an_epoch_is_the_mean_of_the_tasks_walks(spark):
     r = np.random.default_rng(3)
     x = r.random((70, quality.FEATURES)).astype(np.float32)
-    parts = [spark.createDataFrame([(i, x[i].tolist()) for i in ids], "id long, x array<float>").coalesce(1) for ids in (range(50), range(50, 70))]
+    made = spark.createDataFrame(spark.sparkContext.parallelize([(i, x[i].tolist()) for i in range(70)], 3), "id long, x array<float>")
     net = quality.fit_pu(x[:20], x, 0.6, epochs=1)
-    mean, after = quality.epoch(net, parts[0].unionByName(parts[1]), x[:20], 0.6)
-    walks = [quality.walk(net, iter([block]), x[:20], 0.6) for block in (x[:50], x[50:])]
+    mean, after = quality.epoch(net, made, x[:20], 0.6)
+    walks = [quality.walk(net, iter([block]), x[:20], 0.6) for block in (x[:23], x[23:46], x[46:])]
     assert mean == pytest.approx(quality.sigmoid(net.logits(x)).mean())
-    assert [n for n, _, _ in walks] == [50, 20]
+    assert [n for n, _, _ in walks] == [23, 23, 24]
     for k in quality.WEIGHTS:
         assert np.allclose(getattr(after, k), sum(n * getattr(own, k) for n, _, own in walks) / 70)
         assert not np.allclose(getattr(after, k), getattr(net, k))
