@@ -31,23 +31,35 @@ def speaker_at(points: DataFrame, turns: DataFrame, fallback: str = "nearest") -
 
     A point that no turn holds lies after the ends of some turns and before the starts of the others: the nearest is
     the one whose end was the last before it or whose start is the next after it, found by sorting points and turn
-    ends together. A chunk without turns gives SPEAKER_00; with fallback="unk" every miss gives SPEAKER_UNK.
+    ends together. A chunk without turns gives SPEAKER_00; with fallback="unk" every miss gives SPEAKER_UNK. Points are
+    read once: a point lies in one bucket, so a left join keeps those that no turn holds, and they go on with the others.
+    (chunk_id, point_idx) is a key of the points.
     """
-    p = points.select("chunk_id", "point_idx", "t_ms", F.col("t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"))
     t = turns.select("chunk_id", "turn_idx", "speaker", "start_ms", "end_ms")
-    hits = range_join(p, t).groupBy(F.col("l.chunk_id").alias("chunk_id"), F.col("l.point_idx").alias("point_idx")).agg(F.min_by("r.speaker", "r.turn_idx").alias("speaker"))
+    first, last = F.floor(F.col("start_ms") / BUCKET_MS), F.floor(F.greatest("start_ms", "end_ms") / BUCKET_MS)
+    cut = t.select(
+        F.col("chunk_id").alias("k"), F.explode(F.sequence(first, last)).alias("b"),
+        F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col("turn_idx").alias("i"), F.col("speaker").alias("by"),
+    )
+    holds = (F.col("chunk_id") == F.col("k")) & (F.floor(F.col("t_ms") / BUCKET_MS) == F.col("b")) & F.col("t_ms").between(F.col("s"), F.col("e"))
+    told = points.select("chunk_id", "point_idx", "t_ms").join(cut, holds, "left").groupBy("chunk_id", "point_idx", "t_ms").agg(F.min_by("by", "i").alias("held"))
     if fallback == "unk":
-        return points.join(hits, ["chunk_id", "point_idx"], "left").select("chunk_id", "point_idx", F.coalesce("speaker", F.lit("SPEAKER_UNK")).alias("speaker"))
-    mark = lambda time, side: t.groupBy("chunk_id", F.col(time).alias("t_ms")).agg(F.min(F.struct("turn_idx", "speaker")).alias("turn")).select("chunk_id", "t_ms", F.lit(None).cast("long").alias("point_idx"), F.when(F.lit(side == "left"), F.struct("t_ms", "turn")).alias("left"), F.when(F.lit(side == "right"), F.struct("t_ms", "turn")).alias("right"))
+        return told.select("chunk_id", "point_idx", F.coalesce("held", F.lit("SPEAKER_UNK")).alias("speaker"))
+
+    def mark(time: str, side: str) -> DataFrame:
+        at = t.groupBy("chunk_id", F.col(time).alias("t_ms")).agg(F.min(F.struct("turn_idx", "speaker")).alias("turn"))
+        place = lambda name: F.when(F.lit(side == name), F.struct("t_ms", "turn")).alias(name)
+        return at.select("chunk_id", "t_ms", F.lit(None).cast("long").alias("point_idx"), F.lit(None).cast("string").alias("held"), place("left"), place("right"))
+
     marks = mark("end_ms", "left").unionByName(mark("start_ms", "right"))
-    asked = points.select("chunk_id", "t_ms", "point_idx", F.lit(None).cast(marks.schema["left"].dataType).alias("left"), F.lit(None).cast(marks.schema["left"].dataType).alias("right"))
+    none = F.lit(None).cast(marks.schema["left"].dataType)
+    asked = told.select("chunk_id", "t_ms", "point_idx", "held", none.alias("left"), none.alias("right"))
     w, back = _both_ways("t_ms")
     x = marks.unionByName(asked).withColumn("before", F.last("left", ignorenulls=True).over(w))
     x = x.withColumn("after", F.last("right", ignorenulls=True).over(back)).where("point_idx IS NOT NULL")
     far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.t_ms") - F.col("t_ms")).alias("d"), F.col(f"{side}.turn").alias("turn")))
     best = F.least(F.coalesce(far("before"), far("after")), F.coalesce(far("after"), far("before")))
-    near = x.select("chunk_id", "point_idx", best["turn"]["speaker"].alias("near"))
-    return near.join(hits, ["chunk_id", "point_idx"], "left").select("chunk_id", "point_idx", F.coalesce("speaker", "near", F.lit("SPEAKER_00")).alias("speaker"))
+    return x.select("chunk_id", "point_idx", F.coalesce("held", best["turn"]["speaker"], F.lit("SPEAKER_00")).alias("speaker"))
 
 
 def contained(inner: DataFrame, outer: DataFrame, slack_ms: int = 0) -> DataFrame:
