@@ -427,7 +427,7 @@ def test_pu_risk_is_kept_non_negative():
     assert ((s >= 0.7) == (x[200:, 0] > 0)).mean() > 0.95
 
 
-def test_pipeline_stages_against_brute_force(spark, sf):
+def test_pipeline_stages_against_brute_force(spark, sf, reference_ids):
     import corpus_pipeline as cp
 
     d = spark.read.parquet(f"{sf}/documents.parquet")
@@ -455,5 +455,18 @@ def test_pipeline_stages_against_brute_force(spark, sf):
             clean = decontaminate.decontaminate(d, load(spark, sf, "benchmark")).where("NOT contaminated")
             assert set(kept) == {r["doc_id"] for r in clean.collect()}
         d = after
-    packed = cp.STAGES[-1][1](spark, d, sf)
-    assert packed.groupBy().agg(F.count_distinct("doc_id")).first()[0] == d.count()
+    packed = cp.STAGES[-1][1](spark, d, sf).collect()
+    by_doc, used = defaultdict(list), defaultdict(list)
+    for r in packed:
+        by_doc[r["doc_id"]].append(r)
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for r in d.collect():
+        ids, at = reference_ids(r["text"]) + [1], 0
+        for p in sorted(by_doc.pop(r["doc_id"]), key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids) and p["ids_crc32"] == crc(ids[at : at + p["length"]])
+            at += p["length"]
+        assert at == len(ids)
+    assert not by_doc
+    for parts in used.values():
+        ends = [a + n for a, n in sorted(parts)]
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
