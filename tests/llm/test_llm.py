@@ -239,6 +239,18 @@ def test_set_join_links_members_of_different_pivots(spark):
     assert [x["component_id"] for x in set_join.near_texts(docs(spark, texts), n=1, num=95, den=100, block=8).orderBy("doc_id").collect()] == want
 
 
+def test_set_join_shuffles_texts_of_members_only(spark, corpus):
+    """Beyond the broadcast limit texts are shuffled; those of documents outside all cells stay where they are."""
+    texts = spark.range(20_000).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    members = spark.range(0, 20_000, 40).withColumn("g", F.lit(1))
+    near = {r["id"] for r in set_join.likely_members(members, texts).collect()}
+    assert near >= set(range(0, 20_000, 40)) and len(near) < 510
+    joined = set_join._with_text(members, texts, 0)
+    assert sorted(map(tuple, joined.collect())) == [(i, f"text {i}", 1) for i in range(0, 20_000, 40)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in set_join.near_texts(docs(spark, corpus), block=4, broadcast_rows=0).collect())
+    assert got == [(i, *x) for i, x in enumerate(brute_components(corpus, 4, 85, 100))]
+
+
 def test_set_join_edges(spark, empty):
     assert set_join.near_texts(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e"), (4, "A b  c\td e"), (4, "a b c d e"), (9, "a b c d e"), (2, "a b c")], "doc_id long, text string")

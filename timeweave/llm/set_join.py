@@ -331,9 +331,23 @@ def verify(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return staged(rows.select("g", "role", "id", "part", "text").repartition(width, "g").sortWithinPartitions("g").mapInPandas(run, "id long, root long"), "links")
 
 
+MARKS = 1 << 26
+
+
+def likely_members(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of texts whose id is in members, and a few others: ids set bits in MARKS slots, so that the texts of documents
+    that are no members stay where they are. What is broadcast is at most MARKS / 64 rows, whatever the number of members."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    bit = F.expr("shiftleft(1L, CAST(__slot % 64 AS INT))")
+    words = members.select("id").withColumn("__slot", slot).groupBy(F.expr("__slot div 64").alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    asked = texts.withColumn("__slot", slot).withColumn("__word", F.expr("__slot div 64"))
+    return asked.join(F.broadcast(words), "__word").where(F.col("__bits").bitwiseAND(bit) != 0).select(*texts.columns)
+
+
 def _with_text(members: DataFrame, texts: DataFrame, broadcast_rows: int) -> DataFrame:
-    small = members.count() <= broadcast_rows
-    return texts.join(F.broadcast(members) if small else members, "id")
+    if members.count() <= broadcast_rows:
+        return texts.join(F.broadcast(members), "id")
+    return likely_members(members, texts).join(members, "id")
 
 
 def _all_links(cells: DataFrame, texts: DataFrame, n: int, num: int, den: int, block: int, broadcast_rows: int) -> list[DataFrame]:
@@ -390,7 +404,8 @@ def near_texts(
     null id keep a null component and link with nothing. Equal texts link by equal sets. Rows that repeat an id are the
     same vertex, whatever their texts. Texts are read whole. Extra columns are not read. An empty table gives no rows.
 
-    Frequency ranks only order the prefixes (frequent shingles last): results do not depend on them. The broadcast of members of cells is used up to broadcast_rows rows, beyond that the join shuffles.
+    Frequency ranks only order the prefixes (frequent shingles last): results do not depend on them. The broadcast of members of cells is used up to broadcast_rows rows, beyond that the join shuffles, with the
+    texts of members only.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = staged(signatures(base, n, num, den, frequency_ranks(base, n, num, den)), "signatures")
