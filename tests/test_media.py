@@ -49,6 +49,27 @@ def test_media_of_metadata(spark):
     assert rows(files.pending(pairs, made)) == [("v1.mp4", "/a/v1.mp4", 4)]
 
 
+def test_files_are_dealt_by_their_number(spark, tmp_path):
+    """Small files have few bytes and much work: tasks and folders grow with their number."""
+    n, root = 2 * files.FILES_A_TASK + 1, str(tmp_path / "many")
+    files.write_texts(spark.range(n).select(F.concat(F.lit("f"), "id").alias("name"), F.concat(F.lit("é"), "id").alias("content")), root, ".txt", folders=True)
+    assert len(list((tmp_path / "many").iterdir())) == 3
+    (tmp_path / "many" / "_hidden").mkdir()
+    (tmp_path / "many" / "_hidden" / "f1.txt").write_text("x")
+    (tmp_path / "many" / "k=1").mkdir()
+    (tmp_path / "many" / "k=1" / "g.json").write_text("xyz")
+    found = files.media_inventory(spark, root, "*.txt")
+    assert found.rdd.getNumPartitions() == 3 and files.content_hash(found).distinct().count() == n
+    assert sorted(r["name"] for r in found.where("length = 4").collect()) == [f"f{i}.txt" for i in range(10, 100)]
+    assert sorted(map(tuple, files.media_inventory(spark, root, "*.{json,xml}").select("name", "length").collect())) == [("g.json", 3)]
+
+
+def test_log_tails_are_counted_in_characters(spark, tmp_path):
+    (tmp_path / "a.log").write_text("é" * 50 + "\r" + "😀" * 30 + "\nend")
+    got = files.read_train_log(spark, str(tmp_path), 10).collect()
+    assert [(r["log"], r["line"]) for r in got] == [("a", "😀" * 6), ("a", "end")]
+
+
 def test_metadata_is_parsed_once(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"Video_env": {"Angle": 7}}')
     meta = files.read_clip_metadata(spark, str(tmp_path))

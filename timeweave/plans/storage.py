@@ -104,8 +104,8 @@ def logs(s, d):
     """A file a log; half of its lines end in a carriage return. What is read is the tail of each file."""
     path = shared_path(s, "log")
     ended = F.concat("line", F.when(col("seq") % 2 == 0, "\n").otherwise("\r"))
-    one = T.train_lines(s, d).groupBy("log").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", ended.alias("e")))), lambda x: x["e"]), "").alias("value"))
-    one.repartition("log").write.partitionBy("log").option("lineSep", "\n").text(path)
+    one = T.train_lines(s, d).groupBy(F.col("log").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", ended.alias("e")))), lambda x: x["e"]), "").alias("value"))
+    files.write_texts(one.select("name", F.concat("value", F.lit("\n")).alias("content")), path, folders=True)
     return files.read_train_log(s, path).groupBy("line").agg(F.count("*").alias("n"))
 
 
@@ -134,14 +134,14 @@ SUPPLIERS = "SELECT *, concat('A', CAST(s_nationkey % 4 AS {0})) AS angle, conca
 def clip_folder(s, d):
     path = shared_path(s, "clips")
     x = T.table(s, d, "supplier").withColumn("angle", F.expr("concat('A', CAST(s_nationkey % 4 AS STRING))")).withColumn("noise", F.expr("concat('N', CAST(s_nationkey % 3 AS STRING))"))
-    x.select(F.expr(CLIP).alias("value"), "s_suppkey").repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    files.write_texts(x.select(F.concat(F.lit("s_suppkey="), "s_suppkey").alias("name"), F.concat(F.coalesce(F.expr(CLIP), F.lit("")), F.lit("\n")).alias("content")), path, ".txt", folders=True)
     return path
 
 
 def clips(s, d):
     """A file that names no video stands for its own name, which the writer chose: it is shown as a dash."""
     meta = files.read_clip_metadata(s, clip_folder(s, d), "*.txt")
-    return meta.select("angle", "noise", F.when(col("video").startswith("part-"), "-").otherwise(col("video")).alias("video"))
+    return meta.select("angle", "noise", F.when(col("video").startswith("s_suppkey="), "-").otherwise(col("video")).alias("video"))
 
 
 CLIPS_SQL = f"""WITH s AS ({SUPPLIERS.format('VARCHAR')}), clips AS (SELECT CASE WHEN s_suppkey % 5 < 3 THEN angle END AS angle, CASE WHEN s_suppkey % 5 <> 2 THEN noise END AS noise, CASE WHEN s_suppkey % 5 = 3 THEN '-' ELSE s_name END AS video FROM s WHERE s_suppkey % 5 < 4)"""
@@ -155,12 +155,12 @@ def media_pending(s, d):
     names = T.table(s, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit(".mp4")).alias("file"))
     meta = clips(s, d).where("video <> '-'").withColumn("video", F.concat("video", F.lit(".mp4")))
     source, made = shared_path(s, "media"), shared_path(s, "made")
-    put = lambda x, size, folder: files.write_texts(x.select(F.regexp_replace("file", r"\.mp4$", "").alias("name"), F.expr(f"repeat('x', CAST({size} AS INT))").alias("content")), folder, ".mp4")
+    put = lambda x, size, folder: files.write_texts(x.select(F.regexp_replace("file", r"\.mp4$", "").alias("name"), F.expr(f"repeat('x', CAST({size} AS INT))").alias("content")), folder, ".mp4", folders=True)
     put(names.where("s_suppkey % 3 <> 1"), MEDIA_BYTES, f"{source}/a")
     put(names.where("s_suppkey % 7 = 0"), "7", f"{source}/b")
     put(names.where("s_suppkey % 2 = 0"), MADE_BYTES, made)
     todo = files.pending(files.with_media(meta, files.media_inventory(s, source, "*.mp4")), files.media_inventory(s, made, "*.mp4"))
-    return todo.select("video", "angle", "noise", F.element_at(F.split("path", "/"), -2).alias("folder"), "length")
+    return todo.select("video", "angle", "noise", F.element_at(F.split("path", "/"), -3).alias("folder"), "length")
 
 
 add("c12_with_media_pending", media_pending, f"""{CLIPS_SQL}, k AS (SELECT s_suppkey, s_name FROM supplier),

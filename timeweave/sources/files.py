@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 from collections.abc import Iterator
 from datetime import datetime
+from fnmatch import fnmatchcase
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.functions.text import lang_code
+from timeweave.operators.lineage import staged
 
 SEGMENT = "segment_id long, speaker string, start_ms long, end_ms long, text string, translated string, emotion string, emotion_score double, tts_mos double"
 REPORT = (
@@ -22,6 +26,78 @@ REPORT = (
 
 
 MEGABYTE = 1 << 20
+FILES_A_TASK = 2000  # files that a task lists, reads or writes
+
+
+def _globs(pattern: str) -> list[str]:
+    """A pattern's alternatives in braces, one by one."""
+    found = re.search(r"\{([^{}]*)\}", pattern)
+    return [pattern] if found is None else [g for a in found[1].split(",") for g in _globs(pattern[: found.start()] + a + pattern[found.end() :])]
+
+
+def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, name, length) of the files under a folder whose names match. Tasks list the folders, level by level, so no list of
+    files comes to the driver. Hidden files and folders are passed over, as Spark's own sources do."""
+    globs = _globs(pattern)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        from timeweave.sources.tail import opened
+
+        for pdf in batches:
+            for folder in pdf["path"]:
+                store, place = opened(folder)
+                stem = folder.rstrip("/")[: len(folder.rstrip("/")) - len(place.rstrip("/"))]
+                out = []
+                for f in store.get_file_info(fs.FileSelector(place)):
+                    hidden = f.base_name[0] == "." or (f.base_name[0] == "_" and "=" not in f.base_name)
+                    if not hidden and (f.type == fs.FileType.Directory or any(fnmatchcase(f.base_name, g) for g in globs)):
+                        out.append((stem + f.path, f.base_name, f.size if f.type == fs.FileType.File else None))
+                yield pd.DataFrame(out, columns=["path", "name", "length"]).astype({"length": "Int64"})
+
+    folders, levels = spark.createDataFrame([(root,)], "path string"), []
+    while True:
+        levels.append(staged(folders.mapInPandas(run, "path string, name string, length long"), "listed"))
+        folders = levels[-1].where("length IS NULL").select("path")
+        n = folders.count()
+        if not n:
+            break
+        folders = folders.repartition(math.ceil(n / 4))
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    return found.where("length IS NOT NULL")
+
+
+def spread(files: DataFrame, by: str) -> DataFrame:
+    """Rows that stand for files, dealt by one of their columns to as many tasks as there are files for: their bytes tell Spark
+    nothing of the work. A row always lands in the same task."""
+    return files.repartition(max(1, math.ceil(files.select(by).count() / FILES_A_TASK)), by)
+
+
+def read_files(files: DataFrame, last_bytes: int | None = None) -> DataFrame:
+    """(name, value): texts of files (path, name, length), whole or their last bytes; tasks open them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from timeweave.sources.tail import opened
+
+        for pdf in batches:
+            names, values, held = [], [], 0
+            for path, name, length in zip(pdf["path"], pdf["name"], pdf["length"].tolist()):
+                store, place = opened(path)
+                with store.open_input_file(place) as f:
+                    at = 0 if last_bytes is None else max(0, length - last_bytes)
+                    values.append(f.read_at(length - at, at).decode("utf-8", "replace"))
+                names.append(name)
+                held += length - at
+                if held > 4 * MEGABYTE:
+                    yield pd.DataFrame({"name": names, "value": values})
+                    names, values, held = [], [], 0
+            if names:
+                yield pd.DataFrame({"name": names, "value": values})
+
+    return spread(files, "path").mapInPandas(run, "name string, value string")
 
 
 def _columns(schema: str) -> list[str]:
@@ -103,10 +179,10 @@ def read_score_list(spark: SparkSession, path: str, existing: DataFrame | None =
 def read_clip_metadata(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """(file, angle, noise, video) of JSON objects or one-element lists, keys in either case; broken files are skipped. A file
     that names no video stands for one of its own name."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    raw = read_files(listed(spark, root, pattern))
     # Parsed once: filters would carry the parser with them, but not past a generator. A broken file has no value. Spark's own
     # field names do not tell case apart, paths into a value do.
-    parsed = raw.select(F.col("_metadata.file_name").alias("file"), F.explode(F.array_compact(F.array(F.try_parse_json("value")))).alias("v"))
+    parsed = raw.select(F.col("name").alias("file"), F.explode(F.array_compact(F.array(F.try_parse_json("value")))).alias("v"))
     pick = lambda where, *names: F.coalesce(*[F.try_variant_get("v", f"{top}.{where}.{n}", "string") for top in ("$", "$[0]") for n in names])
     out = parsed.select("file", pick("Video_env", "Angle", "angle").alias("angle"), pick("Audio_env", "Noise", "noise").alias("noise"), pick("Video_info", "video_Name", "video_name").alias("video"))
     return out.where("angle is not null or noise is not null or video is not null").withColumn("video", F.coalesce("video", F.concat(F.regexp_replace("file", r"\.\w+$", ""), F.lit(".mp4"))))
@@ -121,8 +197,7 @@ def filter_clips(meta: DataFrame, angle: str | None = None, noise: str | None =
 
 def media_inventory(spark: SparkSession, root: str, pattern: str = "*", min_bytes: int = 0) -> DataFrame:
     """(path, name, length) of files; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
-    return files.where(F.col("length") >= min_bytes).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return spread(listed(spark, root, pattern).where(F.col("length") >= min_bytes), "path")
 
 
 def with_media(meta: DataFrame, media: DataFrame) -> DataFrame:
@@ -174,7 +249,8 @@ def write_run(df: DataFrame, run_id: str, path: str) -> None:
 
 def read_train_log(spark: SparkSession, path: str, tail_chars: int = 200_000) -> DataFrame:
     """(log, seq, line) of the last characters of each file; lines end at a carriage return or newline."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.\w+$", "").alias("log"), F.expr(f"right(value, {tail_chars})").alias("tail"))
+    # A character has four bytes at most.
+    raw = read_files(listed(spark, path), 4 * tail_chars).select(F.regexp_replace("name", r"\.\w+$", "").alias("log"), F.expr(f"right(value, {tail_chars})").alias("tail"))
     return raw.select("log", F.posexplode(F.split("tail", "[\r\n]")).alias("seq", "line")).where("line <> ''")
 
 
@@ -182,13 +258,16 @@ def write_manifest(df: DataFrame, path: str, column: str = "path") -> None:
     df.select(F.col(column).cast("string").alias("value")).write.text(path)
 
 
-def write_texts(texts: DataFrame, folder: str, ending: str = ".log") -> None:
-    """One file a row (name, content): written whole by its task, so a task that runs again writes the same file."""
+def write_texts(texts: DataFrame, folder: str, ending: str = ".log", folders: bool = False) -> None:
+    """One file a row (name, content): written whole by its task, so a task that runs again writes the same file. With
+    `folders` each task writes to a numbered folder of its own, so none holds very many files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from timeweave.sources.tail import opened
 
         store, root = opened(folder)
+        if folders:
+            root = f"{root}/{TaskContext.get().partitionId():06d}"
         store.create_dir(root)
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"]):
@@ -196,7 +275,7 @@ def write_texts(texts: DataFrame, folder: str, ending: str = ".log") -> None:
                     f.write(content.encode())
             yield pdf[["name"]]
 
-    texts.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+    spread(texts.select("name", "content"), "name").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
 
 
 def write_validation(words: DataFrame, ratios: DataFrame, path: str, first: int = 200) -> None:
