@@ -308,6 +308,21 @@ def test_metadata_in_all_shapes(spark, tmp_path):
     assert rows(files.media_inventory(spark, str(tmp_path / "in"), "*.json", 10).select("name"), "name") == [("a.json",), ("b.json",)]
 
 
+def test_words_are_dealt_by_their_table(spark, tmp_path):
+    """Partitions of words grow with the table and not with the session's setting, so that a task's sort does not grow."""
+    from timeweave.operators import joins
+    from timeweave.sources import timeline
+
+    rows = [(c, 0, "user", f"a b{c} c") for c in range(40)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    parts = timeline.word_parts(timeline.table(spark, str(tmp_path), "conversations"))
+    words = timeline.words(spark, str(tmp_path))
+    assert parts >= timeline.WORD_PARTS and words.rdd.getNumPartitions() == parts and words.count() == 120
+    points = spark.createDataFrame([(c, 0, 700) for c in range(40)], "chunk_id long, point_idx long, t_ms long")
+    snapped = joins.snap(points, words, parts)
+    assert snapped.rdd.getNumPartitions() == parts and sorted(snapped.collect()) == sorted(joins.snap(points, words).collect())
+
+
 def test_content_hash(spark, tmp_path):
     import hashlib
 
