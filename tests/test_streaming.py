@@ -171,6 +171,20 @@ def test_pieces_give_every_line_once(tmp_path, piece):
     assert [x[2] for x in got] == [x for x in body.decode().replace("\r", "\n").split("\n") if x]
 
 
+def test_short_files_share_a_task(tmp_path):
+    for i in range(30):
+        grow(tmp_path, f"{i:02d}.log", b"one\ntwo\n")
+    (tmp_path / "sub").mkdir()
+    grow(tmp_path / "sub", "x.log", b"three\n" * 40)
+    reader = TailReader({"path": str(tmp_path), "piecebytes": "100"})
+    end = reader.latestOffset()
+    assert end["00.log"] == 8 and end["sub/x.log"] == 240
+    parts = reader.partitions({}, end)
+    assert len(parts) <= 6
+    assert sorted(row for p in parts for row in reader.read(p)) == sorted([(f"{i:02d}", at, w) for i in range(30) for at, w in ((0, "one"), (4, "two"))] + [("x", 6 * k, "three") for k in range(40)])
+    assert reader.partitions(end, end) == []
+
+
 def test_tail_bound_and_replaced_files(tmp_path):
     grow(tmp_path, "x.log", b"0123456789\n" * 5)
     reader = TailReader({"path": str(tmp_path), "tailbytes": "15"})

@@ -6,16 +6,18 @@ Spark's own file source reads a file once, so a log that a process goes on writi
     spark.readStream.format("tail").option("suffix", ".log").load(folder)
 
 Rows are (log, seq, line): the file's name without its ending, the byte at which the line starts, the line. Lines end at a
-carriage return, a newline or both; empty ones are left out. An offset is how far each file has been read, always behind a
-line's end: a line that is still being written comes when it is whole. Of a file that is seen for the first time only the
+carriage return, a newline or both; empty ones are left out. An offset is how far each file, by its path in the folder, has been read,
+always behind a line's end: a line that is still being written comes when it is whole. Of a file that is seen for the first time only the
 last `tailbytes` bytes are read. A file that has become shorter was replaced and is read from its start. Long ranges are
-cut into pieces of `piecebytes` that tasks read side by side; a line belongs to the piece in which it starts.
+cut into pieces of `piecebytes` that tasks read side by side; a line belongs to the piece in which it starts. A task reads
+the pieces of many short files, up to `piecebytes` and PIECES of them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -23,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 LINE = re.compile(rb"[^\r\n]+")
 SCHEMA = "log string, seq long, line string"
 BLOCK = 1 << 16
+PIECES = 500
 
 
 def opened(path: str):
@@ -33,7 +36,7 @@ def opened(path: str):
 
 
 @dataclass
-class Piece(InputPartition):
+class Piece:
     path: str
     first: int
     start: int
@@ -41,6 +44,11 @@ class Piece(InputPartition):
     end: int
 
 
+@dataclass
+class Pieces(InputPartition):
+    pieces: list[Piece]
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.suffix = options["path"], options.get("suffix", "")
@@ -54,35 +62,48 @@ class TailReader(DataSourceStreamReader):
         from pyarrow import fs
 
         store, root = opened(self.path)
-        ends = {}
-        for info in store.get_file_info(fs.FileSelector(root, recursive=True)):
-            if info.type == fs.FileType.File and info.base_name.endswith(self.suffix) and info.base_name[0] not in "._":
-                with store.open_input_file(info.path) as f:
-                    at = info.size
-                    while at > 0:
-                        low = max(0, at - BLOCK)
-                        block = f.read_at(at - low, low)
-                        cut = max(block.rfind(b"\n"), block.rfind(b"\r"))
-                        if cut >= 0:
-                            ends[info.path] = low + cut + 1
-                            break
-                        at = low
-        return ends
-
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        out = []
+        root = root.rstrip("/")
+
+        def whole(info) -> int | None:
+            with store.open_input_file(info.path) as f:
+                at = info.size
+                while at > 0:
+                    low = max(0, at - BLOCK)
+                    block = f.read_at(at - low, low)
+                    cut = max(block.rfind(b"\n"), block.rfind(b"\r"))
+                    if cut >= 0:
+                        return low + cut + 1
+                    at = low
+            return None
+
+        found = [i for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File and i.base_name.endswith(self.suffix) and i.base_name[0] not in "._"]
+        with ThreadPoolExecutor(16) as pool:
+            return {i.path[len(root) + 1 :]: end for i, end in zip(found, pool.map(whole, found)) if end is not None}
+
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
+        out, held = [Pieces([])], 0
         for path, stop in sorted(end.items()):
             at = start.get(path, max(0, stop - self.tail))
             if at > stop:
                 at = 0
-            out += [Piece(path, at, a, min(a + self.piece, stop), stop) for a in range(at, stop, self.piece)]
-        return out
+            for a in range(at, stop, self.piece):
+                piece = Piece(path, at, a, min(a + self.piece, stop), stop)
+                if held + piece.stop - a > self.piece or len(out[-1].pieces) >= PIECES:
+                    out.append(Pieces([]))
+                    held = 0
+                out[-1].pieces.append(piece)
+                held += piece.stop - a
+        return [p for p in out if p.pieces]
+
+    def read(self, partition: Pieces) -> Iterator[tuple]:
+        store, root = opened(self.path)
+        for p in partition.pieces:
+            yield from self._lines(store, root.rstrip("/"), p)
 
-    def read(self, p: Piece) -> Iterator[tuple]:
-        store, _ = opened(self.path)
+    def _lines(self, store, root: str, p: Piece) -> Iterator[tuple]:
         name = p.path.rsplit("/", 1)[-1]
         log = name[: name.rfind(".")] if "." in name else name
-        with store.open_input_file(p.path) as f:
+        with store.open_input_file(f"{root}/{p.path}") as f:
             raw, begin = f.read_at(p.stop - p.start, p.start), p.start
             if p.start > p.first and f.read_at(1, p.start - 1) not in b"\r\n":
                 cut = re.search(rb"[\r\n]", raw)

@@ -36,17 +36,16 @@ def log_status(lines: DataFrame, keep: int = 100) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         losses, at, total, speed, crashed = (list(state.get[0]), *state.get[1:]) if state.exists else ([], None, None, None, False)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        known = rows[rows["step"].notna()]
-        if len(known):
-            last = known.iloc[-1]
-            at, total, speed = int(last["step"]), int(last["total"]), float(last["speed"])
-        losses = [*losses, *known["loss"].tolist()][-keep:]
-        crashed = bool(crashed or rows["crash"].any())
+        got = sorted(r for pdf in batches for r in zip(*(pdf[c].tolist() for c in ("seq", "step", "total", "loss", "speed", "crash"))))
+        known = [r for r in got if not pd.isna(r[1])]
+        if known:
+            at, total, speed = int(known[-1][1]), int(known[-1][2]), float(known[-1][4])
+        losses = [*losses, *(r[3] for r in known)][-keep:]
+        crashed = bool(crashed or any(r[5] for r in got))
         state.update((losses, at, total, speed, crashed))
         left = None if at is None or not speed or total <= at else (total - at) / speed
         mean = sum(losses) / len(losses) if losses else None
-        yield pd.DataFrame([(key[0], int(rows["seq"].iloc[-1]), at, total, mean, left, at is not None and at >= total, crashed)], columns=[c.split()[0] for c in STATUS.split(", ")])
+        yield pd.DataFrame([(key[0], int(got[-1][0]), at, total, mean, left, at is not None and at >= total, crashed)], columns=[c.split()[0] for c in STATUS.split(", ")])
 
     state = "losses array<double>, step long, total long, speed double, crashed boolean"
     return p.groupBy("log").applyInPandasWithState(step, STATUS, state, "append", GroupStateTimeout.NoTimeout)
