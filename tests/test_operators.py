@@ -323,6 +323,19 @@ def test_words_are_dealt_by_their_table(spark, tmp_path):
     assert snapped.rdd.getNumPartitions() == parts and sorted(snapped.collect()) == sorted(joins.snap(points, words).collect())
 
 
+def test_choose_k_works_vectors_out_once(spark):
+    """All passes of all fits read what was written once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(i):
+        made.add(1)
+        return [1.0, i / 1000] if i % 2 else [i / 1000, 1.0]
+
+    assert refine.choose_k(spark.range(40).select(vector(F.col("id").cast("int")).alias("embedding"))) == 2
+    assert made.value == 40
+
+
 def test_content_hash(spark, tmp_path):
     import hashlib
 
