@@ -122,6 +122,21 @@ def test_utterances_do_not_depend_on_the_batches(spark, tmp_path, seed):
     assert sorted(tuple(x)[:4] for x in got.collect()) == sorted(want)
 
 
+def test_neighbouring_chunks_share_a_state_and_close_on_their_own(spark, places):
+    """A call of Python for every chunk and batch made a stream of many chunks slow."""
+    batches = [
+        said(spark, [(c, 0, 0, 100 + c, None) for c in range(64)]),
+        said(spark, [(0, 1, 1000, 1100, None), (7, 2, 4000, 4100, None), (7, 1, 200, 300, None), (-3, 0, 30000, 30100, None)]),
+        said(spark, [(5, 1, 31000, 31100, None), (-3, 1, 31000, 31100, None)]),
+        said(spark, [(-1, None, None, None, 900_000)]),
+    ]
+    got, ended = arrive(spark, places[0], batches, monitor.utterances, *places[1:])
+    assert max(p["stateOperators"][0]["numRowsTotal"] for q in ended for p in q.recentProgress) <= 3
+    want = [(c, 0, 100 + c, 1) for c in range(64) if c not in (0, 7)] + [(0, 0, 1100, 2), (7, 0, 300, 2), (7, 4000, 4100, 1), (5, 31000, 31100, 1), (-3, 30000, 31100, 2)]
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want)
+    assert {r["text"] for r in got.where("chunk_id = 7").collect()} == {"w0 w1", "w2"}
+
+
 def test_late_words_are_counted(spark, places):
     batches = [said(spark, [(1, 0, 0, 100, None), (1, 2, 60000, 60100, None)]), said(spark, [(1, 1, 1000, 1100, None), (1, 3, 61000, 61100, None), (1, 4, 54999, 55000, None), (1, 5, 55001, 55002, None)]), said(spark, [(-1, None, None, None, 900_000)])]
     got, ended = arrive(spark, places[0], batches, monitor.utterances, *places[1:])

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from timeweave.functions.logs import is_crash, parse_step
@@ -86,56 +86,8 @@ def speaker_windows(points: DataFrame, late: str = "2 seconds") -> DataFrame:
 
 
 UTTERANCES = "chunk_id long, start_ms long, end_ms long, n long, first_word long, last_word long, text string"
-
-
-class Utterances(StatefulProcessor):
-    """Words of one chunk, closed by a silence, by length or, when the watermark passes the silence, by timer.
-
-    State: the open utterance's times and word numbers as one value, its words as a list. Both are empty between
-    utterances.
-    """
-
-    def __init__(self, gap_ms: int, most_ms: int):
-        self.gap_ms, self.most_ms = gap_ms, most_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.span = handle.getValueState("span", "start_ms long, end_ms long, n long, first_word long, last_word long")
-        self.words = handle.getListState("words", "word string")
-
-    def _closed(self, key: tuple, span: tuple, words: list[str]) -> tuple:
-        return (key[0], *span, " ".join(words))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        span, out, fresh, cleared, at = self.span.get() if self.span.exists() else None, [], [], False, None
-        held = [w for (w,) in self.words.get()] if span is not None else []
-        # A chunk's words of one batch, in order; numbers only, and the words' texts.
-        got = sorted(r for pdf in rows for r in zip(*(pdf[c].tolist() for c in ("word_idx", "start_ms", "end_ms", "at_ms", "word"))))
-        for i, s, e, t, word in got:
-            if span is not None and (s - span[1] > self.gap_ms or span[1] - span[0] >= self.most_ms):
-                out.append(self._closed(key, span, held + fresh))
-                span, held, fresh, cleared = None, [], [], True
-            span = (s, e, 1, i, i) if span is None else (span[0], e, span[2] + 1, span[3], i)
-            fresh.append(word)
-            at = t + e - s
-        if got:
-            self.span.update(tuple(span))
-            if cleared:
-                self.words.clear()
-            self.words.appendList([(w,) for w in fresh])
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max(at + self.gap_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame(out, columns=_names(UTTERANCES))
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.span.exists():
-            yield pd.DataFrame([self._closed(key, self.span.get(), [w for (w,) in self.words.get()])], columns=_names(UTTERANCES))
-            self.span.clear()
-            self.words.clear()
-
-    def close(self) -> None:
-        pass
+OPEN = "open array<struct<chunk_id: long, due_ms: long, start_ms: long, end_ms: long, n: long, first_word: long, last_word: long, text: string>>"
+NEIGHBOURS = 32  # chunks with neighbouring ids that share a state: a call of Python costs as much as a thousand words
 
 
 def utterances(words: DataFrame, gap_ms: int = 1500, most_ms: int = 15000, late: str = "5 seconds") -> DataFrame:
@@ -143,12 +95,57 @@ def utterances(words: DataFrame, gap_ms: int = 1500, most_ms: int = 15000, late:
 
     Every utterance comes once, when it is closed: by a later word, or by timer when the watermark passes the silence after
     its last word. Rows without a word number are heartbeats: they move the watermark only (a last one closes what is open
-    when a recording ends). Words later than the watermark are dropped and counted. Needs the RocksDB state store.
+    when a recording ends). Words later than the watermark are dropped and counted.
+
+    State is the open utterances of a few chunks with neighbouring ids, each with the time that closes it; the first of those
+    times is the state's timer. It travels with the rows, so the store is not asked while words are read.
     """
     kept = words.withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
     # A filter that names the event time stays above the watermark, which therefore sees heartbeats.
-    heard = kept.where(F.when(F.col("word_idx").isNotNull() & F.col("chunk_id").isNotNull(), F.col("ts")).isNotNull()).select("chunk_id", "word_idx", F.coalesce("word", F.lit("")).alias("word"), "start_ms", "end_ms", "at_ms", "ts")
-    return heard.groupBy("chunk_id").transformWithStateInPandas(Utterances(gap_ms, most_ms), UTTERANCES, "append", "eventtime")
+    heard = kept.where(F.when(F.col("word_idx").isNotNull() & F.col("chunk_id").isNotNull(), F.col("ts")).isNotNull()).select(F.expr(f"chunk_id div {NEIGHBOURS}").alias("near"), "chunk_id", "word_idx", F.coalesce("word", F.lit("")).alias("word"), "start_ms", "end_ms", "at_ms", "ts")
+
+    def walk(now: tuple | None, got: list[tuple], out: list[tuple], chunk: int, mark: int) -> tuple:
+        """The open utterance behind words (word_idx, start_ms, end_ms, at_ms, word) in order, those closed go to out."""
+        said: list[str] = []
+        if now is None:
+            i, s, e, _, _ = got[0]
+            start, end, n, first, last = s, e, 0, i, i
+        else:
+            start, end, n, first, last, text = now[2:]
+            said.append(text)
+        for i, s, e, _, word in got:
+            if n and (s - end > gap_ms or end - start >= most_ms):
+                out.append((chunk, start, end, n, first, last, " ".join(said)))
+                start, n, first, said = s, 0, i, []
+            end, n, last = e, n + 1, i
+            said.append(word)
+        _, s, e, t, _ = got[-1]
+        return chunk, max(t + e - s + gap_ms, mark + 1), start, end, n, first, last, " ".join(said)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark, out = state.getCurrentWatermarkMs(), []
+        open_ = {r[0]: tuple(r) for r in state.get[0]} if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            rows = rows.iloc[np.lexsort((rows["word_idx"], rows["chunk_id"]))]
+            chunks = rows["chunk_id"].to_numpy()
+            heads = [*np.flatnonzero(np.diff(chunks, prepend=chunks[0] - 1)).tolist(), len(chunks)]
+            for a, b in zip(heads, heads[1:]):
+                chunk, part = int(chunks[a]), rows.iloc[a:b]
+                got = sorted(zip(*(part[c].tolist() for c in ("word_idx", "start_ms", "end_ms", "at_ms", "word"))))
+                open_[chunk] = walk(open_.get(chunk), got, out, chunk, mark)
+        # What the watermark has passed is closed, in a call with rows of other chunks as in one by the timer.
+        out += [(r[0], *r[2:]) for r in open_.values() if r[1] < mark]
+        left = [r for r in open_.values() if r[1] >= mark]
+        if left:
+            state.update((left,))
+            state.setTimeoutTimestamp(max(mark + 1, min(r[1] for r in left)))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=_names(UTTERANCES))
+
+    return heard.groupBy("near").applyInPandasWithState(step, UTTERANCES, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def silent_utterances(words: DataFrame, gap: str = "1500 milliseconds", late: str = "5 seconds") -> DataFrame:
