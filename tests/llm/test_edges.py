@@ -187,6 +187,20 @@ def test_lines_of_repeated_and_long_rows(spark):
     assert len(got) == len(rows) and all(r["text"] is None or "menu" not in r["text"] for r in got)
 
 
+def test_warc_folds_ends_and_decodes_rare_and_common_entities(spark):
+    """A blank before a last line separator that is no line end stays; names stand for themselves wherever rare ones are."""
+    said = ["a \u2028", " \n a \t b\r\n \n", "&hellip;&amp;lt; &#38;lt; &&#108;t;&eacute;", "&amp;lt;&copy;&amp;#38;", "&lt&#38;amp;", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", warc.folded(F.col("t")), warc.decode_entities(F.col("t"))).orderBy("i").collect()
+    assert [r[1] for r in rows[:2]] == ["a \u2028", "a b"]
+
+    def decoded(t):
+        for name, char in [("&&#108;", "&l"), *warc.ENTITIES]:
+            t = t.replace(name, char)
+        return t
+
+    assert [r[2] for r in rows] == [decoded(t) if t is not None else None for t in said]
+
+
 def test_warc_of_awkward_pages(spark):
     pages = spark.createDataFrame([(None, "u", "<p>a"), (1, "u", "<p>a"), (1, "u", "<p>a"), (2, "u", "<script>" * 2000 + "x"), (3, "u", "<p>" + "w &#8217;&#x41; " * 20_000)], "page_id long, url string, html string")
     rows = warc.page_derivatives(pages).where("warc_type = 'conversion'").collect()

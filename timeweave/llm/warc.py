@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NO_DATE = "1970-01-01T00:00:00Z"
-DROPPED = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>"
+DROPPED = r"(?is)<(?:!--.*?-->|(?:script|style|noscript|template)\b[^>]*>.*?</(?:script|style|noscript|template)\s*>)"
 BLOCK_TAG = r"(?i)</?(p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|td|th|table|section|article|header|footer|nav|main|aside|title|head|body|html|blockquote|pre|hr)\b[^>]*>"
 ANY_TAG = r"(?s)<[a-zA-Z/!?][^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title\s*>"
@@ -20,6 +20,8 @@ ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
     ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&pound;", "£"), ("&deg;", "°"), ("&times;", "×"), ("&#38;", "&"), ("&amp;", "&"),
 ]
+OFTEN = ("&lt;", "&gt;", "&quot;", "&nbsp;", "&copy;", "&middot;", "&amp;")
+RARE = "&(?:#|" + "|".join(name[1:] for name, _ in ENTITIES if name not in OFTEN) + ")"
 NUMERIC = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 
@@ -41,15 +43,20 @@ def _character(entity: Column) -> Column:
     return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
 
 
-def decode_entities(c: Column) -> Column:
-    """Numeric entities, then named ones. Numbers are looked for only where there are any."""
-    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMERIC), F.lit(0)))
-    c = F.when(c.contains("&#"), F.aggregate(numbers, c, lambda acc, e: F.replace(acc, e, _character(e)))).otherwise(c)
-    for name, char in ENTITIES:
+def _named(c: Column, entities: list[tuple[str, str]]) -> Column:
+    for name, char in entities:
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
 
 
+def decode_entities(c: Column) -> Column:
+    """Numeric entities, then named ones. Numbers and rare names are looked for only where there are any."""
+    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMERIC), F.lit(0)))
+    numeric = F.aggregate(numbers, c, lambda acc, e: F.replace(acc, e, _character(e)))
+    often = [e for e in ENTITIES if e[0] in OFTEN]
+    return F.when(c.rlike(RARE), _named(numeric, ENTITIES)).otherwise(_named(c, often))
+
+
 def without_tags(html: Column) -> Column:
     """Comments, scripts and styles go, block tags end lines, other tags are blanks."""
     c = F.regexp_replace(html, DROPPED, " ")
@@ -59,7 +66,7 @@ def without_tags(html: Column) -> Column:
 def folded(text: Column) -> Column:
     """Blanks fold and empty lines go."""
     c = F.regexp_replace(text, "[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(c, " ?\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
+    return F.btrim(F.regexp_replace(c, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
