@@ -69,6 +69,31 @@ def test_encoder_is_the_library(reference_ids):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == reference_ids(t)
 
 
+def test_encoder_takes_many_texts_at_once(reference_ids):
+    r = random.Random(2)
+    letters = [f"a{chr(c)}b {chr(c)}'s {chr(c)}1x{chr(c)}" for c in range(1, 0x260)]
+    marks = ["".join(r.choices("abstrvelmdSé²1ß'' \n\t.,-<|>×Ɓ", k=r.randrange(40))) for _ in range(2000)]
+    odd = [None, "", " ", "'", "'s", "''s", "'s's're", "x'", "'l", "'r", "'", "s", "日本 a", "<|endoftext|>", "a" * 300, *letters, *marks]
+    texts = odd + [words(r, 200) for _ in range(20)]
+    want = [reference_ids(t) for t in texts]
+    for limit, run in ((600_000, 1 << 22), (50, 100)):
+        enc = WordEncoder(queries.word_vocabulary(), limit=limit)
+        enc._RUN = run
+        for _ in range(2):
+            assert [np.frombuffer(ids, enc.dtype).tolist() for ids in enc.encode_all(texts)] == want
+    assert enc.encode_all([]) == []
+
+
+def test_encoder_asks_for_a_piece_once():
+    enc, asked = WordEncoder(queries.word_vocabulary()), []
+    look_up = enc._ids
+    enc._ids = lambda pieces: asked.append(pieces) or look_up(pieces)
+    texts = ["The word, the WORD: the word's 11 words", "word the"] * 500
+    enc.encode_all(texts)
+    assert [sorted(p) for p in asked] == [sorted([b"the", b"word", b",", b":", b"'s", b"1", b"words"])]
+    assert not enc.words and not enc.pieces
+
+
 def test_token_output_round_trip(spark, corpus, empty, reference_ids):
     blocks = token_output.write_blocks(docs(spark, corpus), queries.word_vocabulary(), block_ids=3000)
     got = {r["doc_id"]: r for r in token_output.read_documents(blocks).collect()}

@@ -193,8 +193,8 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, block_ids: in
             return out
 
         for pdf in batches:
-            for d, text in zip(pdf["d"], pdf["t"]):
-                ids = enc.encode(text) + end
+            for d, ids in zip(pdf["d"], enc.encode_all(pdf["t"].tolist())):
+                ids += end
                 doc_ids.append(NULL_ID if pd.isna(d) else int(d))
                 offsets.append(size)
                 parts.append(ids)
