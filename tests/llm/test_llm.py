@@ -276,6 +276,34 @@ def test_set_join_shuffles_texts_of_members_only(spark, corpus):
     assert got == [(i, *x) for i, x in enumerate(brute_components(corpus, 4, 85, 100))]
 
 
+def test_set_join_keys_of_chance_matches_find_nothing(spark):
+    """Documents that share a part of their shingles with others, here a tenth with each of two, and have enough of their own are
+    in no cell; copies are."""
+    r = random.Random(21)
+    own = [[f"w{r.randrange(10**9)}" for _ in range(200)] for _ in range(40)]
+    mixed = [" ".join(w + own[(k + 1) % 40][:20]) for k, w in enumerate(own)]
+    texts = docs(spark, [*mixed, mixed[7] + " tail"]).select(F.col("doc_id").alias("id"), "text")
+    keys = {x["id"]: len(x["keys"]) for x in set_join.signatures(texts, 4, 85, 100, set_join.frequency_ranks(texts, 4, 85, 100)).collect()}
+    assert keys.pop(7) and keys.pop(40)
+    assert not any(keys.values())
+
+
+def test_set_join_ranks_miss_no_document(spark, corpus, monkeypatch):
+    """A shingle of so many documents has all levels up to their number, and few have more; without levels nothing is lost."""
+    texts = docs(spark, corpus).select(F.col("doc_id").alias("id"), "text")
+    below = set_join.counted_below(85, 100)
+    held = Counter(int(h >> np.uint64(24)) for s in set_join.shingle_sets(corpus, 4) for h in s if h < below)
+    ranks = set_join.frequency_ranks(texts, 4, 85, 100)
+    assert ranks.tells_single
+    got = ranks.of(np.array(list(held), np.uint64)).tolist()
+    want = [sum(c >= level for level in set_join.LEVELS) for c in held.values()]
+    assert all(a >= b for a, b in zip(got, want)) and sum(a > b for a, b in zip(got, want)) < len(held) / 2
+    monkeypatch.setattr(set_join, "FULLEST", -1)
+    assert not set_join.frequency_ranks(texts, 4, 85, 100).tells_single
+    found = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in set_join.near_texts(docs(spark, corpus)).collect())
+    assert found == [(i, *x) for i, x in enumerate(brute_components(corpus, 4, 85, 100))]
+
+
 def test_set_join_edges(spark, empty):
     assert set_join.near_texts(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e"), (4, "A b  c\td e"), (4, "a b c d e"), (9, "a b c d e"), (2, "a b c")], "doc_id long, text string")

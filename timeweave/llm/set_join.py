@@ -5,9 +5,10 @@ at most the sum over groups of the smaller count; a tree node bounds its documen
 unrelated texts of one length lie all about equally far apart, so no node of a tree over a whole corpus excludes
 anything. The tree therefore works inside cells that no link can leave. Cells come from an exact necessary condition:
 linked sets share a shingle among the first n - ceil(t n) + 1 of any fixed order; documents
-that share such a shingle and whose sizes chain within the threshold are in one cell. The order puts shingles that many
-documents share last, so passages and boilerplate tie no cells together. Pairs whose bound survives are
-verified on the whole sets.
+that share such a shingle and whose sizes chain within the threshold are in one cell. The order puts shingles of one
+document first and those that many share last, so neither passages and boilerplate nor matches by chance tie cells
+together: a document with enough shingles of its own is in none. The table of frequencies grows with the corpus. Pairs
+whose bound survives are verified on the whole sets.
 
 Equal sets are one document until the end. A large cell first compares its members with a few pivots, chunk by chunk, so
 a group of near copies of one text costs about one pass. Members outside the cell's largest component of pivot links are
@@ -90,10 +91,10 @@ def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
     return out
 
 
-SLOTS = 1 << 23
 BUCKETS, PACKED = 16, 1_000_000  # buckets of keys for each partition of documents; keys that a task packs at a time
-LEVELS = tuple(3 << k for k in range(16))  # documents with a shingle, from which its rank goes up
-FULLEST = 0.25  # a level that would fill more of the slots tells shingles apart no longer and is left out
+LEVELS = tuple(2 << k for k in range(16))  # documents with a shingle, from which its rank goes up
+SPARE, WIDEST = 2, 1 << 30  # slots of a level for each of its shingles, if that is not more than WIDEST in all
+FULLEST = 0.5  # a level that would fill more of its slots tells shingles apart no longer and is left out
 
 
 def counted_below(num: int, den: int) -> np.uint64:
@@ -102,21 +103,45 @@ def counted_below(num: int, den: int) -> np.uint64:
     return np.uint64(min(2**64 - 1, (3 * (den - num) << 64) // den))
 
 
-def slots_of(short: np.ndarray) -> np.ndarray:
-    """Slot of a hash's upper 40 bits in the rank table."""
-    return ((short.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)).astype(np.int64)
+class Ranks:
+    """Frequency ranks of counted shingles, by the upper 40 bits of their hashes: how many levels, from the lowest on, a
+    shingle is in. A level is a bitmap of slots, each a run of neighbouring hashes, so it holds all shingles of its
+    frequency and some others."""
 
+    def __init__(self, levels: list[tuple[int, int, np.ndarray]]):
+        self.levels = levels  # (documents, bits of a hash below its slot, bitmap)
 
-def prefix(s: np.ndarray, ranks: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 hashes in the order: counted ones by rank of frequency, then all by hash."""
-    n = len(s)
-    if not n:
-        return s
-    k = n + (-num * n) // den + 1
-    cut = int(np.searchsorted(s, counted_below(num, den)))
-    head = s[:cut]
-    order = np.argsort(ranks[slots_of(head >> np.uint64(24))], kind="stable")
-    return np.concatenate([head[order], s[cut:]])[:k]
+    def of(self, short: np.ndarray) -> np.ndarray:
+        ranks, left = np.zeros(len(short), np.uint8), np.arange(len(short))
+        for _, shift, bits in self.levels:
+            slot = short[left] >> np.uint64(shift)
+            left = left[(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            ranks[left] += 1
+        return ranks
+
+    @property
+    def tells_single(self) -> bool:
+        """Whether a shingle of rank 0 is in one document only."""
+        return bool(self.levels) and self.levels[0][0] == 2
+
+
+def prefixes(sets: list[np.ndarray], ranks: Ranks, num: int, den: int) -> list[np.ndarray]:
+    """Of each set the first n - ceil(t n) + 1 hashes in the order: counted ones by rank of frequency, then all by hash.
+    Those that are known to be in no other document are left out: nothing is found by them."""
+    below, single = counted_below(num, den), ranks.tells_single
+    cuts = [int(np.searchsorted(s, below)) for s in sets]
+    places = np.cumsum([0, *cuts])
+    known = ranks.of(np.concatenate([s[:cut] for s, cut in zip(sets, cuts)]) >> np.uint64(24)) if places[-1] else np.zeros(0, np.uint8)
+    out = []
+    for s, cut, at in zip(sets, cuts, places.tolist()):
+        n = len(s)
+        k = n + (-num * n) // den + 1 if n else 0
+        rank = known[at : at + cut]
+        order = np.argsort(rank, kind="stable")[:k]
+        if single:
+            order = order[np.count_nonzero(rank == 0) :]
+        out.append(np.concatenate([s[order], s[cut : cut + max(0, k - cut)]]))
+    return out
 
 
 def packed_keys(docs: DataFrame, n: int, below: np.uint64, bits: int) -> DataFrame:
@@ -149,18 +174,16 @@ def packed_keys(docs: DataFrame, n: int, below: np.uint64, bits: int) -> DataFra
     return docs.select("text").mapInPandas(run, "bucket int, keys binary")
 
 
-def frequency_ranks(docs: DataFrame, n: int, num: int, den: int) -> np.ndarray:
-    """A table of fixed size with a frequency rank per slot: the counted shingles of all documents are counted, and each
-    slot takes the highest rank in it. There are BUCKETS buckets of keys for every partition of docs, so a bucket's size
-    does not grow with the table. What comes to the driver is SLOTS / 64 rows at most."""
-    bits = max(8, (BUCKETS * docs.rdd.getNumPartitions() - 1).bit_length())
-    low = np.uint64(40 - bits)
+def frequent_keys(docs: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
+    """(bucket, keys, tops, sizes): the counted shingles of LEVELS[0] documents and more, sorted, with the place of the highest
+    level that each reaches, and how many reach which as their highest."""
+    most = np.array(LEVELS)
 
     def counted(bucket: int, held: list[bytes]) -> pd.DataFrame:
         keys, times = np.unique(np.frombuffer(b"".join(held), "<u4"), return_counts=True)
         often = times >= LEVELS[0]
-        slot = slots_of((np.uint64(bucket) << low) | keys[often].astype(np.uint64))
-        return pd.DataFrame({"word": slot // 64, "bit": np.int64(1) << (slot % 64), "n": times[often]})
+        tops = (np.searchsorted(most, times[often], side="right") - 1).astype(np.uint8)
+        return pd.DataFrame({"bucket": [bucket], "keys": [keys[often].tobytes()], "tops": [tops.tobytes()], "sizes": [np.bincount(tops, minlength=len(LEVELS)).tolist()]})
 
     @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,21 +199,53 @@ def frequency_ranks(docs: DataFrame, n: int, num: int, den: int) -> np.ndarray:
             yield counted(now, held)
 
     packed = packed_keys(docs, n, counted_below(num, den), bits)
-    bits_of = packed.repartition(shuffle_width(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInPandas(run, "word long, bit long, n long")
-    rows = bits_of.groupBy("word").agg(*[F.bit_or(F.when(F.col("n") >= level, F.col("bit")).otherwise(0)).alias(f"l{level}") for level in LEVELS]).toPandas()
-    ranks = np.zeros(SLOTS, np.uint8)
-    for level in LEVELS:
-        words = np.zeros(SLOTS // 64, np.uint64)
-        words[rows["word"].to_numpy()] = rows[f"l{level}"].to_numpy().view(np.uint64)
-        reached = np.unpackbits(words.view(np.uint8), bitorder="little")
-        if reached.mean() <= FULLEST:
-            ranks += reached
-    return ranks
-
-
-def signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
-    """(id, n, a, b, keys): set size, two independent hashes of the set, and its prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # SLOTS bytes
+    dealt = packed.repartition(shuffle_width(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return staged(dealt.mapInPandas(run, "bucket int, keys binary, tops binary, sizes array<long>"), "frequent")
+
+
+def frequency_ranks(docs: DataFrame, n: int, num: int, den: int) -> Ranks:
+    """The counted shingles of all documents are counted. There are BUCKETS buckets of keys for every partition of docs, so a
+    bucket's size does not grow with the table. A level's bitmap has SPARE slots or more for each of its shingles, up to
+    WIDEST bits; what comes to the driver are the bitmaps, in pieces."""
+    bits = max(8, (BUCKETS * docs.rdd.getNumPartitions() - 1).bit_length())
+    low = 40 - bits
+    frequent = frequent_keys(docs, n, num, den, bits)
+    tops = dict(frequent.select(F.posexplode("sizes").alias("top", "size")).groupBy("top").agg(F.sum("size")).collect())
+    span = int(counted_below(num, den) >> np.uint64(24)) + 1
+    wanted = []
+    for place, times in enumerate(LEVELS):
+        size = sum(tops.get(p, 0) for p in range(place, len(LEVELS)))
+        # A bucket's slots are whole bytes.
+        shift = next((s for s in range(low - 3, 0, -1) if span >> s >= SPARE * size or span >> (s - 1) > WIDEST), 0)
+        if size:
+            wanted.append((place, times, shift))
+
+    @lean
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for bucket, keys, high in zip(pdf["bucket"].tolist(), pdf["keys"], pdf["tops"]):
+                keys, high = np.frombuffer(keys, "<u4"), np.frombuffer(high, np.uint8)
+                for place, _, shift in wanted:
+                    keys, high = keys[high >= place], high[high >= place]
+                    if len(keys):
+                        slots = np.zeros((1 << low) >> shift, bool)
+                        slots[keys >> np.uint32(shift)] = True
+                        yield pd.DataFrame({"bucket": [bucket], "place": [place], "bits": [np.packbits(slots, bitorder="little").tobytes()]})
+
+    maps = {place: np.zeros(((1 << bits) << (low - shift)) >> 3, np.uint8) for place, _, shift in wanted}
+    for row in frequent.mapInPandas(run, "bucket int, place int, bits binary").collect():
+        maps[row["place"]][row["bucket"] * len(row["bits"]) :][: len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    levels = []
+    for place, times, shift in wanted:
+        full = int(np.bitwise_count(maps[place]).sum()) / max(1, span >> shift)
+        if full <= FULLEST:
+            levels.append((times, shift, maps[place]))
+    return Ranks(levels)
+
+
+def signatures(docs: DataFrame, n: int, num: int, den: int, ranks: Ranks) -> DataFrame:
+    """(id, n, a, b, keys): set size, two independent hashes of the set, and what of its prefix others may have."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +256,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -
                 ids = pdf["id"].iloc[part]
                 yield pd.DataFrame({
                     "id": ids, "n": [len(s) for s in sets], "a": [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets],
-                    "b": [int(mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) for s in sets], "keys": [prefix(s, shared.value, num, den).view(np.int64) for s in sets],
+                    "b": [int(mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) for s in sets], "keys": [p.view(np.int64) for p in prefixes(sets, shared.value, num, den)],
                 })
 
     return docs.mapInPandas(run, "id long, n long, a long, b long, keys array<long>")
@@ -404,7 +459,7 @@ def near_texts(
     null id keep a null component and link with nothing. Equal texts link by equal sets. Rows that repeat an id are the
     same vertex, whatever their texts. Texts are read whole. Extra columns are not read. An empty table gives no rows.
 
-    Frequency ranks only order the prefixes (frequent shingles last): results do not depend on them. The broadcast of members of cells is used up to broadcast_rows rows, beyond that the join shuffles, with the
+    Frequency ranks only order the prefixes (frequent shingles last) and leave out what one document has: results do not depend on them. The broadcast of members of cells is used up to broadcast_rows rows, beyond that the join shuffles, with the
     texts of members only.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
